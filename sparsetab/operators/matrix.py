@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparsetab.operators.relational import attach_row
+
 MAX_GRAM_COLUMNS = 5_000
 _BUFFER_VALUES = 16_000_000  # doubles a task holds before it hands on partial sums
 
@@ -307,4 +309,4 @@ def trace_norms(gram_rows: DataFrame, groups: DataFrame) -> DataFrame:
     kind = groups.schema["group_id"].dataType.simpleString()
     sums = block.groupBy("group_id").applyInPandas(norm, f"group_id {kind}, norm double")
     peak = sums.agg(F.max("norm").alias("peak"))
-    return sums.join(peak, F.lit(True)).select("group_id", "norm", (F.col("norm") / F.col("peak")).alias("weight"))
+    return attach_row(sums, peak).select("group_id", "norm", (F.col("norm") / F.col("peak")).alias("weight"))

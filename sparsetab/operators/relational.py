@@ -168,3 +168,11 @@ def merge_name_lists(first: DataFrame, second: DataFrame) -> DataFrame:
     Kept in long form ``(entrez, name, source, pos)``; ids of either source stay.
     """
     return first.withColumn("source", F.lit(0)).unionByName(second.withColumn("source", F.lit(1)))
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a table known to have one row, such as a total."""
+    return (
+        df.withColumn("_one", F.lit(1))
+        .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    )
