@@ -50,14 +50,14 @@ def kfold(rows: DataFrame, k: int, order: Sequence[Column], strata: Sequence[str
     fold takes the rest.
     """
     strata = list(strata)
-    placed = ranked(rows, strata, order, "_pos", start=0)
+    placed = ranked(rows, strata, order, "_place", start=0)
     size = F.round(F.col("_n") / k).cast("long")
-    fold = F.least(F.floor(F.col("_pos") / F.greatest(size, F.lit(1))), F.lit(k - 1)).cast("int")
+    fold = F.least(F.floor(F.col("_place") / F.greatest(size, F.lit(1))), F.lit(k - 1)).cast("int")
     if strata:
         counted = placed.join(placed.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")), strata)
     else:
         counted = attach_row(placed, placed.agg(F.count(F.lit(1)).alias("_n")))
-    return counted.withColumn(name, fold).drop("_pos", "_n")
+    return counted.withColumn(name, fold).drop("_place", "_n")
 
 
 def nested_folds(rows: DataFrame, k: int, sub_k: int, order: Sequence[Column], sub_order: Sequence[Column], strata: Sequence[str]) -> DataFrame:
