@@ -84,14 +84,14 @@ def tree_messages(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame) -> tu
     """G12. Worth of every side of every tree edge, for all lambdas of a problem.
 
     ``lambdas(problem_id, lam)``.  Returns the edges with both messages and, per
-    node, the best payoff of a subtree holding it together with its size.  The
+    node, the best payoff of a subtree holding it with its size and edge costs.  The
     number of sweeps follows the length of paying paths and not the tree size:
     a side that is not worth an edge sends 0.
     """
     lams = lambdas.select(KEY, "lam").distinct()
     edges = cut(
         forest.select(KEY, "src", "dst", "cost").join(lams, KEY).selectExpr(
-            KEY, "lam", "src", "dst", "cost * lam as c", "0D as to_dst", "0D as to_src", "0L as n_dst", "0L as n_src"
+            KEY, "lam", "src", "dst", "cost * lam as c", "0D as to_dst", "0D as to_src", "0L as n_dst", "0L as n_src", "0D as k_dst", "0D as k_src"
         )
     )
     base = cut(nodes.select(KEY, "node", "prize").join(lams, KEY))
@@ -107,28 +107,31 @@ def tree_messages(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame) -> tu
 def _payoffs(edges: DataFrame, base: DataFrame) -> DataFrame:
     arriving = edges.selectExpr(
         KEY, "lam",
-        "inline(array(struct(dst as node, to_dst as m, n_dst as n), struct(src as node, to_src as m, n_src as n)))",
+        "inline(array(struct(dst as node, to_dst as m, n_dst as n, k_dst as k), struct(src as node, to_src as m, n_src as n, k_src as k)))",
+    )
+    own = base.selectExpr(KEY, "lam", "node", "prize as m", "1L as n", "0D as k")
+    return arriving.unionByName(own).groupBy(KEY, "lam", "node").agg(
+        F.sum("m").alias("payoff"), F.sum("n").alias("size"), F.sum("k").alias("spent")
     )
-    own = base.selectExpr(KEY, "lam", "node", "prize as m", "1L as n")
-    return arriving.unionByName(own).groupBy(KEY, "lam", "node").agg(F.sum("m").alias("payoff"), F.sum("n").alias("size"))
 
 
 def _sweep(edges: DataFrame, base: DataFrame) -> DataFrame:
     """New messages from the current ones: payoff of the sender without the receiver, minus the edge."""
     worth = _payoffs(edges, base)
-    at_src = worth.selectExpr(KEY, "lam", "node as src", "payoff as _ps", "size as _ns")
-    at_dst = worth.selectExpr(KEY, "lam", "node as dst", "payoff as _pd", "size as _nd")
+    at_src = worth.selectExpr(KEY, "lam", "node as src", "payoff as _ps", "size as _ns", "spent as _ks")
+    at_dst = worth.selectExpr(KEY, "lam", "node as dst", "payoff as _pd", "size as _nd", "spent as _kd")
     gains = edges.join(at_src, [KEY, "lam", "src"]).join(at_dst, [KEY, "lam", "dst"]).selectExpr(
         KEY, "lam", "src", "dst", "c", "to_dst as old_d", "to_src as old_s", "n_dst as old_nd", "n_src as old_ns",
         "_ps - to_src - c as gd", "_pd - to_dst - c as gs", "1e-12 * (abs(_ps) + c) as fd", "1e-12 * (abs(_pd) + c) as fs",
-        "_ns - n_src as nd", "_nd - n_dst as ns",
+        "_ns - n_src as nd", "_nd - n_dst as ns", "_ks - k_src + c as kd", "_kd - k_dst + c as ks",
     )
     fresh = gains.selectExpr(
         KEY, "lam", "src", "dst", "c", "if(gd > fd, gd, 0D) as to_dst", "if(gs > fs, gs, 0D) as to_src",
-        "if(gd > fd, nd, 0L) as n_dst", "if(gs > fs, ns, 0L) as n_src", "old_d", "old_s", "old_nd", "old_ns",
+        "if(gd > fd, nd, 0L) as n_dst", "if(gs > fs, ns, 0L) as n_src", "if(gd > fd, kd, 0D) as k_dst",
+        "if(gs > fs, ks, 0D) as k_src", "old_d", "old_s", "old_nd", "old_ns",
     )
     return fresh.selectExpr(
-        KEY, "lam", "src", "dst", "c", "to_dst", "to_src", "n_dst", "n_src",
+        KEY, "lam", "src", "dst", "c", "to_dst", "to_src", "n_dst", "n_src", "k_dst", "k_src",
         "abs(to_dst - old_d) > 1e-9 * to_dst or abs(to_src - old_s) > 1e-9 * to_src"
         " or n_dst <> old_nd or n_src <> old_ns as changed",
     )
@@ -142,7 +145,7 @@ def kept_edges(messages: DataFrame) -> DataFrame:
 def _best_nodes(payoffs: DataFrame) -> DataFrame:
     """Node of largest payoff per problem and lambda, the least id on ties."""
     return payoffs.groupBy(KEY, "lam").agg(
-        F.min_by(F.struct("node", "size", "payoff"), F.struct(-F.col("payoff"), "node")).alias("_b")
+        F.min_by(F.struct("node", "size", "payoff", "spent"), F.struct(-F.col("payoff"), "node")).alias("_b")
     ).select(KEY, "lam", "_b.*")
 
 
@@ -160,11 +163,15 @@ def _trees(messages: DataFrame, payoffs: DataFrame) -> DataFrame:
 
 def _tree_values(trees: DataFrame, messages: DataFrame, nodes: DataFrame) -> DataFrame:
     """Payoff and size of every kept tree."""
-    prizes = trees.join(nodes.select(KEY, "node", "prize"), [KEY, "node"]).select(KEY, "lam", "comp", "prize", F.lit(1).cast("long").alias("size"))
-    costs = kept_edges(messages).join(trees.withColumnRenamed("node", "src"), [KEY, "lam", "src"]).select(
-        KEY, "lam", "comp", (-F.col("c")).alias("prize"), F.lit(0).cast("long").alias("size")
+    prizes = trees.join(nodes.select(KEY, "node", "prize"), [KEY, "node"]).selectExpr(
+        KEY, "lam", "comp", "prize", "1L as size", "0D as spent"
+    )
+    costs = kept_edges(messages).join(trees.withColumnRenamed("node", "src"), [KEY, "lam", "src"]).selectExpr(
+        KEY, "lam", "comp", "-c as prize", "0L as size", "c as spent"
+    )
+    return prizes.unionByName(costs).groupBy(KEY, "lam", "comp").agg(
+        F.sum("prize").alias("payoff"), F.sum("size").alias("size"), F.sum("spent").alias("spent")
     )
-    return prizes.unionByName(costs).groupBy(KEY, "lam", "comp").agg(F.sum("prize").alias("payoff"), F.sum("size").alias("size"))
 
 
 def _rooted(nodes: DataFrame, forest: DataFrame, lambdas: DataFrame, root: int) -> DataFrame:
@@ -217,15 +224,18 @@ def unpruned(edges: DataFrame, chosen: DataFrame, whole_trees: bool = True) -> D
 
 # -- searches over lambda ----------------------------------------------------
 
-def _sizes(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame, g: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Messages, payoffs, and per lambda the size of the best ``g`` trees."""
+def _scores(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame, g: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Messages, payoffs, and per lambda the size, cost and prize of the best ``g`` trees."""
     messages, payoffs = tree_messages(forest, nodes, lambdas)
     payoffs = cut(payoffs)
     if g == 1:
-        return messages, payoffs, _best_nodes(payoffs).select(KEY, "lam", "size")
-    trees = cut(_trees(messages, payoffs))
-    best = top_k(_tree_values(trees, messages, nodes), [KEY, "lam"], [F.col("payoff").desc(), F.col("comp")], g)
-    return messages, payoffs, best.groupBy(KEY, "lam").agg(F.sum("size").alias("size"))
+        best = _best_nodes(payoffs)
+    else:
+        values = _tree_values(cut(_trees(messages, payoffs)), messages, nodes)
+        best = top_k(values, [KEY, "lam"], [F.col("payoff").desc(), F.col("comp")], g).groupBy(KEY, "lam").agg(
+            F.sum("size").alias("size"), F.sum("payoff").alias("payoff"), F.sum("spent").alias("spent")
+        )
+    return messages, payoffs, best.selectExpr(KEY, "lam", "size", "spent / lam as cost", "payoff + spent as prize")
 
 
 def first_guess(nodes: DataFrame, s_low: int, s_high: int) -> DataFrame:
@@ -282,7 +292,7 @@ def _search(edges, nodes, s_low, s_high, g, root, max_rounds, per_round):
         open_nodes = nodes.join(grid.select(KEY).distinct(), KEY, "left_semi")
         open_forest = forest.join(grid.select(KEY).distinct(), KEY, "left_semi")
         search_nodes = _rooted(open_nodes, open_forest, grid, root) if root is not None else open_nodes
-        messages, payoffs, sizes = _sizes(open_forest, search_nodes, grid, 1 if root is not None else g)
+        messages, payoffs, sizes = _scores(open_forest, search_nodes, grid, 1 if root is not None else g)
         seen.append((messages, payoffs))
         scored = sizes.join(state.select(KEY, "s_high"), KEY).groupBy(KEY).agg(
             F.min_by(F.when((F.col("size") <= F.col("s_high")) & (F.col("size") >= s_low), F.col("lam")),
@@ -329,18 +339,6 @@ def _chosen_trees(messages: DataFrame, payoffs: DataFrame, nodes: DataFrame, cho
     return support.select(KEY, "node"), kept.select(KEY, "src", "dst")
 
 
-def _extract(forest: DataFrame, nodes: DataFrame, chosen: DataFrame, g: int, root: int | None) -> tuple[DataFrame, DataFrame]:
-    support, edges = select_trees(forest, nodes, chosen, g, root)
-    return support.select(KEY, "node"), edges.select(KEY, "src", "dst")
-
-
-def _forest_costs(support: DataFrame, kept: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Undiscounted cost and prize of the selected trees per problem and lambda."""
-    prize = support.join(nodes, [KEY, "node"]).groupBy(KEY, "lam").agg(F.sum("prize").alias("prize"))
-    cost = kept.groupBy(KEY, "lam").agg(F.sum(F.col("c") / F.col("lam")).alias("cost"))
-    return prize.join(cost, [KEY, "lam"], "left").fillna(0.0, ["cost"])
-
-
 def cost_head(edges: DataFrame, nodes: DataFrame, budget: float, g: int = 1, delta: float = 0.1, tol: float = 1e-6, max_rounds: int = 6, per_round: int = 8) -> DataFrame:
     """G15. Support of large prize whose forest costs at most ``2 * budget``.
 
@@ -357,18 +355,22 @@ def cost_head(edges: DataFrame, nodes: DataFrame, budget: float, g: int = 1, del
         KEY, (1.0 / (4.0 * F.col("_sum"))).alias("left"), (2.0 * budget / F.col("_min")).alias("right"),
         (delta * budget / (2.0 * F.col("_sum"))).alias("eps"), F.lit(True).alias("first"),
     ))
-    steps = F.sequence(F.lit(1), F.lit(per_round))
+    steps = F.sequence(F.lit(0), F.lit(per_round))
+    seen = []
     for _ in range(max_rounds):
         point = F.col("left") + (F.col("right") - F.col("left")) * F.col("k") / per_round
         ratio = F.col("left") * F.pow(F.col("right") / F.col("left"), F.col("k") / per_round)
         wide = F.col("right") > 4 * F.col("left")
-        grid = cut(state.filter("right - left > eps").withColumn("k", F.explode(steps)).select(
-            KEY, F.when(wide, ratio).otherwise(point).alias("scale")).withColumn("lam", 1.0 / F.col("scale")))
-        if grid.isEmpty():
+        inner = F.when(F.col("k") == 0, F.col("left")).when(F.col("k") == per_round, F.col("right")).when(wide, ratio).otherwise(point)
+        grid, left = cut_count(
+            state.filter("first or right - left > eps").withColumn("k", F.explode(steps)).select(KEY, inner.alias("scale"))
+            .withColumn("lam", 1.0 / F.col("scale")), "true")
+        if not left:
             break
-        support, kept = select_trees(forest, nodes, grid, g)
-        costs = grid.join(_forest_costs(support, kept, nodes), [KEY, "lam"])
-        moved = costs.groupBy(KEY).agg(
+        messages, payoffs, scores = _scores(forest, nodes, grid, g)
+        scores = cut(grid.join(scores, [KEY, "lam"]))
+        seen.append((messages, payoffs, scores))
+        moved = scores.groupBy(KEY).agg(
             F.min(F.when(F.col("cost") > 2 * budget, F.col("scale"))).alias("_over"), F.max("scale").alias("_top"),
             F.collect_list(F.when(F.col("cost") <= 2 * budget, F.col("scale"))).alias("_within"),
         )
@@ -378,24 +380,21 @@ def cost_head(edges: DataFrame, nodes: DataFrame, budget: float, g: int = 1, del
             F.when(F.col("_top").isNull(), F.col("right")).when(F.col("_over").isNull(), F.coalesce(below, "right")).otherwise(F.col("_over")).alias("right"),
             "eps", F.lit(False).alias("first"),
         ))
-    ends = cut(state.select(KEY, F.explode(F.array(
+    sides = cut(state.select(KEY, F.inline(F.array(
         F.struct(F.lit(0).alias("side"), (1.0 / F.col("left")).alias("lam")),
-        F.struct(F.lit(1).alias("side"), (1.0 / F.col("right")).alias("lam")))).alias("_e")).select(KEY, "_e.*"))
-    support, kept = select_trees(forest, nodes, ends, g)
-    sided = support.join(ends, [KEY, "lam"])
-    whole = _forest_costs(support, kept, nodes).join(ends, [KEY, "lam"])
-    within = whole.filter((F.col("side") == 1) & (F.col("cost") <= 2 * budget)).select(KEY)
-    right = sided.filter("side = 1")
-    right_kept = kept.join(ends.filter("side = 1"), [KEY, "lam"])
-    trimmed = budget_trim(
-        right.join(within, KEY, "left_anti").select(KEY, "node", "comp").join(nodes, [KEY, "node"]),
-        right_kept.join(within, KEY, "left_anti").select(KEY, "src", "dst", (F.col("c") / F.col("lam")).alias("cost")), budget,
-    )
-    candidates = cut(
-        sided.filter("side = 0").select(KEY, "node", F.lit(0).alias("side"))
-        .unionByName(right.join(within, KEY, "left_semi").select(KEY, "node", F.lit(1).alias("side")))
-        .unionByName(trimmed.select(KEY, "node", F.lit(1).alias("side")))
-    )
+        F.struct(F.lit(1).alias("side"), (1.0 / F.col("right")).alias("lam"))))))
+    ends = sides.select(KEY, "lam").distinct()
+    support, kept = _best_trees(_rows_of(ends, [m for m, _, _ in seen]), _rows_of(ends, [p for _, p, _ in seen]), nodes, g)
+    support, kept = cut(support), cut(kept)
+    costs = _rows_of(ends, [c for _, _, c in seen]).select(KEY, "lam", "cost").distinct()
+    over = sides.join(costs, [KEY, "lam"]).filter(F.col("cost") > 2 * budget)
+    whole = support.join(sides.join(over.select(KEY, "side"), [KEY, "side"], "left_anti"), [KEY, "lam"]).select(KEY, "side", "node")
+    trimmed = over.select(KEY, "lam", "side")
+    cuttable = support.join(trimmed, [KEY, "lam"]).select(KEY, "side", "node", "comp").join(nodes, [KEY, "node"])
+    links = kept.join(trimmed, [KEY, "lam"]).select(KEY, "side", "src", "dst", (F.col("c") / F.col("lam")).alias("cost"))
+    pair = F.struct(KEY, "side").alias(KEY)
+    fitted = budget_trim(cuttable.select(pair, "node", "comp", "prize"), links.select(pair, "src", "dst", "cost"), budget)
+    candidates = cut(whole.unionByName(fitted.select(f"{KEY}.{KEY}", f"{KEY}.side", "node")))
     best = candidates.join(nodes, [KEY, "node"]).groupBy(KEY, "side").agg(F.sum("prize").alias("prize")).groupBy(KEY).agg(
         F.min_by("side", F.struct(-F.col("prize"), "side")).alias("side"))
     return candidates.join(best, [KEY, "side"], "left_semi").select(KEY, "node")
@@ -416,18 +415,20 @@ def cost_tail(edges: DataFrame, nodes: DataFrame, budget: float, nu: float, g: i
         KEY, "total", (F.col("_min") / (2.0 * budget)).alias("start"), F.lit(0.0).alias("low"), (3.0 * F.col("total")).alias("high"),
         (F.col("_min") * min(0.5, 1.0 / nu) / budget).alias("eps"), F.lit(None).cast("double").alias("lam"),
     ))
-    steps = F.sequence(F.lit(0), F.lit(per_round - 1))
+    steps = F.sequence(F.lit(0), F.lit(per_round))
+    seen = []
     for _ in range(max_rounds):
         base = F.greatest("low", F.least(F.col("start"), F.col("high")))
         wide = F.col("high") > 4 * base
         ratio = base * F.pow(F.col("high") / base, F.col("k") / per_round)
         point = F.col("low") + (F.col("high") - F.col("low")) * (F.col("k") + 1) / (per_round + 1)
-        grid = cut(state.filter("lam is null and high - low > eps").withColumn("k", F.explode(steps)).select(
-            KEY, F.when(wide, ratio).otherwise(point).alias("lam")))
-        if grid.isEmpty():
+        inner = F.when(F.col("k") == per_round, F.col("high")).when(wide, ratio).otherwise(point)
+        grid, left = cut_count(state.filter("lam is null and high - low > eps").withColumn("k", F.explode(steps)).select(KEY, inner.alias("lam")), "true")
+        if not left:
             break
-        support, kept = select_trees(forest, nodes, grid, g)
-        costs = _forest_costs(support, kept, nodes).join(state.select(KEY, "total", "start"), KEY)
+        messages, payoffs, scores = _scores(forest, nodes, grid, g)
+        seen.append((messages, payoffs))
+        costs = scores.join(state.select(KEY, "total", "start"), KEY)
         hit = F.col("cost").between(2 * budget, nu * budget) | (
             (F.col("cost") <= 2 * budget) & (F.col("prize") >= F.col("total")) & (F.col("lam") <= F.col("start")))
         moved = costs.groupBy(KEY).agg(
@@ -440,7 +441,7 @@ def cost_tail(edges: DataFrame, nodes: DataFrame, budget: float, nu: float, g: i
             F.coalesce("lam", "_hit").alias("lam"),
         ))
     chosen = cut(state.select(KEY, F.coalesce("lam", "high").alias("lam")))
-    return _extract(forest, nodes, chosen, g, None)[0]
+    return _chosen_trees(_rows_of(chosen, [m for m, _ in seen]), _rows_of(chosen, [p for _, p in seen]), nodes, chosen, g)[0]
 
 
 def budget_trim(members: DataFrame, kept: DataFrame, budget: float) -> DataFrame:

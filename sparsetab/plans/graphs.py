@@ -69,10 +69,10 @@ def a10(spark, sf):
 
 
 _MSF = f"""WITH RECURSIVE {EDGES},
-walk(problem_id, src, dst, cost, at) AS (SELECT problem_id, src, dst, cost, src FROM edges
-  UNION SELECT w.problem_id, w.src, w.dst, w.cost, e.b FROM walk w JOIN both_ends e ON e.problem_id = w.problem_id AND e.a = w.at
+walk(problem_id, src, dst, cost, here) AS (SELECT problem_id, src, dst, cost, src FROM edges
+  UNION SELECT w.problem_id, w.src, w.dst, w.cost, e.b FROM walk w JOIN both_ends e ON e.problem_id = w.problem_id AND e.a = w.here
   AND (e.cost, least(e.a, e.b), greatest(e.a, e.b)) < (w.cost, w.src, w.dst)),
-cyc AS (SELECT DISTINCT problem_id, src, dst FROM walk WHERE at = dst)"""
+cyc AS (SELECT DISTINCT problem_id, src, dst FROM walk WHERE here = dst)"""
 
 
 @query("g7_spanning_forest", f"{_MSF} SELECT problem_id, src, dst, cost FROM edges ANTI JOIN cyc USING (problem_id, src, dst)")
@@ -87,11 +87,11 @@ pz AS (SELECT problem_id, node, sum(v) / 1000 AS prize FROM (SELECT date_diff('d
   UNION ALL SELECT date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)), 2 * l_suppkey + 1, l_extendedprice FROM lineitem) GROUP BY 1, 2),
 tp AS (SELECT problem_id, comp, sum(prize) AS prize, count(*) AS size FROM comps JOIN pz USING (problem_id, node) GROUP BY 1, 2),
 tc AS (SELECT f.problem_id, comp, sum(cost) AS cost FROM f JOIN comps c ON c.problem_id = f.problem_id AND c.node = f.src GROUP BY 1, 2)
-SELECT problem_id, comp, round(prize, 4) AS prize, size, cost, round(prize / cost, 4) AS ratio FROM tp JOIN tc USING (problem_id, comp)""")
+SELECT problem_id, comp, round(prize, 5) AS prize, size, cost, round(prize / cost, 7) AS ratio FROM tp JOIN tc USING (problem_id, comp)""")
 def a8(spark, sf):
     edges, nodes = graph_edges(spark, sf), graph_nodes(spark, sf)
     totals = FO.forest_totals(nodes, FO.spanning_forest(edges), G.components(edges))
-    return totals.select("problem_id", "comp", F.round("prize", 4).alias("prize"), "size", "cost", F.round("ratio", 4).alias("ratio"))
+    return totals.select("problem_id", "comp", F.round("prize", 5).alias("prize"), "size", "cost", F.round("ratio", 7).alias("ratio"))
 
 
 def _walks(spark, sf):
@@ -123,10 +123,10 @@ def g10(spark, sf):
 _HIGH = "n AS (SELECT date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS problem_id, 2 * l_partkey AS node, sum(l_extendedprice) / 1000 AS x FROM lineitem GROUP BY 1, 2)"
 
 
-@query("g18_projected_vector", f"WITH {_HIGH} SELECT problem_id, node, round(x, 4) AS x FROM n WHERE node IN (SELECT 2 * p_partkey FROM part WHERE p_size <= 25)")
+@query("g18_projected_vector", f"WITH {_HIGH} SELECT problem_id, node, round(x, 5) AS x FROM n WHERE node IN (SELECT 2 * p_partkey FROM part WHERE p_size <= 25)")
 def g18(spark, sf):
     nodes = graph_nodes(spark, sf).withColumnRenamed("prize", "x")
-    return G.project_vector(nodes, _small_nodes(spark, sf).filter("node % 2 = 0"), []).select("problem_id", "node", F.round("x", 4).alias("x"))
+    return G.project_vector(nodes, _small_nodes(spark, sf).filter("node % 2 = 0"), []).select("problem_id", "node", F.round("x", 5).alias("x"))
 
 
 @query("g19_detected_subgraph", """WITH e AS (SELECT DISTINCT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst FROM lineitem),
@@ -274,14 +274,14 @@ def l13(spark, sf):
 @query("l13_balanced_group_lasso", None)
 def l13_balanced(spark, sf):
     rows = matrix_rows(spark, sf)
-    fitted = L.logistic_group_lasso(rows, _lam_jobs(rows, [0.02, 0.01]), _groups(spark, sf), balanced=True, max_iter=4)
+    fitted = L.logistic_group_lasso(rows, _lam_jobs(rows, [0.002, 0.001]), _groups(spark, sf), balanced=True, max_iter=6)
     return fitted.select("problem_id", "lam", F.round("c", 4).alias("c"), F.explode("entries").alias("e")).select("problem_id", "lam", "c", "e.group_id", "e.col_id", F.round("e.w", 4).alias("w"))
 
 
 @query("l14_active_set", None)
 def l14(spark, sf):
     rows = matrix_rows(spark, sf)
-    fitted = L.active_set_lasso(L.GramDesign.of(rows, centre=True), _lam_jobs(rows, [0.1]), _groups(spark, sf), max_rounds=3, max_iter=20)
+    fitted = L.active_set_lasso(L.GramDesign.of(rows, centre=True), _lam_jobs(rows, [0.03]), _groups(spark, sf), max_rounds=3, max_iter=20)
     return L.group_weights(fitted).select("problem_id", "lam", "group_id", "col_id", F.round("w", 4).alias("w"))
 
 
