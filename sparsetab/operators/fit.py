@@ -22,6 +22,7 @@ from sparsetab.lineage import cut, cut_count
 from sparsetab.operators.forest import size_band
 from sparsetab.operators.matrix import chosen_block, gram, row_blocks, solve_normal, vector_sums
 from sparsetab.operators.ranking import by_magnitude, top_k
+from sparsetab.operators.relational import attach_row
 
 P = "problem_id"
 JOB = [P, "job_id"]
@@ -497,8 +498,6 @@ def _lipschitz(design: GramDesign, groups: DataFrame, factor: float) -> DataFram
     copies = groups.groupBy("col_id").agg(F.count(F.lit(1)).alias("_m")).agg(F.max("_m").alias("_m"))
     rowsum = F.aggregate("g", F.lit(0.0), lambda a, v: a + F.abs(v))
     bound = design.table.filter(F.col("block") == FULL).groupBy(P).agg(F.max(rowsum).alias("_b"))
-    from sparsetab.operators.relational import attach_row
-
     return attach_row(bound.join(design.stats.select(P, "n"), P), copies).select(P, (F.col("n") / (factor * F.col("_b") * F.col("_m"))).alias("step"), "n")
 
 
@@ -509,8 +508,9 @@ def group_lasso(design: GramDesign, jobs: DataFrame, groups: DataFrame, max_iter
     several groups having one latent weight in each.  ``jobs(problem_id, job_id,
     lam)`` holds the whole path: the problem is convex, so every lambda is fitted
     side by side.  ``groups(group_id, col_id[, weight])``; singleton groups give
-    the lasso.  Proximal gradient steps run on the Gram matrix, ``chain`` of them
-    in one job.  Returns ``entries`` (nonzero latent weights) and ``change``.
+    the lasso.  Accelerated proximal gradient steps run on the Gram matrix,
+    ``chain`` of them in one job.  Returns ``entries`` (latent weights ``w`` and
+    the point ``z`` the next step starts from) and ``change``.
     """
     if "weight" not in groups.columns:
         groups = groups.withColumn("weight", F.lit(1.0))
@@ -518,40 +518,46 @@ def group_lasso(design: GramDesign, jobs: DataFrame, groups: DataFrame, max_iter
     steps = cut(_lipschitz(design, groups, 2.0))
     table = cut(design.table.filter(F.col("block") == FULL).drop("block").join(owners, "i").join(steps, P))
     kind = groups.schema["group_id"].dataType.simpleString()
-    none = F.expr(f"cast(array() as array<struct<group_id:{kind},col_id:int,w:double>>)")
+    none = F.expr(f"cast(array() as array<struct<group_id:{kind},col_id:int,w:double,z:double>>)")
     jobs = cut(jobs.select(*JOB, "lam"))
     state = jobs.withColumns({"entries": none, "change": F.lit(None).cast("double")})
-    for _ in range(max_iter // chain):
-        for _ in range(chain):
-            state = _proximal(table, jobs, state, none)
+    for turn in range(max_iter // chain):
+        for inner in range(chain):
+            number = turn * chain + inner
+            state = _proximal(table, jobs, state, none, number / (number + 3.0))
         state, left = cut_count(state, f"change > {tol}")
         if not left:
             break
     return state
 
 
-def _proximal(table: DataFrame, jobs: DataFrame, state: DataFrame, none: Column) -> DataFrame:
+def _proximal(table: DataFrame, jobs: DataFrame, state: DataFrame, none: Column, momentum: float) -> DataFrame:
     e = F.col("entries")
-    gradient = (sparse_dot(F.col("g"), e["col_id"], e["w"]) - F.col("xty")) * 2 / F.col("n")
+    gradient = (sparse_dot(F.col("g"), e["col_id"], e["z"]) - F.col("xty")) * 2 / F.col("n")
     mine = F.filter("entries", lambda t: t["col_id"] == F.col("i"))
     moved = table.join(state.select(*JOB, "lam", "entries"), P).select(
         *JOB, "lam", "i", "step", gradient.alias("grad"), mine.alias("mine"), F.explode("owners").alias("o"))
-    old = F.coalesce(F.get(F.filter("mine", lambda t: t["group_id"] == F.col("o.group_id")), F.lit(0))["w"], F.lit(0.0))
-    points = moved.select(*JOB, "lam", "step", F.col("o.group_id").alias("group_id"), F.col("o.weight").alias("weight"), "i", old.alias("old"), (old - F.col("step") * F.col("grad")).alias("u"))
+    own = F.get(F.filter("mine", lambda t: t["group_id"] == F.col("o.group_id")), F.lit(0))
+    points = moved.select(
+        *JOB, "lam", "step", F.col("o.group_id").alias("group_id"), F.col("o.weight").alias("weight"), "i",
+        F.coalesce(own["w"], F.lit(0.0)).alias("old"), (F.coalesce(own["z"], F.lit(0.0)) - F.col("step") * F.col("grad")).alias("u"))
     grouped = points.groupBy(*JOB, "lam", "step", "group_id", "weight").agg(
         F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("norm"), F.collect_list(F.struct("i", "old", "u")).alias("m"))
     keep = F.when(F.col("norm") > 0, F.greatest(F.lit(0.0), 1 - F.col("step") * F.col("lam") * F.col("weight") / F.nullif(F.col("norm"), F.lit(0.0)))).otherwise(0.0)
+    new = F.transform("m", lambda t: F.struct(
+        F.col("group_id").alias("group_id"), t["i"].cast("int").alias("col_id"), (t["u"] * F.col("keep")).alias("w"),
+        (t["u"] * F.col("keep") * (1 + momentum) - t["old"] * momentum).alias("z")))
     shrunk = grouped.withColumn("keep", keep).select(
-        *JOB, F.transform("m", lambda t: F.struct(F.col("group_id").alias("group_id"), t["i"].cast("int").alias("col_id"), (t["u"] * F.col("keep")).alias("w"))).alias("new"),
+        *JOB, new.alias("new"),
         F.aggregate("m", F.lit(0.0), lambda a, t: F.greatest(a, F.abs(t["u"] * F.col("keep") - t["old"]))).alias("change"))
     packed = shrunk.groupBy(*JOB).agg(
-        F.filter(F.flatten(F.collect_list("new")), lambda t: t["w"] != 0).alias("entries"), F.max("change").alias("change"))
+        F.filter(F.flatten(F.collect_list("new")), lambda t: (t["w"] != 0) | (t["z"] != 0)).alias("entries"), F.max("change").alias("change"))
     return jobs.join(packed, JOB, "left").select(*JOB, "lam", F.coalesce("entries", none).alias("entries"), F.coalesce("change", F.lit(0.0)).alias("change"))
 
 
 def group_weights(fitted: DataFrame) -> DataFrame:
     """Latent weights ``(job keys, lam, group_id, col_id, w)`` of a group lasso fit."""
-    return fitted.select(*JOB, "lam", F.inline("entries"))
+    return fitted.select(*JOB, "lam", F.inline("entries")).filter("w <> 0").drop("z")
 
 
 def logistic_group_lasso(rows: DataFrame, jobs: DataFrame, groups: DataFrame, balanced: bool = False, max_iter: int = 50, tol: float = 1e-6) -> DataFrame:
@@ -563,7 +569,7 @@ def logistic_group_lasso(rows: DataFrame, jobs: DataFrame, groups: DataFrame, ba
     steps = cut(_lipschitz(bound, groups, 0.25))
     shares = cut(class_shares(rows))
     jobs = cut(jobs.select(*JOB, "lam").join(steps, P).join(shares, P))
-    weights = cut(jobs.join(groups.limit(0), F.lit(False)).select(*JOB, "group_id", "col_id", F.lit(0.0).alias("w")))
+    weights = None
     model = cut(jobs.withColumns({"c": F.lit(0.0), "idx": F.expr(NO_IDX), "w": F.expr(NO_W)}))
     for _ in range(max_iter):
         joined = rows.join(model, P)
@@ -573,8 +579,10 @@ def logistic_group_lasso(rows: DataFrame, jobs: DataFrame, groups: DataFrame, ba
         sums = cut(vector_sums(scored, JOB, "x", F.col("slope")))
         columns = sums.select(*JOB, F.posexplode("sums").alias("col_id", "_s"))
         moves = columns.join(groups, "col_id").join(jobs, JOB).select(*JOB, "lam", "step", "group_id", "col_id", "weight", (-F.col("step") * F.col("_s") / F.col("n")).alias("u"), F.lit(0.0).alias("old"))
-        held = weights.join(groups, ["group_id", "col_id"]).join(jobs, JOB).select(*JOB, "lam", "step", "group_id", "col_id", "weight", F.col("w").alias("u"), F.col("w").alias("old"))
-        points = moves.unionByName(held).groupBy(*JOB, "lam", "step", "group_id", "weight", "col_id").agg(F.sum("u").alias("u"), F.sum("old").alias("old"))
+        if weights is not None:
+            held = weights.join(groups, ["group_id", "col_id"]).join(jobs, JOB).select(*JOB, "lam", "step", "group_id", "col_id", "weight", F.col("w").alias("u"), F.col("w").alias("old"))
+            moves = moves.unionByName(held)
+        points = moves.groupBy(*JOB, "lam", "step", "group_id", "weight", "col_id").agg(F.sum("u").alias("u"), F.sum("old").alias("old"))
         points = cut(points)
         norms = points.groupBy(*JOB, "group_id").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("norm"))
         keep = F.when(F.col("norm") > 0, F.greatest(F.lit(0.0), 1 - F.col("step") * F.col("lam") * F.col("weight") / F.nullif(F.col("norm"), F.lit(0.0)))).otherwise(0.0)
@@ -625,7 +633,7 @@ def active_set_lasso(design: GramDesign, jobs: DataFrame, groups: DataFrame, max
     Starts from the group of largest gradient and adds violating groups until
     none is left.  All jobs share the union of their active groups.
     """
-    fitted = cut(jobs.select(*JOB, "lam").withColumn("entries", F.expr("cast(array() as array<struct<group_id:int,col_id:int,w:double>>)")))
+    fitted = cut(jobs.select(*JOB, "lam").withColumn("entries", F.expr("cast(array() as array<struct<group_id:int,col_id:int,w:double,z:double>>)")))
     groups = groups.withColumn("group_id", F.col("group_id").cast("int"))
     active = None
     for _ in range(max_rounds):
@@ -634,7 +642,7 @@ def active_set_lasso(design: GramDesign, jobs: DataFrame, groups: DataFrame, max
             fresh, more = cut_count(top_k(norms, JOB, [F.col("norm").desc(), F.col("group_id")], 1).select("group_id").distinct(), "true")
             active = fresh
         else:
-            shared = jobs.select(*JOB).join(active, F.lit(True)) if False else norms.select(*JOB, "group_id").join(active, "group_id", "left_semi")
+            shared = norms.select(*JOB, "group_id").join(active, "group_id", "left_semi")
             fresh, more = cut_count(screen_groups(norms, shared).select("group_id").distinct(), "true")
             active = cut(active.unionByName(fresh).distinct())
         if not more:
@@ -643,17 +651,15 @@ def active_set_lasso(design: GramDesign, jobs: DataFrame, groups: DataFrame, max
     return fitted
 
 
-def refit(design: GramDesign, chosen: DataFrame, groups: DataFrame, max_iter: int = 2000, lam: float = 1e-8) -> DataFrame:
-    """L16. Nearly unpenalised fit on the columns of ``chosen(job keys, group_id)``.
+def refit(design: GramDesign, chosen: DataFrame, groups: DataFrame) -> DataFrame:
+    """L16. Unpenalised fit on the columns of ``chosen(job keys, group_id)``.
 
-    With so small a penalty the fit is least squares on the chosen columns,
-    solved from their normal equations.
+    For the squared loss this is least squares on the chosen columns, solved
+    from their normal equations.
     """
     columns = chosen.join(groups, "group_id").select(*JOB, F.col("col_id").cast("int").alias("col_id")).distinct()
     supports = columns.groupBy(*JOB).agg(F.collect_set("col_id").alias("idx"))
-    system = design.normal_on(supports).join(design.stats.select(P, "n"), P)
-    ridge = system.withColumn("xty", F.col("xty"))
-    return solve_normal(ridge, JOB).withColumnRenamed("idx", "col_id")
+    return solve_normal(design.normal_on(supports), JOB).withColumnRenamed("idx", "col_id")
 
 
 def lasso_path(rows: DataFrame, lambdas: DataFrame, max_iter: int = 200) -> DataFrame:

@@ -87,11 +87,11 @@ pz AS (SELECT problem_id, node, sum(v) / 1000 AS prize FROM (SELECT date_diff('d
   UNION ALL SELECT date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)), 2 * l_suppkey + 1, l_extendedprice FROM lineitem) GROUP BY 1, 2),
 tp AS (SELECT problem_id, comp, sum(prize) AS prize, count(*) AS size FROM comps JOIN pz USING (problem_id, node) GROUP BY 1, 2),
 tc AS (SELECT f.problem_id, comp, sum(cost) AS cost FROM f JOIN comps c ON c.problem_id = f.problem_id AND c.node = f.src GROUP BY 1, 2)
-SELECT problem_id, comp, round(prize, 5) AS prize, size, cost, round(prize / cost, 7) AS ratio FROM tp JOIN tc USING (problem_id, comp)""")
+SELECT problem_id, comp, round(prize, 5) AS prize, size, cost, round(prize / cost, 11) AS ratio FROM tp JOIN tc USING (problem_id, comp)""")
 def a8(spark, sf):
     edges, nodes = graph_edges(spark, sf), graph_nodes(spark, sf)
     totals = FO.forest_totals(nodes, FO.spanning_forest(edges), G.components(edges))
-    return totals.select("problem_id", "comp", F.round("prize", 5).alias("prize"), "size", "cost", F.round("ratio", 7).alias("ratio"))
+    return totals.select("problem_id", "comp", F.round("prize", 5).alias("prize"), "size", "cost", F.round("ratio", 11).alias("ratio"))
 
 
 def _walks(spark, sf):
