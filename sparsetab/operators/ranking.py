@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparsetab.lineage import cut
 
+PLAIN_WINDOW_ROWS = 1_000_000  # most rows a single window partition is given
+
 
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -49,15 +51,23 @@ def ranked(
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], buckets: int = 32
+    df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], buckets: int = 32,
+    plain_limit: int = PLAIN_WINDOW_ROWS,
 ) -> DataFrame:
     """Sums over all smaller values of the key, as ``<name>_before`` columns.
 
-    ``df`` holds one row per key and distinct value.  The values of a key are
-    cut at approximate quantiles; windows run inside one cut, and the totals of
-    the cuts before it are added.
+    ``df`` holds one row per key and distinct value; it is written once, as it is
+    small next to the data it was counted from.  If no key has more than
+    ``plain_limit`` values, one window per key does.  Otherwise the values of a
+    key are cut at approximate quantiles; windows run inside one cut, and the
+    totals of the cuts before it are added.
     """
     keys = list(keys)
+    df = cut(df)
+    widest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    smaller = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    if widest <= plain_limit:
+        return df.select("*", *[F.coalesce(F.sum(c).over(smaller), F.lit(0)).alias(f"{c}_before") for c in sums])
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*keys).agg(F.percentile_approx(value, cuts, 10_000).alias("_bounds"))
     placed = df.join(bounds, keys).withColumn(

@@ -45,9 +45,10 @@ def test_ranks_with_a_hot_key_and_ties(spark):
     for key in {k for k, _, _ in data}:
         mine = sorted((v, i) for k, v, i in data if k == key)
         assert [got[i] for _, i in mine] == list(range(1, len(mine) + 1))
-    totals = W.running_totals(df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")), ["k"], "v", ["n"])
-    for r in totals.collect():
-        assert r.n_before == sum(1 for k, v, _ in data if k == r.k and v < r.v)
+    counts = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    for limit in (0, 100):  # in cuts, and in one window per key
+        for r in W.running_totals(counts, ["k"], "v", ["n"], buckets=4, plain_limit=limit).collect():
+            assert r.n_before == sum(1 for k, v, _ in data if k == r.k and v < r.v)
 
 
 def test_trim_keeps_multiplicities(spark):
