@@ -64,7 +64,7 @@ def running_totals(
     """
     keys = list(keys)
     df = cut(df)
-    widest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    widest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0] or 0
     smaller = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     if widest <= plain_limit:
         return df.select("*", *[F.coalesce(F.sum(c).over(smaller), F.lit(0)).alias(f"{c}_before") for c in sums])
