@@ -171,8 +171,5 @@ def merge_name_lists(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """``df`` with the columns of a table known to have one row, such as a total."""
-    return (
-        df.withColumn("_one", F.lit(1))
-        .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    )
+    """``df`` with the columns of a table of one row, such as a total, as scalar subqueries."""
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])

@@ -198,10 +198,12 @@ def _out(fitted):
     return L.weights_of(fitted).select("problem_id", "job_id", "col_id", F.round("w", 5).alias("w"))
 
 
-def _column_grid(spark, sf):
-    """The columns of the matrix as an 8-wide lattice."""
-    at = cells(spark, sf).select("col_id").distinct().select(F.floor(F.col("col_id") / 8).alias("r"), (F.col("col_id") % 8).cast("long").alias("c"))
-    return G.lattice(at, 8).withColumn("problem_id", F.lit(0).cast("long"))
+def _column_grid(rows):
+    """The columns of the matrix as an 8-wide lattice, for every problem."""
+    at = rows.select("problem_id", F.posexplode("x").alias("col_id", "v")).select("problem_id", "col_id").distinct()
+    grid = G.lattice(at.select(F.floor(F.col("col_id") / 8).alias("r"), (F.col("col_id") % 8).cast("long").alias("c")).distinct(), 8)
+    owner = at.select("problem_id", F.col("col_id").cast("long").alias("src"))
+    return grid.join(owner, "src").select("problem_id", "src", "dst", "cost")
 
 
 @query("l4_iht", None)
@@ -219,14 +221,14 @@ def l5(spark, sf):
 @query("l6_graph_iht", None)
 def l6(spark, sf):
     rows = matrix_rows(spark, sf)
-    return _out(L.iht(L.GramDesign.of(rows), _jobs(rows, lr=1e-3), 8, 1, graph=L.Graph(_column_grid(spark, sf), rounds=2)))
+    return _out(L.iht(L.GramDesign.of(rows), _jobs(rows, lr=1e-3), 8, 1, graph=L.Graph(_column_grid(rows), rounds=2)))
 
 
 @query("l7_graph_stochastic_iht", None)
 def l7(spark, sf):
     rows = matrix_rows(spark, sf)
     design = L.GramDesign.of(rows, b=2000)
-    return _out(L.iht(design, _jobs(rows, lr=1e-3), 8, 1, stochastic=True, seed=1, graph=L.Graph(_column_grid(spark, sf), rounds=2)))
+    return _out(L.iht(design, _jobs(rows, lr=1e-3), 8, 1, stochastic=True, seed=1, graph=L.Graph(_column_grid(rows), rounds=2)))
 
 
 @query("l8_normalised_iht", None)
@@ -244,7 +246,7 @@ def l9(spark, sf):
 @query("l10_graph_cosamp", None)
 def l10(spark, sf):
     rows = matrix_rows(spark, sf)
-    return _out(L.cosamp(L.GramDesign.of(rows), _jobs(rows), 8, 1, graph=L.Graph(_column_grid(spark, sf), rounds=2)))
+    return _out(L.cosamp(L.GramDesign.of(rows), _jobs(rows), 8, 1, graph=L.Graph(_column_grid(rows), rounds=2)))
 
 
 @query("l11_balanced_iht", None)
@@ -256,7 +258,7 @@ def l11(spark, sf):
 @query("l12_graph_balanced_iht", None)
 def l12(spark, sf):
     rows = matrix_rows(spark, sf)
-    return _out(L.balanced_iht(rows, _jobs(rows, lam=1e-3), 8, 1, graph=L.Graph(_column_grid(spark, sf), rounds=2)))
+    return _out(L.balanced_iht(rows, _jobs(rows, lam=1e-3), 8, 1, graph=L.Graph(_column_grid(rows), rounds=2)))
 
 
 def _lam_jobs(rows, grid):

@@ -45,11 +45,16 @@ def r6(column, name: str):
 
 # -- matrix ----------------------------------------------------------------------
 
+def class_cuts(*cuts: int):
+    """One problem per class cut: labels below the cut are the positive class."""
+    return F.posexplode(F.array(*[F.lit(c) for c in cuts]))
+
+
 def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.select(
-        F.lit(0).cast("long").alias("problem_id"), F.col("vec_id").alias("row_id"),
-        F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("label") < 5, 1.0).otherwise(-1.0).alias("y"),
+    return e.select("vec_id", "embedding", "label", class_cuts(5).alias("problem", "cut")).select(
+        F.col("problem").cast("long").alias("problem_id"), F.col("vec_id").alias("row_id"),
+        F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("label") < F.col("cut"), 1.0).otherwise(-1.0).alias("y"),
     )
 
 
@@ -125,9 +130,9 @@ kept AS (SELECT * FROM placed WHERE rn > round(0.05 * cnt) AND rn <= cnt - round
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of a vector: its first coordinate rounded to one digit, so that scores tie."""
-    return table(spark, sf_dir, "embeddings").select(
-        F.lit(0).alias("k"), F.col("vec_id").alias("row_id"), F.round(F.col("embedding")[0].cast("double"), 1).alias("score"),
-        F.when(F.col("label") < 5, 1).otherwise(-1).alias("y"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label", class_cuts(5).alias("k", "cut")).select(
+        "k", F.col("vec_id").alias("row_id"), F.round(F.col("embedding")[0].cast("double"), 1).alias("score"),
+        F.when(F.col("label") < F.col("cut"), 1).otherwise(-1).alias("y"))
 
 
 SCORED = """scored AS (SELECT vec_id AS row_id, round(CAST(embedding[1] AS DOUBLE), 1) AS score,

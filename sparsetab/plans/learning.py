@@ -87,7 +87,7 @@ def m9(spark, sf):
 
 @query("m10_least_squares", None)
 def m10(spark, sf):
-    from sparsetab.operators.fit import GramDesign, RowDesign  # noqa: F401
+    from sparsetab.operators.fit import GramDesign
 
     design = GramDesign.of(label_problems(spark, sf))
     top = design.table.filter("block = -1").select("problem_id", F.lit(0).alias("job_id"), F.col("i").alias("col_id"), "xty")
@@ -322,7 +322,7 @@ round(CASE WHEN found > 0 THEN hit / found ELSE 0 END, 6) AS n_pre, round(hit /
 def e10(spark, sf):
     predicted = scored(spark, sf).withColumn("label", F.when(F.col("score") < 0, -1).otherwise(1))
     part = table(spark, sf, "part")
-    weights = part.select(F.lit(0).alias("k"), F.col("p_partkey").alias("node"), F.when(F.col("p_retailprice") > 1500, 1.0).otherwise(0.0).alias("w"))
+    weights = part.select(F.explode(F.array(F.lit(0))).alias("k"), F.col("p_partkey").alias("node"), F.when(F.col("p_retailprice") > 1500, 1.0).otherwise(0.0).alias("w"))
     truth = part.filter("p_size > 25").select(F.col("p_partkey").alias("node"))
     rep = E.method_report(predicted, weights, truth, ["k"])
     return rep.select(*[r6(F.col(c), c) for c in ("accuracy", "f1", "auc", "n_pre", "n_rec", "n_fm")], "posi_in", "posi_out")
