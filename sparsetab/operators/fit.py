@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sparsetab.functions.scalar import dot, log_sigmoid, sigmoid, sparse_dot
 from sparsetab.lineage import cut, cut_count
 from sparsetab.operators.forest import size_band
-from sparsetab.operators.matrix import chosen_block, gram, row_blocks, solve_normal, vector_sums
+from sparsetab.operators.matrix import MAX_GRAM_COLUMNS, chosen_block, gram, row_blocks, solve_normal, vector_sums
 from sparsetab.operators.ranking import by_magnitude, top_k
 from sparsetab.operators.relational import attach_row
 
@@ -493,12 +493,28 @@ def balanced_iht(rows: DataFrame, jobs: DataFrame, s: int, max_epochs: int, num_
 
 # -- group lasso ------------------------------------------------------------------------
 
-def _lipschitz(design: GramDesign, groups: DataFrame, factor: float) -> DataFrame:
-    """Step size per problem: one over a bound of the loss curvature on the copied columns."""
-    copies = groups.groupBy("col_id").agg(F.count(F.lit(1)).alias("_m")).agg(F.max("_m").alias("_m"))
+def _step_size(bound: DataFrame, groups: DataFrame, factor: float) -> DataFrame:
+    """Step per problem from ``bound(problem_id, top, n)``, ``top`` bounding the curvature of ``|X w|^2``.
+
+    A column copied into several groups multiplies the curvature by its copies.
+    """
+    copies = groups.groupBy("col_id").agg(F.count(F.lit(1)).alias("copies")).agg(F.max("copies").alias("copies"))
+    return attach_row(bound, copies).select(P, (F.col("n") / (factor * F.col("top") * F.col("copies"))).alias("step"), "n")
+
+
+def _gram_bound(design: GramDesign) -> DataFrame:
+    """Largest absolute row sum of the Gram matrix."""
     rowsum = F.aggregate("g", F.lit(0.0), lambda a, v: a + F.abs(v))
-    bound = design.table.filter(F.col("block") == FULL).groupBy(P).agg(F.max(rowsum).alias("_b"))
-    return attach_row(bound.join(design.stats.select(P, "n"), P), copies).select(P, (F.col("n") / (factor * F.col("_b") * F.col("_m"))).alias("step"), "n")
+    top = design.table.filter(F.col("block") == FULL).groupBy(P).agg(F.max(rowsum).alias("top"))
+    return top.join(design.stats.select(P, "n"), P)
+
+
+def _row_bound(rows: DataFrame) -> DataFrame:
+    """The same bound from the rows: by the Gram matrix, or its trace if it would be too wide."""
+    if (rows.select(F.max(F.size("x"))).first()[0] or 0) < MAX_GRAM_COLUMNS - 2:
+        return _gram_bound(GramDesign.of(rows))
+    square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+    return rows.groupBy(P).agg(F.sum(square).alias("top"), F.count(F.lit(1)).cast("double").alias("n"))
 
 
 def group_lasso(design: GramDesign, jobs: DataFrame, groups: DataFrame, max_iter: int = 200, tol: float = 1e-7, chain: int = 5) -> DataFrame:
@@ -515,7 +531,7 @@ def group_lasso(design: GramDesign, jobs: DataFrame, groups: DataFrame, max_iter
     if "weight" not in groups.columns:
         groups = groups.withColumn("weight", F.lit(1.0))
     owners = groups.groupBy(F.col("col_id").cast("int").alias("i")).agg(F.collect_list(F.struct("group_id", "weight")).alias("owners"))
-    steps = cut(_lipschitz(design, groups, 2.0))
+    steps = cut(_step_size(_gram_bound(design), groups, 2.0))
     table = cut(design.table.filter(F.col("block") == FULL).drop("block").join(owners, "i").join(steps, P))
     kind = groups.schema["group_id"].dataType.simpleString()
     none = F.expr(f"cast(array() as array<struct<group_id:{kind},col_id:int,w:double,z:double>>)")
@@ -565,8 +581,8 @@ def logistic_group_lasso(rows: DataFrame, jobs: DataFrame, groups: DataFrame, ba
     if "weight" not in groups.columns:
         groups = groups.withColumn("weight", F.lit(1.0))
     groups = groups.withColumn("col_id", F.col("col_id").cast("int"))
-    bound = GramDesign.of(rows.withColumn("x", F.concat("x", F.array(F.lit(1.0)))))
-    steps = cut(_lipschitz(bound, groups, 0.25))
+    bound = _row_bound(rows.withColumn("x", F.concat("x", F.array(F.lit(1.0)))))
+    steps = cut(_step_size(bound, groups, 0.25))
     shares = cut(class_shares(rows))
     jobs = cut(jobs.select(*JOB, "lam").join(steps, P).join(shares, P))
     weights = None

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sparsetab.operators.relational import attach_row
 
 MAX_GRAM_COLUMNS = 5_000
-_BUFFER_VALUES = 16_000_000  # doubles a task holds before it hands on partial sums
+_BUFFER_VALUES = 16_000_000  # doubles a task with several keys holds before it hands on partial sums
 
 
 # -- long form ---------------------------------------------------------------
@@ -180,7 +180,7 @@ def _vector_sums(schema: pa.Schema, weighted: bool, in_order: bool):
                 final = {k: s for k, s in held.items() if k != open_key}
                 held = {open_key: held[open_key]}
                 yield _emit(schema, final)
-            elif not in_order and len(held) * x.shape[1] > _BUFFER_VALUES:
+            elif not in_order and len(held) > 1 and len(held) * x.shape[1] > _BUFFER_VALUES:
                 yield _emit(schema, held)
                 held = {}
         if held:
@@ -206,7 +206,7 @@ def _outer_sums(schema: pa.Schema):
             for key, index in _by_key(batch, keys):
                 part = x[index].T @ x[index]
                 held[key] = held[key] + part if key in held else part
-            if len(held) * x.shape[1] ** 2 > _BUFFER_VALUES:
+            if len(held) > 1 and len(held) * x.shape[1] ** 2 > _BUFFER_VALUES:
                 yield from _emit_rows(schema, held)
                 held = {}
         yield from _emit_rows(schema, held)

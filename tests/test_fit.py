@@ -177,6 +177,40 @@ def test_group_lasso_is_optimal(spark, rows):
                 assert np.linalg.norm(gradient[at]) <= lam + 2e-4
 
 
+def test_logistic_group_lasso_steps(spark, class_rows):
+    x, y, _ = CLASSES
+    lam, cp, cn, turns = 5e-3, (y < 0).mean(), (y > 0).mean(), 3
+    members = {g: [i for i in range(P) if (g < 3 and i % 3 == g) or (g >= 3 and i % 4 == g - 3)] for g in range(7)}
+    wide = np.hstack([x, np.ones((N, 1))])
+    step = N / (0.25 * np.abs(wide.T @ wide).sum(1).max() * 2)
+    latent, c = {g: np.zeros(P) for g in members}, 0.0
+    for _ in range(turns):
+        _, slope, slope_c = balanced(x, y, sum(latent.values()), c, 0.0, cp, cn)
+        for g, at in members.items():
+            moved = latent[g][at] - step * slope[at]
+            latent[g][at] = moved * max(0.0, 1 - step * lam / np.linalg.norm(moved))
+        c -= step * slope_c
+    fitted = L.logistic_group_lasso(class_rows, jobs(class_rows, lam=lam), overlap(spark), balanced=True, max_iter=turns).first()
+    have = {g: np.zeros(P) for g in members}
+    for e in fitted.entries:
+        have[e.group_id][e.col_id] = e.w
+    for g in members:
+        np.testing.assert_allclose(have[g], latent[g], atol=1e-9)
+    assert fitted.c == pytest.approx(c, abs=1e-9)
+
+
+def test_active_set_agrees_with_all_groups(spark, rows):
+    one = rows.filter("problem_id = 0")
+    design = L.GramDesign.of(one, centre=True)
+    singles = spark.createDataFrame([(i, i) for i in range(P)], "group_id int, col_id int")
+    point = jobs(one, lam=0.04)
+    whole = {r.col_id: r.w for r in L.group_weights(L.group_lasso(design, point, singles, max_iter=60)).collect()}
+    active = {r.col_id: r.w for r in L.group_weights(L.active_set_lasso(design, point, singles, max_iter=60)).collect()}
+    assert whole and set(whole) == set(active)
+    for col, w in whole.items():
+        assert active[col] == pytest.approx(w, abs=1e-5)
+
+
 def test_gradients_and_refit(spark, rows):
     design = L.GramDesign.of(rows)
     chosen = rows.select("problem_id").distinct().select("problem_id", F.lit(0).alias("job_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("group_id"))

@@ -64,6 +64,8 @@ def test_prize_collecting_cases(spark):
         size = rng.randint(4, 9)
         es = [(rng.randrange(v), v) for v in range(1, size)]
         trees[case] = (case, None, 1, es, [rng.choice([0, 0.3, 1.1, 2.7, 4.2]) for _ in range(size)], [rng.choice([0.5, 1.0, 1.5]) for _ in es], None)
+    # A case whose asserted node set 0..4 pays 0.3; any better one will do.
+    trees[17] = (17, None, 1, [(0, 1), (0, 2), (2, 3), (3, 4)], [0, 2.2, 0, 0, 2.1], [1] * 4, None)
     free = [c for c in CASES if c[1] is None and c[2] == 1] + list(trees.values())
     edges, nodes = frames(spark, free)
     support, kept = FO.prize_collecting(edges, nodes, g=1)
