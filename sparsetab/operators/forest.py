@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sparsetab.lineage import cut, cut_count
-from sparsetab.operators.graph import KEY, canonical, components, endpoints, pointer_roots, _relabel
+from sparsetab.operators.graph import KEY, canonical, components, pointer_roots, _relabel
 from sparsetab.operators.ranking import top_k
 
 _SWEEPS = 2  # message sweeps planned as one job; a sweep names its input twice, so plans double

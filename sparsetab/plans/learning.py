@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparsetab.operators import evaluate as E, experiments as X, groups as C, matrix as M, ranking as W, relational as R
-from sparsetab.plans.inputs import CELLS, EDGES, SCORED, TRIALS, TRIMMED, cells, graph_edges, label_problems, matrix_rows, query, r6, response, scored, small_weights, table, trials
+from sparsetab.plans.inputs import CELLS, SCORED, TRIALS, TRIMMED, cells, label_problems, matrix_rows, query, r6, response, scored, small_weights, table, trials
 from sparsetab.plans.relational import _TRACE, _trace
 
 W_SQL = "CASE WHEN col_id % 2 = 0 THEN 0.01 ELSE -0.01 END"

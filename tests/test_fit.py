@@ -159,7 +159,7 @@ def test_group_lasso_is_optimal(spark, rows):
     """Optimality of every latent group: gradient norm below lambda, equal to it where active."""
     lam = 0.02
     design = L.GramDesign.of(rows, centre=True)
-    fitted = L.group_lasso(design, jobs(rows, lam=lam), overlap(spark), max_iter=120, tol=1e-10, chain=10)
+    fitted = L.group_lasso(design, jobs(rows, lam=lam), overlap(spark), max_iter=120, tol=1e-10)
     members = {g: [i for i in range(P) if (g < 3 and i % 3 == g) or (g >= 3 and i % 4 == g - 3)] for g in range(7)}
     for r in fitted.collect():
         x, y, _ = DATA[r.problem_id]

@@ -190,3 +190,21 @@ def test_walks_are_connected(spark):
     short = spark.createDataFrame([(0, 1, 2, 1.0)], E_SCHEMA)
     only = G.random_walks(short, far, 5).collect()
     assert len(only) == 1 and not only[0].complete and set(only[0].nodes) == {1, 2}
+
+
+# The one asserted case on a graph with cycles, rooted at node 3.
+U14 = [0, 1, 2, 0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 3, 3, 3, 3, 3, 3, 4, 4, 4, 5, 6]
+V14 = [1, 2, 3, 9, 2, 3, 5, 9, 3, 5, 7, 8, 3, 4, 5, 6, 7, 8, 9, 5, 6, 7, 8, 8]
+DEAR14 = {2, 5, 8, 12, 13, 14, 15, 16, 17, 18}
+P14 = [0.032052554364677466, 0.32473378289799926, 0.069699345546302638, 0.0, 0.74867253235151754, 0.19804330340026255,
+       0.85430521133171622, 0.83819939651391351, 0.71744625276884877, 0.016798567754083948]
+
+
+def test_rooted_case_with_cycles(spark):
+    costs = [0.88 if i in DEAR14 else 0.8 for i in range(24)]
+    edges, nodes = frames(spark, [(14, 3, 0, list(zip(U14, V14)), P14, costs, None)])
+    support, kept = FO.prize_collecting(edges, nodes, root=3)
+    got = supports(support)[14]
+    spent = kept.agg(F.coalesce(F.sum("c"), F.lit(0.0))).first()[0]
+    asserted = sum(P14[n] for n in (3, 4, 6, 7, 8)) - (0.88 + 3 * 0.8)
+    assert 3 in got and sum(P14[n] for n in got) - spent >= asserted - 1e-9
