@@ -1,6 +1,10 @@
-"""Table operators for structured sparse learning.
+"""Table operators for structured sparse learning, built on Spark DataFrames.
 
-Functions that run in tasks are sent to the executors by value, so a cluster needs no copy of the package.
+Every operator takes and returns DataFrames.  Independent problems share one
+job: they are told apart by a ``problem_id`` key, never by a driver loop.
+
+Functions that run in tasks are sent to the executors by value, so a cluster
+needs no copy of the package.
 """
 
 import sys
