@@ -10,11 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparsetab.llm import mixing, quality, samples, toxicity
+from sparsetab.llm import language, mixing, nearest, pieces, quality, samples, toxicity, vectors as vectors_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+DROPOUT = 0.1
+
 
 def query(name: str, sql: str | None = None):
     """Registers a query and, if there is one, its SQL twin."""
@@ -79,3 +82,46 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = toxicity.fit(samples.labelled(docs, table(spark, sf_dir, "labels"), "toxic", 5, 0, toxicity.ROWS))
     return toxicity.score(docs, weights).select(
         "doc_id", samples.held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def spoken(spark: SparkSession, docs: DataFrame) -> language.Model:
+    """Language model from the documents of all folds but the one held out."""
+    return language.fit(docs, ~samples.held_out("doc_id", 4, 2))
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = spoken(spark, docs)
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", samples.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.load(VOCABULARY)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs.withColumn("sha256", F.sha2("text", 256)), vocabulary, rate=DROPOUT, seed=1)
+    decoded = pieces.decode(encoded.withColumn("n_pieces", F.size("ids").cast("long")).withColumn("_ids", F.col("ids")), vocabulary)
+    return decoded.select(
+        "doc_id", F.coalesce(F.when(F.col("n_pieces") >= 0, F.col("n_pieces")), F.lit(0)).alias("n_pieces"), F.col("_ids").alias("ids"),
+        F.coalesce(F.sha2("text", 256) == F.col("sha256"), F.col("sha256").isNull() & F.col("text").isNull()).alias("lossless"))
+
+
+@query("op7_embedding_near_dedup")
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"), "label")
+    return vectors_of.near_duplicates(vectors, 0.93)
+
+
+@query("op10_top_k", r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), p -> p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""")
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), nearest.whole_numbers("embedding", 64.0).alias("x"))
+    return nearest.top_k(vectors, F.col("id") % 20 == 0, 20).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
