@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparsetab.llm import language, mixing, nearest, pieces, quality, samples, toxicity, vectors as vectors_of
+from sparsetab.llm import language, mixing, nearest, pieces, quality, samples, substrings, suffixes, toxicity, vectors as vectors_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), nearest.whole_numbers("embedding", 64.0).alias("x"))
     return nearest.top_k(vectors, F.col("id") % 20 == 0, 20).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op1_substring_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(generate_series(1, len(w) - 34)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS g FROM p),
+r AS (SELECT doc_id, i FROM h WHERE g IN (SELECT g FROM h GROUP BY g HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS k FROM r),
+l AS (SELECT doc_id, list(k) AS gone FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+    sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE [w[k] FOR k IN generate_series(1, len(w)) IF NOT list_contains(gone, k)] END, ' ')) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+""")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"), keep_first=False).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
