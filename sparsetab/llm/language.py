@@ -227,9 +227,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs(id columns..., text)`` with ``text`` replaced by ``lang_pred`` and ``score``, the chance of that language.
 
     ``und`` with score 0 for a text that is null or has no letter, and where the model knows no language.  Other
-    columns pass through; ``lang_pred``, ``score`` and ``_letter`` are reserved.
+    columns pass through; columns of the new names are replaced.
     """
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "_letter")]
 
     def run(batches):
         for batch, texts in slices(batches, "text", _BYTES):

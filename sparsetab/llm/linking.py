@@ -3,7 +3,7 @@
 Links are pairs of keys of any one ordered type.  Each round joins every node to the least of its neighbours: first
 its larger neighbours move there, then its smaller ones.  Links turn into stars around the least node of each
 component, in a number of rounds that grows with the logarithm of the number of nodes.  A hub with very many links
-is aggregated before the shuffle and joined by a plain equi-join, which Spark splits when it is skewed.
+is aggregated before the shuffle and joined by a plain equi-join of two tables, which Spark splits when it is skewed.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ def _towards_least(links: DataFrame, larger: bool) -> DataFrame:
         around = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.min("b").alias("_least")).select(F.col("a").alias("_a"), F.least("a", "_least").alias("_least"))
+    # a written table, so that the join below deals out both its sides and a hub can be split
+    least = cut(around.groupBy("a").agg(F.min("b").alias("_least")).select(F.col("a").alias("_a"), F.least("a", "_least").alias("_least")))
     moved = around.join(least, F.col("a") == F.col("_a"))
     if larger:
         out = moved.where("b > a").select(F.col("b").alias("a"), F.col("_least").alias("b"))

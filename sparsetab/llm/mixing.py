@@ -61,17 +61,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
         "turn", "ratio", "total", "level", "free")
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """How often each document is taken.
 
     ``docs(row, source, size, quality)``: a key of the document, its source, size >= 0 in words and quality weight.
-    Returns those columns with ``source_size``, ``target`` and ``copies`` (0 to ``most``).
+    Returns those columns and the ones to ``carry``, with ``source_size``, ``target`` and ``copies`` (0 to ``most``).
 
     Null sources are one source.  A null quality, or one that is not positive, counts as 1.  Documents of size
     0 are in whole passes, and in a fractional pass where their place is.  Equal keys are ordered by ``row`` and
     size; which of several rows equal in both comes first makes no difference to the result as a whole.  An empty
     table gives no rows.  Cells are even where quality weights of a source lie within a factor of about ten.
     """
+    docs = docs.select("row", "source", "size", "quality", *carry)
     weight = F.when(F.col("quality") > 0, F.col("quality")).otherwise(1.0)
     keyed = docs.withColumn("_key", -F.log(uniform(seed, F.col("row"))) / weight)
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"), F.avg(weight).alias("_mean"))

@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from sparsetab.lineage import cut
 
-BLOCK = 1024
+BLOCK = 4096
 QUERIES = 512  # of a block of queries
 SEED = 2048  # longest vectors that give each query its first floor
-SAMPLE = 4096  # vectors that the rotation is fitted on
-GROUP = 8  # candidate blocks of a group
+SAMPLE = 2048  # vectors that the rotation is fitted on
+GROUP = 2  # candidate blocks of a group
 LEADING = 16  # directions of a partial sum
 _EXACT = float(1 << 53)
 _PACKED = "longest double, least double, n int, ids binary, x binary, floors binary"
@@ -114,6 +114,15 @@ def block_pairs(q: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, x: np.
         yield i, at[own], score[own]
 
 
+def _bounded(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a limited table, which reach the driver as packed blocks."""
+    packed = rows.select("id", "x", F.lit(float("-inf")).alias("floor")).mapInArrow(_packer(SEED), _PACKED).collect()
+    ids = [np.frombuffer(r["ids"], dtype=np.int64) for r in packed]
+    x = [np.frombuffer(r["x"], dtype=np.int64).reshape(r["n"], -1) for r in packed]
+    return (np.concatenate([np.zeros(0, dtype=np.int64), *ids]),
+            np.concatenate([np.zeros((0, width), dtype=np.int64), *(np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in x)]))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """``vectors(id, x)`` with whole-number arrays; the ``k`` largest inner products of every query row.
 
@@ -126,10 +135,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     square = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     rows = cut(rows.withColumn("_square", square).withColumn("_width", F.size("x")))
     width = rows.agg(F.max("_width")).first()[0] or 1
-    longest = rows.orderBy(F.col("_square").desc(), "id").limit(SEED).select("id", "x").collect()
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").collect()
-    seed, seed_ids = _matrix([r["x"] for r in longest], width), np.array([r["id"] for r in longest], dtype=np.int64)
-    fitted = np.concatenate([seed, _matrix([r["x"] for r in drawn], width)]).astype(np.float64)
+    seed_ids, seed = _bounded(rows.orderBy(F.col("_square").desc(), "id").limit(SEED), width)
+    fitted = np.concatenate([seed, _bounded(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE), width)[1]]).astype(np.float64)
     rotation = np.linalg.svd(fitted / max(1.0, np.abs(fitted).max(initial=0.0)), full_matrices=True)[2].T if len(fitted) >= 1 else np.eye(width)
 
     def floors(batches):

@@ -247,9 +247,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.0, seed: int
     """``docs(id columns..., text)`` with ``text`` replaced by ``ids``, an array of piece numbers.
 
     A null text gives null, an empty one an empty array.  The variant of a document follows from its id; rows that
-    share an id share it.  Other columns pass through; ``ids`` and ``_key`` are reserved.
+    share an id share it.  Other columns pass through; a column ``ids`` is replaced.
     """
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "ids", "_key")]
     key = F.xxhash64(F.lit(seed), F.pmod(F.xxhash64(F.lit(seed), F.col(id_column)), F.lit(variants)))
 
     def run(batches):
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.0, seed: int
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``encoded(id columns..., ids)`` with ``ids`` replaced by ``text``; null ids give null, no ids the empty text."""
-    others = [c for c in encoded.columns if c != "ids"]
+    others = [c for c in encoded.columns if c not in ("ids", "text")]
 
     def run(batches):
         for batch in batches:

@@ -124,10 +124,9 @@ def score_texts(texts: list[bytes | None], weights: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``docs(id columns..., text)`` with ``text`` replaced by ``score``, the chance of label 1.
 
-    Null and empty texts have no n-grams and score as the bias alone.  Other columns pass through; ``score`` is
-    reserved.
+    Null and empty texts have no n-grams and score as the bias alone.  Other columns pass through; `a column ``score`` is replaced.
     """
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "score")]
 
     def run(batches):
         for batch, texts in slices(batches, "text", _BYTES):

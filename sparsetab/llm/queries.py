@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparsetab.llm import language, mixing, nearest, pieces, quality, samples, substrings, suffixes, toxicity, vectors as vectors_of
+from sparsetab.llm import (
+    language, minhash, mixing, nearest, pieces, quality, samples, substrings, suffixes, toxicity, vectors as vectors_of,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,15 +99,19 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", samples.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def encoded(docs: DataFrame) -> DataFrame:
+    """``docs(id columns..., text)`` with ``text`` replaced by ``n_pieces``, ``ids`` and whether the ids decode to the text."""
+    vocabulary = pieces.load(VOCABULARY)
+    rows = pieces.encode(docs.withColumn("_sha", F.sha2("text", 256)), vocabulary, rate=DROPOUT, seed=1)
+    back = pieces.decode(rows.withColumn("_ids", F.col("ids")), vocabulary)
+    return back.select(
+        *[c for c in docs.columns if c != "text"], F.coalesce(F.array_size("_ids").cast("bigint"), F.lit(0).cast("bigint")).alias("n_pieces"),
+        F.col("_ids").alias("ids"), F.sha2("text", 256).eqNullSafe(F.col("_sha")).alias("lossless"))
+
+
 @query("op9_sentencepiece")
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = pieces.load(VOCABULARY)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = pieces.encode(docs.withColumn("sha256", F.sha2("text", 256)), vocabulary, rate=DROPOUT, seed=1)
-    decoded = pieces.decode(encoded.withColumn("n_pieces", F.size("ids").cast("long")).withColumn("_ids", F.col("ids")), vocabulary)
-    return decoded.select(
-        "doc_id", F.coalesce(F.when(F.col("n_pieces") >= 0, F.col("n_pieces")), F.lit(0)).alias("n_pieces"), F.col("_ids").alias("ids"),
-        F.coalesce(F.sha2("text", 256) == F.col("sha256"), F.col("sha256").isNull() & F.col("text").isNull()).alias("lossless"))
+    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("op7_embedding_near_dedup")
@@ -115,9 +121,9 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op10_top_k", r"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), p -> p[1] * p[2])) AS BIGINT) AS score
+WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.x, c.x)]) AS BIGINT) AS score
     FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
@@ -146,3 +152,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(table(spark, sf_dir, "documents"), keep_first=False).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_minhash_near_dedup", r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) = 1 THEN [w[1]]
+    ELSE [w[i] || ' ' || w[i + 1] FOR i IN generate_series(1, len(w) - 1)] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS same FROM s GROUP BY doc_id),
+c AS (SELECT same, min(doc_id) AS rep, any_value(n) AS n FROM n GROUP BY same),
+r AS (SELECT s.doc_id, s.g, c.n FROM s JOIN c ON s.doc_id = c.rep),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common, any_value(a.n) AS nx, any_value(b.n) AS ny FROM r a JOIN r b
+    ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT x, y FROM i WHERE 100 * common >= 80 * (nx + ny - common)),
+u AS (SELECT x AS a, y AS b FROM e UNION SELECT y, x FROM e),
+t(a, b) AS (SELECT rep, rep FROM c UNION SELECT t.a, u.b FROM t JOIN u ON t.b = u.a),
+m AS (SELECT a, min(b) AS low FROM t GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.low, d.doc_id) AS component_id, d.doc_id = coalesce(m.low, d.doc_id) AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON n.same = c.same LEFT JOIN m ON m.a = c.rep
+""")
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80).drop("text_hash")

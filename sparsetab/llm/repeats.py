@@ -325,10 +325,13 @@ def covered(runs, count: int, size: int) -> np.ndarray:
 
 
 def removed(docs: DataFrame, size: int, unit: str, keep_first: bool, solve: Solver, work: Callable, fields: tuple[tuple[str, str], ...], id_column: str) -> DataFrame:
-    """Every document with what ``work(texts, runs)`` makes of it: a list of columns, for texts as bytes (or None) and their runs."""
+    """Every document with what ``work(texts, runs)`` makes of it: a list of columns, for texts as bytes (or None) and their runs.
+
+    Beside the id stands ``text_hash``, Spark's ``hash`` of the text, which tells rows with one id apart.
+    """
     runs = repeated(docs, size, unit, keep_first, solve, id_column).select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "runs")
-    rows = identified(docs, id_column).join(runs, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left").select("_id", "text", "runs")
-    schema = T.StructType([T.StructField(id_column, rows.schema["_id"].dataType)])
+    rows = identified(docs, id_column).join(runs, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left").select("_id", "_h", "text", "runs")
+    schema = T.StructType([T.StructField(id_column, rows.schema["_id"].dataType), T.StructField("text_hash", T.IntegerType())])
     for name, kind in fields:
         schema.add(name, T.DataType.fromDDL(kind))
     arrow = to_arrow_schema(schema)
@@ -336,6 +339,6 @@ def removed(docs: DataFrame, size: int, unit: str, keep_first: bool, solve: Solv
     def run(batches):
         for batch in unpacked(batches):
             columns = work(batch.column("text").to_pylist(), batch.column("runs").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:]))], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[2:]))], schema=arrow)
 
     return rows.mapInArrow(run, schema)

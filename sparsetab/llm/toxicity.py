@@ -93,9 +93,9 @@ def _sentences(texts: list[bytes | None], weights: np.ndarray):
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``docs(id columns..., text)`` with ``text`` replaced by ``score``, the noisy-or of its sentences.
 
-    Texts without a term (null, empty, no letter) have no sentence and score 0.  ``score`` is reserved.
+    Texts without a term (null, empty, no letter) have no sentence and score 0.  A column ``score`` is replaced.
     """
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "score")]
 
     def run(batches):
         for batch, texts in slices(batches, "text", _BYTES):
@@ -108,7 +108,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def offending(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
     """Sentences that score ``threshold`` or more: id columns, ``sentence_score``, ``sentence`` and its byte offset in the text."""
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "sentence_score", "sentence", "at")]
 
     def run(batches):
         for batch, texts in slices(batches, "text", _BYTES):
