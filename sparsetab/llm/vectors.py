@@ -162,7 +162,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tile: int = TILE) -
         "_node", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "_node").alias("_root"))
     ids = good.select("vec_id", node("class").alias("_node")).groupBy("_node").agg(F.min("vec_id").alias("_least"))
     named = cut(groups.join(ids, "_node").select("_node", "n_links", "_root", "_least"))
-    component = named.groupBy(F.col("_root").alias("_r")).agg(F.min("_least").alias("component_id"))
+    component = cut(named.groupBy(F.col("_root").alias("_r")).agg(F.min("_least").alias("component_id")))
     of_node = named.join(component, F.col("_root") == F.col("_r")).select("_node", "n_links", "component_id")
     linked_rows = good.select("vec_id", node("class").alias("_node")).join(of_node, "_node").select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(linkable("x", "label"), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
