@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from sparsetab.llm.tokens import mix, slices, span_hashes
 
 MARK = "▁"
-_BYTES = 1 << 23
+_BYTES = 3 << 20
 _ROWS = 8192
 _NO_RANK = np.int32(np.iinfo(np.int32).max)
 _NORMAL, _USER, _UNUSED, _BYTE = "normal", "user", "unused", "byte"
@@ -240,16 +240,19 @@ def _with_bytes(vocabulary: Vocabulary, raw: np.ndarray, char_at: np.ndarray, sy
 def decode_ids(ids: list[int] | np.ndarray, vocabulary: Vocabulary) -> bytes:
     """Text of ids: their pieces in a row, without the space put before the text."""
     texts = vocabulary.texts
-    return b"".join([texts[i] for i in ids])[1:]
+    return b"".join([texts[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])[1:]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.0, seed: int = 0, variants: int = 8, id_column: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.0, seed: int = 0, variants: int = 8, id_column: str = "doc_id",
+           check: bool = False) -> DataFrame:
     """``docs(id columns..., text)`` with ``text`` replaced by ``ids``, an array of piece numbers.
 
-    A null text gives null, an empty one an empty array.  The variant of a document follows from its id; rows that
+    With ``check``, the ids are decoded again in the same pass: ``lossless`` says whether they gave the text.
+
+    A null text gives null (and is lossless), an empty one an empty array.  The variant of a document follows from its id; rows that
     share an id share it.  Other columns pass through; a column ``ids`` is replaced.
     """
-    others = [c for c in docs.columns if c not in ("text", "ids", "_key")]
+    others = [c for c in docs.columns if c not in ("text", "ids", "_key", *["lossless"] * check)]
     key = F.xxhash64(F.lit(seed), F.pmod(F.xxhash64(F.lit(seed), F.col(id_column)), F.lit(variants)))
 
     def run(batches):
@@ -257,9 +260,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.0, seed: int
             ids, bounds = encode_texts(texts, vocabulary, rate, batch.column("_key").to_numpy().view(np.uint64))
             there = pa.array([t is None for t in texts])
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()), mask=there)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), lists], [*others, "ids"])
+            same = [pa.array([decode_ids(ids[a:b], vocabulary) == (t or b"") for t, a, b in zip(texts, bounds[:-1], bounds[1:])], pa.bool_())] * check
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), lists, *same], [*others, "ids", *["lossless"] * check])
 
-    schema = docs.select(*others).withColumn("ids", F.array(F.lit(0))).schema
+    schema = docs.select(*others).withColumn("ids", F.array(F.lit(0))).withColumns({"lossless": F.lit(True)} if check else {}).schema
     return docs.withColumn("_key", key).mapInArrow(run, schema)
 
 

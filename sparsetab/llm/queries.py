@@ -101,12 +101,9 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded(docs: DataFrame) -> DataFrame:
     """``docs(id columns..., text)`` with ``text`` replaced by ``n_pieces``, ``ids`` and whether the ids decode to the text."""
-    vocabulary = pieces.load(VOCABULARY)
-    rows = pieces.encode(docs.withColumn("_sha", F.sha2("text", 256)), vocabulary, rate=DROPOUT, seed=1)
-    back = pieces.decode(rows.withColumn("_ids", F.col("ids")), vocabulary)
-    return back.select(
-        *[c for c in docs.columns if c != "text"], F.coalesce(F.array_size("_ids").cast("bigint"), F.lit(0).cast("bigint")).alias("n_pieces"),
-        F.col("_ids").alias("ids"), F.sha2("text", 256).eqNullSafe(F.col("_sha")).alias("lossless"))
+    rows = pieces.encode(docs, pieces.load(VOCABULARY), rate=DROPOUT, seed=1, check=True)
+    return rows.select(*[c for c in docs.columns if c != "text"], F.coalesce(F.array_size("ids").cast("bigint"), F.lit(0).cast("bigint")).alias("n_pieces"),
+                       "ids", "lossless")
 
 
 @query("op9_sentencepiece")
