@@ -69,7 +69,7 @@ def features(parts: list[bytes | None]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse vector of each text, as arrays of numbers and values."""
+    """Sparse vector of each text, its numbers and values as bytes."""
     for batch, texts in slices(batches, "text", _BYTES):
         kinds, bounds = features(texts)
         numbers, values = [], []
@@ -80,10 +80,10 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own, count = np.unique(own[own >= 0], return_counts=True)
                 idx.append(own)
                 val.append(SCALE * count / max(1, count.sum()))
-            numbers.append(np.concatenate(idx).astype(np.int32))
-            values.append(np.concatenate(val).astype(np.float32))
+            numbers.append(np.concatenate(idx).astype(np.int32).tobytes())
+            values.append(np.concatenate(val).astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("y"), pa.array(numbers, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["y", "idx", "val"])
+            [batch.column("y"), pa.array(numbers, pa.binary()), pa.array(values, pa.binary())], ["y", "idx", "val"])
 
 
 def fit(sample: DataFrame, epochs: int = 4, alpha: float = 0.2, l1: float = 0.2, l2: float = 1.0) -> np.ndarray:
@@ -92,10 +92,10 @@ def fit(sample: DataFrame, epochs: int = 4, alpha: float = 0.2, l1: float = 0.2,
     Vectors are made on the executors; the updates are sequential and run on the driver, over the bounded sample.
     An empty sample gives zero weights, that is a score of 0.5 for every text.
     """
-    rows = sample.select("text", "y").mapInArrow(_vectors, "y double, idx array<int>, val array<float>").collect()
-    rows.sort(key=lambda r: (len(r["idx"]), r["idx"][:8], r["y"]))
+    rows = sample.select("text", "y").mapInArrow(_vectors, "y double, idx binary, val binary").collect()
+    rows.sort(key=lambda r: (r["idx"], r["y"]))
     model = Ftrl(1 << BITS, alpha=alpha, l1=l1, l2=l2)
-    data = [(r["y"], *_summed(np.array(r["idx"]), np.array(r["val"]))) for r in rows]
+    data = [(r["y"], *_summed(np.frombuffer(r["idx"], dtype=np.int32), np.frombuffer(r["val"], dtype=np.float32))) for r in rows]
     order = np.random.default_rng(1)
     for _ in range(epochs):
         for i in order.permutation(len(data)):
