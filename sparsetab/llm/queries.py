@@ -111,7 +111,14 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op7_embedding_near_dedup")
+@query("op7_embedding_near_dedup", r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0 AND len([e FOR e IN embedding IF e <> 0]) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.93),
+t(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+c AS (SELECT a, min(b) AS low FROM t GROUP BY a), n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c.low AS component_id, vec_id = c.low AS kept FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+""")
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"), "label")
     return vectors_of.near_duplicates(vectors, 0.93)
@@ -145,7 +152,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-@query("op5_suffix_dedup")
+@query("op5_suffix_dedup", r"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+p AS (SELECT doc_id, unnest(generate_series(1, CAST(length(x) / 2 - 399 AS BIGINT))) AS i, x FROM d WHERE length(x) >= 800),
+h AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 800)) AS g FROM p),
+r AS (SELECT doc_id, i FROM h WHERE g IN (SELECT g FROM h GROUP BY g HAVING count(*) > 1)),
+s AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM
+    (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM r)),
+b AS (SELECT doc_id, span, min(i) AS a, max(i) + 399 AS z FROM s GROUP BY doc_id, span),
+k AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) + 1 AS f FROM b),
+g AS (SELECT doc_id, count(*) AS n, sum(z - a + 1) AS gone, max(z) AS last, string_agg(substr(x, 2 * f - 1, 2 * (a - f)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(CASE WHEN n IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+""")
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(table(spark, sf_dir, "documents"), keep_first=False).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
