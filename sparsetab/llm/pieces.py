@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from sparsetab.llm.tokens import mix, slices, span_hashes
 
@@ -263,7 +263,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.0, seed: int
             same = [pa.array([decode_ids(ids[a:b], vocabulary) == (t or b"") for t, a, b in zip(texts, bounds[:-1], bounds[1:])], pa.bool_())] * check
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), lists, *same], [*others, "ids", *["lossless"] * check])
 
-    schema = docs.select(*others).withColumn("ids", F.array(F.lit(0))).withColumns({"lossless": F.lit(True)} if check else {}).schema
+    schema = docs.select(*others).schema.add("ids", T.ArrayType(T.IntegerType()))
+    if check:
+        schema = schema.add("lossless", T.BooleanType())
     return docs.withColumn("_key", key).mapInArrow(run, schema)
 
 
@@ -277,4 +279,4 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             texts = [None if x is None else decode_ids(x.values.to_numpy(), vocabulary).decode("utf-8", "replace") for x in column]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string())], [*others, "text"])
 
-    return encoded.mapInArrow(run, encoded.select(*others).withColumn("text", F.lit("")).schema)
+    return encoded.mapInArrow(run, encoded.select(*others).schema.add("text", T.StringType()))
