@@ -129,20 +129,42 @@ def _schema(docs: DataFrame, *fields: tuple[str, str]) -> T.StructType:
 
 
 def _found(rows: DataFrame, size: int, unit: str) -> DataFrame:
-    """Stretches of all documents; ``span`` holds first window, number of windows and distance of the anchor."""
+    """Stretches of all documents; ``span`` holds first window, number of windows and distance of the anchor.
+
+    ``more`` is the distance to the next equal stretch of a row and the number of those.
+    """
 
     def run(batches):
         for batch, texts in slices(batches, "text", _BYTES):
             codes, bounds, _, _, _ = tokens(texts, unit)
             first, count, anchor, key, content = stretches(codes, bounds, size)
             doc = np.searchsorted(bounds, first, side="right") - 1
+            begin, more = _periods(doc, first, key, content)
             span = ((first - bounds[doc]) << 32) | (count << 16) | (anchor - first)
-            own = batch.select(["_id", "_h"]).take(pa.array(doc))
+            own = batch.select(["_id", "_h"]).take(pa.array(doc[begin]))
             yield pa.RecordBatch.from_arrays(
-                [own.column(0), own.column(1), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(span)],
-                ["_id", "_h", "key", "content", "span"])
+                [own.column(0), own.column(1), pa.array(key[begin].view(np.int64)), pa.array(content[begin].view(np.int64)), pa.array(span[begin]), pa.array(more)],
+                ["_id", "_h", "key", "content", "span", "more"])
 
-    return rows.mapInArrow(run, _schema(rows, ("key", "bigint"), ("content", "bigint"), ("span", "bigint")))
+    return rows.mapInArrow(run, _schema(rows, ("key", "bigint"), ("content", "bigint"), ("span", "bigint"), ("more", "bigint")))
+
+
+def _periods(doc: np.ndarray, first: np.ndarray, key: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal stretches that follow each other at one distance, as in a word said over and over, are one row.
+
+    Returns the stretches that begin such a row, and for each the distance and the number of those that follow.
+    """
+    if not len(first):
+        return first, first
+    same = np.zeros(len(first), dtype=bool)
+    same[1:] = (doc[1:] == doc[:-1]) & (key[1:] == key[:-1]) & (content[1:] == content[:-1])
+    step = np.diff(first, prepend=first[0])
+    head = ~same
+    head[1:] |= same[:-1] & (step[1:] != step[:-1])
+    begin = np.flatnonzero(head)
+    times = np.diff(np.append(begin, len(first)))
+    follows = step[np.minimum(begin + 1, len(first) - 1)]
+    return begin, np.where(times > 1, (follows << 32) | (times - 1), 0)
 
 
 def _contexts(picked: DataFrame, size: int, unit: str) -> DataFrame:
@@ -285,17 +307,18 @@ def _large(cells: DataFrame, keep_first: bool) -> DataFrame:
 
 def repeated(docs: DataFrame, size: int, unit: str, keep_first: bool, solve: Solver, id_column: str = "doc_id",
              most_classes: int = CLASSES) -> DataFrame:
-    """Runs of windows that occur elsewhere: ``(_id, _h, runs array<struct<first, n>>)``, a row for each document with any.
+    """Runs of windows that occur elsewhere: ``(_id, _h, runs array<struct<first, n, more>>)``, a row for each document with any.
 
     With ``keep_first``, windows that occur *earlier*, in order of id, hash of the text and place, null ids first; rows
     equal in id and text then count as one document.
     """
     rows = docs.select(F.col(id_column).alias("_id"), F.hash("text").alias("_h"), F.col("text").cast("binary").alias("text"))
     found = cut(_found(rows, size, unit))
-    again = cut(found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    times = F.col("more").bitwiseAND(F.lit(0xFFFFFFFF)) + 1
+    again = cut(found.groupBy("key").agg(F.sum(times).alias("c")).where("c > 1").select("key"))
     kept = cut(found.join(again, "key", "left_semi"))
     place = F.struct("_id", "_h", "span")
-    classes = cut(kept.groupBy("key", "content").agg(F.count("*").alias("m"), F.min(place).alias("rep")))
+    classes = cut(kept.groupBy("key", "content").agg(F.sum(times).alias("m"), F.min(place).alias("rep")))
     groups = cut(classes.groupBy("key").agg(F.count("*").alias("c"), F.count_if(F.col("m") == 1).alias("singles")).where(
         "c > 1" if keep_first else "c > 1 AND singles > 0").select(F.col("key").alias("_key"), (F.col("c") > most_classes).alias("large")))
     pool = classes.join(groups, F.col("key") == F.col("_key")).select(
@@ -308,19 +331,25 @@ def repeated(docs: DataFrame, size: int, unit: str, keep_first: bool, solve: Sol
     large = _large(contexts.where("context IS NULL").drop("context"), keep_first)
     settled = kept.join(classes.where("m > 1").select(F.col("key").alias("_key"), F.col("content").alias("_content"), "rep"),
                         (F.col("key") == F.col("_key")) & (F.col("content") == F.col("_content")))
-    if keep_first:
-        settled = settled.where(~place.eqNullSafe(F.col("rep")))
-    runs = settled.select("_id", "_h", F.shiftright("span", 32).alias("first"), F.shiftright("span", 16).bitwiseAND(F.lit(0xFFFF)).cast("bigint").alias("n"))
-    runs = runs.unionByName(solved).unionByName(large)
-    return runs.groupBy("_id", "_h").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    runs = settled.select("_id", "_h", F.shiftright("span", 32).alias("first"), F.shiftright("span", 16).bitwiseAND(F.lit(0xFFFF)).cast("bigint").alias("n"),
+                          "more", place.eqNullSafe(F.col("rep")).alias("is_first"))
+    if keep_first:  # the first stretch of the class stays; those that follow it in its row go
+        step = F.shiftright("more", 32)
+        runs = runs.where(~F.col("is_first") | (F.col("more") > 0)).select(
+            "_id", "_h", F.when(F.col("is_first"), F.col("first") + step).otherwise(F.col("first")).alias("first"), "n",
+            F.when(F.col("is_first"), F.col("more") - 1).otherwise(F.col("more")).alias("more"))
+    alone = F.lit(0).cast("bigint").alias("more")
+    runs = runs.select("_id", "_h", "first", "n", "more").unionByName(solved.select("*", alone)).unionByName(large.select("*", alone))
+    return runs.groupBy("_id", "_h").agg(F.collect_list(F.struct("first", "n", "more")).alias("runs"))
 
 
 def covered(runs, count: int, size: int) -> np.ndarray:
     """Which of ``count`` tokens lie in a window of the runs."""
     change = np.zeros(count + 1, dtype=np.int64)
     for r in runs or ():
-        change[r["first"]] += 1
-        change[r["first"] + r["n"] - 1 + size] -= 1
+        for first in range(r["first"], r["first"] + (r["more"] >> 32) * (r["more"] & 0xFFFFFFFF) + 1, max(1, r["more"] >> 32)):
+            change[first] += 1
+            change[first + r["n"] - 1 + size] -= 1
     return np.cumsum(change[:-1]) > 0
 
 
