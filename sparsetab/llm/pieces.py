@@ -276,7 +276,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches):
         for batch in batches:
             column = batch.column("ids")
-            texts = [None if x is None else decode_ids(x.values.to_numpy(), vocabulary).decode("utf-8", "replace") for x in column]
+            texts = [None if not x.is_valid else decode_ids(x.values.to_numpy(), vocabulary).decode("utf-8", "replace") for x in column]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string())], [*others, "text"])
 
     return encoded.mapInArrow(run, encoded.select(*others).schema.add("text", T.StringType()))
