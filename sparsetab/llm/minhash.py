@@ -10,10 +10,15 @@ each other in all bands with chance ``(1 - s^ROWS)^BANDS``: 1 in 80 000 at 0.8.
 
 *Candidates.*  A bucket gives a star: its members against its least member, one pair a member.  Pairs are confirmed
 and linked documents joined to components.  Most buckets then lie in one component and are done, however large: no
-pair left in them could join anything.  In the others, the members outside the bucket's largest component are paired
-with the members of other components.  After that every pair of every bucket has been compared or lies within a
-component, so the components are those of all pairs that share a bucket.  Pairs whose sizes rule out the similarity are
-not compared.
+pair left in them could join anything.  In the others, members outside the bucket's largest component are tried
+against ``TRIES`` more members of it.
+
+*The rest, exactly.*  Classes of buckets that still hold several components are compared by prefixes: of the shingles
+of a set, rarest first, two similar sets share one among the first fifth (for a similarity of 0.8), at places that
+leave enough shingles after them.  Rare is judged by a table of counts of fixed size; any order gives the same
+links.  Classes that share a prefix shingle are paired if their components differ, again without the pairs within
+the largest one.  So the components are those of all pairs that share a bucket, and more; a passage that very many
+documents share is too frequent to stand in a prefix and makes no pairs.
 
 *Confirmation.*  Sets are sent to the star's centre; a centre with many members is split into pieces.
 """
@@ -35,6 +40,8 @@ WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 48, 7
 BINS = BANDS * ROWS
+TRIES = 4
+SLOTS = 1 << 18  # of the table of counts
 PIECE = 256  # members that one copy of a centre is compared with
 _BYTES = 1 << 21
 _FEW = 16
@@ -121,30 +128,61 @@ def _signed(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, k: int, percent: int) -> DataFrame:
+def _sets(wanted: DataFrame, docs: DataFrame, id_column: str, k: int) -> DataFrame:
+    """``(set, hashes)`` of the classes ``wanted(_i, _g)``, read from the text of one document of each."""
+    texts = identified(docs, id_column).join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("text")
+
+    def run(batches):
+        for batch in unpacked(batches):
+            raw = [own.tobytes() for own in shingles(batch.column("text").to_pylist(), k)]
+            yield pa.RecordBatch.from_arrays([pa.array([blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["set", "hashes"])
+
+    return texts.mapInArrow(run, "set binary, hashes binary")
+
+
+def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """Prefixes of ``sets(set, n, root, hashes)``: a row for each of their shingles, with its place in the order."""
+
+    def count(batches):
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for raw in batch.column("hashes").to_pylist():
+                total += np.bincount((mix(np.frombuffer(raw, dtype=np.uint64)) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "c"])
+
+    # one row a slot at most, whatever the input
+    rows = sets.select("hashes").mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    counts[rows["slot"].to_numpy(dtype=np.int64)] = rows["c"].to_numpy(dtype=np.int64)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for n, raw in zip(*(batch.column(c).to_pylist() for c in ("n", "hashes"))):
+                hashes = np.frombuffer(raw, dtype=np.uint64)
+                slot = (mix(hashes) % np.uint64(SLOTS)).astype(np.int64)
+                first = np.lexsort((hashes, counts[slot]))[:n - -(-percent * n // 100) + 1]
+                out.append((len(first), hashes[first].view(np.int64)))
+            if out:
+                row = pa.array(np.repeat(np.arange(len(out)), [n for n, _ in out]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(row) for c in ("set", "n", "root")), pa.array(np.concatenate([t for _, t in out])),
+                     pa.array(np.concatenate([np.arange(n) for n, _ in out]))], ["set", "n", "root", "bucket", "place"])
+
+    return sets.mapInArrow(run, "set binary, n long, root binary, bucket long, place long")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs(a, b)`` of classes, those that are similar enough."""
     pieces = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PIECE).alias("pieces")))
     placed = pairs.join(pieces.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a")).select(
         F.col("b").alias("set"), F.struct(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("pieces")).alias("piece"), F.lit(False).alias("is_centre")).alias("to"))
     centres = pieces.select(F.col("a").alias("set"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece")).select(
         "set", F.struct(F.col("set").alias("centre"), "piece", F.lit(True).alias("is_centre")).alias("to"))
-    wanted = placed.unionByName(centres).groupBy("set").agg(F.collect_list("to").alias("to")).join(
-        classes.select(F.col("set").alias("_set"), F.col("rep._id").alias("_i"), F.col("rep._h").alias("_g")), F.col("set") == F.col("_set")).select("_i", "_g", "to")
-    texts = identified(docs, id_column).join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("text", "to")
-
-    def spread(batches):
-        for batch in unpacked(batches):
-            texts, lists = batch.column("text").to_pylist(), batch.column("to").to_pylist()
-            for own, to in zip(shingles(texts, k), lists):
-                raw, name = own.tobytes(), blake2b(own.tobytes(), digest_size=16).digest()
-                for first in range(0, len(to), 256):
-                    part = to[first:first + 256]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([t["centre"] for t in part], pa.binary()), pa.array([t["piece"] for t in part], pa.int64()),
-                         pa.array([t["is_centre"] for t in part], pa.bool_()), pa.array([name] * len(part), pa.binary()), pa.array([raw] * len(part), pa.binary())],
-                        ["centre", "piece", "is_centre", "set", "hashes"])
-
-    sent = texts.mapInArrow(spread, "centre binary, piece long, is_centre boolean, set binary, hashes binary")
+    wanted = placed.unionByName(centres).groupBy("set").agg(F.collect_list("to").alias("to"))
+    sent = sets.join(wanted.withColumnRenamed("set", "_set"), F.col("set") == F.col("_set")).select("set", "hashes", F.explode("to").alias("to")).select(
+        "to.centre", "to.piece", "to.is_centre", "set", "hashes")
 
     def compare(batches):
         name, centre = None, None
@@ -166,6 +204,17 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column:
     return sent.repartition("centre", "piece").sortWithinPartitions("centre", "piece", F.col("is_centre").desc()).mapInArrow(compare, "a binary, b binary")
 
 
+def _open(members: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Members of the buckets that hold several components, with their component and the bucket's largest (``bulk``)."""
+    if roots is not None:
+        members = members.join(roots, F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set")).drop("node")
+    placed = cut(members)
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    open_ = cut(sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select(
+        F.col("bucket").alias("_bucket"), F.col("most.root").alias("bulk")))
+    return cut(placed.join(open_, F.col("bucket") == F.col("_bucket")).drop("_bucket"))
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id") -> DataFrame:
     """Groups of documents linked by ``100 * intersection >= percent * union`` of their sets.
 
@@ -184,23 +233,36 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_
     members = cut(buckets.join(full, "bucket", "left_semi"))
     fits = lambda n, other: 100 * F.least(n, other) >= percent * F.greatest(n, other)
 
+    reps = members.select("set").distinct().join(classes.select(F.col("set").alias("_set"), "rep"), F.col("set") == F.col("_set")).select(
+        F.col("rep._id").alias("_i"), F.col("rep._h").alias("_g"))
+    sets = cut(_sets(reps, docs, id_column, k))  # a row given twice gives its set twice, which does no harm
+
     stars = cut(members.groupBy("bucket").agg(F.min(F.struct("set", "n")).alias("centre")).withColumnRenamed("bucket", "_bucket"))
-    first = cut(members.join(stars, F.col("bucket") == F.col("_bucket")).where((F.col("set") != F.col("centre.set")) & fits(F.col("n"), F.col("centre.n"))).select(
+    pairs = cut(members.join(stars, F.col("bucket") == F.col("_bucket")).where((F.col("set") != F.col("centre.set")) & fits(F.col("n"), F.col("centre.n"))).select(
         F.col("centre.set").alias("a"), F.col("set").alias("b")).distinct())
-    links = cut(_confirmed(first, classes, docs, id_column, k, percent))
-
+    links = cut(_confirmed(pairs, sets, percent))
     roots = components(links)
-    placed = cut(members.join(roots, F.col("set") == F.col("node"), "left").select("bucket", "set", "n", F.coalesce("root", "set").alias("root")))
-    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    open_ = cut(sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select(
-        F.col("bucket").alias("_bucket"), F.col("most.root").alias("bulk")))
-    inside = cut(placed.join(open_, F.col("bucket") == F.col("_bucket")).drop("_bucket"))
-    outside = inside.where("root <> bulk").select(F.col("bucket").alias("_bucket"), F.col("set").alias("a"), F.col("n").alias("m"), F.col("root").alias("_root"))
-    second = outside.join(inside, (F.col("_bucket") == F.col("bucket")) & (F.col("_root") != F.col("root")) & fits(F.col("m"), F.col("n"))).where(
-        (F.col("root") == F.col("bulk")) | (F.col("a") < F.col("set"))).select("a", F.col("set").alias("b")).distinct()
-    second = cut(second.join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        links = links.unionByName(cut(_confirmed(second, classes, docs, id_column, k, percent)))
+
+    inside = _open(members, roots)
+    tries = [F.min_by(F.struct("set", "n"), F.when(F.col("root") == F.col("bulk"), F.xxhash64("set", F.lit(i)))).alias(f"t{i}") for i in range(TRIES)]
+    others = cut(inside.groupBy(F.col("bucket").alias("_bucket")).agg(*tries).select("_bucket", F.explode(F.array(*[f"t{i}" for i in range(TRIES)])).alias("t")).distinct())
+    more = cut(inside.where("root <> bulk").join(others, F.col("bucket") == F.col("_bucket")).where(fits(F.col("n"), F.col("t.n"))).select(
+        F.col("t.set").alias("a"), F.col("set").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        links = cut(links.unionByName(_confirmed(more, sets, percent)))
+        roots = components(links)
+        inside = _open(members, roots)
+
+    left = inside.select("set", "n", "root").distinct()
+    if not left.isEmpty():
+        held = sets.join(left.withColumnRenamed("set", "_set"), F.col("set") == F.col("_set")).select("set", "n", "root", "hashes")
+        shared = _open(cut(_rare_first(cut(held), percent)))
+        outside = shared.where("root <> bulk").select(
+            F.col("bucket").alias("_bucket"), F.col("set").alias("a"), F.col("n").alias("m"), F.col("root").alias("_root"), F.col("place").alias("_place"))
+        enough = (100 + percent) * F.least(F.col("m") - F.col("_place"), F.col("n") - F.col("place")) >= percent * (F.col("m") + F.col("n"))
+        last = cut(outside.join(shared, (F.col("_bucket") == F.col("bucket")) & (F.col("_root") != F.col("root")) & fits(F.col("m"), F.col("n")) & enough).where(
+            (F.col("root") == F.col("bulk")) | (F.col("a") < F.col("set"))).select("a", F.col("set").alias("b")).distinct())
+        links = cut(links.unionByName(_confirmed(last, sets, percent)))
         roots = components(links)
 
     named = cut(classes.select("set", "least").join(roots, F.col("set") == F.col("node"), "left").select("set", "least", F.coalesce("root", "set").alias("root")))
