@@ -27,8 +27,10 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = queries.spoken(spark, docs)
-    rows = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return language.predict(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
+    known = language.predict(rows, model, keep_text=True).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return known.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ LONGEST = 32
 DOCS = 300  # documents of a language that the sample of words is drawn from
 WORDS = 5000  # words of a language in the sample
 UNITS = 12  # of each direction
-_BYTES = 1 << 23
+_BYTES = 1 << 21
 _ROWS = 4096
 
 _CODE = np.zeros(256, dtype=np.int64)
@@ -225,13 +225,13 @@ def positions(text: bytes, model: Model) -> list[str | None]:
     return out
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """``docs(id columns..., text)`` with ``text`` replaced by ``lang_pred`` and ``score``, the chance of that language.
 
     ``und`` with score 0 for a text that is null or has no letter, and where the model knows no language.  Other
-    columns pass through; columns of the new names are replaced.
+    columns pass through, with ``keep_text`` the text too; columns of the new names are replaced.
     """
-    others = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "_letter")]
+    others = [c for c in docs.columns if c not in ("lang_pred", "score", "_letter") and (keep_text or c != "text")]
 
     def run(batches):
         for batch, texts in slices(batches, "text", _BYTES):

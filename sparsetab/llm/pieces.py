@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from sparsetab.llm.tokens import mix, slices, span_hashes
 
 MARK = "▁"
-_BYTES = 3 << 20
+_BYTES = 1 << 21
 _ROWS = 8192
 _NO_RANK = np.int32(np.iinfo(np.int32).max)
 _NORMAL, _USER, _UNUSED, _BYTE = "normal", "user", "unused", "byte"

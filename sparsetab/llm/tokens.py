@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,16 +25,13 @@ _powers: list[np.ndarray] = []
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of ``batches`` with at most ``limit`` bytes in ``column`` (at least one row), and its values."""
     for batch in batches:
-        values = batch.column(column).cast(pa.binary()).to_pylist()
-        first, size = 0, 0
-        for i, value in enumerate(values):
-            n = len(value) if value is not None else 0
-            if i > first and size + n > limit:
-                yield batch.slice(first, i - first), values[first:i]
-                first, size = i, 0
-            size += n
-        if values:
-            yield batch.slice(first), values[first:]
+        texts = batch.column(column).cast(pa.binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < len(ends):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + limit, side="right")))
+            yield batch.slice(first, last - first), texts.slice(first, last - first).to_pylist()
+            first = last
 
 
 def mix(h: np.ndarray) -> np.ndarray:
