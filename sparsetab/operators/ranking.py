@@ -1,10 +1,10 @@
 """Ranks, positions and top-k that hold up when one key owns most rows.
 
-A plain ``row_number`` over a key sends the whole key to one task.  Here a rank
-is either found from range-partitioned runs (``ranked``) or from counts of
-distinct values cut into buckets (``running_totals``), so a hot key is spread
-over many tasks.  Top-k keeps the plain form: Spark's window group limit drops
-all but k rows per key before the shuffle.
+A plain ``row_number`` over a key sends the whole key to one task.  Here ranks
+and running totals are found from range-partitioned runs, so a hot key is spread
+over many tasks.  Top-k keeps the plain form where Spark's window group limit
+drops all but k rows per key before the shuffle, that is up to the limit's own
+threshold on k; a larger k takes ranks.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparsetab.lineage import cut
 
-PLAIN_WINDOW_ROWS = 1_000_000  # most rows a single window partition is given
 
 
 def _partitions(df: DataFrame) -> int:
@@ -50,42 +49,25 @@ def ranked(
     )
 
 
-def running_totals(
-    df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], buckets: int = 32,
-    plain_limit: int = PLAIN_WINDOW_ROWS,
-) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
     """Sums over all smaller values of the key, as ``<name>_before`` columns.
 
     ``df`` holds one row per key and distinct value; it is written once, as it is
-    small next to the data it was counted from.  If no key has more than
-    ``plain_limit`` values, one window per key does.  Otherwise the values of a
-    key are cut at approximate quantiles; windows run inside one cut, and the
-    totals of the cuts before it are added.
+    small next to the data it was counted from.  Runs are those of ``ranked``:
+    sums inside a run, and the totals of the runs of the key before it.
     """
     keys = list(keys)
-    df = cut(df)
-    widest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0] or 0
-    smaller = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    if widest <= plain_limit:
-        return df.select("*", *[F.coalesce(F.sum(c).over(smaller), F.lit(0)).alias(f"{c}_before") for c in sums])
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(value, cuts, 10_000).alias("_bounds"))
-    placed = df.join(bounds, keys).withColumn(
-        "_cut", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    ).drop("_bounds")
-    over_cuts = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*keys, "_cut").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
-    earlier = totals.select(
-        *keys, "_cut",
-        *[F.coalesce(F.sum(f"_{c}").over(over_cuts), F.lit(0)).alias(f"_{c}") for c in sums],
+    placed = cut(
+        df.repartitionByRange(_partitions(df), *[F.col(k) for k in keys], F.col(value))
+        .withColumn("_run", F.spark_partition_id())
     )
-    inside = Window.partitionBy(*keys, "_cut").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    over_runs = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "_run").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    earlier = totals.select(*keys, "_run", *[F.coalesce(F.sum(f"_{c}").over(over_runs), F.lit(0)).alias(f"_{c}") for c in sums])
+    inside = Window.partitionBy("_run", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        placed.select(
-            *df.columns, "_cut",
-            *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in sums],
-        )
-        .join(earlier, [*keys, "_cut"])
+        placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in sums])
+        .join(earlier, [*keys, "_run"])
         .select(*df.columns, *[(F.col(f"_in_{c}") + F.col(f"_{c}")).alias(f"{c}_before") for c in sums])
     )
 
@@ -98,8 +80,11 @@ def dense_ids(df: DataFrame, key: str, name: str = "new_id") -> DataFrame:
 def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str | None = None
 ) -> DataFrame:
-    """T2, T7. First ``k`` rows of every key."""
+    """T2, T7. First ``k`` rows of every key; ``order`` has to end in a unique column."""
     rank = name or "_rank"
+    if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        kept = ranked(df, keys, order, rank).filter(F.col(rank) <= k)
+        return kept if name else kept.drop(rank)
     window = Window.partitionBy(*keys).orderBy(*order)
     kept = df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
     return kept if name else kept.drop(rank)
