@@ -9,6 +9,17 @@ NO_GENE_FOUND = "No_Gene_Found"
 NO_ENTREZ_FOUND = "No_Entrez_Found"
 
 
+def hashed(seed: int, *keys: Column | str) -> Column:
+    """A number below 2^52 from the first 13 hexadecimal digits of the MD5 of seed and keys, joined by ``|``."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
+def hashed_unit(seed: int, *keys: Column | str) -> Column:
+    """A number in [0, 1) from ``hashed``."""
+    return hashed(seed, *keys) / float(1 << 52)
+
+
 def prize(x: Column) -> Column:
     """P1. Score to prize."""
     return x * x

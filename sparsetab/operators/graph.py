@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparsetab.functions.scalar import hashed_unit
 from sparsetab.lineage import cut, cut_count
 from sparsetab.operators.ranking import ranked
 from sparsetab.operators.relational import edges_within, symmetric
@@ -56,7 +57,7 @@ def add_root(edges: DataFrame, nodes: DataFrame, root: int, gamma: float) -> Dat
 
 def random_costs(edges: DataFrame, seed: int) -> DataFrame:
     """G3. Costs in [1, 2) drawn from a hash of the edge, equal on every run."""
-    unit = F.pmod(F.xxhash64(F.lit(seed), KEY, "src", "dst"), F.lit(1 << 30)) / float(1 << 30)
+    unit = hashed_unit(seed, KEY, "src", "dst")
     return edges.withColumn("cost", 1.0 + unit)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparsetab.functions.scalar import hashed_unit
 from sparsetab.operators.ranking import ranked
 from sparsetab.operators.relational import attach_row
 
@@ -82,5 +83,5 @@ def contiguous_folds(rows: DataFrame, k: int, per_fold: int, row: str = "row_id"
 
 def validation_split(rows: DataFrame, share: float, seed: int, keys: Sequence[str], row: str = "row_id") -> DataFrame:
     """C9. Disjoint training and validation rows of every trial, drawn by hash."""
-    unit = F.pmod(F.xxhash64(F.lit(seed), *keys, row), F.lit(1 << 30)) / float(1 << 30)
+    unit = hashed_unit(seed, *keys, row)
     return rows.withColumn("role", F.when(unit < share, "validation").otherwise("train"))

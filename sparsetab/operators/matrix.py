@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparsetab.functions.scalar import hashed
 from sparsetab.operators.relational import attach_row
 
 MAX_GRAM_COLUMNS = 5_000
@@ -126,7 +127,7 @@ def row_blocks(rows: DataFrame, total: Column, b: Column, row: str = "row_id") -
 
 def chosen_block(seed: int, epoch: Column, step: Column, num_blocks: Column, *keys: str) -> Column:
     """M5. Block drawn with replacement, the same on every run."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], epoch, step), num_blocks)
+    return F.pmod(hashed(seed, *keys, epoch, step), num_blocks)
 
 
 # -- sums of vectors and outer products --------------------------------------

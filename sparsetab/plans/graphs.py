@@ -30,12 +30,13 @@ def g1_full(spark, sf):
     return G.full_lattice(tall, 64, F.col("h"))
 
 
-@query("g2_add_root", f"WITH {EDGES} SELECT problem_id, src, dst, cost FROM edges UNION ALL SELECT DISTINCT problem_id, -1, a, 1.1::DOUBLE FROM both_ends")
+@query("g2_add_root", f"WITH {EDGES} SELECT problem_id, src, dst, cost FROM edges UNION ALL SELECT problem_id, -1, node, 1.1::DOUBLE FROM pz")
 def g2(spark, sf):
     return G.add_root(graph_edges(spark, sf), graph_nodes(spark, sf), -1, 0.1)
 
 
-@query("g3_random_costs", None)
+@query("g3_random_costs", f"""WITH {EDGES} SELECT problem_id, src, dst,
+1.0::DOUBLE + CAST('0x' || substr(md5(concat_ws('|', '5', problem_id, src, dst)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS cost FROM edges""")
 def g3(spark, sf):
     return G.random_costs(graph_edges(spark, sf), 5)
 
@@ -83,8 +84,6 @@ def g7(spark, sf):
 @query("a8_forest_totals", f"""{_MSF}, f AS (SELECT * FROM edges ANTI JOIN cyc USING (problem_id, src, dst)),
 reach(problem_id, node, other) AS (SELECT DISTINCT problem_id, a, a FROM both_ends UNION SELECT r.problem_id, r.node, e.b FROM reach r JOIN both_ends e ON e.problem_id = r.problem_id AND e.a = r.other),
 comps AS (SELECT problem_id, node, min(other) AS comp FROM reach GROUP BY 1, 2),
-pz AS (SELECT problem_id, node, sum(v) / 1000 AS prize FROM (SELECT date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS problem_id, 2 * l_partkey AS node, l_extendedprice AS v FROM lineitem
-  UNION ALL SELECT date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)), 2 * l_suppkey + 1, l_extendedprice FROM lineitem) GROUP BY 1, 2),
 tp AS (SELECT problem_id, comp, sum(prize) AS prize, count(*) AS size FROM comps JOIN pz USING (problem_id, node) GROUP BY 1, 2),
 tc AS (SELECT f.problem_id, comp, sum(cost) AS cost FROM f JOIN comps c ON c.problem_id = f.problem_id AND c.node = f.src GROUP BY 1, 2)
 SELECT problem_id, comp, round(prize, 5) AS prize, size, cost, round(prize / cost, 11) AS ratio FROM tp JOIN tc USING (problem_id, comp)""")
@@ -120,7 +119,7 @@ def g10(spark, sf):
     return G.walked_edges(edges, walks.select("problem_id", F.inline("walked"))).select("problem_id", "src", "dst", "walked")
 
 
-_HIGH = "n AS (SELECT date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS problem_id, 2 * l_partkey AS node, sum(l_extendedprice) / 1000 AS x FROM lineitem GROUP BY 1, 2)"
+_HIGH = EDGES + ", n AS (SELECT problem_id, node, prize AS x FROM pz)"
 
 
 @query("g18_projected_vector", f"WITH {_HIGH} SELECT problem_id, node, round(x, 5) AS x FROM n WHERE node IN (SELECT 2 * p_partkey FROM part WHERE p_size <= 25)")
@@ -140,7 +139,7 @@ def g19(spark, sf):
     return G.detected_subgraph(parts.unionByName(supp), edges)
 
 
-# -- prize-collecting subgraphs, one problem per ship day -------------------------------------
+# -- prize-collecting subgraphs, one problem per month -------------------------------------
 
 @query("g11_prize_collecting", None)
 def g11(spark, sf):
@@ -165,17 +164,17 @@ def g13(spark, sf):
 
 @query("g14_size_band", None)
 def g14(spark, sf):
-    return FO.size_band(graph_edges(spark, sf), graph_nodes(spark, sf), 3, 4, max_rounds=2)
+    return FO.size_band(graph_edges(spark, sf), graph_nodes(spark, sf), 3, 4)
 
 
 @query("g15_cost_head", None)
 def g15(spark, sf):
-    return FO.cost_head(graph_edges(spark, sf), graph_nodes(spark, sf), budget=20.0, max_rounds=2)
+    return FO.cost_head(graph_edges(spark, sf), graph_nodes(spark, sf), budget=20.0)
 
 
 @query("g16_cost_tail", None)
 def g16(spark, sf):
-    return FO.cost_tail(graph_edges(spark, sf), graph_nodes(spark, sf), budget=10.0, nu=4.0, max_rounds=2)
+    return FO.cost_tail(graph_edges(spark, sf), graph_nodes(spark, sf), budget=10.0, nu=4.0)
 
 
 @query("g17_budget_trim", None)
@@ -221,14 +220,14 @@ def l5(spark, sf):
 @query("l6_graph_iht", None)
 def l6(spark, sf):
     rows = matrix_rows(spark, sf)
-    return _out(L.iht(L.GramDesign.of(rows), _jobs(rows, lr=1e-3), 8, 1, graph=L.Graph(_column_grid(rows), rounds=2)))
+    return _out(L.iht(L.GramDesign.of(rows), _jobs(rows, lr=1e-3), 8, 1, graph=L.Graph(_column_grid(rows), rounds=4)))
 
 
 @query("l7_graph_stochastic_iht", None)
 def l7(spark, sf):
     rows = matrix_rows(spark, sf)
     design = L.GramDesign.of(rows, b=2000)
-    return _out(L.iht(design, _jobs(rows, lr=1e-3), 8, 1, stochastic=True, seed=1, graph=L.Graph(_column_grid(rows), rounds=2)))
+    return _out(L.iht(design, _jobs(rows, lr=1e-3), 8, 1, stochastic=True, seed=1, graph=L.Graph(_column_grid(rows), rounds=4)))
 
 
 @query("l8_normalised_iht", None)
@@ -246,7 +245,7 @@ def l9(spark, sf):
 @query("l10_graph_cosamp", None)
 def l10(spark, sf):
     rows = matrix_rows(spark, sf)
-    return _out(L.cosamp(L.GramDesign.of(rows), _jobs(rows), 8, 1, graph=L.Graph(_column_grid(rows), rounds=2)))
+    return _out(L.cosamp(L.GramDesign.of(rows), _jobs(rows), 8, 1, graph=L.Graph(_column_grid(rows), rounds=4)))
 
 
 @query("l11_balanced_iht", None)
@@ -258,7 +257,7 @@ def l11(spark, sf):
 @query("l12_graph_balanced_iht", None)
 def l12(spark, sf):
     rows = matrix_rows(spark, sf)
-    return _out(L.balanced_iht(rows, _jobs(rows, lam=1e-3), 8, 1, graph=L.Graph(_column_grid(rows), rounds=2)))
+    return _out(L.balanced_iht(rows, _jobs(rows, lam=1e-3), 8, 1, graph=L.Graph(_column_grid(rows), rounds=4)))
 
 
 def _lam_jobs(rows, grid):

@@ -1,8 +1,7 @@
 """Input tables of the registered queries, in Spark and as SQL text.
 
 Matrix: ``embeddings`` with one row per vector; class +1 for labels below 5.
-Graph: parts and suppliers joined by the lines of one ship day, a problem per
-day.  Trials: ``events`` with the event type as method and the day as ``n``.
+Graph: parts joined by the orders that hold both, a problem per month.  Trials: ``events`` with the event type as method and the day as ``n``.
 Every input covers its whole table.
 """
 
@@ -14,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparsetab.lineage import shared_dir
+from sparsetab.operators.relational import attach_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,9 +60,10 @@ def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One problem per label: its vectors against all others."""
-    labels = F.array(*[F.lit(v).cast("long") for v in range(10)])
-    return table(spark, sf_dir, "embeddings").select(
-        F.explode(labels).alias("problem_id"), F.col("vec_id").alias("row_id"),
+    rows = table(spark, sf_dir, "embeddings")
+    labels = rows.agg(F.array_sort(F.collect_set(F.col("label").cast("long"))).alias("labels"))
+    return attach_row(rows, labels).select(
+        F.explode("labels").alias("problem_id"), F.col("vec_id").alias("row_id"),
         F.col("embedding").cast("array<double>").alias("x"), "label",
     ).withColumn("y", F.when(F.col("label") == F.col("problem_id"), 1.0).otherwise(-1.0)).drop("label")
 
@@ -82,28 +83,37 @@ resp AS (SELECT vec_id AS row_id, CASE WHEN label < 5 THEN 1.0::DOUBLE ELSE -1.0
 
 # -- graph -----------------------------------------------------------------------
 
-def _day():
-    return F.unix_date(F.to_date("l_shipdate")).cast("long").alias("problem_id")
+def _bought(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with the month of their order; parts are nodes with even ids."""
+    line, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    day = F.to_date("o_orderdate")
+    return line.join(order.select("o_orderkey", day.alias("_day")), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        (12 * F.year("_day") + F.month("_day")).cast("long").alias("problem_id"), "l_orderkey", (F.col("l_partkey") * 2).alias("node"),
+        "l_quantity", "l_extendedprice")
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part-supplier edges of every ship day; parts have even ids, suppliers odd ones."""
-    line = table(spark, sf_dir, "lineitem")
-    part, supplier = F.col("l_partkey") * 2, F.col("l_suppkey") * 2 + 1
-    return line.groupBy(_day(), F.least(part, supplier).alias("src"), F.greatest(part, supplier).alias("dst")).agg(
-        F.min("l_quantity").alias("cost"))
+    """Parts bought in one order, a problem for each month; an order of many parts is a clique, so there are cycles.
+
+    The cost of an edge is the least quantity that either part was bought in; an
+    order has at most a handful of lines, so the pairs of an order are few.
+    """
+    line = _bought(spark, sf_dir)
+    other = line.select(F.col("l_orderkey").alias("_order"), F.col("node").alias("dst"), F.col("l_quantity").alias("_quantity"))
+    return line.join(other, (F.col("l_orderkey") == F.col("_order")) & (F.col("node") < F.col("dst"))).groupBy(
+        "problem_id", F.col("node").alias("src"), "dst").agg(F.min(F.least("l_quantity", "_quantity")).alias("cost"))
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prize of a node: value of its lines on that day, in units of 1000."""
-    line = table(spark, sf_dir, "lineitem")
-    ends = line.select(_day(), F.col("l_extendedprice").alias("v"), F.explode(F.array(F.col("l_partkey") * 2, F.col("l_suppkey") * 2 + 1)).alias("node"))
-    return ends.groupBy("problem_id", "node").agg((F.sum("v") / 1000).alias("prize"))
+    """Prize of a node: value of its lines in that month, in units of 1000; parts bought alone are nodes without an edge."""
+    return _bought(spark, sf_dir).groupBy("problem_id", "node").agg((F.sum("l_extendedprice") / 1000).alias("prize"))
 
 
-EDGES = """edges AS (SELECT date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS problem_id,
-  least(2 * l_partkey, 2 * l_suppkey + 1) AS src, greatest(2 * l_partkey, 2 * l_suppkey + 1) AS dst,
-  min(l_quantity) AS cost FROM lineitem GROUP BY ALL),
+EDGES = """bought AS (SELECT CAST(12 * year(CAST(o_orderdate AS DATE)) + month(CAST(o_orderdate AS DATE)) AS BIGINT) AS problem_id, l_orderkey, 2 * l_partkey AS node,
+  l_quantity, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+pz AS (SELECT problem_id, node, sum(l_extendedprice) / 1000 AS prize FROM bought GROUP BY 1, 2),
+edges AS (SELECT a.problem_id, a.node AS src, b.node AS dst, min(least(a.l_quantity, b.l_quantity)) AS cost
+  FROM bought a JOIN bought b ON a.l_orderkey = b.l_orderkey AND a.node < b.node GROUP BY ALL),
 both_ends AS (SELECT problem_id, src AS a, dst AS b, cost FROM edges UNION ALL SELECT problem_id, dst, src, cost FROM edges)"""
 
 COMPONENTS = EDGES + """,

@@ -38,7 +38,9 @@ def m4(spark, sf):
     return placed.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("total"))
 
 
-@query("m5_block_choice", None)
+@query("m5_block_choice", """WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+SELECT user_id, n, epoch, step, CASE WHEN n >= 8 THEN CAST('0x' || substr(md5(concat_ws('|', '7', user_id, epoch, step)), 1, 13) AS BIGINT) % CAST(floor(n / 8) AS BIGINT) END AS block
+FROM u, (SELECT unnest([0, 1])::INTEGER AS epoch), (SELECT unnest([0, 1, 2, 3])::INTEGER AS step)""")
 def m5(spark, sf):
     users = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     steps = R.parameter_grid(users, {"epoch": [0, 1], "step": [0, 1, 2, 3]})
@@ -185,7 +187,8 @@ def c8(spark, sf):
     return C.contiguous_folds(table(spark, sf, "orders").select("o_orderkey"), 5, 1000, "o_orderkey")
 
 
-@query("c9_validation_split", None)
+@query("c9_validation_split", """SELECT user_id AS trial, event_id AS row_id,
+CASE WHEN CAST('0x' || substr(md5(concat_ws('|', '11', user_id, event_id)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < 0.2 THEN 'validation' ELSE 'train' END AS role FROM events""")
 def c9(spark, sf):
     rows = table(spark, sf, "events").select(F.col("user_id").alias("trial"), F.col("event_id").alias("row_id"))
     return C.validation_split(rows, 0.2, 11, ["trial"])
@@ -348,10 +351,10 @@ def x2(spark, sf):
     return best.select("method", "fold", "s", r6(F.col("auc"), "auc"), F.round("acc", 4).alias("acc"), r6(F.col("bacc"), "bacc"))
 
 
-@query("x3_trial_matrix", f"WITH {TRIALS} SELECT user_id, method, " + ", ".join(f"round(avg(err) FILTER (n = {d}), 6) AS n{d}" for d in range(1, 31)) + " FROM trials GROUP BY 1, 2")
+@query("x3_trial_matrix", f"WITH {TRIALS} SELECT user_id, method, " + ", ".join(f"round(avg(err) FILTER (n = {d}), 6) AS n{d}" for d in range(1, 32)) + " FROM trials GROUP BY 1, 2")
 def x3(spark, sf):
-    wide = X.trial_matrix(trials(spark, sf), ["user_id", "method"], "n", range(1, 31), F.round(F.avg("err"), 6))
-    return wide.withColumnsRenamed({str(d): f"n{d}" for d in range(1, 31)})
+    wide = X.trial_matrix(trials(spark, sf), ["user_id", "method"], "n", range(1, 32), F.round(F.avg("err"), 6))
+    return wide.withColumnsRenamed({str(d): f"n{d}" for d in range(1, 32)})
 
 
 @query("x4_recovery_probability", f"WITH {TRIMMED} SELECT method, n, round(avg(CASE WHEN err <= 20 THEN 1.0 ELSE 0.0 END), 6) AS prob, count(*) AS kept FROM kept GROUP BY 1, 2")
@@ -399,8 +402,7 @@ def x9(spark, sf):
 SELECT n, """ + ", ".join(f"round(max(mean) FILTER (method = '{m}'), 6) AS {m}_mean, round(max(sd) FILTER (method = '{m}'), 6) AS {m}_sd" for m in ("click", "error", "purchase", "signup", "view")) + " FROM m GROUP BY n")
 def x10(spark, sf):
     t = X.mean_sd_table(trials(spark, sf), "method", "n", "err")
-    names = ["click", "error", "purchase", "signup", "view"]
-    return t.groupBy("n").pivot("method", names).agg(r6(F.max("mean"), "mean"), r6(F.max("sd"), "sd"))
+    return t.groupBy("n").pivot("method").agg(r6(F.max("mean"), "mean"), r6(F.max("sd"), "sd"))
 
 
 @query("x11_related_genes", "SELECT DISTINCT l_returnflag AS method, p_partkey AS entrez, p_name AS gene FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_discount > 0 AND p_size > 40")

@@ -57,13 +57,13 @@ def s4(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("s5_tagged_lines", f"""WITH {EDGES} SELECT 'P ' || (SELECT count(*) FROM embeddings) || ' ' || (SELECT max(len(embedding)) FROM embeddings) || ' ' || (SELECT count(*) FROM edges) AS value
+@query("s5_tagged_lines", f"""WITH {EDGES} SELECT 'x_tr ' || array_to_string([printf('%.8f', CAST(x AS DOUBLE)) FOR x IN embedding], ' ') || CASE WHEN label < 5 THEN ' 1.0' ELSE ' -1.0' END AS value FROM embeddings
+UNION ALL SELECT 'P ' || (SELECT count(*) FROM embeddings) || ' ' || (SELECT max(len(embedding)) FROM embeddings) || ' ' || (SELECT count(*) FROM edges) AS value
 UNION ALL SELECT printf('E %d %d %.8f', src, dst, cost) FROM edges
 UNION ALL SELECT printf('N %d %.8f', p_partkey, p_retailprice) FROM part""")
 def s5(spark, sf):
     rows, edges, nodes = _tagged(spark, sf)
-    lines = SX.tagged_lines(rows, edges, nodes)
-    return lines.filter(~F.col("value").startswith("x_tr"))
+    return SX.tagged_lines(rows, edges, nodes)
 
 
 @query("s6_network_lines", """SELECT DISTINCT (2 * l_partkey)::VARCHAR AS value FROM lineitem
