@@ -221,7 +221,7 @@ class Graph:
     gamma: float = 0.1
     g: int = 1
     root: int | None = None
-    rounds: int = 3
+    rounds: int = 16
 
 
 # -- regression --------------------------------------------------------------------

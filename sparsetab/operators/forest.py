@@ -80,10 +80,11 @@ def forest_totals(nodes: DataFrame, forest: DataFrame, labels: DataFrame) -> Dat
     return totals.withColumn("ratio", ratio)
 
 
-def tree_messages(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame) -> tuple[DataFrame, DataFrame]:
+def tree_messages(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame, root: int | None = None) -> tuple[DataFrame, DataFrame]:
     """G12. Worth of every side of every tree edge, for all lambdas of a problem.
 
-    ``lambdas(problem_id, lam)``.  Returns the edges with both messages and, per
+    ``lambdas(problem_id, lam)``.  With a root, the side that holds it pays for
+    every edge; that is carried beside the worth (``r_*``), not added to it.  Returns the edges with both messages and, per
     node, the best payoff of a subtree holding it with its size and edge costs.  The
     number of sweeps follows the length of paying paths and not the tree size:
     a side that is not worth an edge sends 0.
@@ -91,10 +92,11 @@ def tree_messages(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame) -> tu
     lams = lambdas.select(KEY, "lam").distinct()
     edges = cut(
         forest.select(KEY, "src", "dst", "cost").join(lams, KEY).selectExpr(
-            KEY, "lam", "src", "dst", "cost * lam as c", "0D as to_dst", "0D as to_src", "0L as n_dst", "0L as n_src", "0D as k_dst", "0D as k_src"
+            KEY, "lam", "src", "dst", "cost * lam as c", "0D as to_dst", "0D as to_src", "0L as n_dst", "0L as n_src", "0D as k_dst", "0D as k_src", "0 as r_dst", "0 as r_src"
         )
     )
-    base = cut(nodes.select(KEY, "node", "prize").join(lams, KEY))
+    is_root = F.lit(0) if root is None else (F.col("node") == root).cast("int")
+    base = cut(nodes.select(KEY, "node", "prize", is_root.alias("r")).join(lams, KEY))
     changed = 1
     while changed:
         for _ in range(_SWEEPS):
@@ -107,45 +109,46 @@ def tree_messages(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame) -> tu
 def _payoffs(edges: DataFrame, base: DataFrame) -> DataFrame:
     arriving = edges.selectExpr(
         KEY, "lam",
-        "inline(array(struct(dst as node, to_dst as m, n_dst as n, k_dst as k), struct(src as node, to_src as m, n_src as n, k_src as k)))",
+        "inline(array(struct(dst as node, to_dst as m, n_dst as n, k_dst as k, r_dst as r), struct(src as node, to_src as m, n_src as n, k_src as k, r_src as r)))",
     )
-    own = base.selectExpr(KEY, "lam", "node", "prize as m", "1L as n", "0D as k")
+    own = base.selectExpr(KEY, "lam", "node", "prize as m", "1L as n", "0D as k", "r")
     return arriving.unionByName(own).groupBy(KEY, "lam", "node").agg(
-        F.sum("m").alias("payoff"), F.sum("n").alias("size"), F.sum("k").alias("spent")
+        F.sum("m").alias("payoff"), F.sum("n").alias("size"), F.sum("k").alias("spent"), F.sum("r").cast("int").alias("r")
     )
 
 
 def _sweep(edges: DataFrame, base: DataFrame) -> DataFrame:
     """New messages from the current ones: payoff of the sender without the receiver, minus the edge."""
     worth = _payoffs(edges, base)
-    at_src = worth.selectExpr(KEY, "lam", "node as src", "payoff as _ps", "size as _ns", "spent as _ks")
-    at_dst = worth.selectExpr(KEY, "lam", "node as dst", "payoff as _pd", "size as _nd", "spent as _kd")
+    at_src = worth.selectExpr(KEY, "lam", "node as src", "payoff as _ps", "size as _ns", "spent as _ks", "r as _rs")
+    at_dst = worth.selectExpr(KEY, "lam", "node as dst", "payoff as _pd", "size as _nd", "spent as _kd", "r as _rd")
     gains = edges.join(at_src, [KEY, "lam", "src"]).join(at_dst, [KEY, "lam", "dst"]).selectExpr(
-        KEY, "lam", "src", "dst", "c", "to_dst as old_d", "to_src as old_s", "n_dst as old_nd", "n_src as old_ns",
+        KEY, "lam", "src", "dst", "c", "to_dst as old_d", "to_src as old_s", "n_dst as old_nd", "n_src as old_ns", "r_dst as old_rd", "r_src as old_rs",
         "_ps - to_src - c as gd", "_pd - to_dst - c as gs", "1e-12 * (abs(_ps) + c) as fd", "1e-12 * (abs(_pd) + c) as fs",
-        "_ns - n_src as nd", "_nd - n_dst as ns", "_ks - k_src + c as kd", "_kd - k_dst + c as ks",
+        "_ns - n_src as nd", "_nd - n_dst as ns", "_ks - k_src + c as kd", "_kd - k_dst + c as ks", "_rs - r_src as rd", "_rd - r_dst as rs",
     )
+    pays_d, pays_s = "(gd > fd or rd > 0)", "(gs > fs or rs > 0)"
     fresh = gains.selectExpr(
-        KEY, "lam", "src", "dst", "c", "if(gd > fd, gd, 0D) as to_dst", "if(gs > fs, gs, 0D) as to_src",
-        "if(gd > fd, nd, 0L) as n_dst", "if(gs > fs, ns, 0L) as n_src", "if(gd > fd, kd, 0D) as k_dst",
-        "if(gs > fs, ks, 0D) as k_src", "old_d", "old_s", "old_nd", "old_ns",
+        KEY, "lam", "src", "dst", "c", f"if({pays_d}, gd, 0D) as to_dst", f"if({pays_s}, gs, 0D) as to_src",
+        f"if({pays_d}, nd, 0L) as n_dst", f"if({pays_s}, ns, 0L) as n_src", f"if({pays_d}, kd, 0D) as k_dst",
+        f"if({pays_s}, ks, 0D) as k_src", "rd as r_dst", "rs as r_src", "old_d", "old_s", "old_nd", "old_ns", "old_rd", "old_rs",
     )
     return fresh.selectExpr(
-        KEY, "lam", "src", "dst", "c", "to_dst", "to_src", "n_dst", "n_src", "k_dst", "k_src",
-        "abs(to_dst - old_d) > 1e-9 * to_dst or abs(to_src - old_s) > 1e-9 * to_src"
-        " or n_dst <> old_nd or n_src <> old_ns as changed",
+        KEY, "lam", "src", "dst", "c", "to_dst", "to_src", "n_dst", "n_src", "k_dst", "k_src", "r_dst", "r_src",
+        "abs(to_dst - old_d) > 1e-9 * abs(to_dst) or abs(to_src - old_s) > 1e-9 * abs(to_src)"
+        " or n_dst <> old_nd or n_src <> old_ns or r_dst <> old_rd or r_src <> old_rs as changed",
     )
 
 
 def kept_edges(messages: DataFrame) -> DataFrame:
     """Tree edges both sides pay for."""
-    return messages.filter((F.col("to_dst") > 0) & (F.col("to_src") > 0))
+    return messages.filter(((F.col("to_dst") > 0) | (F.col("r_dst") > 0)) & ((F.col("to_src") > 0) | (F.col("r_src") > 0)))
 
 
 def _best_nodes(payoffs: DataFrame) -> DataFrame:
-    """Node of largest payoff per problem and lambda, the least id on ties."""
+    """Node of largest payoff per problem and lambda, with the root if there is one; the least id on ties."""
     return payoffs.groupBy(KEY, "lam").agg(
-        F.min_by(F.struct("node", "size", "payoff", "spent"), F.struct(-F.col("payoff"), "node")).alias("_b")
+        F.min_by(F.struct("node", "size", "payoff", "spent", "r"), F.struct(-F.col("r"), -F.col("payoff"), "node")).alias("_b")
     ).select(KEY, "lam", "_b.*")
 
 
@@ -161,27 +164,17 @@ def _trees(messages: DataFrame, payoffs: DataFrame) -> DataFrame:
     return labels.select(F.col(f"{KEY}.lam").alias("lam"), F.col(f"{KEY}.{KEY}").alias(KEY), "node", "comp")
 
 
-def _tree_values(trees: DataFrame, messages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Payoff and size of every kept tree."""
-    prizes = trees.join(nodes.select(KEY, "node", "prize"), [KEY, "node"]).selectExpr(
-        KEY, "lam", "comp", "prize", "1L as size", "0D as spent"
+def _tree_values(trees: DataFrame, messages: DataFrame, nodes: DataFrame, root: int | None = None) -> DataFrame:
+    """Payoff and size of every kept tree, and whether it holds the root."""
+    is_root = F.lit(0) if root is None else (F.col("node") == root).cast("int")
+    prizes = trees.join(nodes.select(KEY, "node", "prize"), [KEY, "node"]).withColumn("r", is_root).selectExpr(
+        KEY, "lam", "comp", "prize", "1L as size", "0D as spent", "r"
     )
     costs = kept_edges(messages).join(trees.withColumnRenamed("node", "src"), [KEY, "lam", "src"]).selectExpr(
-        KEY, "lam", "comp", "-c as prize", "0L as size", "c as spent"
+        KEY, "lam", "comp", "-c as prize", "0L as size", "c as spent", "0 as r"
     )
     return prizes.unionByName(costs).groupBy(KEY, "lam", "comp").agg(
-        F.sum("prize").alias("payoff"), F.sum("size").alias("size"), F.sum("spent").alias("spent")
-    )
-
-
-def _rooted(nodes: DataFrame, forest: DataFrame, lambdas: DataFrame, root: int) -> DataFrame:
-    """Nodes with a root prize no payoff can outweigh, so the best tree holds the root."""
-    prize = nodes.groupBy(KEY).agg(F.sum("prize").alias("_p"))
-    cost = forest.groupBy(KEY).agg(F.sum("cost").alias("_c"))
-    lam = lambdas.groupBy(KEY).agg(F.max("lam").alias("_l"))
-    big = prize.join(cost, KEY, "left").join(lam, KEY).select(KEY, (F.col("_p") + F.coalesce("_c", F.lit(0.0)) * F.col("_l") + 1.0).alias("_big"))
-    return nodes.join(big, KEY).select(
-        KEY, "node", F.when(F.col("node") == root, F.col("prize") + F.col("_big")).otherwise(F.col("prize")).alias("prize")
+        F.sum("prize").alias("payoff"), F.sum("size").alias("size"), F.sum("spent").alias("spent"), F.max("r").alias("r")
     )
 
 
@@ -189,18 +182,17 @@ def select_trees(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame, g: int
     """G11-G13. Best ``g`` pruned trees per problem and lambda.
 
     Returns ``support(problem_id, lam, node, comp)`` and the kept tree edges.
-    With a root, the one tree that holds it is returned.
+    With a root, the one tree that holds it is returned; a problem without that
+    node is treated as if no root were given.
     """
-    if root is not None:
-        nodes, g = _rooted(nodes, forest, lambdas, root), 1
-    messages, payoffs = tree_messages(forest, nodes, lambdas)
-    return _best_trees(messages, cut(payoffs), nodes, g)
+    messages, payoffs = tree_messages(forest, nodes, lambdas, root)
+    return _best_trees(messages, cut(payoffs), nodes, g if root is None else 1, root)
 
 
-def _best_trees(messages: DataFrame, payoffs: DataFrame, nodes: DataFrame, g: int) -> tuple[DataFrame, DataFrame]:
+def _best_trees(messages: DataFrame, payoffs: DataFrame, nodes: DataFrame, g: int, root: int | None = None) -> tuple[DataFrame, DataFrame]:
     trees = cut(_trees(messages, payoffs))
-    values = _tree_values(trees, messages, nodes)
-    best = top_k(values, [KEY, "lam"], [F.col("payoff").desc(), F.col("comp")], g)
+    values = _tree_values(trees, messages, nodes, root)
+    best = top_k(values, [KEY, "lam"], [F.col("r").desc(), F.col("payoff").desc(), F.col("comp")], g)
     support = trees.join(best.select(KEY, "lam", "comp"), [KEY, "lam", "comp"], "left_semi").select(KEY, "lam", "node", "comp")
     edges = kept_edges(messages)
     for end in ("src", "dst"):
@@ -224,9 +216,9 @@ def unpruned(edges: DataFrame, chosen: DataFrame, whole_trees: bool = True) -> D
 
 # -- searches over lambda ----------------------------------------------------
 
-def _scores(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame, g: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _scores(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame, g: int, root: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages, payoffs, and per lambda the size, cost and prize of the best ``g`` trees."""
-    messages, payoffs = tree_messages(forest, nodes, lambdas)
+    messages, payoffs = tree_messages(forest, nodes, lambdas, root)
     payoffs = cut(payoffs)
     if g == 1:
         best = _best_nodes(payoffs)
@@ -255,62 +247,78 @@ def first_guess(nodes: DataFrame, s_low: int, s_high: int) -> DataFrame:
 
 def size_band(
     edges: DataFrame, nodes: DataFrame, s_low: int, s_high: int, g: int = 1, root: int | None = None,
-    max_rounds: int = 6, per_round: int = 8,
+    max_rounds: int = 16, per_round: int = 8,
 ) -> DataFrame:
-    """G14. Support whose size lies between ``s_low`` and ``s_high``.
+    """G14. Support whose size lies between ``s_low`` and ``s_high``: ``(problem_id, node, in_band)``.
 
     Lambda doubles from a first guess until the size is at most ``s_high``; the
     gap below is then divided until a size falls into the band.  One job scores
-    ``per_round`` values of lambda for all problems.  If no size falls into the
-    band, the smallest lambda seen with a size of at most ``s_high`` is used.
+    ``per_round`` values of lambda for all problems.  A problem is given up when
+    its values of lambda cannot be told apart, when even the largest that
+    matters leaves too many nodes, or the smallest too few; it is then returned
+    for the smallest lambda seen with a size of at most ``s_high`` (else the
+    largest tried), with ``in_band`` false.  Every problem that has a node is
+    returned.
     """
     return _search(edges, nodes, s_low, s_high, g, root, max_rounds, per_round)[0]
 
 
-def size_band_with_edges(edges, nodes, s_low, s_high, g=1, root=None, max_rounds=6, per_round=8):
+def size_band_with_edges(edges, nodes, s_low, s_high, g=1, root=None, max_rounds=16, per_round=8):
     """G14 with the kept tree edges of the chosen support."""
     return _search(edges, nodes, s_low, s_high, g, root, max_rounds, per_round)
 
 
 def _search(edges, nodes, s_low, s_high, g, root, max_rounds, per_round):
     s_high = max(s_high, s_low)
+    g = g if root is None else 1
     nodes = cut(nodes.select(KEY, "node", "prize"))
     forest = cut(spanning_forest(prize_order(edges, nodes), ["cost", "low_prize"]))
-    limits = nodes.groupBy(KEY).agg(F.least(F.lit(s_high), F.greatest(F.count(F.lit(1)) - 1, F.lit(1))).alias("s_high"))
-    state = cut(first_guess(nodes, s_low, s_high).join(limits, KEY).select(
-        KEY, "s_high", "guess", F.lit(0.0).alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("double").alias("lam")
+    limits = nodes.groupBy(KEY).agg(
+        F.least(F.lit(s_high), F.greatest(F.count(F.lit(1)) - 1, F.lit(1))).alias("s_high"),
+        F.sum("prize").alias("_all"), F.min(F.when(F.col("prize") > 0, F.col("prize"))).alias("_least"))
+    costs = forest.groupBy(KEY).agg(F.min(F.when(F.col("cost") > 0, F.col("cost"))).alias("_edge"), F.sum("cost").alias("_edges"))
+    # beyond ``cap`` no edge with a cost is paid for; below ``floor`` every edge between paid sides is
+    state = cut(first_guess(nodes, s_low, s_high).join(limits, KEY).join(costs, KEY, "left").select(
+        KEY, "s_high", "guess", F.greatest("guess", F.coalesce(2.0 * F.col("_all") / F.col("_edge"), F.lit(0.0))).alias("cap"),
+        F.coalesce(F.col("_least") / F.nullif(F.col("_edges"), F.lit(0.0)), F.lit(float("inf"))).alias("floor"),
+        F.lit(0.0).alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("double").alias("lam"), F.lit(False).alias("done"),
     ))
     steps = F.sequence(F.lit(0), F.lit(per_round - 1))
     seen = []
     for round_no in range(max_rounds):
-        doubling = F.col("guess") * F.pow(F.lit(2.0), (F.col("k") + round_no * per_round).cast("double"))
+        doubling = F.least("cap", F.col("guess") * F.pow(F.lit(2.0), (F.col("k") + round_no * per_round).cast("double")))
         between = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("k") + 1) / (per_round + 1)
-        grid = state.filter("lam is null").withColumn("k", F.explode(steps)).select(
+        grid = cut(state.filter("not done").withColumn("k", F.explode(steps)).select(
             KEY, F.when(F.col("hi").isNull(), doubling).otherwise(between).alias("lam")
-        )
-        grid = cut(grid)
+        ).distinct())
         open_nodes = nodes.join(grid.select(KEY).distinct(), KEY, "left_semi")
         open_forest = forest.join(grid.select(KEY).distinct(), KEY, "left_semi")
-        search_nodes = _rooted(open_nodes, open_forest, grid, root) if root is not None else open_nodes
-        messages, payoffs, sizes = _scores(open_forest, search_nodes, grid, 1 if root is not None else g)
+        messages, payoffs, sizes = _scores(open_forest, open_nodes, grid, g, root)
         seen.append((messages, payoffs))
-        scored = sizes.join(state.select(KEY, "s_high"), KEY).groupBy(KEY).agg(
-            F.min_by(F.when((F.col("size") <= F.col("s_high")) & (F.col("size") >= s_low), F.col("lam")),
-                     F.when((F.col("size") <= F.col("s_high")) & (F.col("size") >= s_low), F.struct(-F.col("size"), "lam"))).alias("_hit"),
+        in_band = (F.col("size") <= F.col("s_high")) & (F.col("size") >= s_low)
+        scored = sizes.join(state.select(KEY, "s_high", "cap"), KEY).groupBy(KEY).agg(
+            F.min_by(F.when(in_band, F.col("lam")), F.when(in_band, F.struct(-F.col("size"), "lam"))).alias("_hit"),
             F.max(F.when(F.col("size") > F.col("s_high"), F.col("lam"))).alias("_lo"),
             F.min(F.when(F.col("size") < s_low, F.col("lam"))).alias("_small"),
+            F.max(F.when((F.col("size") > F.col("s_high")) & (F.col("lam") >= F.col("cap")), F.col("lam"))).alias("_stuck"),
         )
-        state = cut(state.join(scored, KEY, "left").select(
-            KEY, "s_high", "guess",
+        moved = state.join(scored, KEY, "left").select(
+            KEY, "s_high", "guess", "cap", "floor", "done", "_stuck",
             F.greatest("lo", F.coalesce(F.when(F.col("_lo") < F.coalesce("_small", F.col("_lo") + 1), F.col("_lo")), F.col("lo"))).alias("lo"),
             F.coalesce("_small", "hi").alias("hi"), F.coalesce("lam", "_hit").alias("lam"),
-        ))
-        if state.filter("lam is null").isEmpty():
+        )
+        over = F.col("hi").isNotNull() & ((F.col("hi") <= F.col("floor")) | (F.col("hi") - F.col("lo") <= 1e-9 * F.col("hi")))
+        state, left = cut_count(moved.select(
+            KEY, "s_high", "guess", "cap", "floor", "lo", F.coalesce("hi", "_stuck").alias("hi"), "lam",
+            (F.col("done") | F.col("lam").isNotNull() | F.col("_stuck").isNotNull() | over).alias("done")), "not done")
+        if not left:
             break
-    chosen = cut(state.select(KEY, F.coalesce("lam", "hi").alias("lam")).filter("lam is not null"))
-    messages = _rows_of(chosen, [m for m, _ in seen])
-    payoffs = _rows_of(chosen, [p for _, p in seen])
-    return _chosen_trees(messages, payoffs, nodes, chosen, 1 if root is not None else g)
+    last = F.least("cap", F.col("guess") * float(2 ** min(1000, max_rounds * per_round - 1)))
+    chosen = cut(state.select(KEY, F.coalesce("lam", "hi", last).alias("lam"), F.col("lam").isNotNull().alias("in_band")))
+    messages = _rows_of(chosen.select(KEY, "lam"), [m for m, _ in seen])
+    payoffs = _rows_of(chosen.select(KEY, "lam"), [p for _, p in seen])
+    support, kept = _chosen_trees(messages, payoffs, nodes, chosen, g, root)
+    return support.join(chosen.select(KEY, "in_band"), KEY), kept
 
 
 def _rows_of(chosen: DataFrame, rounds: list[DataFrame]) -> DataFrame:
@@ -322,29 +330,35 @@ def _rows_of(chosen: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     return both
 
 
-def _chosen_trees(messages: DataFrame, payoffs: DataFrame, nodes: DataFrame, chosen: DataFrame, g: int) -> tuple[DataFrame, DataFrame]:
+def _chosen_trees(messages: DataFrame, payoffs: DataFrame, nodes: DataFrame, chosen: DataFrame, g: int, root: int | None = None) -> tuple[DataFrame, DataFrame]:
     kept = kept_edges(messages)
     if g == 1:
         # Every node of the best tree has the best payoff, and nodes next to it have less.
         # Only exact ties break that; they show as a wrong size and take the general way.
-        best = _best_nodes(payoffs).select(KEY, "lam", F.col("size").alias("_size"), F.col("payoff").alias("_top"))
-        support = cut(payoffs.join(best, [KEY, "lam"]).filter("payoff >= _top - 1e-9 * abs(_top)").select(KEY, "lam", "node", "_size"))
+        best = _best_nodes(payoffs).select(KEY, "lam", F.col("size").alias("_size"), F.col("payoff").alias("_top"), F.col("r").alias("_r"))
+        support = cut(payoffs.join(best, [KEY, "lam"]).filter("r = _r and payoff >= _top - 1e-9 * abs(_top)").select(KEY, "lam", "node", "_size"))
         sizes = support.groupBy(KEY, "lam").agg(F.count(F.lit(1)).alias("_n"), F.first("_size").alias("_size"))
         if sizes.filter("_n != _size").isEmpty():
             ends = support.select(KEY, "lam", "node")
             for end in ("src", "dst"):
                 kept = kept.join(ends.withColumnRenamed("node", end), [KEY, "lam", end], "left_semi")
             return support.select(KEY, "node"), kept.select(KEY, "src", "dst")
-    support, kept = _best_trees(messages, payoffs, nodes, g)
+    support, kept = _best_trees(messages, payoffs, nodes, g, root)
     return support.select(KEY, "node"), kept.select(KEY, "src", "dst")
 
 
+def _without_prize(nodes: DataFrame) -> DataFrame:
+    """The least node of every problem in which no node has a prize: nothing else to choose by."""
+    return nodes.groupBy(KEY).agg(F.min("node").alias("node"), F.sum("prize").alias("_sum")).filter("coalesce(_sum, 0) <= 0").select(KEY, "node")
+
+
 def cost_head(edges: DataFrame, nodes: DataFrame, budget: float, g: int = 1, delta: float = 0.1, tol: float = 1e-6, max_rounds: int = 6, per_round: int = 8) -> DataFrame:
     """G15. Support of large prize whose forest costs at most ``2 * budget``.
 
     Lambda here scales prizes, so ``1 / lambda`` scales costs.  The search keeps
     the largest prize scale within the cost bound; the forest just beyond it is
-    trimmed to ``budget`` and the better of the two is returned.
+    trimmed to ``budget`` and the better of the two is returned.  A problem
+    without any prize gets its least node.
     """
     nodes = cut(nodes.select(KEY, "node", "prize"))
     forest = cut(spanning_forest(prize_order(edges, nodes), ["cost", "low_prize"]))
@@ -380,6 +394,8 @@ def cost_head(edges: DataFrame, nodes: DataFrame, budget: float, g: int = 1, del
             F.when(F.col("_top").isNull(), F.col("right")).when(F.col("_over").isNull(), F.coalesce(below, "right")).otherwise(F.col("_over")).alias("right"),
             "eps", F.lit(False).alias("first"),
         ))
+    if not seen:
+        return _without_prize(nodes)
     sides = cut(state.select(KEY, F.inline(F.array(
         F.struct(F.lit(0).alias("side"), (1.0 / F.col("left")).alias("lam")),
         F.struct(F.lit(1).alias("side"), (1.0 / F.col("right")).alias("lam"))))))
@@ -397,7 +413,7 @@ def cost_head(edges: DataFrame, nodes: DataFrame, budget: float, g: int = 1, del
     candidates = cut(whole.unionByName(fitted.select(f"{KEY}.{KEY}", f"{KEY}.side", "node")))
     best = candidates.join(nodes, [KEY, "node"]).groupBy(KEY, "side").agg(F.sum("prize").alias("prize")).groupBy(KEY).agg(
         F.min_by("side", F.struct(-F.col("prize"), "side")).alias("side"))
-    return candidates.join(best, [KEY, "side"], "left_semi").select(KEY, "node")
+    return candidates.join(best, [KEY, "side"], "left_semi").select(KEY, "node").unionByName(_without_prize(nodes))
 
 
 def cost_tail(edges: DataFrame, nodes: DataFrame, budget: float, nu: float, g: int = 1, tol: float = 1e-6, max_rounds: int = 6, per_round: int = 8) -> DataFrame:
@@ -405,6 +421,7 @@ def cost_tail(edges: DataFrame, nodes: DataFrame, budget: float, nu: float, g: i
 
     If no lambda gives such a cost, the cheapest forest above the band's lambda
     is returned; a forest within the bound that misses no prize is taken at once.
+    A problem without any prize gets its least node.
     """
     nodes = cut(nodes.select(KEY, "node", "prize"))
     forest = cut(spanning_forest(prize_order(edges, nodes), ["cost", "low_prize"]))
@@ -440,8 +457,11 @@ def cost_tail(edges: DataFrame, nodes: DataFrame, budget: float, nu: float, g: i
             KEY, "total", "start", F.greatest("low", F.coalesce("_over", "low")).alias("low"), F.coalesce("_under", "high").alias("high"), "eps",
             F.coalesce("lam", "_hit").alias("lam"),
         ))
+    if not seen:
+        return _without_prize(nodes)
     chosen = cut(state.select(KEY, F.coalesce("lam", "high").alias("lam")))
-    return _chosen_trees(_rows_of(chosen, [m for m, _ in seen]), _rows_of(chosen, [p for _, p in seen]), nodes, chosen, g)[0]
+    found = _chosen_trees(_rows_of(chosen, [m for m, _ in seen]), _rows_of(chosen, [p for _, p in seen]), nodes, chosen, g)[0]
+    return found.unionByName(_without_prize(nodes))
 
 
 def budget_trim(members: DataFrame, kept: DataFrame, budget: float) -> DataFrame:

@@ -159,6 +159,30 @@ def test_size_band_finds_blob(spark):
     assert supports(FO.size_band(edges, nodes, 6, 6))[0] == blob
 
 
+def test_size_band_returns_every_problem(spark):
+    """A path without costs and one without prizes stay, marked as out of band; a size on a lattice is met."""
+    edges = spark.createDataFrame([(0, i, i + 1, 0.0) for i in range(9)] + [(1, i, i + 1, 1.0) for i in range(4)], E_SCHEMA)
+    nodes = spark.createDataFrame([(0, i, 1.0) for i in range(10)] + [(1, i, 0.0) for i in range(5)] + [(2, 7, 3.0)], N_SCHEMA)
+    got = FO.size_band(edges, nodes, 3, 4).collect()
+    assert {r.problem_id for r in got} == {0, 1, 2} and not any(r.in_band for r in got)
+    rng = random.Random(4)
+    grid, prizes = lattice_frames(spark, 8, [rng.random() ** 3 for _ in range(64)])
+    band = FO.size_band(grid, prizes, 8, 9).collect()
+    assert all(r.in_band == (8 <= len(band) <= 9) for r in band) and 0 < len(band) <= 9
+    lone = spark.createDataFrame([(5, 1, 0.0), (5, 2, 0.0)], N_SCHEMA)
+    assert supports(FO.cost_head(edges.limit(0), lone, 1.0)) == supports(FO.cost_tail(edges.limit(0), lone, 1.0, 2.0)) == {5: {1}}
+
+
+def test_root_beside_a_large_prize(spark):
+    """The root's tree does not depend on prizes elsewhere; a root that pays nothing stays."""
+    edges = spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 2, 1.0), (1, 0, 1, 5.0), (1, 1, 2, 1.0)], E_SCHEMA)
+    nodes = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0005), (0, 2, 1.0005), (0, 9, 1e9), (1, 0, 0.0), (1, 1, 3.0), (1, 2, 3.0)], N_SCHEMA)
+    support, kept = FO.prize_collecting(edges, nodes, root=0)
+    assert supports(support)[0] == {0, 1, 2}
+    assert supports(support)[1] == {0}  # 6 - 1 - 5 = 0 does not pay for the edge
+    assert kept.filter("problem_id = 0").count() == 2
+
+
 def test_budget_searches(spark):
     """Two blobs far apart: a head within its cost bound, a tail inside its cost band."""
     prizes = [4.0 if i in (0, 1, 5, 6) else 2.0 if i in (22, 23, 24) else 0.1 for i in range(25)]
