@@ -8,7 +8,7 @@ is aggregated before the shuffle and joined by a plain equi-join of two tables,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sparsetab.lineage import cut
 
@@ -27,7 +27,15 @@ def _towards_least(links: DataFrame, larger: bool) -> DataFrame:
     else:
         out = moved.select(F.col("b").alias("a"), F.col("_least").alias("b")).unionByName(
             least.select(F.col("_a").alias("a"), F.col("_least").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
+
+
+def _is_done(state: DataFrame) -> bool:
+    """Whether every node hangs from one node, and that from none."""
+    ends = state.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        state.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.agg(F.coalesce(F.max(F.col("hangs") + F.col("holds") * F.least("hangs", F.lit(1))), F.lit(0))).first()[0] <= 1
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -35,15 +43,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Null ends and links of a node with itself are left out; links may repeat and point either way.
     """
-    state = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    print_ = None
-    while True:
-        seen = Observation()
-        state = cut(_towards_least(_towards_least(state, larger=True), larger=False).observe(
-            seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
-        now = (seen.get["n"], seen.get["h"])
-        if now == print_ or now[0] == 0:
-            break
-        print_ = now
+    state = cut(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a) != F.col(b)).distinct())
+    while not _is_done(state):
+        state = cut(_towards_least(_towards_least(state, larger=True), larger=False).distinct())
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
