@@ -33,6 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _private[context.applicationId]
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this session; frames that read them must not be used any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     spark = df.sparkSession
