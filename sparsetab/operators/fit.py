@@ -84,13 +84,17 @@ class GramDesign:
         return entry.join(rows, [P, "i"]).groupBy(*keys).agg(F.sum(F.col("v") * sparse_dot(F.col("g"), F.col("idx"), F.col("w"))).alias("energy"))
 
     def residual(self, state: DataFrame) -> DataFrame:
-        """Squared norm of ``y - X w`` over all rows; limited to the precision of the Gram form."""
+        """Squared norm of ``y - X w`` over all rows; limited to the precision of the Gram form.
+
+        What rounding leaves below 0 counts by its size, so it does not pass for a
+        perfect fit.
+        """
         entry = state.withColumn("_z", F.arrays_zip("idx", "w")).select(*JOB, "idx", "w", F.explode("_z").alias("_e")).select(*JOB, "idx", "w", F.col("_e.idx").alias("i"), F.col("_e.w").alias("v"))
         rows = self.table.filter(F.col("block") == FULL).select(P, "i", "g", "xty")
         change = entry.join(rows, [P, "i"]).groupBy(*JOB).agg(
             F.sum(F.col("v") * (sparse_dot(F.col("g"), F.col("idx"), F.col("w")) - 2 * F.col("xty"))).alias("_c"))
         base = state.select(*JOB).join(self.stats.select(P, "yy"), P).join(change, JOB, "left")
-        return base.select(*JOB, F.greatest(F.col("yy") + F.coalesce("_c", F.lit(0.0)), F.lit(0.0)).alias("rss"))
+        return base.select(*JOB, F.abs(F.col("yy") + F.coalesce("_c", F.lit(0.0))).alias("rss"))
 
     def normal_on(self, supports: DataFrame) -> DataFrame:
         """Normal equations limited to ``supports(keys, idx)``, one row per kept column."""
@@ -649,8 +653,8 @@ def active_set_lasso(design: GramDesign, jobs: DataFrame, groups: DataFrame, max
     Starts from the group of largest gradient and adds violating groups until
     none is left.  All jobs share the union of their active groups.
     """
-    fitted = cut(jobs.select(*JOB, "lam").withColumn("entries", F.expr("cast(array() as array<struct<group_id:int,col_id:int,w:double,z:double>>)")))
-    groups = groups.withColumn("group_id", F.col("group_id").cast("int"))
+    kind = groups.schema["group_id"].dataType.simpleString()
+    fitted = cut(jobs.select(*JOB, "lam").withColumn("entries", F.expr(f"cast(array() as array<struct<group_id:{kind},col_id:int,w:double,z:double>>)")))
     active = None
     for _ in range(max_rounds):
         norms = cut(squared_gradient(design, fitted).join(groups, "col_id").groupBy(*JOB, "lam", "group_id").agg(F.sqrt(F.sum(F.col("gradient") * F.col("gradient"))).alias("norm")))
