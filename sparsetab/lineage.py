@@ -14,10 +14,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _private: dict[str, str] = {}
+_folders: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,16 +36,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _private[context.applicationId]
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes the intermediate tables of this session; frames that read them must not be used any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+@contextmanager
+def folder(name: str) -> Iterator[None]:
+    """Tables cut inside go to a folder of their own, so that ``clear`` can take them away."""
+    _folders.append(name)
+    try:
+        yield
+    finally:
+        _folders.pop()
+
+
+def clear(spark: SparkSession, name: str = "") -> None:
+    """Deletes the intermediate tables of this session, or of one ``folder``; frames that read them must not be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path("/".join(p for p in (shared_dir(spark), spark.sparkContext.applicationId, name) if p))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = "/".join([shared_dir(spark), spark.sparkContext.applicationId, *_folders, uuid.uuid4().hex])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
