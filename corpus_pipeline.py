@@ -14,9 +14,12 @@ equal in id and text.  Columns beside those of ``documents`` pass through all st
 
 from __future__ import annotations
 
+import uuid
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparsetab.lineage import cut
+from sparsetab.lineage import clear, cut, folder
 from sparsetab.llm import language, minhash, mixing, pieces, queries, substrings
 
 LEAST_SCORE = 0.35
@@ -25,6 +28,27 @@ LEAST_SCORE = 0.35
 ORACLE_SQL = None
 
 
+_spent: list[str] = []
+
+
+def stage(function):
+    """A stage with a folder for its intermediate tables, which is deleted when the next stage begins.
+
+    By then the stage's result has been written and is read from there.
+    """
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _spent:
+            clear(spark, _spent.pop())
+        _spent.append(f"stage-{uuid.uuid4().hex}")
+        with folder(_spent[-1]):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = queries.spoken(spark, docs)
     others = [c for c in docs.columns if c != "text"]
@@ -33,10 +57,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.deduplicated(docs)
 
 
+@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of passages; ``n_chars`` follows the text."""
     left = substrings.dedup(docs, keep_first=True, layout=True).where(F.col("n_words") > F.col("n_removed")).select(
@@ -47,6 +73,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; good ones (by ``labels``) come first more often."""
     weights = queries.quality_weights(queries.table(spark, sf_dir, "labels"))
@@ -57,6 +84,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_pieces, ids, lossless``."""
     return queries.encoded(docs.select("doc_id", "source", "text"))
@@ -73,6 +101,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for _, function in STAGES[:-1]:
+        docs = cut(function(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
