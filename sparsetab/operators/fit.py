@@ -147,7 +147,9 @@ class RowDesign:
 
 # -- state ---------------------------------------------------------------------
 
-def _start(jobs: DataFrame) -> DataFrame:
+def _start(jobs: DataFrame, graph: "Graph | None" = None) -> DataFrame:
+    if graph is not None:
+        jobs = jobs.withColumn("in_band", F.lit(True))
     return jobs.withColumns({
         "idx": F.expr(NO_IDX), "w": F.expr(NO_W), "block": F.lit(FULL), "epochs": F.lit(0),
         "rss": F.lit(None).cast("double"), "done": F.lit(False),
@@ -207,14 +209,21 @@ def weights_of(fitted: DataFrame, keys: Sequence[str] = JOB) -> DataFrame:
 
 # -- projections -----------------------------------------------------------------
 
-def _graph_band(vector: DataFrame, value: str, edges: DataFrame, low: int, high: int, g: int, root: int | None, rounds: int) -> DataFrame:
-    """Entries of ``vector(job keys, col_id, value)`` on a connected support of ``low..high`` nodes."""
+def _graph_band(vector: DataFrame, value: str, edges: DataFrame, low: int, high: int, g: int, root: int | None, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Entries of ``vector(job keys, col_id, value)`` on a connected support of ``low..high`` nodes, and the jobs' ``in_band``."""
     key = F.struct(*JOB)
     nodes = vector.select(key.alias(P), F.col("col_id").cast("long").alias("node"), (F.col(value) * F.col(value)).alias("prize"))
     links = edges.join(vector.select(*JOB).distinct(), P).select(key.alias(P), "src", "dst", "cost")
     support = size_band(links, nodes, low, high, g, root, rounds)
-    chosen = support.select(F.col(f"{P}.{P}").alias(P), F.col(f"{P}.job_id").alias("job_id"), F.col("node").cast("int").alias("col_id"))
-    return vector.join(chosen, [*JOB, "col_id"], "left_semi")
+    chosen = support.select(F.col(f"{P}.{P}").alias(P), F.col(f"{P}.job_id").alias("job_id"), F.col("node").cast("int").alias("col_id"), "in_band")
+    return vector.join(chosen, [*JOB, "col_id"], "left_semi"), chosen.groupBy(*JOB).agg(F.min("in_band").alias("_met"))
+
+
+def _held(state: DataFrame, *met: DataFrame) -> DataFrame:
+    """``in_band`` of each job stays true as long as every support chosen for it met its band."""
+    for each in met:
+        state = state.join(each, JOB, "left").withColumn("in_band", F.col("in_band") & F.coalesce("_met", F.lit(False))).drop("_met")
+    return state
 
 
 @dataclass
@@ -238,7 +247,8 @@ def iht(design, jobs: DataFrame, s: int, max_epochs: int, tol: float = 1e-6, sto
     gradient factor 2.  With a graph, the gradient is first limited to a head
     support of ``p/2`` nodes and the step to a tail support of ``s`` nodes;
     otherwise the ``s`` largest weights stay.  Returns the state of every job:
-    ``idx, w, epochs, rss, done``.
+    ``idx, w, epochs, rss, done``, with a graph also ``in_band``: whether every
+    support had a size in its band.
     """
     blocks, p = design.stats.agg(F.max("num_blocks"), F.max("p")).first() or (1, 0)
     scale = 2.0 if stochastic else 1.0
@@ -253,16 +263,18 @@ def iht(design, jobs: DataFrame, s: int, max_epochs: int, tol: float = 1e-6, sto
         if graph is not None:
             gradient = cut(gradient)
             head = p // 2
-            gradient = _graph_band(gradient, "gradient", graph.edges, head, int(head * (1 + graph.gamma)), graph.g, graph.root, graph.rounds)
+            gradient, head_met = _graph_band(gradient, "gradient", graph.edges, head, int(head * (1 + graph.gamma)), graph.g, graph.root, graph.rounds)
             old = weights_of(state).select(*JOB, "col_id", "w")
             moves = gradient.join(state.select(*JOB, "lr"), JOB).select(*JOB, "col_id", (-scale * F.col("lr") * F.col("gradient")).alias("w"))
             target = cut(old.unionByName(moves).groupBy(*JOB, "col_id").agg(F.sum("w").alias("b")))
-            kept = _graph_band(_all_columns(target, p), "b", graph.edges, s, int(s * (1 + graph.gamma)), graph.g, graph.root, graph.rounds)
+            kept, tail_met = _graph_band(_all_columns(target, p), "b", graph.edges, s, int(s * (1 + graph.gamma)), graph.g, graph.root, graph.rounds)
         else:
             target = gradient.join(state.select(*JOB, "lr", "idx", "w"), JOB).select(
                 *JOB, "col_id", (_weight_at() - scale * F.col("lr") * F.col("gradient")).alias("b"))
             kept = top_k(target, JOB, by_magnitude("b", "col_id"), s)
         moved = _replace(state, _arrays(kept, JOB, "b"))
+        if graph is not None:
+            moved = _held(moved, head_met, tail_met)
         return moved.unionByName(idle.select(*moved.columns)) if stochastic else moved
 
     def epoch_step(state: DataFrame, epoch: int) -> DataFrame:
@@ -272,7 +284,7 @@ def iht(design, jobs: DataFrame, s: int, max_epochs: int, tol: float = 1e-6, sto
                 state = cut(state)
         return state
 
-    return _run(design, _start(jobs), max_epochs, tol, epoch_step)
+    return _run(design, _start(jobs, graph), max_epochs, tol, epoch_step)
 
 
 def _all_columns(vector: DataFrame, p: int) -> DataFrame:
@@ -353,7 +365,8 @@ def cosamp(design, jobs: DataFrame, s: int, max_epochs: int, tol: float = 1e-6,
     """L9, L10. Pursuit: least squares on the old support and 2s new columns, then s are kept.
 
     With a graph the new columns are a head support of ``2s`` nodes and the kept
-    ones a tail support of ``s`` nodes.
+    ones a tail support of ``s`` nodes; ``in_band`` tells whether every support had a
+    size in its band.
     """
     p = design.stats.agg(F.max("p")).first()[0] or 0
 
@@ -362,17 +375,18 @@ def cosamp(design, jobs: DataFrame, s: int, max_epochs: int, tol: float = 1e-6,
         if graph is None:
             found = top_k(gradient, JOB, by_magnitude("gradient", "col_id"), 2 * s)
         else:
-            found = _graph_band(cut(gradient), "gradient", graph.edges, 2 * s, int(2 * s * (1 + graph.gamma)), graph.g, graph.root, graph.rounds)
+            found, head_met = _graph_band(cut(gradient), "gradient", graph.edges, 2 * s, int(2 * s * (1 + graph.gamma)), graph.g, graph.root, graph.rounds)
         new = found.groupBy(*JOB).agg(F.collect_set(F.col("col_id").cast("int")).alias("_n"))
         union = state.select(*JOB, "idx").join(new, JOB, "left").select(*JOB, F.array_union("idx", F.coalesce("_n", F.expr(NO_IDX))).alias("idx"))
         solved = solve_normal(design.normal_on(union), JOB).select(*JOB, F.col("idx").alias("col_id"), F.col("w").alias("b"))
         if graph is None:
             kept = top_k(solved, JOB, by_magnitude("b", "col_id"), s)
         else:
-            kept = _graph_band(_all_columns(cut(solved), p), "b", graph.edges, s, int(s * (1 + graph.gamma)), graph.g, graph.root, graph.rounds)
-        return _replace(state, _arrays(kept, JOB, "b"))
+            kept, tail_met = _graph_band(_all_columns(cut(solved), p), "b", graph.edges, s, int(s * (1 + graph.gamma)), graph.g, graph.root, graph.rounds)
+        moved = _replace(state, _arrays(kept, JOB, "b"))
+        return moved if graph is None else _held(moved, head_met, tail_met)
 
-    return _run(design, _start(jobs), max_epochs, tol, epoch_step)
+    return _run(design, _start(jobs, graph), max_epochs, tol, epoch_step)
 
 
 # -- losses ------------------------------------------------------------------------
@@ -440,6 +454,7 @@ def balanced_iht(rows: DataFrame, jobs: DataFrame, s: int, max_epochs: int, num_
     0.8 until the loss falls enough, at most 20 times; all step sizes are scored
     in one pass over the block.  The intercept takes no part in the choice of
     the ``s`` columns.  ``sum_intercept`` leaves its gradient a sum over rows.
+    With a graph, ``in_band`` tells whether every support had a size in its band.
     """
     total = rows.groupBy(P).agg(F.count(F.lit(1)).alias("_n"))
     size = F.floor(F.col("_n") / num_blocks)
@@ -447,7 +462,7 @@ def balanced_iht(rows: DataFrame, jobs: DataFrame, s: int, max_epochs: int, num_
     placed = rows.join(total, P).withColumn("block", F.when(place < num_blocks, place).otherwise(_TAIL).cast("int")).drop("_n")
     shares = cut(class_shares(rows))
     p = rows.select(F.max(F.size("x"))).first()[0]
-    state = cut(_start(jobs).drop("rss", "done").withColumn("c", F.lit(0.0)).join(shares, P))
+    state = cut(_start(jobs, graph).drop("rss", "done").withColumn("c", F.lit(0.0)).join(shares, P))
     names = state.columns
     for epoch in range(max_epochs):
         for number in range(num_blocks):
@@ -466,7 +481,7 @@ def balanced_iht(rows: DataFrame, jobs: DataFrame, s: int, max_epochs: int, num_
             if graph is not None:
                 head = p // 2
                 long = ready.select(*JOB, F.posexplode("_g").alias("col_id", "gradient"))
-                limited = _graph_band(long, "gradient", graph.edges, head, int(head * (1 + graph.gamma)), graph.g, graph.root, graph.rounds)
+                limited, head_met = _graph_band(long, "gradient", graph.edges, head, int(head * (1 + graph.gamma)), graph.g, graph.root, graph.rounds)
                 packed = _arrays(limited, JOB, "gradient").withColumnsRenamed({"idx": "_hi", "w": "_hw"})
                 at = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.coalesce(F.get("_hw", F.array_position("_hi", i).cast("int") - 1), F.lit(0.0)))
                 ready = cut(ready.drop("_g").join(packed, JOB, "left").withColumn("_g", F.coalesce(at, F.array_repeat(F.lit(0.0), p))).drop("_hi", "_hw"))
@@ -489,9 +504,9 @@ def balanced_iht(rows: DataFrame, jobs: DataFrame, s: int, max_epochs: int, num_
             if graph is None:
                 kept = top_k(target, JOB, by_magnitude("b", "col_id"), s)
             else:
-                kept = _graph_band(cut(target), "b", graph.edges, s, int(s * (1 + graph.gamma)), graph.g, graph.root, graph.rounds)
-            state = cut(_replace(
-                moved.withColumn("c", F.col("c") - step_at * F.col("_gc")).select(*names), _arrays(kept, JOB, "b")).select(*names))
+                kept, tail_met = _graph_band(cut(target), "b", graph.edges, s, int(s * (1 + graph.gamma)), graph.g, graph.root, graph.rounds)
+            replaced = _replace(moved.withColumn("c", F.col("c") - step_at * F.col("_gc")).select(*names), _arrays(kept, JOB, "b"))
+            state = cut((replaced if graph is None else _held(replaced, head_met, tail_met)).select(*names))
     return state.withColumn("epochs", F.lit(max_epochs)).drop("block", "cp", "cn")
 
 

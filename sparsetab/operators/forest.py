@@ -352,13 +352,14 @@ def _without_prize(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(KEY).agg(F.min("node").alias("node"), F.sum("prize").alias("_sum")).filter("coalesce(_sum, 0) <= 0").select(KEY, "node")
 
 
-def cost_head(edges: DataFrame, nodes: DataFrame, budget: float, g: int = 1, delta: float = 0.1, tol: float = 1e-6, max_rounds: int = 6, per_round: int = 8) -> DataFrame:
-    """G15. Support of large prize whose forest costs at most ``2 * budget``.
+def cost_head(edges: DataFrame, nodes: DataFrame, budget: float, g: int = 1, delta: float = 0.1, tol: float = 1e-6, max_rounds: int = 32, per_round: int = 8) -> DataFrame:
+    """G15. Support of large prize whose forest costs at most ``2 * budget``: ``(problem_id, node, converged)``.
 
     Lambda here scales prizes, so ``1 / lambda`` scales costs.  The search keeps
     the largest prize scale within the cost bound; the forest just beyond it is
-    trimmed to ``budget`` and the better of the two is returned.  A problem
-    without any prize gets its least node.
+    trimmed to ``budget`` and the better of the two is returned.  It ends when the
+    gap is within the tolerance or cannot be told apart; ``converged`` is false
+    where ``max_rounds`` came first.  A problem without any prize gets its least node.
     """
     nodes = cut(nodes.select(KEY, "node", "prize"))
     forest = cut(spanning_forest(prize_order(edges, nodes), ["cost", "low_prize"]))
@@ -370,6 +371,7 @@ def cost_head(edges: DataFrame, nodes: DataFrame, budget: float, g: int = 1, del
         (delta * budget / (2.0 * F.col("_sum"))).alias("eps"), F.lit(True).alias("first"),
     ))
     steps = F.sequence(F.lit(0), F.lit(per_round))
+    wanting = F.col("right") - F.col("left") > F.greatest("eps", 1e-9 * F.col("right"))
     seen = []
     for _ in range(max_rounds):
         point = F.col("left") + (F.col("right") - F.col("left")) * F.col("k") / per_round
@@ -377,7 +379,7 @@ def cost_head(edges: DataFrame, nodes: DataFrame, budget: float, g: int = 1, del
         wide = F.col("right") > 4 * F.col("left")
         inner = F.when(F.col("k") == 0, F.col("left")).when(F.col("k") == per_round, F.col("right")).when(wide, ratio).otherwise(point)
         grid, left = cut_count(
-            state.filter("first or right - left > eps").withColumn("k", F.explode(steps)).select(KEY, inner.alias("scale"))
+            state.filter(F.col("first") | wanting).withColumn("k", F.explode(steps)).select(KEY, inner.alias("scale"))
             .withColumn("lam", 1.0 / F.col("scale")), "true")
         if not left:
             break
@@ -395,7 +397,7 @@ def cost_head(edges: DataFrame, nodes: DataFrame, budget: float, g: int = 1, del
             "eps", F.lit(False).alias("first"),
         ))
     if not seen:
-        return _without_prize(nodes)
+        return _without_prize(nodes).withColumn("converged", F.lit(True))
     sides = cut(state.select(KEY, F.inline(F.array(
         F.struct(F.lit(0).alias("side"), (1.0 / F.col("left")).alias("lam")),
         F.struct(F.lit(1).alias("side"), (1.0 / F.col("right")).alias("lam"))))))
@@ -413,15 +415,17 @@ def cost_head(edges: DataFrame, nodes: DataFrame, budget: float, g: int = 1, del
     candidates = cut(whole.unionByName(fitted.select(f"{KEY}.{KEY}", f"{KEY}.side", "node")))
     best = candidates.join(nodes, [KEY, "node"]).groupBy(KEY, "side").agg(F.sum("prize").alias("prize")).groupBy(KEY).agg(
         F.min_by("side", F.struct(-F.col("prize"), "side")).alias("side"))
-    return candidates.join(best, [KEY, "side"], "left_semi").select(KEY, "node").unionByName(_without_prize(nodes))
+    chosen = candidates.join(best, [KEY, "side"], "left_semi").join(state.select(KEY, (~wanting).alias("converged")), KEY)
+    return chosen.select(KEY, "node", "converged").unionByName(_without_prize(nodes).withColumn("converged", F.lit(True)))
 
 
-def cost_tail(edges: DataFrame, nodes: DataFrame, budget: float, nu: float, g: int = 1, tol: float = 1e-6, max_rounds: int = 6, per_round: int = 8) -> DataFrame:
-    """G16. Support whose forest costs between ``2 * budget`` and ``nu * budget``.
+def cost_tail(edges: DataFrame, nodes: DataFrame, budget: float, nu: float, g: int = 1, tol: float = 1e-6, max_rounds: int = 32, per_round: int = 8) -> DataFrame:
+    """G16. Support whose forest costs between ``2 * budget`` and ``nu * budget``: ``(problem_id, node, in_band, converged)``.
 
     If no lambda gives such a cost, the cheapest forest above the band's lambda
-    is returned; a forest within the bound that misses no prize is taken at once.
-    A problem without any prize gets its least node.
+    is returned with ``in_band`` false; a forest within the bound that misses no
+    prize is taken at once.  ``converged`` is false where ``max_rounds`` came before
+    the tolerance.  A problem without any prize gets its least node.
     """
     nodes = cut(nodes.select(KEY, "node", "prize"))
     forest = cut(spanning_forest(prize_order(edges, nodes), ["cost", "low_prize"]))
@@ -433,6 +437,7 @@ def cost_tail(edges: DataFrame, nodes: DataFrame, budget: float, nu: float, g: i
         (F.col("_min") * min(0.5, 1.0 / nu) / budget).alias("eps"), F.lit(None).cast("double").alias("lam"),
     ))
     steps = F.sequence(F.lit(0), F.lit(per_round))
+    wanting = F.col("lam").isNull() & (F.col("high") - F.col("low") > F.greatest("eps", 1e-9 * F.col("high")))
     seen = []
     for _ in range(max_rounds):
         base = F.greatest("low", F.least(F.col("start"), F.col("high")))
@@ -440,7 +445,7 @@ def cost_tail(edges: DataFrame, nodes: DataFrame, budget: float, nu: float, g: i
         ratio = base * F.pow(F.col("high") / base, F.col("k") / per_round)
         point = F.col("low") + (F.col("high") - F.col("low")) * (F.col("k") + 1) / (per_round + 1)
         inner = F.when(F.col("k") == per_round, F.col("high")).when(wide, ratio).otherwise(point)
-        grid, left = cut_count(state.filter("lam is null and high - low > eps").withColumn("k", F.explode(steps)).select(KEY, inner.alias("lam")), "true")
+        grid, left = cut_count(state.filter(wanting).withColumn("k", F.explode(steps)).select(KEY, inner.alias("lam")), "true")
         if not left:
             break
         messages, payoffs, scores = _scores(forest, nodes, grid, g)
@@ -457,11 +462,12 @@ def cost_tail(edges: DataFrame, nodes: DataFrame, budget: float, nu: float, g: i
             KEY, "total", "start", F.greatest("low", F.coalesce("_over", "low")).alias("low"), F.coalesce("_under", "high").alias("high"), "eps",
             F.coalesce("lam", "_hit").alias("lam"),
         ))
+    flags = {"in_band": F.lit(True), "converged": F.lit(True)}  # nothing to pay for and no prize missed
     if not seen:
-        return _without_prize(nodes)
-    chosen = cut(state.select(KEY, F.coalesce("lam", "high").alias("lam")))
+        return _without_prize(nodes).withColumns(flags)
+    chosen = cut(state.select(KEY, F.coalesce("lam", "high").alias("lam"), F.col("lam").isNotNull().alias("in_band"), (~wanting).alias("converged")))
     found = _chosen_trees(_rows_of(chosen, [m for m, _ in seen]), _rows_of(chosen, [p for _, p in seen]), nodes, chosen, g)[0]
-    return found.unionByName(_without_prize(nodes))
+    return found.join(chosen.drop("lam"), KEY).unionByName(_without_prize(nodes).withColumns(flags))
 
 
 def budget_trim(members: DataFrame, kept: DataFrame, budget: float) -> DataFrame:

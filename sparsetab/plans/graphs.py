@@ -164,17 +164,17 @@ def g13(spark, sf):
 
 @query("g14_size_band", None)
 def g14(spark, sf):
-    return FO.size_band(graph_edges(spark, sf), graph_nodes(spark, sf), 3, 4, max_rounds=4)
+    return FO.size_band(graph_edges(spark, sf), graph_nodes(spark, sf), 3, 4)
 
 
 @query("g15_cost_head", None)
 def g15(spark, sf):
-    return FO.cost_head(graph_edges(spark, sf), graph_nodes(spark, sf), budget=20.0, max_rounds=3)
+    return FO.cost_head(graph_edges(spark, sf), graph_nodes(spark, sf), budget=20.0)
 
 
 @query("g16_cost_tail", None)
 def g16(spark, sf):
-    return FO.cost_tail(graph_edges(spark, sf), graph_nodes(spark, sf), budget=10.0, nu=4.0, max_rounds=3)
+    return FO.cost_tail(graph_edges(spark, sf), graph_nodes(spark, sf), budget=10.0, nu=4.0)
 
 
 @query("g17_budget_trim", None)
@@ -194,7 +194,8 @@ def _jobs(rows, **params):
 
 
 def _out(fitted):
-    return L.weights_of(fitted).select("problem_id", "job_id", "col_id", F.round("w", 5).alias("w"))
+    flags = [c for c in ("in_band",) if c in fitted.columns]
+    return L.weights_of(fitted, [*L.JOB, *flags]).select("problem_id", "job_id", "col_id", F.round("w", 5).alias("w"), *flags)
 
 
 def _column_grid(rows):
@@ -220,14 +221,14 @@ def l5(spark, sf):
 @query("l6_graph_iht", None)
 def l6(spark, sf):
     rows = matrix_rows(spark, sf)
-    return _out(L.iht(L.GramDesign.of(rows), _jobs(rows, lr=1e-3), 8, 1, graph=L.Graph(_column_grid(rows), rounds=3)))
+    return _out(L.iht(L.GramDesign.of(rows), _jobs(rows, lr=1e-3), 8, 1, graph=L.Graph(_column_grid(rows))))
 
 
 @query("l7_graph_stochastic_iht", None)
 def l7(spark, sf):
     rows = matrix_rows(spark, sf)
     design = L.GramDesign.of(rows, b=2000)
-    return _out(L.iht(design, _jobs(rows, lr=1e-3), 8, 1, stochastic=True, seed=1, graph=L.Graph(_column_grid(rows), rounds=3)))
+    return _out(L.iht(design, _jobs(rows, lr=1e-3), 8, 1, stochastic=True, seed=1, graph=L.Graph(_column_grid(rows))))
 
 
 @query("l8_normalised_iht", None)
@@ -245,7 +246,7 @@ def l9(spark, sf):
 @query("l10_graph_cosamp", None)
 def l10(spark, sf):
     rows = matrix_rows(spark, sf)
-    return _out(L.cosamp(L.GramDesign.of(rows), _jobs(rows), 8, 1, graph=L.Graph(_column_grid(rows), rounds=3)))
+    return _out(L.cosamp(L.GramDesign.of(rows), _jobs(rows), 8, 1, graph=L.Graph(_column_grid(rows))))
 
 
 @query("l11_balanced_iht", None)
@@ -257,7 +258,7 @@ def l11(spark, sf):
 @query("l12_graph_balanced_iht", None)
 def l12(spark, sf):
     rows = matrix_rows(spark, sf)
-    return _out(L.balanced_iht(rows, _jobs(rows, lam=1e-3), 8, 1, graph=L.Graph(_column_grid(rows), rounds=3)))
+    return _out(L.balanced_iht(rows, _jobs(rows, lam=1e-3), 8, 1, graph=L.Graph(_column_grid(rows))))
 
 
 def _lam_jobs(rows, grid):

@@ -253,3 +253,14 @@ def test_sums_survive_many_keys_and_batches(spark):
 def test_wide_gram_is_refused(rows):
     with pytest.raises(ValueError):
         M.gram(rows, ["problem_id"], columns=M.MAX_GRAM_COLUMNS + 1)
+
+
+def test_graph_fits_tell_whether_bands_were_met(spark):
+    """On a path without costs no lambda leaves 3 of 10 columns."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(30, 10)), rng.normal(size=30)
+    rows = spark.createDataFrame([(0, i, [float(v) for v in x[i]], float(y[i])) for i in range(30)], SCHEMA)
+    free = spark.createDataFrame([(0, i, i + 1, 0.0) for i in range(9)], "problem_id long, src long, dst long, cost double")
+    got = L.cosamp(L.GramDesign.of(rows), jobs(rows), 3, 1, graph=L.Graph(free)).collect()
+    assert [r.in_band for r in got] == [False]
+    assert "in_band" not in L.cosamp(L.GramDesign.of(rows), jobs(rows), 3, 1).columns

@@ -232,3 +232,25 @@ def test_rooted_case_with_cycles(spark):
     spent = kept.agg(F.coalesce(F.sum("c"), F.lit(0.0))).first()[0]
     asserted = sum(P14[n] for n in (3, 4, 6, 7, 8)) - (0.88 + 3 * 0.8)
     assert 3 in got and sum(P14[n] for n in got) - spent >= asserted - 1e-9
+
+
+def test_budget_searches_say_whether_they_ended(spark):
+    """A search that stops short says so, one with nothing to search for has ended."""
+    edges = spark.createDataFrame([(0, 1, 2, 1.0), (0, 2, 3, 1.0)], E_SCHEMA)
+    nodes = spark.createDataFrame([(0, 1, 0.01), (0, 2, 3.0), (0, 3, 3.0), (1, 5, 0.0)], N_SCHEMA)
+    head = FO.cost_head(edges, nodes, budget=0.7, max_rounds=1).collect()
+    assert {(r.problem_id, r.converged) for r in head} == {(0, False), (1, True)}
+    short = FO.cost_tail(edges, nodes, budget=0.7, nu=2.1, max_rounds=1).collect()  # no forest costs 1.4 to 1.47
+    assert {(r.problem_id, r.in_band, r.converged) for r in short} == {(0, False, False), (1, True, True)}
+
+
+def test_registered_searches_are_not_cut(monkeypatch):
+    from sparsetab.plans import graphs
+
+    given = {}
+    for name in ("graph_edges", "graph_nodes"):
+        monkeypatch.setattr(graphs, name, lambda spark, sf: None)
+    for name in ("size_band", "cost_head", "cost_tail"):
+        monkeypatch.setattr(FO, name, lambda *args, _name=name, **more: given.update({_name: more}))
+    graphs.g14(None, None), graphs.g15(None, None), graphs.g16(None, None)
+    assert set(given) == {"size_band", "cost_head", "cost_tail"} and not any("max_rounds" in more for more in given.values())
