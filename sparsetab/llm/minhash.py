@@ -121,10 +121,10 @@ def _signed(rows: DataFrame, k: int) -> DataFrame:
             buckets = bands(signatures(sets))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * buckets.shape[1]), pa.array(buckets.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_h"), pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                 pa.array([len(s) for s in sets], pa.int64()), lists], ["_id", "_h", "set", "n", "bands"])
+                [batch.column("_id"), batch.column("_h"), batch.column("_x"), pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                 pa.array([len(s) for s in sets], pa.int64()), lists], ["_id", "_h", "_x", "set", "n", "bands"])
 
-    schema = rows.select("_id", "_h").withColumn("set", F.lit(b"")).withColumn("n", F.lit(0).cast("long")).withColumn("bands", F.array(F.lit(0).cast("long"))).schema
+    schema = rows.select("_id", "_h", "_x").withColumn("set", F.lit(b"")).withColumn("n", F.lit(0).cast("long")).withColumn("bands", F.array(F.lit(0).cast("long"))).schema
     return rows.mapInArrow(run, schema)
 
 
@@ -225,7 +225,15 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_
     documents of their own.  Null ids take part; a group of null ids alone has a null id and keeps nothing.  An empty
     table gives no rows.
     """
-    rows = docs.select(F.col(id_column).alias("_id"), F.hash("text").alias("_h"), F.col("text").cast("binary").alias("text"))
+    out = _grouped(docs, k, percent, id_column)
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
+    return out.select(F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), own.alias("component_id"),
+                      F.coalesce(F.col("_id") == own, F.lit(False)).alias("kept"), F.col("_h").alias("text_hash"))
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, id_column: str) -> DataFrame:
+    """``(_id, _h, _x, n, root, component_id)`` of every row, with two hashes of its text; no root where the set is empty."""
+    rows = docs.select(F.col(id_column).alias("_id"), F.hash("text").alias("_h"), F.xxhash64("text").alias("_x"), F.col("text").cast("binary").alias("text"))
     signed = cut(_signed(rows, k))
     classes = cut(signed.where("n > 0").groupBy("set", "n").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.min("_id").alias("least"), F.first("bands").alias("bands")))
     buckets = classes.select("set", "n", F.explode("bands").alias("bucket"))
@@ -267,16 +275,19 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_
 
     named = cut(classes.select("set", "least").join(roots, F.col("set") == F.col("node"), "left").select("set", "least", F.coalesce("root", "set").alias("root")))
     groups = cut(named.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id")))
-    component = named.join(groups, F.col("root") == F.col("_root")).select(F.col("set").alias("_set"), "component_id")
-    out = signed.select("_id", "_h", "set", "n").join(component, (F.col("set") == F.col("_set")) & (F.col("n") > 0), "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
-    return out.select(F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), own.alias("component_id"),
-                      F.coalesce(F.col("_id") == own, F.lit(False)).alias("kept"), F.col("_h").alias("text_hash"))
+    component = named.join(groups, F.col("root") == F.col("_root")).select(F.col("set").alias("_set"), "root", "component_id")
+    return signed.select("_id", "_h", "_x", "set", "n").join(component, (F.col("set") == F.col("_set")) & (F.col("n") > 0), "left")
 
 
 def deduplicated(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id") -> DataFrame:
-    """One document of each group, with all its columns: the one with the least id, of equal ids the least text hash."""
-    found = near_duplicates(docs, k, percent, id_column).where(F.col("kept")).groupBy(F.col(id_column).alias("_kept")).agg(F.min("text_hash").alias("_hash"))
-    rows = docs.withColumn("_text_hash", F.hash("text"))
-    return rows.join(found, (F.col(id_column) == F.col("_kept")) & (F.col("_text_hash") == F.col("_hash"))).dropDuplicates([id_column, "_text_hash"]).drop(
-        "_kept", "_hash", "_text_hash")
+    """One document of each group, with all its columns: the one with the least id, of equal ids the least text hash.
+
+    Null ids come last.  A group is a component, not an id: rows with one id and unrelated texts are in groups of their own.
+    Texts with the empty set are a group for each id and text.
+    """
+    grouped = _grouped(docs, k, percent, id_column).select("n", "root", F.struct(F.col("_id").isNull().alias("null"), "_id", "_x").alias("_key"))
+    found = grouped.where("n > 0").groupBy("root").agg(F.min("_key").alias("_kept")).select("_kept").unionByName(
+        grouped.where("n = 0").select(F.col("_key").alias("_kept")).distinct())
+    rows = docs.withColumn("_key", F.struct(F.col(id_column).isNull().alias("null"), F.col(id_column).alias("_id"), F.xxhash64("text").alias("_x")))
+    # a struct equals another with the same nulls, so null ids meet
+    return rows.join(found, F.col("_key") == F.col("_kept")).dropDuplicates(["_key"]).drop("_key", "_kept")

@@ -76,6 +76,16 @@ def test_one_of_each_group_stays(spark):
     assert minhash.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_repeated_id_and_null_ids_stay(spark):
+    """Unrelated texts of one id are groups of their own, and so is a document without an id."""
+    rows = [(3, "a b c d e f", "x"), (3, "other words of another text", "y"), (3, "A b c d e f", "z"), (None, "quite alone here it is", "n"),
+            (None, "a b c D e f", "gone"), (None, "twice the same without id", "t"), (None, "twice the same without id", "t"), (None, None, "0"),
+            (4, "", "e"), (4, None, "f")]
+    kept = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, mark string")).collect()
+    marks = sorted(r["mark"] for r in kept)
+    assert marks in (sorted("xyntef0"), sorted("zyntef0")) and len({(r["doc_id"], r["text"]) for r in kept}) == len(kept)
+
+
 def test_signatures():
     draw = np.random.default_rng(2)
     base = np.unique(draw.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2))

@@ -98,6 +98,18 @@ def test_encoding(stages):
     assert all(r["lossless"] and r["n_pieces"] == len(r["ids"]) for r in rows)
 
 
+def test_repeated_and_null_ids_reach_the_end(spark):
+    """A clean document with the id of another, or with none, is in the result."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    first = docs.orderBy("doc_id").first()
+    odd = [(first["doc_id"], " ".join(f"lone{i} word" for i in range(30)), "en", first["source"], 0), (None, " ".join(f"other{i} thing" for i in range(30)), "en", first["source"], 0)]
+    both = cut(docs.unionByName(spark.createDataFrame(odd, docs.schema)))
+    after = pipeline.near_dedup(spark, both, SF)
+    assert {t for _, t, *_ in odd} <= {r["text"] for r in after.collect()}
+    after = pipeline.substring_dedup(spark, cut(after), SF)
+    assert {t for _, t, *_ in odd} <= {r["text"] for r in after.collect()}
+
+
 def test_run(spark):
     got = pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "source", "n_pieces", "ids", "lossless"] and got.count() > 0
