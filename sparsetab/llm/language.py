@@ -144,13 +144,13 @@ def train(words: list[tuple[bytes, int]], languages: list[str], epochs: int = 5,
 def samples(docs: DataFrame, usable: Column, docs_each: int = DOCS, words_each: int = WORDS) -> DataFrame:
     """At most ``words_each`` words of each language, from at most ``docs_each`` documents, drawn by hash of the text.
 
-    ``docs(text, lang)``; rows without text or language, and those that are not ``usable``, are left out.
+    Copies of a text count once.  ``docs(text, lang)``; rows without text or language, and those that are not ``usable``, are left out.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & usable).select("lang", "text", F.xxhash64("text").alias("_d"))
     by_doc = Window.partitionBy("lang").orderBy("_d")
     # hashes are ranked, not texts; at most docs_each of them for each language are sent back to the texts
     ids = rows.select("lang", "_d").distinct().withColumn("_n", F.row_number().over(by_doc)).where(F.col("_n") <= docs_each).drop("_n")
-    drawn = rows.join(F.broadcast(ids), ["lang", "_d"])
+    drawn = rows.join(F.broadcast(ids), ["lang", "_d"]).distinct()  # copies of a text are one document
     words = drawn.select("lang", "_d", F.posexplode(F.split("text", r"[\x20\x09-\x0D]+")).alias("_p", "word")).where("word <> ''")
     by_word = Window.partitionBy("lang").orderBy(F.xxhash64("_d", "_p"), "word")
     return words.withColumn("_n", F.row_number().over(by_word)).where(F.col("_n") <= words_each).select("lang", "word")

@@ -64,6 +64,15 @@ def test_language_edge_cases(spark, speaker):
     assert language.predict(rows.limit(0), speaker).count() == 0
 
 
+def test_copies_do_not_fill_the_sample(spark):
+    """A text said thousands of times speaks once, so the sample is that of the distinct texts."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(10)) for i in range(40)]
+    once = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    often = once.unionByName(spark.createDataFrame([(texts[0], "en")], once.schema).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("n"))
+    drawn = lambda docs: sorted(r["word"] for r in language.samples(docs, F.lit(True), 300, 200).collect())
+    assert len(set(drawn(often))) == 200 and drawn(often) == drawn(once)
+
+
 def test_labels_of_positions(docs, speaker):
     row = docs.where("lang = 'de' AND length(text) > 300").select("text").first()
     text = row["text"].encode()
