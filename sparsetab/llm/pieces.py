@@ -3,13 +3,14 @@
 The vocabulary is read from a model file on the driver and sent to the tasks as arrays (its size is that of the
 vocabulary).  A text is ``▁`` + the text with spaces as ``▁``.  Pieces hold ``▁`` only at their start (``load``
 makes sure), so no merge crosses from a character to a following ``▁`` and each unit, a run of spaces with the
-characters after it, is encoded by itself; equal units of a batch are encoded once.
+characters after it, is encoded by itself.
 
 Encoding takes the candidate merges of a unit from an agenda, best rank first, leftmost among equals.  A candidate
 is the pair of symbols that meet at given places.  With dropout it is skipped for good if its keyed hash (seed,
-variant, unit, places of the pair) lies below the rate, so a rerun gives the same pieces and another seed others.
-Documents are spread over ``variants`` keys, so one word is cut in several ways across a corpus.  All units of a
-batch work off their agendas side by side in NumPy.
+document, copy of it, place of the unit in the text, places of the pair) lies below the rate, so a rerun gives the
+same pieces, another seed others, and every occurrence of a word is drawn anew.  The distinct units of a batch work off
+their agendas without dropout; occurrences that skip none of the candidates met there have that result, the others
+work off an agenda of their own.  Agendas run side by side in NumPy.
 
 Characters without a piece become byte pieces, ``▁`` in the text itself among them, so decoding is lossless for
 every text whatever the rate.
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sparsetab.llm.tokens import mix, slices, span_hashes
 
@@ -128,8 +129,14 @@ def _symbols(vocabulary: Vocabulary, codes: np.ndarray) -> np.ndarray:
     return np.array([vocabulary.chars.get(c, -1) for c in distinct.tolist()], dtype=np.int32)[at]
 
 
-def _work_off(vocabulary: Vocabulary, sym: np.ndarray, key: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Agendas of units of one length, side by side.
+def _skipped(key: np.ndarray, pair: np.ndarray, rate: float) -> np.ndarray:
+    """Whether dropout skips the candidate ``pair`` of a unit with ``key``."""
+    return (mix(key ^ pair) >> np.uint64(11)) < np.uint64(min(rate, 1.0) * float(1 << 53))
+
+
+def _work_off(vocabulary: Vocabulary, sym: np.ndarray, key: np.ndarray | None = None, rate: float = 0.0,
+              met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Agendas of units of one length, side by side; ``met`` collects row and pair of the candidates looked at.
 
     ``sym(units, characters)``.  Returns the symbols that are left and the character each begins at; the place after
     the last holds the number of characters, later ones -1.
@@ -138,16 +145,20 @@ def _work_off(vocabulary: Vocabulary, sym: np.ndarray, key: np.ndarray, rate: fl
     sym = sym.copy()
     at = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, width + 1)).copy()
     live = np.full(n, width)
-    limit = np.uint64(min(rate, 1.0) * float(1 << 53))
 
     def look(rows, places):
         """Rank and merged symbol of the pair at (row, place) and the next."""
         slot = vocabulary.pairs(sym[rows, places], sym[rows, places + 1])
         rank, merged = np.where(slot >= 0, vocabulary.ranks[slot], _NO_RANK), vocabulary.merged[slot]
-        if rate > 0:
-            a, m, b = (at[rows, places + i].astype(np.uint64) for i in range(3))
-            h = mix(key[rows] ^ mix((a << np.uint64(42)) ^ (m << np.uint64(21)) ^ b))
-            rank = np.where((h >> np.uint64(11)) < limit, _NO_RANK, rank)
+        if rate > 0 or met is not None:
+            some = np.flatnonzero(slot >= 0)
+            r, p = rows[some], places[some]
+            a, m, b = (at[r, p + i].astype(np.uint64) for i in range(3))
+            pair = mix((a << np.uint64(42)) ^ (m << np.uint64(21)) ^ b)
+            if met is not None:
+                met.append((r, pair))
+            if rate > 0:
+                rank[some[_skipped(key[r], pair, rate)]] = _NO_RANK
         return rank, merged
 
     rank = np.full((n, max(1, width)), _NO_RANK)
@@ -183,15 +194,15 @@ def _work_off(vocabulary: Vocabulary, sym: np.ndarray, key: np.ndarray, rate: fl
 
 
 def encode_texts(parts: list[bytes | None], vocabulary: Vocabulary, rate: float, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row and their bounds by text; ``key`` holds a 64-bit key for each text."""
+    """Ids of all texts in a row and their bounds by text; ``key`` holds a 64-bit key for each text.
+
+    With dropout every unit of a text draws by the text's key and its place in the text.
+    """
     data, starts, ends, bounds = _units(parts)
     if not len(starts):
         return np.zeros(0, dtype=np.int32), np.zeros(len(parts) + 1, dtype=np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)
-    h = span_hashes(data, starts, ends)
-    if rate > 0:
-        h = mix(h ^ np.repeat(mix(key), np.diff(bounds)))
-    h, one, at = np.unique(h, return_index=True, return_inverse=True)
+    _, one, at = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
     lengths = ends[one] - starts[one]
     b = np.cumsum(lengths)
     a = b - lengths
@@ -202,21 +213,45 @@ def encode_texts(parts: list[bytes | None], vocabulary: Vocabulary, rate: float,
     all_symbols = _symbols(vocabulary, codes)
     char_at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
     first, lengths = ahead[a], ahead[b] - ahead[a]
-    flats, size, begin, done = [], np.zeros(len(one), dtype=np.int64), np.zeros(len(one), dtype=np.int64), 0
-    order = np.argsort(lengths, kind="stable")
-    for same in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
-        width = int(lengths[same[0]])
-        rows = max(1, min(_ROWS, (1 << 18) // max(1, width)))
-        for i in range(0, len(same), rows):
-            own = same[i:i + rows]
-            sym, places = _work_off(vocabulary, all_symbols[first[own][:, None] + np.arange(width)], h[own], rate)
-            kept = places[:, 1:] >= 0
-            flat, n = _with_bytes(vocabulary, raw, char_at, sym[kept], (first[own][:, None] + places[:, :-1])[kept], (first[own][:, None] + places[:, 1:])[kept])
-            per_unit = np.bincount(np.nonzero(kept)[0], weights=n, minlength=len(own)).astype(np.int64)
-            size[own], begin[own] = per_unit, done + np.cumsum(per_unit) - per_unit
-            flats.append(flat)
-            done += len(flat)
-    flat = np.concatenate(flats)
+
+    def agendas(unit: np.ndarray, keys: np.ndarray | None, rate: float, met: list | None = None):
+        """Ids of units (by number of the distinct unit) in a row, number of ids of each and where they begin."""
+        flats, size, begin, done = [], np.zeros(len(unit), dtype=np.int64), np.zeros(len(unit), dtype=np.int64), 0
+        order = np.argsort(lengths[unit], kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(lengths[unit[order]])) + 1):
+            width = int(lengths[unit[same[0]]])
+            rows = max(1, min(_ROWS, (1 << 18) // max(1, width)))
+            for i in range(0, len(same), rows):
+                own = same[i:i + rows]
+                left, found = first[unit[own]][:, None], None if met is None else []
+                sym, places = _work_off(vocabulary, all_symbols[left + np.arange(width)], None if keys is None else keys[own], rate, found)
+                if found:
+                    met.extend((own[r], pair) for r, pair in found)
+                kept = places[:, 1:] >= 0
+                flat, n = _with_bytes(vocabulary, raw, char_at, sym[kept], (left + places[:, :-1])[kept], (left + places[:, 1:])[kept])
+                per_unit = np.bincount(np.nonzero(kept)[0], weights=n, minlength=len(own)).astype(np.int64)
+                size[own], begin[own] = per_unit, done + np.cumsum(per_unit) - per_unit
+                flats.append(flat)
+                done += len(flat)
+        return np.concatenate(flats), size, begin
+
+    met: list | None = [] if rate > 0 else None
+    flat, size, begin = agendas(np.arange(len(one)), None, 0.0, met)
+    if met:
+        place = np.arange(len(starts)) - np.repeat(bounds[:-1], np.diff(bounds))
+        keys = mix(np.repeat(mix(key), np.diff(bounds)) ^ mix(place.astype(np.uint64)))
+        unit, pair = (np.concatenate(x) for x in zip(*met))
+        order = np.argsort(unit, kind="stable")
+        pair, n = pair[order], np.bincount(unit, minlength=len(one))
+        before = np.cumsum(n) - n
+        n, before = n[at], before[at]
+        row = np.repeat(np.arange(len(at)), n)
+        own = pair[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(before, n)]
+        apart = np.unique(row[_skipped(keys[row], own, rate)])
+        if len(apart):
+            more, sizes, begins = agendas(at[apart], keys[apart], rate)
+            at[apart] = len(one) + np.arange(len(apart))
+            flat, size, begin = np.concatenate([flat, more]), np.concatenate([size, sizes]), np.concatenate([begin, begins + len(flat)])
     n = size[at]
     total = np.concatenate([[0], np.cumsum(n)])
     ids = flat[np.repeat(begin[at] - total[:-1], n) + np.arange(total[-1])]
@@ -243,17 +278,21 @@ def decode_ids(ids: list[int] | np.ndarray, vocabulary: Vocabulary) -> bytes:
     return b"".join([texts[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])[1:]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.0, seed: int = 0, variants: int = 8, id_column: str = "doc_id",
+def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.0, seed: int = 0, id_column: str = "doc_id",
            check: bool = False) -> DataFrame:
     """``docs(id columns..., text)`` with ``text`` replaced by ``ids``, an array of piece numbers.
 
     With ``check``, the ids are decoded again in the same pass: ``lossless`` says whether they gave the text.
 
-    A null text gives null (and is lossless), an empty one an empty array.  The variant of a document follows from its id; rows that
-    share an id share it.  Other columns pass through; a column ``ids`` is replaced.
+    A null text gives null (and is lossless), an empty one an empty array.  Dropout is keyed by id, text and the number of the row
+    among those equal in both, so copies are cut differently.  Other columns pass through; a column ``ids`` is replaced.
     """
     others = [c for c in docs.columns if c not in ("text", "ids", "_key", *["lossless"] * check)]
-    key = F.xxhash64(F.lit(seed), F.pmod(F.xxhash64(F.lit(seed), F.col(id_column)), F.lit(variants)))
+    key = F.lit(0).cast("long")
+    if rate > 0:
+        told = [F.col(f"`{f.name}`") for f in docs.schema if f.name in others and "map<" not in f.dataType.simpleString()]
+        same = Window.partitionBy(F.col(id_column), F.xxhash64("text")).orderBy(F.xxhash64(F.lit(seed), *told))
+        key = F.xxhash64(F.lit(seed), F.col(id_column), F.col("text"), F.row_number().over(same))
 
     def run(batches):
         for batch, texts in slices(batches, "text", _BYTES):

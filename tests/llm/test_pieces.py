@@ -42,6 +42,31 @@ def test_dropout(vocabulary):
     assert encode(text, vocabulary, 1.0, 1)[0] == [vocabulary.chars[ord(c)] for c in " " + text[0]]
 
 
+def test_every_occurrence_is_drawn(spark, vocabulary):
+    """One word has many cuts within a document and across more than eight of them, and copies of a document differ."""
+    text = " ".join(["international"] * 200)
+    cuts = lambda ids: {tuple(w) for w in np.split(ids, np.flatnonzero([vocabulary.texts[i].startswith(b" ") for i in ids]))[1:]}
+    ids, _ = pieces.encode_texts([text.encode()], vocabulary, 0.3, np.zeros(1, dtype=np.uint64))
+    assert len(cuts(ids)) > 8
+    docs = spark.createDataFrame([(i, text) for i in range(3)] + [(0, text), (0, text), (None, text), (None, text)], "doc_id long, text string")
+    got = [tuple(r["ids"]) for r in pieces.encode(docs, vocabulary, rate=0.1, seed=1).collect()]
+    assert len(set(got)) == 7
+    assert sorted(got) == sorted(tuple(r["ids"]) for r in pieces.encode(docs.repartition(5), vocabulary, rate=0.1, seed=1).collect())
+
+
+def test_plain_agendas_change_nothing(vocabulary):
+    """Units that take the shared result have what their own agenda gives."""
+    text = ("the quick brown foxes are jumping over lazy dogs " * 40).encode()
+    shared, _ = pieces.encode_texts([text], vocabulary, 0.1, np.full(1, 9, dtype=np.uint64))
+    words, out = (b" " + text).split(b" ")[1:], []
+    keys = pieces.mix(np.repeat(pieces.mix(np.full(1, 9, dtype=np.uint64)), len(words)) ^ pieces.mix(np.arange(len(words)).astype(np.uint64)))
+    for word, key in zip(words, keys):
+        sym = pieces._symbols(vocabulary, np.frombuffer((" " + word.decode()).encode("utf-32-le"), dtype=np.uint32))[None, :]
+        left, at = pieces._work_off(vocabulary, sym, key[None], 0.1)
+        out += left[at[:, 1:] >= 0].tolist()
+    assert shared.tolist() == out
+
+
 def test_frames(spark, vocabulary):
     rows = [(i, t, 7) for i, t in enumerate(ODD)] + [(90, None, 7), (None, "no id", 7), (1, "same id", 7), (3, ODD[3], 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
