@@ -1,4 +1,4 @@
-"""The ten queries over ``documents``, ``labels`` and ``embeddings``, and their SQL twins where SQL can say it.
+"""The thirteen queries over ``documents``, ``labels`` and ``embeddings``, and their SQL twins where SQL can say it.
 
 Each query reads whole tables, calls its operator with the parameters of production, and derives the columns of
 its contract from the operator's result.
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparsetab.llm import (
-    language, minhash, mixing, nearest, pieces, quality, samples, substrings, suffixes, toxicity, vectors as vectors_of,
+    exact, language, minhash, mixing, nearest, periodic, pieces, quality, samples, substrings, suffixes, toxicity, variants, vectors as vectors_of,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,47 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON n.same = c.same LEFT JO
 """)
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80).drop("text_hash")
+
+
+@query("op11_exact_dedup", r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
+k AS (SELECT h, first(doc_id ORDER BY points DESC, doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN k USING (h)
+""")
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark(table(spark, sf_dir, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = periodic.collapse(docs).select("doc_id", "runs", "collapsed", periodic.longest("runs").alias("best"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_spelling_variants", r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]{6,}') AS w FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) GROUP BY ALL),
+bits(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT i, c FROM bits WHERE k = 8),
+b AS (SELECT word, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || word)) AS x FROM o),
+crc(word, n, x, i, c) AS (SELECT word, n, x, 0, 4294967295 FROM b
+  UNION ALL SELECT word, n, x, crc.i + 1, xor(crc.c // 256, tab.c) FROM crc JOIN tab ON tab.i = xor(crc.c % 256, CAST('0x' || substr(x, 2 * crc.i + 1, 2) AS BIGINT)) WHERE crc.i < length(x) // 2),
+h AS (SELECT word, n, xor(c, 4294967295) AS h FROM crc WHERE i = length(x) // 2),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+s AS (SELECT word, p, substr(word, 1, p) || substr(word, p + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS p FROM v)),
+u AS (SELECT DISTINCT a.word AS a, b.word AS b FROM s a JOIN s b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT s.word, v.word FROM s JOIN v ON s.rest = v.word UNION SELECT v.word, s.word FROM s JOIN v ON s.rest = v.word),
+f AS (SELECT u.a AS word, count(*) AS n_near, first(u.b ORDER BY vb.n DESC, u.b) AS best, max(vb.n) AS best_n FROM u JOIN v vb ON vb.word = u.b GROUP BY u.a),
+g AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM v LEFT JOIN f USING (word)),
+c(word, here, form) AS (SELECT word, word, form FROM g UNION ALL SELECT c.word, g.word, g.form FROM c JOIN g ON g.word = c.form)
+SELECT g.word, g.form, c.here AS root, g.n, g.n_near, g.form_n FROM g JOIN c ON c.word = g.word AND c.form IS NULL
+""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = variants.counted(table(spark, sf_dir, "documents"), changed=199)
+    return variants.group(counts, times=5).select("word", "form", "root", "n", "n_near", "form_n")

@@ -1,4 +1,4 @@
-"""The ten queries on the smallest tables: SQL twins, columns, held-out accuracy."""
+"""The queries on the smallest tables: SQL twins, columns, held-out accuracy."""
 
 import duckdb
 import pytest
@@ -18,6 +18,9 @@ COLUMNS = {
     "op8": ["doc_id", "held_out", "score", "predicted"],
     "op9": ["doc_id", "n_pieces", "ids", "lossless"],
     "op10": ["query_id", "rank", "vec_id", "score"],
+    "op11": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op12": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op13": ["word", "form", "root", "n", "n_near", "form_n"],
 }
 
 
