@@ -1,40 +1,43 @@
 """Spanning forests and prize-collecting subgraphs.
 
-The subgraph of most ``sum(prize) - lambda * sum(cost)`` is searched on a
-minimum spanning forest in which edges between well-paid nodes come first among
-equal costs.  On that forest the choice is exact: every tree edge carries a
-message in each direction, namely what the side behind it is worth to the other
-side, and the messages are improved until none changes.  An edge is kept when
-both sides pay for it.  All values of lambda of a search round are columns of
-one job, and so are all problems.
+The subgraph of most ``sum(prize) - lambda * sum(cost)`` is searched on a minimum spanning forest in which edges
+between well-paid nodes come first among equal costs.  On that forest the choice is exact.
+
+Work on a problem is contracted until the problem fits a task (``trees.LIMIT`` rows) and is finished there: edges by
+rounds that merge components, trees by raking leaves and compressing chains (``contraction``).  Most problems fit from
+the start, so all of them are one job; a large one takes rounds that follow the logarithm of its size.  Searches over
+lambda ask the rules of ``search``: a problem that fits is searched inside its task, a large one by rounds of jobs, one
+value of lambda being a problem of its own there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sparsetab.lineage import cut, cut_count
-from sparsetab.operators.graph import KEY, canonical, components, pointer_roots, _relabel
+from sparsetab.operators import search, trees
+from sparsetab.operators.contraction import edge_function, tree_values, value
+from sparsetab.operators.graph import KEY, canonical, components, pointer_roots, _oversized, _relabel
 from sparsetab.operators.ranking import top_k
-
-_SWEEPS = 2  # message sweeps planned as one job; a sweep names its input twice, so plans double
+from sparsetab.operators.trees import Prizes, by_problem, column, least_forest
 
 
 def prize_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with the smaller prize of their ends, which breaks ties of cost."""
+    """Edges between given nodes, with the smaller prize of their ends, which breaks ties of cost."""
     for end, name in (("src", "_ps"), ("dst", "_pd")):
-        edges = edges.join(nodes.select(KEY, F.col("node").alias(end), F.col("prize").alias(name)), [KEY, end], "left")
-    low = F.least(F.coalesce("_ps", F.lit(0.0)), F.coalesce("_pd", F.lit(0.0)))
-    return edges.withColumn("low_prize", -low).drop("_ps", "_pd")
+        edges = edges.join(nodes.select(KEY, F.col("node").alias(end), F.col("prize").alias(name)), [KEY, end])
+    return edges.withColumn("low_prize", -F.least("_ps", "_pd")).drop("_ps", "_pd")
 
 
 def spanning_forest(edges: DataFrame, order: Sequence[str] = ("cost",)) -> DataFrame:
     """G7. Minimum spanning forest; ties of ``order`` go to the smaller ends.
 
-    In each round every component takes its least outgoing edge and the merged
-    components are contracted, so the number of rounds is logarithmic.
+    The order of edges is strict, so the forest is unique.  In each round every component of a large problem takes its
+    least outgoing edge and the merged components are contracted, until the problem fits a task.
     """
     rank = F.struct(*order, "src", "dst")
     live, left = cut_count(
@@ -43,8 +46,23 @@ def spanning_forest(edges: DataFrame, order: Sequence[str] = ("cost",)) -> DataF
         .select(KEY, F.col("src").alias("a"), F.col("dst").alias("b"), rank.alias("e")),
         "true",
     )
+    names = [*order, "src", "dst"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in live.schema["e"].dataType.fields)
+
+    def least(table: pa.Table) -> dict[str, list]:
+        values = [column(table, f"_{n}") for n in names]
+        chosen = least_forest(column(table, "a"), column(table, "b"), values)
+        return {n: v[chosen] for n, v in zip(names, values)}
+
     picked = []
     while left:
+        large = _oversized(live, left)
+        fits = live if large is None else live.join(large, KEY, "left_anti")
+        flat = fits.select(KEY, "a", "b", *[F.col("e")[n].alias(f"_{n}") for n in names])
+        picked.append(by_problem(flat, KEY, least, schema).select(KEY, *names))
+        if large is None:
+            break
+        live = live.join(large, KEY, "left_semi")
         best = (
             live.selectExpr(KEY, "inline(array(struct(a as c, struct(e, b as to) as m), struct(b as c, struct(e, a as to) as m)))")
             .groupBy(KEY, "c").agg(F.min("m").alias("m")).selectExpr(KEY, "c", "m.to as parent", "m.e as e")
@@ -83,61 +101,28 @@ def forest_totals(nodes: DataFrame, forest: DataFrame, labels: DataFrame) -> Dat
 def tree_messages(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame, root: int | None = None) -> tuple[DataFrame, DataFrame]:
     """G12. Worth of every side of every tree edge, for all lambdas of a problem.
 
-    ``lambdas(problem_id, lam)``.  With a root, the side that holds it pays for
-    every edge; that is carried beside the worth (``r_*``), not added to it.  Returns the edges with both messages and, per
-    node, the best payoff of a subtree holding it with its size and edge costs.  The
-    number of sweeps follows the length of paying paths and not the tree size:
-    a side that is not worth an edge sends 0.
+    ``lambdas(problem_id, lam)``.  With a root, the side that holds it pays for every edge; that is carried beside the
+    worth (``r_*``), not added to it.  Returns the edges with both messages (``c`` is the edge's cost times lambda) and,
+    per node, the best payoff of a subtree holding it with its size and edge costs.  Edges of nodes without a prize
+    row are left out.
     """
     lams = lambdas.select(KEY, "lam").distinct()
-    edges = cut(
-        forest.select(KEY, "src", "dst", "cost").join(lams, KEY).selectExpr(
-            KEY, "lam", "src", "dst", "cost * lam as c", "0D as to_dst", "0D as to_src", "0L as n_dst", "0L as n_src", "0D as k_dst", "0D as k_src", "0 as r_dst", "0 as r_src"
-        )
-    )
+    pair = F.struct(KEY, "lam").alias(KEY)
     is_root = F.lit(0) if root is None else (F.col("node") == root).cast("int")
-    base = cut(nodes.select(KEY, "node", "prize", is_root.alias("r")).join(lams, KEY))
-    changed = 1
-    while changed:
-        for _ in range(_SWEEPS):
-            edges = _sweep(edges, base)
-        edges, changed = cut_count(edges, "changed")
-        edges = edges.drop("changed")
-    return edges, _payoffs(edges, base)
-
-
-def _payoffs(edges: DataFrame, base: DataFrame) -> DataFrame:
-    arriving = edges.selectExpr(
-        KEY, "lam",
-        "inline(array(struct(dst as node, to_dst as m, n_dst as n, k_dst as k, r_dst as r), struct(src as node, to_src as m, n_src as n, k_src as k, r_src as r)))",
-    )
-    own = base.selectExpr(KEY, "lam", "node", "prize as m", "1L as n", "0D as k", "r")
-    return arriving.unionByName(own).groupBy(KEY, "lam", "node").agg(
-        F.sum("m").alias("payoff"), F.sum("n").alias("size"), F.sum("k").alias("spent"), F.sum("r").cast("int").alias("r")
-    )
-
-
-def _sweep(edges: DataFrame, base: DataFrame) -> DataFrame:
-    """New messages from the current ones: payoff of the sender without the receiver, minus the edge."""
-    worth = _payoffs(edges, base)
-    at_src = worth.selectExpr(KEY, "lam", "node as src", "payoff as _ps", "size as _ns", "spent as _ks", "r as _rs")
-    at_dst = worth.selectExpr(KEY, "lam", "node as dst", "payoff as _pd", "size as _nd", "spent as _kd", "r as _rd")
-    gains = edges.join(at_src, [KEY, "lam", "src"]).join(at_dst, [KEY, "lam", "dst"]).selectExpr(
-        KEY, "lam", "src", "dst", "c", "to_dst as old_d", "to_src as old_s", "n_dst as old_nd", "n_src as old_ns", "r_dst as old_rd", "r_src as old_rs",
-        "_ps - to_src - c as gd", "_pd - to_dst - c as gs", "1e-12 * (abs(_ps) + c) as fd", "1e-12 * (abs(_pd) + c) as fs",
-        "_ns - n_src as nd", "_nd - n_dst as ns", "_ks - k_src + c as kd", "_kd - k_dst + c as ks", "_rs - r_src as rd", "_rd - r_dst as rs",
-    )
-    pays_d, pays_s = "(gd > fd or rd > 0)", "(gs > fs or rs > 0)"
-    fresh = gains.selectExpr(
-        KEY, "lam", "src", "dst", "c", f"if({pays_d}, gd, 0D) as to_dst", f"if({pays_s}, gs, 0D) as to_src",
-        f"if({pays_d}, nd, 0L) as n_dst", f"if({pays_s}, ns, 0L) as n_src", f"if({pays_d}, kd, 0D) as k_dst",
-        f"if({pays_s}, ks, 0D) as k_src", "rd as r_dst", "rs as r_src", "old_d", "old_s", "old_nd", "old_ns", "old_rd", "old_rs",
-    )
-    return fresh.selectExpr(
-        KEY, "lam", "src", "dst", "c", "to_dst", "to_src", "n_dst", "n_src", "k_dst", "k_src", "r_dst", "r_src",
-        "abs(to_dst - old_d) > 1e-9 * abs(to_dst) or abs(to_src - old_s) > 1e-9 * abs(to_src)"
-        " or n_dst <> old_nd or n_src <> old_ns or r_dst <> old_rd or r_src <> old_rs as changed",
-    )
+    base = cut(nodes.join(lams, KEY).select(pair, "node", value(F.col("prize"), F.lit(1), F.lit(0.0), is_root).alias("own")))
+    scaled = F.col("cost") * F.col("lam")
+    links = canonical(forest).join(lams, KEY).select(pair, F.col("src").alias("a"), F.col("dst").alias("b"), "cost", scaled.alias("c"))
+    for end in ("a", "b"):
+        links = links.join(base.select(KEY, F.col("node").alias(end)), [KEY, end], "left_semi")
+    links = cut(links)
+    function = edge_function(F.col("c"), F.col("c"))
+    payoffs, sent, _ = tree_values(base, links.select(KEY, "a", "b", function.alias("ab"), function.alias("ba")))
+    own = [F.col(f"{KEY}.{KEY}").alias(KEY), F.col(f"{KEY}.lam").alias("lam")]
+    edges = sent.join(links.select(KEY, "a", "b", "c"), [KEY, "a", "b"]).select(
+        *own, F.col("a").alias("src"), F.col("b").alias("dst"), "c", F.col("ab.m").alias("to_dst"), F.col("ba.m").alias("to_src"),
+        F.col("ab.r").alias("r_dst"), F.col("ba.r").alias("r_src"))
+    return edges, payoffs.select(*own, "node", F.col("payoff.m").alias("payoff"), F.col("payoff.n").alias("size"),
+                                 F.col("payoff.k").alias("spent"), F.col("payoff.r").alias("r"))
 
 
 def kept_edges(messages: DataFrame) -> DataFrame:
@@ -145,13 +130,6 @@ def kept_edges(messages: DataFrame) -> DataFrame:
     return messages.filter(((F.col("to_dst") > 0) | (F.col("r_dst") > 0)) & ((F.col("to_src") > 0) | (F.col("r_src") > 0)))
 
 
-def _best_nodes(payoffs: DataFrame) -> DataFrame:
-    """Node of largest payoff per problem and lambda, with the root if there is one; the least id on ties."""
-    return payoffs.groupBy(KEY, "lam").agg(
-        F.min_by(F.struct("node", "size", "payoff", "spent", "r"), F.struct(-F.col("r"), -F.col("payoff"), "node")).alias("_b")
-    ).select(KEY, "lam", "_b.*")
-
-
 def _trees(messages: DataFrame, payoffs: DataFrame) -> DataFrame:
     """Component of every node under the kept edges.
 
@@ -164,13 +142,13 @@ def _trees(messages: DataFrame, payoffs: DataFrame) -> DataFrame:
     return labels.select(F.col(f"{KEY}.lam").alias("lam"), F.col(f"{KEY}.{KEY}").alias(KEY), "node", "comp")
 
 
-def _tree_values(trees: DataFrame, messages: DataFrame, nodes: DataFrame, root: int | None = None) -> DataFrame:
-    """Payoff and size of every kept tree, and whether it holds the root."""
+def _tree_values(members: DataFrame, messages: DataFrame, nodes: DataFrame, root: int | None = None) -> DataFrame:
+    """Payoff, size and cost of every kept tree, and whether it holds the root."""
     is_root = F.lit(0) if root is None else (F.col("node") == root).cast("int")
-    prizes = trees.join(nodes.select(KEY, "node", "prize"), [KEY, "node"]).withColumn("r", is_root).selectExpr(
+    prizes = members.join(nodes.select(KEY, "node", "prize"), [KEY, "node"]).withColumn("r", is_root).selectExpr(
         KEY, "lam", "comp", "prize", "1L as size", "0D as spent", "r"
     )
-    costs = kept_edges(messages).join(trees.withColumnRenamed("node", "src"), [KEY, "lam", "src"]).selectExpr(
+    costs = kept_edges(messages).join(members.withColumnRenamed("node", "src"), [KEY, "lam", "src"]).selectExpr(
         KEY, "lam", "comp", "-c as prize", "0L as size", "c as spent", "0 as r"
     )
     return prizes.unionByName(costs).groupBy(KEY, "lam", "comp").agg(
@@ -179,32 +157,180 @@ def _tree_values(trees: DataFrame, messages: DataFrame, nodes: DataFrame, root:
 
 
 def select_trees(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame, g: int = 1, root: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """G11-G13. Best ``g`` pruned trees per problem and lambda.
+    """G11-G13. Best ``g`` pruned trees per problem and lambda; ties go to fewer nodes, then to the least node.
 
     Returns ``support(problem_id, lam, node, comp)`` and the kept tree edges.
     With a root, the one tree that holds it is returned; a problem without that
     node is treated as if no root were given.
     """
     messages, payoffs = tree_messages(forest, nodes, lambdas, root)
-    return _best_trees(messages, cut(payoffs), nodes, g if root is None else 1, root)
-
-
-def _best_trees(messages: DataFrame, payoffs: DataFrame, nodes: DataFrame, g: int, root: int | None = None) -> tuple[DataFrame, DataFrame]:
-    trees = cut(_trees(messages, payoffs))
-    values = _tree_values(trees, messages, nodes, root)
-    best = top_k(values, [KEY, "lam"], [F.col("r").desc(), F.col("payoff").desc(), F.col("comp")], g)
-    support = trees.join(best.select(KEY, "lam", "comp"), [KEY, "lam", "comp"], "left_semi").select(KEY, "lam", "node", "comp")
+    messages, payoffs = cut(messages), cut(payoffs)
+    members = cut(_trees(messages, payoffs))
+    values = _tree_values(members, messages, nodes, root)
+    best = top_k(values, [KEY, "lam"], [F.col("r").desc(), F.col("payoff").desc(), F.col("size"), F.col("comp")], g if root is None else 1)
+    support = members.join(best.select(KEY, "lam", "comp"), [KEY, "lam", "comp"], "left_semi").select(KEY, "lam", "node", "comp")
     edges = kept_edges(messages)
     for end in ("src", "dst"):
         edges = edges.join(support.select(KEY, "lam", F.col("node").alias(end)), [KEY, "lam", end], "left_semi")
     return support, edges.select(KEY, "lam", "src", "dst", "c")
 
 
-def prize_collecting(edges: DataFrame, nodes: DataFrame, g: int = 1, lam: float = 1.0, root: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """G11. Subgraph of at most ``g`` trees maximising ``sum(prize) - lam * sum(cost)``."""
+def _rows_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes (without ``dst``) and edges of every problem in one table."""
+    return nodes.select(KEY, F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("prize").cast("double").alias("value")).unionByName(
+        edges.filter("src <> dst").select(KEY, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("cost").cast("double").alias("value")))
+
+
+_FOUND = "side int, lam double, comp long, node long, prize double, src long, dst long, cost double, met boolean, ended boolean"
+
+
+class _Problem:
+    """One problem that fits a task: its spanning forest and prizes."""
+
+    def __init__(self, table: pa.Table, root: int | None):
+        src, dst, worth = column(table, "src"), table.column("dst"), column(table, "value")
+        is_edge = dst.is_valid().to_numpy()
+        order = np.argsort(src[~is_edge], kind="stable")
+        self.node, prize = src[~is_edge][order], worth[~is_edge][order]
+        a, b, cost = src[is_edge], dst.drop_null().to_numpy(), worth[is_edge]
+        i, j = np.searchsorted(self.node, a), np.searchsorted(self.node, b)
+        known = np.minimum(i, j) < len(self.node)
+        known[known] = (self.node[i[known] % len(self.node)] == a[known]) & (self.node[np.minimum(j[known], len(self.node) - 1)] == b[known])
+        i, j, cost = i[known], j[known], cost[known]
+        tree = least_forest(i, j, [cost, -np.minimum(prize[i], prize[j]), i, j])
+        self.i, self.j, self.cost = i[tree].tolist(), j[tree].tolist(), cost[tree]
+        at = None if root is None else int(np.searchsorted(self.node, root))
+        self.root = at if at is not None and at < len(self.node) and self.node[at] == root else None
+        self.prizes = Prizes(prize.tolist(), self.i, self.j, self.cost.tolist(), self.root)
+        paid = self.cost[self.cost > 0]
+        self.limits = lambda g: search.Limits(
+            float(prize.sum()), float(paid.min()) if len(paid) else float("inf"), float(self.cost.min()) if len(self.cost) else float("inf"),
+            float(self.cost.max()) if len(self.cost) else 0.0, len(self.node), g == 1 or self.root is not None)
+
+    def chosen(self, picks: list[tuple[int, float]], g: int, met: bool, ended: bool) -> dict[str, list]:
+        """Nodes and kept edges of the best trees at each picked lambda."""
+        rows = []
+        for side, lam in picks:
+            for _, _, _, nodes in self.prizes.best(lam, g):
+                comp = int(self.node[min(nodes)])
+                rows += [(side, lam, comp, int(self.node[v]), self.prizes.prize[v], None, None, None, met, ended) for v in nodes]
+                rows += [(side, lam, comp, None, None, int(self.node[self.i[e]]), int(self.node[self.j[e]]), float(self.cost[e]), met, ended)
+                         for e in self.prizes.edges(nodes)]
+        kinds = [pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_()]
+        return {f.split()[0]: pa.array([r[k] for r in rows], kinds[k]) for k, f in enumerate(_FOUND.split(", "))}
+
+
+def _searched(edges: DataFrame, nodes: DataFrame, rule: Callable, g: int, root: int | None, rounds: int) -> DataFrame:
+    """Chosen trees of every problem that has a node, one row for each node and each kept edge: ``_FOUND``."""
+    rows = cut(_rows_of(edges, nodes))
+    large = _oversized(rows)
+    fits = rows if large is None else rows.join(large, KEY, "left_anti")
+
+    def run(table: pa.Table) -> dict[str, list]:
+        problem, points = _Problem(table, root), {}
+        if not len(problem.node):
+            return problem.chosen([], g, False, True)
+        many = g if problem.root is None else 1
+        for number in range(rounds + 1):
+            lams, picks, met, ended = rule(points, problem.limits(g), last=number == rounds)
+            if picks:
+                return problem.chosen(picks, many, met, ended)
+            points |= {lam: problem.prizes.score(lam, many) for lam in lams}
+        raise AssertionError("a rule decides in the last round")
+
+    found = by_problem(fits, KEY, run, _FOUND)
+    if large is None:
+        return found
+    rows = cut(rows.join(large, KEY, "left_semi"))
+    big_nodes = rows.filter("dst is null").select(KEY, F.col("src").alias("node"), F.col("value").alias("prize"))
+    big_edges = rows.filter("dst is not null").select(KEY, "src", "dst", F.col("value").alias("cost"))
+    return found.unionByName(_searched_by_rounds(big_edges, big_nodes, rule, g, root, rounds))
+
+
+def _searched_by_rounds(edges: DataFrame, nodes: DataFrame, rule: Callable, g: int, root: int | None, rounds: int) -> DataFrame:
+    """The same for problems beyond a task: every round solves what the rule asks for, all problems in one go."""
     forest = cut(spanning_forest(prize_order(edges, nodes), ["cost", "low_prize"]))
-    lambdas = nodes.select(KEY).distinct().withColumn("lam", F.lit(float(lam)))
-    return select_trees(forest, nodes, lambdas, g, root)
+    inf = F.lit(float("inf"))
+    paid = F.min(F.when(F.col("cost") > 0, F.col("cost")))
+    limits = nodes.groupBy(KEY).agg(
+        F.sum("prize").alias("total"), F.count(F.lit(1)).alias("nodes"), F.bool_or(F.col("node") == F.lit(root)).alias("_rooted")).join(
+        forest.groupBy(KEY).agg(paid.alias("positive"), F.min("cost").alias("least"), F.max("cost").alias("most")), KEY, "left").select(
+        KEY, "total", "nodes", F.coalesce("positive", inf).alias("positive"), F.coalesce("least", inf).alias("least"),
+        F.coalesce("most", F.lit(0.0)).alias("most"), (F.lit(g == 1) | F.coalesce("_rooted", F.lit(False))).alias("exact"))
+    point = "array<struct<lam:double,size:bigint,cost:double,prize:double>>"
+    state = cut(limits.withColumn("points", F.expr(f"cast(array() as {point})")))
+    answer = "lams array<double>, picks array<struct<side:int,lam:double>>, met boolean, ended boolean"
+    kind = state.schema[KEY].dataType.simpleString()
+    done = []
+    for number in range(rounds + 1):
+
+        def ask(batches, last=number == rounds):
+            for batch in batches:
+                out = []
+                for r in batch.to_pylist():
+                    known = search.Limits(r["total"], r["positive"], r["least"], r["most"], r["nodes"], r["exact"])
+                    lams, picks, met, ended = rule({p["lam"]: (p["size"], p["cost"], p["prize"]) for p in r["points"]}, known, last=last)
+                    out.append((lams, [{"side": s, "lam": lam} for s, lam in picks], met, ended))
+                kinds = [pa.list_(pa.float64()), pa.list_(pa.struct([("side", pa.int32()), ("lam", pa.float64())])), pa.bool_(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(KEY), *(pa.array([o[k] for o in out], kinds[k]) for k in range(4))], [KEY, "lams", "picks", "met", "ended"])
+
+        asked, left = cut_count(state.mapInArrow(ask, f"{KEY} {kind}, {answer}"), "size(picks) = 0")
+        done.append(asked.filter("size(picks) > 0").drop("lams"))
+        if not left:
+            break
+        grid = asked.filter("size(picks) = 0").select(KEY, F.explode(F.array_distinct("lams")).alias("lam"))
+        open_ = grid.select(KEY).distinct()
+        scores = _scores(forest.join(open_, KEY, "left_semi"), nodes.join(open_, KEY, "left_semi"), grid, g, root)
+        fresh = scores.groupBy(KEY).agg(F.collect_list(F.struct("lam", "size", "cost", "prize")).alias("_new"))
+        state = cut(state.join(fresh, KEY).withColumn("points", F.concat("points", "_new")).drop("_new"))
+    picked = done[0]
+    for part in done[1:]:
+        picked = picked.unionByName(part)
+    picked = cut(picked.select(KEY, "met", "ended", F.inline("picks")))
+    support, kept = select_trees(forest, nodes, picked.select(KEY, "lam"), g, root)
+    support = cut(support)
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = support.join(nodes.select(KEY, "node", "prize"), [KEY, "node"]).select(
+        KEY, "lam", "comp", "node", "prize", null("long").alias("src"), null("long").alias("dst"), null("double").alias("cost"))
+    links = kept.join(support.select(KEY, "lam", F.col("node").alias("src"), "comp"), [KEY, "lam", "src"]).join(
+        forest.select(KEY, "src", "dst", "cost"), [KEY, "src", "dst"]).select(
+        KEY, "lam", "comp", null("long").alias("node"), null("double").alias("prize"), "src", "dst", "cost")
+    return rows.unionByName(links).join(picked, [KEY, "lam"]).select(KEY, *[f.split()[0] for f in _FOUND.split(", ")])
+
+
+def _scores(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame, g: int, root: int | None) -> DataFrame:
+    """Size, cost and prize of the best ``g`` trees per lambda."""
+    if g > 1:
+        support, kept = select_trees(forest, nodes, lambdas, g, root)
+        spent = kept.join(forest.select(KEY, "src", "dst", "cost"), [KEY, "src", "dst"]).groupBy(KEY, "lam").agg(F.sum("cost").alias("cost"))
+        return support.join(nodes.select(KEY, "node", "prize"), [KEY, "node"]).groupBy(KEY, "lam").agg(
+            F.count(F.lit(1)).alias("size"), F.sum("prize").alias("prize")).join(spent, [KEY, "lam"], "left").select(
+            KEY, "lam", "size", F.coalesce("cost", F.lit(0.0)).alias("cost"), "prize")
+    lams = lambdas.select(KEY, "lam").distinct()
+    pair = F.struct(KEY, "lam").alias(KEY)
+    is_root = F.lit(0) if root is None else (F.col("node") == root).cast("int")
+    base = nodes.join(lams, KEY).select(pair, "node", value(F.col("prize"), F.lit(1), F.lit(0.0), is_root).alias("own"))
+    function = edge_function(F.col("cost"), F.col("cost") * F.col("lam"))
+    links = canonical(forest).join(lams, KEY).select(pair, F.col("src").alias("a"), F.col("dst").alias("b"), function.alias("ab"), function.alias("ba"))
+    payoffs = tree_values(cut(base), cut(links))[0]
+    return payoffs.groupBy(KEY).agg(F.min_by("payoff", F.struct(-F.col("payoff.r"), -F.col("payoff.m"), "payoff.n", "node")).alias("p")).select(
+        F.col(f"{KEY}.{KEY}").alias(KEY), F.col(f"{KEY}.lam").alias("lam"), F.col("p.n").alias("size"), F.col("p.k").alias("cost"),
+        (F.col("p.m") + F.col(f"{KEY}.lam") * F.col("p.k")).alias("prize"))
+
+
+def prize_collecting(edges: DataFrame, nodes: DataFrame, g: int = 1, lam: float = 1.0, root: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """G11. Subgraph of at most ``g`` trees maximising ``sum(prize) - lam * sum(cost)``.
+
+    Returns ``support(problem_id, lam, node, comp)`` and the kept tree edges with ``c``, their cost times ``lam``.
+    """
+
+    def only(points, limits, last):
+        return [], [(0, float(lam))], True, True
+
+    found = cut(_searched(edges, nodes, only, max(g, 1), root, 1))
+    return (found.filter("node is not null").select(KEY, "lam", "node", "comp"),
+            found.filter("node is null").select(KEY, "lam", "src", "dst", (F.col("cost") * F.col("lam")).alias("c")))
 
 
 def unpruned(edges: DataFrame, chosen: DataFrame, whole_trees: bool = True) -> DataFrame:
@@ -216,258 +342,65 @@ def unpruned(edges: DataFrame, chosen: DataFrame, whole_trees: bool = True) -> D
 
 # -- searches over lambda ----------------------------------------------------
 
-def _scores(forest: DataFrame, nodes: DataFrame, lambdas: DataFrame, g: int, root: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Messages, payoffs, and per lambda the size, cost and prize of the best ``g`` trees."""
-    messages, payoffs = tree_messages(forest, nodes, lambdas, root)
-    payoffs = cut(payoffs)
-    if g == 1:
-        best = _best_nodes(payoffs)
-    else:
-        values = _tree_values(cut(_trees(messages, payoffs)), messages, nodes)
-        best = top_k(values, [KEY, "lam"], [F.col("payoff").desc(), F.col("comp")], g).groupBy(KEY, "lam").agg(
-            F.sum("size").alias("size"), F.sum("payoff").alias("payoff"), F.sum("spent").alias("spent")
-        )
-    return messages, payoffs, best.selectExpr(KEY, "lam", "size", "spent / lam as cost", "payoff + spent as prize")
-
-
-def first_guess(nodes: DataFrame, s_low: int, s_high: int) -> DataFrame:
-    """Start of the search: twice the ``s_high``-th largest prize.
-
-    Falls back to the ``s_low``-th largest, then to the largest prize.
-    """
-    top = top_k(nodes, [KEY], [F.col("prize").desc(), F.col("node")], s_high, "_rank")
-    return top.groupBy(KEY).agg(
-        F.max(F.when(F.col("_rank") == s_high, F.col("prize"))).alias("_h"),
-        F.max(F.when(F.col("_rank") == s_low, F.col("prize"))).alias("_l"), F.max("prize").alias("_m"),
-    ).select(
-        KEY,
-        (2.0 * F.coalesce(F.nullif(F.col("_h"), F.lit(0.0)), F.nullif(F.col("_l"), F.lit(0.0)), F.nullif(F.col("_m"), F.lit(0.0)), F.lit(1.0))).alias("guess"),
-    )
-
-
 def size_band(
     edges: DataFrame, nodes: DataFrame, s_low: int, s_high: int, g: int = 1, root: int | None = None,
-    max_rounds: int = 16, per_round: int = 8,
+    max_rounds: int = 1000, per_round: int = 8,
 ) -> DataFrame:
-    """G14. Support whose size lies between ``s_low`` and ``s_high``: ``(problem_id, node, in_band)``.
-
-    Lambda doubles from a first guess until the size is at most ``s_high``; the
-    gap below is then divided until a size falls into the band.  One job scores
-    ``per_round`` values of lambda for all problems.  A problem is given up when
-    its values of lambda cannot be told apart, when even the largest that
-    matters leaves too many nodes, or the smallest too few; it is then returned
-    for the smallest lambda seen with a size of at most ``s_high`` (else the
-    largest tried), with ``in_band`` false.  Every problem that has a node is
-    returned.
+    """G14. Support whose size lies between ``s_low`` and ``s_high``: ``(problem_id, node, in_band, converged)``.
+
+    At most all nodes but one are asked for.  A search ends with a support in the band, or with the proof that no
+    lambda gives one (for ``g = 1``; else when values of lambda cannot be told apart); the problem is then returned for
+    the smallest lambda seen with a size of at most ``s_high`` (else the largest tried), with ``in_band`` false.
+    ``converged`` is false where ``max_rounds`` came first.  Every problem that has a node is returned.
     """
-    return _search(edges, nodes, s_low, s_high, g, root, max_rounds, per_round)[0]
+    return size_band_with_edges(edges, nodes, s_low, s_high, g, root, max_rounds, per_round)[0]
 
 
-def size_band_with_edges(edges, nodes, s_low, s_high, g=1, root=None, max_rounds=16, per_round=8):
+def size_band_with_edges(edges, nodes, s_low, s_high, g=1, root=None, max_rounds=1000, per_round=8):
     """G14 with the kept tree edges of the chosen support."""
-    return _search(edges, nodes, s_low, s_high, g, root, max_rounds, per_round)
 
+    def rule(points, limits, last):
+        return search.size_band(points, limits, s_low, max(s_low, s_high), per_round, last)
 
-def _search(edges, nodes, s_low, s_high, g, root, max_rounds, per_round):
-    s_high = max(s_high, s_low)
-    g = g if root is None else 1
-    nodes = cut(nodes.select(KEY, "node", "prize"))
-    forest = cut(spanning_forest(prize_order(edges, nodes), ["cost", "low_prize"]))
-    limits = nodes.groupBy(KEY).agg(
-        F.least(F.lit(s_high), F.greatest(F.count(F.lit(1)) - 1, F.lit(1))).alias("s_high"),
-        F.sum("prize").alias("_all"), F.min(F.when(F.col("prize") > 0, F.col("prize"))).alias("_least"))
-    costs = forest.groupBy(KEY).agg(F.min(F.when(F.col("cost") > 0, F.col("cost"))).alias("_edge"), F.sum("cost").alias("_edges"))
-    # beyond ``cap`` no edge with a cost is paid for; below ``floor`` every edge between paid sides is
-    state = cut(first_guess(nodes, s_low, s_high).join(limits, KEY).join(costs, KEY, "left").select(
-        KEY, "s_high", "guess", F.greatest("guess", F.coalesce(2.0 * F.col("_all") / F.col("_edge"), F.lit(0.0))).alias("cap"),
-        F.coalesce(F.col("_least") / F.nullif(F.col("_edges"), F.lit(0.0)), F.lit(float("inf"))).alias("floor"),
-        F.lit(0.0).alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("double").alias("lam"), F.lit(False).alias("done"),
-    ))
-    steps = F.sequence(F.lit(0), F.lit(per_round - 1))
-    seen = []
-    for round_no in range(max_rounds):
-        doubling = F.least("cap", F.col("guess") * F.pow(F.lit(2.0), (F.col("k") + round_no * per_round).cast("double")))
-        between = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("k") + 1) / (per_round + 1)
-        grid = cut(state.filter("not done").withColumn("k", F.explode(steps)).select(
-            KEY, F.when(F.col("hi").isNull(), doubling).otherwise(between).alias("lam")
-        ).distinct())
-        open_nodes = nodes.join(grid.select(KEY).distinct(), KEY, "left_semi")
-        open_forest = forest.join(grid.select(KEY).distinct(), KEY, "left_semi")
-        messages, payoffs, sizes = _scores(open_forest, open_nodes, grid, g, root)
-        seen.append((messages, payoffs))
-        in_band = (F.col("size") <= F.col("s_high")) & (F.col("size") >= s_low)
-        scored = sizes.join(state.select(KEY, "s_high", "cap"), KEY).groupBy(KEY).agg(
-            F.min_by(F.when(in_band, F.col("lam")), F.when(in_band, F.struct(-F.col("size"), "lam"))).alias("_hit"),
-            F.max(F.when(F.col("size") > F.col("s_high"), F.col("lam"))).alias("_lo"),
-            F.min(F.when(F.col("size") < s_low, F.col("lam"))).alias("_small"),
-            F.max(F.when((F.col("size") > F.col("s_high")) & (F.col("lam") >= F.col("cap")), F.col("lam"))).alias("_stuck"),
-        )
-        moved = state.join(scored, KEY, "left").select(
-            KEY, "s_high", "guess", "cap", "floor", "done", "_stuck",
-            F.greatest("lo", F.coalesce(F.when(F.col("_lo") < F.coalesce("_small", F.col("_lo") + 1), F.col("_lo")), F.col("lo"))).alias("lo"),
-            F.coalesce("_small", "hi").alias("hi"), F.coalesce("lam", "_hit").alias("lam"),
-        )
-        over = F.col("hi").isNotNull() & ((F.col("hi") <= F.col("floor")) | (F.col("hi") - F.col("lo") <= 1e-9 * F.col("hi")))
-        state, left = cut_count(moved.select(
-            KEY, "s_high", "guess", "cap", "floor", "lo", F.coalesce("hi", "_stuck").alias("hi"), "lam",
-            (F.col("done") | F.col("lam").isNotNull() | F.col("_stuck").isNotNull() | over).alias("done")), "not done")
-        if not left:
-            break
-    last = F.least("cap", F.col("guess") * float(2 ** min(1000, max_rounds * per_round - 1)))
-    chosen = cut(state.select(KEY, F.coalesce("lam", "hi", last).alias("lam"), F.col("lam").isNotNull().alias("in_band")))
-    messages = _rows_of(chosen.select(KEY, "lam"), [m for m, _ in seen])
-    payoffs = _rows_of(chosen.select(KEY, "lam"), [p for _, p in seen])
-    support, kept = _chosen_trees(messages, payoffs, nodes, chosen, g, root)
-    return support.join(chosen.select(KEY, "in_band"), KEY), kept
-
-
-def _rows_of(chosen: DataFrame, rounds: list[DataFrame]) -> DataFrame:
-    """Rows of the chosen lambda of each problem out of all search rounds."""
-    found = [r.join(chosen, [KEY, "lam"], "left_semi") for r in rounds]
-    both = found[0]
-    for part in found[1:]:
-        both = both.unionByName(part)
-    return both
-
-
-def _chosen_trees(messages: DataFrame, payoffs: DataFrame, nodes: DataFrame, chosen: DataFrame, g: int, root: int | None = None) -> tuple[DataFrame, DataFrame]:
-    kept = kept_edges(messages)
-    if g == 1:
-        # Every node of the best tree has the best payoff, and nodes next to it have less.
-        # Only exact ties break that; they show as a wrong size and take the general way.
-        best = _best_nodes(payoffs).select(KEY, "lam", F.col("size").alias("_size"), F.col("payoff").alias("_top"), F.col("r").alias("_r"))
-        support = cut(payoffs.join(best, [KEY, "lam"]).filter("r = _r and payoff >= _top - 1e-9 * abs(_top)").select(KEY, "lam", "node", "_size"))
-        sizes = support.groupBy(KEY, "lam").agg(F.count(F.lit(1)).alias("_n"), F.first("_size").alias("_size"))
-        if sizes.filter("_n != _size").isEmpty():
-            ends = support.select(KEY, "lam", "node")
-            for end in ("src", "dst"):
-                kept = kept.join(ends.withColumnRenamed("node", end), [KEY, "lam", end], "left_semi")
-            return support.select(KEY, "node"), kept.select(KEY, "src", "dst")
-    support, kept = _best_trees(messages, payoffs, nodes, g, root)
-    return support.select(KEY, "node"), kept.select(KEY, "src", "dst")
-
-
-def _without_prize(nodes: DataFrame) -> DataFrame:
-    """The least node of every problem in which no node has a prize: nothing else to choose by."""
-    return nodes.groupBy(KEY).agg(F.min("node").alias("node"), F.sum("prize").alias("_sum")).filter("coalesce(_sum, 0) <= 0").select(KEY, "node")
-
-
-def cost_head(edges: DataFrame, nodes: DataFrame, budget: float, g: int = 1, delta: float = 0.1, tol: float = 1e-6, max_rounds: int = 32, per_round: int = 8) -> DataFrame:
+    found = cut(_searched(edges, nodes, rule, g, root, max_rounds))
+    return (found.filter("node is not null").select(KEY, "node", F.col("met").alias("in_band"), F.col("ended").alias("converged")),
+            found.filter("node is null").select(KEY, "src", "dst"))
+
+
+def cost_head(edges: DataFrame, nodes: DataFrame, budget: float, g: int = 1, max_rounds: int = 1000, per_round: int = 8) -> DataFrame:
     """G15. Support of large prize whose forest costs at most ``2 * budget``: ``(problem_id, node, converged)``.
 
-    Lambda here scales prizes, so ``1 / lambda`` scales costs.  The search keeps
-    the largest prize scale within the cost bound; the forest just beyond it is
-    trimmed to ``budget`` and the better of the two is returned.  It ends when the
-    gap is within the tolerance or cannot be told apart; ``converged`` is false
-    where ``max_rounds`` came first.  A problem without any prize gets its least node.
+    The search finds two neighbouring supports, one within the bound and one beyond it; that beyond is trimmed to
+    ``budget`` and the one of larger prize is returned, ties to that within.  ``converged`` is false where ``max_rounds``
+    came before the proof that they are neighbours.  A problem without any prize gets its least node.
     """
-    nodes = cut(nodes.select(KEY, "node", "prize"))
-    forest = cut(spanning_forest(prize_order(edges, nodes), ["cost", "low_prize"]))
-    spread = nodes.groupBy(KEY).agg(
-        F.greatest(F.min(F.when(F.col("prize") > 0, F.col("prize"))), F.lit(tol)).alias("_min"), F.sum("prize").alias("_sum")
-    ).filter("_sum > 0")
-    state = cut(spread.select(
-        KEY, (1.0 / (4.0 * F.col("_sum"))).alias("left"), (2.0 * budget / F.col("_min")).alias("right"),
-        (delta * budget / (2.0 * F.col("_sum"))).alias("eps"), F.lit(True).alias("first"),
-    ))
-    steps = F.sequence(F.lit(0), F.lit(per_round))
-    wanting = F.col("right") - F.col("left") > F.greatest("eps", 1e-9 * F.col("right"))
-    seen = []
-    for _ in range(max_rounds):
-        point = F.col("left") + (F.col("right") - F.col("left")) * F.col("k") / per_round
-        ratio = F.col("left") * F.pow(F.col("right") / F.col("left"), F.col("k") / per_round)
-        wide = F.col("right") > 4 * F.col("left")
-        inner = F.when(F.col("k") == 0, F.col("left")).when(F.col("k") == per_round, F.col("right")).when(wide, ratio).otherwise(point)
-        grid, left = cut_count(
-            state.filter(F.col("first") | wanting).withColumn("k", F.explode(steps)).select(KEY, inner.alias("scale"))
-            .withColumn("lam", 1.0 / F.col("scale")), "true")
-        if not left:
-            break
-        messages, payoffs, scores = _scores(forest, nodes, grid, g)
-        scores = cut(grid.join(scores, [KEY, "lam"]))
-        seen.append((messages, payoffs, scores))
-        moved = scores.groupBy(KEY).agg(
-            F.min(F.when(F.col("cost") > 2 * budget, F.col("scale"))).alias("_over"), F.max("scale").alias("_top"),
-            F.collect_list(F.when(F.col("cost") <= 2 * budget, F.col("scale"))).alias("_within"),
-        )
-        below = F.array_max(F.filter("_within", lambda v: F.col("_over").isNull() | (v < F.col("_over"))))
-        state = cut(state.join(moved, KEY, "left").select(
-            KEY, F.coalesce(below, "left").alias("left"),
-            F.when(F.col("_top").isNull(), F.col("right")).when(F.col("_over").isNull(), F.coalesce(below, "right")).otherwise(F.col("_over")).alias("right"),
-            "eps", F.lit(False).alias("first"),
-        ))
-    if not seen:
-        return _without_prize(nodes).withColumn("converged", F.lit(True))
-    sides = cut(state.select(KEY, F.inline(F.array(
-        F.struct(F.lit(0).alias("side"), (1.0 / F.col("left")).alias("lam")),
-        F.struct(F.lit(1).alias("side"), (1.0 / F.col("right")).alias("lam"))))))
-    ends = sides.select(KEY, "lam").distinct()
-    support, kept = _best_trees(_rows_of(ends, [m for m, _, _ in seen]), _rows_of(ends, [p for _, p, _ in seen]), nodes, g)
-    support, kept = cut(support), cut(kept)
-    costs = _rows_of(ends, [c for _, _, c in seen]).select(KEY, "lam", "cost").distinct()
-    over = sides.join(costs, [KEY, "lam"]).filter(F.col("cost") > 2 * budget)
-    whole = support.join(sides.join(over.select(KEY, "side"), [KEY, "side"], "left_anti"), [KEY, "lam"]).select(KEY, "side", "node")
-    trimmed = over.select(KEY, "lam", "side")
-    cuttable = support.join(trimmed, [KEY, "lam"]).select(KEY, "side", "node", "comp").join(nodes, [KEY, "node"])
-    links = kept.join(trimmed, [KEY, "lam"]).select(KEY, "side", "src", "dst", (F.col("c") / F.col("lam")).alias("cost"))
+
+    def rule(points, limits, last):
+        return search.cost_head(points, limits, 2.0 * budget, per_round, last)
+
+    found = cut(_searched(edges, nodes, rule, g, None, max_rounds))
     pair = F.struct(KEY, "side").alias(KEY)
-    fitted = budget_trim(cuttable.select(pair, "node", "comp", "prize"), links.select(pair, "src", "dst", "cost"), budget)
-    candidates = cut(whole.unionByName(fitted.select(f"{KEY}.{KEY}", f"{KEY}.side", "node")))
-    best = candidates.join(nodes, [KEY, "node"]).groupBy(KEY, "side").agg(F.sum("prize").alias("prize")).groupBy(KEY).agg(
-        F.min_by("side", F.struct(-F.col("prize"), "side")).alias("side"))
-    chosen = candidates.join(best, [KEY, "side"], "left_semi").join(state.select(KEY, (~wanting).alias("converged")), KEY)
-    return chosen.select(KEY, "node", "converged").unionByName(_without_prize(nodes).withColumn("converged", F.lit(True)))
+    members, links = found.filter("node is not null"), found.filter("node is null")
+    trimmed = budget_trim(members.filter("side = 1").select(pair, "node", "comp", "prize"), links.filter("side = 1").select(pair, "src", "dst", "cost"), budget)
+    both = members.filter("side = 0").select(KEY, "side", "node").unionByName(trimmed.select(f"{KEY}.{KEY}", f"{KEY}.side", "node"))
+    both = cut(both.join(members.select(KEY, "side", "node", "prize", F.col("ended").alias("converged")), [KEY, "side", "node"]))
+    best = both.groupBy(KEY, "side").agg(F.sum("prize").alias("prize")).groupBy(KEY).agg(F.min_by("side", F.struct(-F.col("prize"), "side")).alias("side"))
+    return both.join(best, [KEY, "side"], "left_semi").select(KEY, "node", "converged")
 
 
-def cost_tail(edges: DataFrame, nodes: DataFrame, budget: float, nu: float, g: int = 1, tol: float = 1e-6, max_rounds: int = 32, per_round: int = 8) -> DataFrame:
+def cost_tail(edges: DataFrame, nodes: DataFrame, budget: float, nu: float, g: int = 1, max_rounds: int = 1000, per_round: int = 8) -> DataFrame:
     """G16. Support whose forest costs between ``2 * budget`` and ``nu * budget``: ``(problem_id, node, in_band, converged)``.
 
-    If no lambda gives such a cost, the cheapest forest above the band's lambda
-    is returned with ``in_band`` false; a forest within the bound that misses no
-    prize is taken at once.  ``converged`` is false where ``max_rounds`` came before
-    the tolerance.  A problem without any prize gets its least node.
+    A forest within the bound that misses no prize is taken at once.  If no lambda gives such a cost, the dearest
+    support below the band is returned with ``in_band`` false.  ``converged`` is false where ``max_rounds`` came before
+    that was proven.  A problem without any prize gets its least node.
     """
-    nodes = cut(nodes.select(KEY, "node", "prize"))
-    forest = cut(spanning_forest(prize_order(edges, nodes), ["cost", "low_prize"]))
-    spread = nodes.groupBy(KEY).agg(
-        F.greatest(F.min(F.when(F.col("prize") > 0, F.col("prize"))), F.lit(tol)).alias("_min"), F.sum("prize").alias("total")
-    ).filter("total > 0")
-    state = cut(spread.select(
-        KEY, "total", (F.col("_min") / (2.0 * budget)).alias("start"), F.lit(0.0).alias("low"), (3.0 * F.col("total")).alias("high"),
-        (F.col("_min") * min(0.5, 1.0 / nu) / budget).alias("eps"), F.lit(None).cast("double").alias("lam"),
-    ))
-    steps = F.sequence(F.lit(0), F.lit(per_round))
-    wanting = F.col("lam").isNull() & (F.col("high") - F.col("low") > F.greatest("eps", 1e-9 * F.col("high")))
-    seen = []
-    for _ in range(max_rounds):
-        base = F.greatest("low", F.least(F.col("start"), F.col("high")))
-        wide = F.col("high") > 4 * base
-        ratio = base * F.pow(F.col("high") / base, F.col("k") / per_round)
-        point = F.col("low") + (F.col("high") - F.col("low")) * (F.col("k") + 1) / (per_round + 1)
-        inner = F.when(F.col("k") == per_round, F.col("high")).when(wide, ratio).otherwise(point)
-        grid, left = cut_count(state.filter(wanting).withColumn("k", F.explode(steps)).select(KEY, inner.alias("lam")), "true")
-        if not left:
-            break
-        messages, payoffs, scores = _scores(forest, nodes, grid, g)
-        seen.append((messages, payoffs))
-        costs = scores.join(state.select(KEY, "total", "start"), KEY)
-        hit = F.col("cost").between(2 * budget, nu * budget) | (
-            (F.col("cost") <= 2 * budget) & (F.col("prize") >= F.col("total")) & (F.col("lam") <= F.col("start")))
-        moved = costs.groupBy(KEY).agg(
-            F.min(F.when(hit, F.col("lam"))).alias("_hit"),
-            F.max(F.when(F.col("cost") > nu * budget, F.col("lam"))).alias("_over"),
-            F.min(F.when(F.col("cost") < 2 * budget, F.col("lam"))).alias("_under"),
-        )
-        state = cut(state.join(moved, KEY, "left").select(
-            KEY, "total", "start", F.greatest("low", F.coalesce("_over", "low")).alias("low"), F.coalesce("_under", "high").alias("high"), "eps",
-            F.coalesce("lam", "_hit").alias("lam"),
-        ))
-    flags = {"in_band": F.lit(True), "converged": F.lit(True)}  # nothing to pay for and no prize missed
-    if not seen:
-        return _without_prize(nodes).withColumns(flags)
-    chosen = cut(state.select(KEY, F.coalesce("lam", "high").alias("lam"), F.col("lam").isNotNull().alias("in_band"), (~wanting).alias("converged")))
-    found = _chosen_trees(_rows_of(chosen, [m for m, _ in seen]), _rows_of(chosen, [p for _, p in seen]), nodes, chosen, g)[0]
-    return found.join(chosen.drop("lam"), KEY).unionByName(_without_prize(nodes).withColumns(flags))
+
+    def rule(points, limits, last):
+        return search.cost_tail(points, limits, 2.0 * budget, nu * budget, per_round, last)
+
+    found = _searched(edges, nodes, rule, g, None, max_rounds).filter("node is not null")
+    return found.select(KEY, "node", F.col("met").alias("in_band"), F.col("ended").alias("converged"))
 
 
 def budget_trim(members: DataFrame, kept: DataFrame, budget: float) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparsetab.functions.scalar import hashed_unit
 from sparsetab.lineage import cut, cut_count
+from sparsetab.operators import trees
 from sparsetab.operators.ranking import ranked
 from sparsetab.operators.relational import edges_within, symmetric
+from sparsetab.operators.trees import by_problem, column, least_labels
 
 KEY = "problem_id"
 
@@ -96,16 +98,29 @@ def pointer_roots(pointers: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """G5. Component of every node, named by its least node id: ``(problem_id, node, comp)``.
 
-    In each round every component points to its least neighbour and the pointer
-    trees are contracted, so the number of components at least halves.  ``nodes``
-    adds nodes without edges.
+    In each round every component of a large problem points to its least
+    neighbour and the pointer trees are contracted, so the number of components
+    at least halves; what fits a task is finished there.  ``nodes`` adds nodes
+    without edges.
     """
     live, left = cut_count(
         edges.filter("src <> dst").selectExpr(KEY, "least(src, dst) as a", "greatest(src, dst) as b").distinct(), "true"
     )
     everything = nodes.select(KEY, "node") if nodes is not None else endpoints(edges)
     labels = everything.distinct().withColumn("comp", F.col("node"))
+
+    def finish(table):
+        node, root = least_labels(column(table, "a"), column(table, "b"))
+        return {"c": node, "parent": root}
+
     while left:
+        large = _oversized(live, left)
+        fits = live if large is None else live.join(large, KEY, "left_anti")
+        finished = by_problem(fits, KEY, finish, "c long, parent long")
+        if large is None:
+            return _relabel(labels, "comp", finished)
+        labels = cut(_relabel(labels, "comp", finished))
+        live = live.join(large, KEY, "left_semi")
         hooks = (
             live.selectExpr(KEY, "inline(array(struct(a as c, b as o), struct(b as c, a as o)))")
             .groupBy(KEY, "c").agg(F.min("o").alias("o")).selectExpr(KEY, "c", "least(c, o) as parent")
@@ -119,6 +134,14 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return labels
 
 
+def _oversized(rows: DataFrame, total: int | None = None) -> DataFrame | None:
+    """Problems with more rows than a task takes; None if there are none, as there cannot be if ``total`` is that small."""
+    if total is not None and total <= trees.LIMIT:
+        return None
+    large, found = cut_count(rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > trees.LIMIT).select(KEY), "true")
+    return large if found else None
+
+
 def _relabel(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
     renamed = roots.selectExpr(KEY, f"c as {column}", "parent as _root")
     rest = [c for c in df.columns if c != column]
