@@ -80,12 +80,18 @@ def letter_counts(words: np.ndarray) -> np.ndarray:
 
 
 def _candidates(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose count vectors are at most two apart (squared)."""
-    kind = np.float32 if max(x.shape[1], y.shape[1]) < 4096 else np.float64  # sums of whole numbers without rounding
-    a, b = letter_counts(x).astype(kind), letter_counts(y).astype(kind)
-    distance = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
-    close = distance <= 2
-    return np.nonzero(np.triu(close, 1) if same else close)
+    """Pairs of rows whose count vectors are at most two apart (squared).
+
+    The product runs over the letters both blocks have, and over two more columns that add the squared lengths.
+    """
+    kind = np.float32 if max(x.shape[1], y.shape[1]) < 1024 else np.float64  # sums of whole numbers without rounding
+    a, b = letter_counts(x), letter_counts(y)
+    both = a.any(axis=0) & b.any(axis=0)
+    one = np.ones((len(a), 1)), np.ones((len(b), 1))
+    left = np.hstack([a[:, both], (a * a).sum(axis=1, keepdims=True), one[0]]).astype(kind)
+    right = np.hstack([-2 * b[:, both], one[1], (b * b).sum(axis=1, keepdims=True)]).astype(kind)
+    i, j = np.nonzero(left @ right.T <= 2)
+    return (i[i < j], j[i < j]) if same else (i, j)
 
 
 def near(x: np.ndarray, y: np.ndarray, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
