@@ -9,8 +9,10 @@ Encoding takes the candidate merges of a unit from an agenda, best rank first, l
 is the pair of symbols that meet at given places.  With dropout it is skipped for good if its keyed hash (seed,
 document, copy of it, place of the unit in the text, places of the pair) lies below the rate, so a rerun gives the
 same pieces, another seed others, and every occurrence of a word is drawn anew.  The distinct units of a batch work off
-their agendas without dropout; occurrences that skip none of the candidates met there have that result, the others
-work off an agenda of their own.  Agendas run side by side in NumPy.
+their agendas without dropout.  Skipping a candidate that is not taken there changes nothing, so occurrences that skip
+none of the merges taken have that result; the others work off an agenda of their own.  Agendas of units of one length
+run side by side in NumPy; a unit of more than ``LONG`` characters has linked symbols and a heap to itself, so its cost
+is in proportion to its length but for a logarithm.
 
 Characters without a piece become byte pieces, ``▁`` in the text itself among them, so decoding is lossless for
 every text whatever the rate.
@@ -18,17 +20,20 @@ every text whatever the rate.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from sparsetab.llm.tokens import mix, slices, span_hashes
 
 MARK = "▁"
 _BYTES = 1 << 21
 _ROWS = 8192
+LONG = 512  # characters of a unit from which it has a heap of its own
+COPIES = 64  # copies of a row encoded in one go
 _NO_RANK = np.int32(np.iinfo(np.int32).max)
 _NORMAL, _USER, _UNUSED, _BYTE = "normal", "user", "unused", "byte"
 
@@ -48,6 +53,14 @@ class Vocabulary:
     merged: np.ndarray
     ranks: np.ndarray
     extra: list[int]
+    known: dict[int, tuple[int, int]] | None = None
+
+    def merges(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged symbol by pair, for agendas with a heap; made when first asked for."""
+        if self.known is None:
+            used = self.keys != _EMPTY
+            self.known = dict(zip(self.keys[used].tolist(), zip(self.ranks[used].tolist(), self.merged[used].tolist())))
+        return self.known
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Slot of the merge of each pair, -1 if there is none."""
@@ -134,9 +147,58 @@ def _skipped(key: np.ndarray, pair: np.ndarray, rate: float) -> np.ndarray:
     return (mix(key ^ pair) >> np.uint64(11)) < np.uint64(min(rate, 1.0) * float(1 << 53))
 
 
+_WORD = (1 << 64) - 1
+
+
+def _mixed(h: int) -> int:
+    """``tokens.mix`` of one number."""
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & _WORD
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & _WORD
+    return h ^ (h >> 31)
+
+
+def _work_off_long(vocabulary: Vocabulary, sym: np.ndarray, key: int, rate: float, met: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """The agenda of one long unit, with symbols linked to the next and a heap of candidates.
+
+    Returns the symbols that are left and the characters they begin at, the end last; draws are those of ``_work_off``.
+    """
+    merges, symbol, width = vocabulary.merges(), sym.tolist(), len(sym)
+    after, before = list(range(1, width + 1)), list(range(-1, width - 1))  # by the character a symbol begins at
+    limit = int(min(rate, 1.0) * float(1 << 53))
+    heap: list[tuple[int, int, int, int, int, int]] = []
+
+    def look(a: int) -> None:
+        m = after[a]
+        if m >= width or symbol[a] < 0 or symbol[m] < 0:
+            return
+        found = merges.get(symbol[a] << 32 | symbol[m])
+        if found is None:
+            return
+        pair = _mixed(a << 42 ^ m << 21 ^ after[m])
+        if rate <= 0 or _mixed(key ^ pair) >> 11 >= limit:
+            heapq.heappush(heap, (found[0], a, m, after[m], found[1], pair))
+
+    for a in range(width - 1):
+        look(a)
+    while heap:
+        _, a, m, b, into, pair = heapq.heappop(heap)
+        if symbol[a] is None or after[a] != m or symbol[m] is None or after[m] != b:
+            continue
+        if met is not None:
+            met.append(pair)
+        symbol[a], symbol[m], after[a] = into, None, b
+        if b < width:
+            before[b] = a
+        look(a)
+        if before[a] >= 0:
+            look(before[a])
+    at = [i for i in range(width) if symbol[i] is not None]
+    return np.array([symbol[i] for i in at], dtype=np.int32), np.array([*at, width], dtype=np.int64)
+
+
 def _work_off(vocabulary: Vocabulary, sym: np.ndarray, key: np.ndarray | None = None, rate: float = 0.0,
               met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Agendas of units of one length, side by side; ``met`` collects row and pair of the candidates looked at.
+    """Agendas of units of one length, side by side; ``met`` collects row and pair of the merges taken.
 
     ``sym(units, characters)``.  Returns the symbols that are left and the character each begins at; the place after
     the last holds the number of characters, later ones -1.
@@ -146,19 +208,17 @@ def _work_off(vocabulary: Vocabulary, sym: np.ndarray, key: np.ndarray | None =
     at = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, width + 1)).copy()
     live = np.full(n, width)
 
+    def pairs(rows, places):
+        a, m, b = (at[rows, places + i].astype(np.uint64) for i in range(3))
+        return mix((a << np.uint64(42)) ^ (m << np.uint64(21)) ^ b)
+
     def look(rows, places):
         """Rank and merged symbol of the pair at (row, place) and the next."""
         slot = vocabulary.pairs(sym[rows, places], sym[rows, places + 1])
         rank, merged = np.where(slot >= 0, vocabulary.ranks[slot], _NO_RANK), vocabulary.merged[slot]
-        if rate > 0 or met is not None:
+        if rate > 0:
             some = np.flatnonzero(slot >= 0)
-            r, p = rows[some], places[some]
-            a, m, b = (at[r, p + i].astype(np.uint64) for i in range(3))
-            pair = mix((a << np.uint64(42)) ^ (m << np.uint64(21)) ^ b)
-            if met is not None:
-                met.append((r, pair))
-            if rate > 0:
-                rank[some[_skipped(key[r], pair, rate)]] = _NO_RANK
+            rank[some[_skipped(key[rows[some]], pairs(rows[some], places[some]), rate)]] = _NO_RANK
         return rank, merged
 
     rank = np.full((n, max(1, width)), _NO_RANK)
@@ -173,6 +233,8 @@ def _work_off(vocabulary: Vocabulary, sym: np.ndarray, key: np.ndarray | None =
         active, best = active[some], best[some]
         if not len(active):
             break
+        if met is not None:
+            met.append((active, pairs(active, best)))
         sym[active, best] = into[active, best]
         columns = np.arange(width)[None, :] > best[:, None]  # move what stands right of the pair one place left
         for table, fill in ((sym, -1), (rank, _NO_RANK), (into, 0)):
@@ -220,6 +282,17 @@ def encode_texts(parts: list[bytes | None], vocabulary: Vocabulary, rate: float,
         order = np.argsort(lengths[unit], kind="stable")
         for same in np.split(order, np.flatnonzero(np.diff(lengths[unit[order]])) + 1):
             width = int(lengths[unit[same[0]]])
+            if width > LONG:
+                for own in same:
+                    left, found = first[unit[own]], None if met is None else []
+                    sym, places = _work_off_long(vocabulary, all_symbols[left:left + width], 0 if keys is None else int(keys[own]), rate, found)
+                    if found:
+                        met.append((np.full(len(found), own), np.array(found, dtype=np.uint64)))
+                    flat, n = _with_bytes(vocabulary, raw, char_at, sym, left + places[:-1], left + places[1:])
+                    size[own], begin[own] = len(flat), done
+                    flats.append(flat)
+                    done += len(flat)
+                continue
             rows = max(1, min(_ROWS, (1 << 18) // max(1, width)))
             for i in range(0, len(same), rows):
                 own = same[i:i + rows]
@@ -278,34 +351,46 @@ def decode_ids(ids: list[int] | np.ndarray, vocabulary: Vocabulary) -> bytes:
     return b"".join([texts[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])[1:]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.0, seed: int = 0, id_column: str = "doc_id",
+def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.0, seed: int = 0,
            check: bool = False) -> DataFrame:
     """``docs(id columns..., text)`` with ``text`` replaced by ``ids``, an array of piece numbers.
 
     With ``check``, the ids are decoded again in the same pass: ``lossless`` says whether they gave the text.
 
-    A null text gives null (and is lossless), an empty one an empty array.  Dropout is keyed by id, text and the number of the row
-    among those equal in both, so copies are cut differently.  Other columns pass through; a column ``ids`` is replaced.
+    A null text gives null (and is lossless), an empty one an empty array.  Dropout is keyed by id, text and the number of
+    the row among those equal in both, so copies are cut differently.  Rows are told apart by all their columns but maps;
+    where some are equal in all of them they are counted first, and copies are dealt out ``COPIES`` at a time, so a row
+    repeated a million times is no task's alone.  Where no row is repeated no text is moved.  Other columns pass through;
+    a column ``ids`` is replaced.
     """
-    others = [c for c in docs.columns if c not in ("text", "ids", "_key", *["lossless"] * check)]
-    key = F.lit(0).cast("long")
+    others = [c for c in docs.columns if c not in ("text", "ids", *["lossless"] * check)]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")
+    keyed = rows.withColumn("key", F.lit(0).cast("long"))
     if rate > 0:
-        told = [F.col(f"`{f.name}`") for f in docs.schema if f.name in others and "map<" not in f.dataType.simpleString()]
-        same = Window.partitionBy(F.col(id_column), F.xxhash64("text")).orderBy(F.xxhash64(F.lit(seed), *told))
-        key = F.xxhash64(F.lit(seed), F.col(id_column), F.col("text"), F.row_number().over(same))
+        told = [F.col(f"row.`{f.name}`") for f in docs.schema if f.name in others and "map<" not in f.dataType.simpleString()]
+        same = [F.xxhash64(F.lit(seed), F.lit(n), F.col("text"), *told).alias(f"h{n}") for n in (1, 2)]
+        copy = F.lit(1).cast("long")
+        spread = rows
+        if not rows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            counted = rows.groupBy(*same).agg(F.first(F.struct("row", "text")).alias("one"), F.count("*").alias("n"))
+            parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+            dealt = parts.repartition("h1", "part").withColumn("copy", F.explode(F.sequence(
+                F.col("part") * COPIES + 1, F.least("n", (F.col("part") + 1) * COPIES))))
+            spread, copy = dealt.select("one.*", "copy"), F.col("copy")
+        keyed = spread.select("row", "text", F.xxhash64(F.lit(seed), F.lit(3), F.col("text"), *told, copy).alias("key"))
 
     def run(batches):
         for batch, texts in slices(batches, "text", _BYTES):
-            ids, bounds = encode_texts(texts, vocabulary, rate, batch.column("_key").to_numpy().view(np.uint64))
+            ids, bounds = encode_texts(texts, vocabulary, rate, batch.column("key").to_numpy().view(np.uint64))
             there = pa.array([t is None for t in texts])
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()), mask=there)
             same = [pa.array([decode_ids(ids[a:b], vocabulary) == (t or b"") for t, a, b in zip(texts, bounds[:-1], bounds[1:])], pa.bool_())] * check
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), lists, *same], [*others, "ids", *["lossless"] * check])
+            yield pa.RecordBatch.from_arrays([*batch.column("row").flatten(), lists, *same], [*others, "ids", *["lossless"] * check])
 
     schema = docs.select(*others).schema.add("ids", T.ArrayType(T.IntegerType()))
     if check:
         schema = schema.add("lossless", T.BooleanType())
-    return docs.withColumn("_key", key).mapInArrow(run, schema)
+    return keyed.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

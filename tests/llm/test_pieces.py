@@ -77,3 +77,66 @@ def test_frames(spark, vocabulary):
     back = pieces.decode(encoded.drop("lossless"), vocabulary)
     assert sorted(((r["doc_id"], r["text"]) for r in back.collect()), key=repr) == sorted(((i, t) for i, t, _ in rows), key=repr)
     assert pieces.encode(docs.limit(0), vocabulary).count() == 0
+
+
+def agenda(vocabulary, text, key, rate):
+    """One unit, candidate by candidate: of all pairs not skipped the best rank, leftmost first."""
+    word = pieces._WORD
+    symbols, merges = [(vocabulary.chars.get(ord(c), -1), i) for i, c in enumerate(text)], vocabulary.merges()
+    while True:
+        best = None
+        for i, ((x, a), (y, m)) in enumerate(zip(symbols, symbols[1:])):
+            b = symbols[i + 2][1] if i + 2 < len(symbols) else len(text)
+            found = merges.get(x << 32 | y) if x >= 0 and y >= 0 else None
+            if found and pieces._mixed((key ^ pieces._mixed(a << 42 ^ m << 21 ^ b)) & word) / 2.0 ** 64 >= rate and (best is None or (found[0], a) < best[:2]):
+                best = (found[0], a, i, found[1])
+        if best is None:
+            return symbols
+        symbols[best[2]:best[2] + 2] = [(best[3], best[1])]
+
+
+def spelled(vocabulary, text, symbols):
+    out = []
+    for (s, a), b in zip(symbols, [a for _, a in symbols[1:]] + [len(text)]):
+        out += [s] if 0 <= s < len(vocabulary.texts) else [int(vocabulary.byte_ids[x]) for x in text[a:b].encode()]
+    return out
+
+
+def test_dropout_equals_a_plain_agenda(spark, vocabulary):
+    """At the rate of the query, whole documents of the table, unit by unit."""
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(25).select("text").collect()]
+    texts = [t[:6000] for t in texts] + ODD + ["x" * 700 + " the " + "international" * 60]
+    got = encode(texts, vocabulary, 0.1, 77)
+    for text, ids in zip(texts, got):
+        padded, want = " " + text if text else "", []
+        starts = [i for i, c in enumerate(padded) if c == " " and (i == 0 or padded[i - 1] != " ")]
+        for place, (a, b) in enumerate(zip(starts, starts[1:] + [len(padded)])):
+            key = pieces._mixed(pieces._mixed(77) ^ pieces._mixed(place))
+            want += spelled(vocabulary, padded[a:b], agenda(vocabulary, padded[a:b], key, 0.1))
+        assert ids == want
+
+
+def test_long_units(vocabulary):
+    """A heap gives what agendas side by side give, and a text of a million characters without a space is done."""
+    import random
+
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß\U0001F642") for _ in range(400))
+    sym = pieces._symbols(vocabulary, np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32))
+    for rate, key in ((0.0, 0), (0.1, 5), (0.5, 9)):
+        left, at = pieces._work_off(vocabulary, sym[None, :], np.full(1, key, dtype=np.uint64), rate)
+        symbols, places = pieces._work_off_long(vocabulary, sym, key, rate, None)
+        kept = at[0, 1:] >= 0
+        assert symbols.tolist() == left[0, kept].tolist() and places[:-1].tolist() == at[0, :-1][kept].tolist()
+    whole = "".join(rng.choice(["inter", "nation", "al", "ly", "q"]) for _ in range(300_000))
+    ids = encode([whole], vocabulary, 0.1, 3)[0]
+    assert pieces.decode_ids(ids, vocabulary).decode() == whole
+
+
+def test_rows_repeated_many_times(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "COPIES", 7)
+    rows = [(None, "electricity and magnetism", 1)] * 50 + [(1, "electricity and magnetism", 2), (1, "electricity and magnetism", 3), (2, None, 1), (2, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = [[(r["doc_id"], r["n"], r["ids"] and tuple(r["ids"])) for r in pieces.encode(docs.repartition(n), vocabulary, rate=0.4, seed=2).collect()] for n in (1, 6)]
+    assert sorted(got[0], key=repr) == sorted(got[1], key=repr) and len(got[0]) == len(rows)
+    assert len({ids for i, _, ids in got[0] if i is None}) > 20 and [x[2] for x in got[0] if x[0] == 2] == [None, None]
