@@ -123,8 +123,8 @@ def train(words: list[tuple[bytes, int]], languages: list[str], epochs: int = 5,
     model, draw = Model(languages, seed=seed), np.random.default_rng(seed)
     by_length: dict[int, list[tuple[bytes, int]]] = {}
     for word, y in words:
-        if word:
-            by_length.setdefault(min(len(word), LONGEST), []).append((word[:LONGEST], y))
+        for piece in (word[i:i + LONGEST] for i in range(0, len(word), LONGEST)):
+            by_length.setdefault(len(piece), []).append((piece, y))
     groups = {n: (_CODE[np.frombuffer(b"".join(w for w, _ in rows), dtype=np.uint8).reshape(-1, n)], np.array([y for _, y in rows])) for n, rows in by_length.items()}
     first, second = ({k: np.zeros_like(v) for k, v in model.parts.items()} for _ in range(2))
     step = 0
@@ -144,16 +144,32 @@ def train(words: list[tuple[bytes, int]], languages: list[str], epochs: int = 5,
 def samples(docs: DataFrame, usable: Column, docs_each: int = DOCS, words_each: int = WORDS) -> DataFrame:
     """At most ``words_each`` words of each language, from at most ``docs_each`` documents, drawn by hash of the text.
 
-    Copies of a text count once.  ``docs(text, lang)``; rows without text or language, and those that are not ``usable``, are left out.
+    Words of more than ``LONGEST`` bytes are several, about that long and cut between characters.  Copies of a text count once.  ``docs(text, lang)``; rows without text or language, and those that are not ``usable``, are left out.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & usable).select("lang", "text", F.xxhash64("text").alias("_d"))
-    by_doc = Window.partitionBy("lang").orderBy("_d")
     # hashes are ranked, not texts; at most docs_each of them for each language are sent back to the texts
-    ids = rows.select("lang", "_d").distinct().withColumn("_n", F.row_number().over(by_doc)).where(F.col("_n") <= docs_each).drop("_n")
+    ids = _least(rows.select("lang", "_d").distinct(), F.col("_d"), ["_d"], docs_each)
     drawn = rows.join(F.broadcast(ids), ["lang", "_d"]).distinct()  # copies of a text are one document
     words = drawn.select("lang", "_d", F.posexplode(F.split("text", r"[\x20\x09-\x0D]+")).alias("_p", "word")).where("word <> ''")
-    by_word = Window.partitionBy("lang").orderBy(F.xxhash64("_d", "_p"), "word")
-    return words.withColumn("_n", F.row_number().over(by_word)).where(F.col("_n") <= words_each).select("lang", "word")
+    size = F.greatest(F.lit(1), F.floor(LONGEST / F.ceil(F.octet_length("word") / F.length("word")))).cast("int")
+    pieces = words.withColumn("_size", size).select("lang", "_d", "_p", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.floor((F.length("word") - 1) / F.col("_size")).cast("int")),
+        lambda i: F.substring(F.col("word"), i * F.col("_size") + 1, F.col("_size")))).alias("_q", "word"))
+    return _least(pieces.withColumn("_w", F.xxhash64("_d", "_p")), F.col("_w"), ["_w", "_q", "word"], words_each).select("lang", "word")
+
+
+def _least(rows: DataFrame, draw: Column, order: list[str], most: int) -> DataFrame:
+    """The ``most`` rows of each language that are least in ``order``, whose first column is the hash ``draw``.
+
+    Rows are counted by the first bits of the hash, and only those up to the bits where ``most`` is reached are ranked:
+    one task ranks little more than ``most`` rows, however many a language has.
+    """
+    bits = F.shiftright(draw, 48)
+    by_bits = Window.partitionBy("lang").orderBy("_bits")
+    counts = rows.groupBy("lang", bits.alias("_bits")).agg(F.count("*").alias("_c")).withColumn("_sum", F.sum("_c").over(by_bits) - F.col("_c"))
+    last = counts.where(F.col("_sum") < most).groupBy(F.col("lang").alias("_lang")).agg(F.max("_bits").alias("_last"))
+    near = rows.join(last, F.col("lang") == F.col("_lang")).where(bits <= F.col("_last")).drop("_lang", "_last")
+    return near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
 def fit(docs: DataFrame, usable: Column) -> Model:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparsetab.lineage import cut
 from sparsetab.llm.linking import components
-from sparsetab.llm.repeats import identified, unpacked
+from sparsetab.llm.repeats import ROW, identified, same_row, unpacked
 from sparsetab.llm.tokens import RangeHash, mix, slices, span_hashes, words_of
 
 WORDS = 5
@@ -129,8 +129,8 @@ def _signed(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, id_column: str, k: int) -> DataFrame:
-    """``(set, hashes)`` of the classes ``wanted(_i, _g)``, read from the text of one document of each."""
-    texts = identified(docs, id_column).join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("text")
+    """``(set, hashes)`` of the classes ``wanted(_of_id, _of_h, _of_x)``, read from the text of one document of each."""
+    texts = identified(docs, id_column).join(wanted, same_row()).select("text")
 
     def run(batches):
         for batch in unpacked(batches):
@@ -235,14 +235,14 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_column: str) -> DataFrame
     """``(_id, _h, _x, n, root, component_id)`` of every row, with two hashes of its text; no root where the set is empty."""
     rows = docs.select(F.col(id_column).alias("_id"), F.hash("text").alias("_h"), F.xxhash64("text").alias("_x"), F.col("text").cast("binary").alias("text"))
     signed = cut(_signed(rows, k))
-    classes = cut(signed.where("n > 0").groupBy("set", "n").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.min("_id").alias("least"), F.first("bands").alias("bands")))
+    classes = cut(signed.where("n > 0").groupBy("set", "n").agg(F.min(F.struct(*ROW)).alias("rep"), F.min("_id").alias("least"), F.first("bands").alias("bands")))
     buckets = classes.select("set", "n", F.explode("bands").alias("bucket"))
     full = cut(buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"))
     members = cut(buckets.join(full, "bucket", "left_semi"))
     fits = lambda n, other: 100 * F.least(n, other) >= percent * F.greatest(n, other)
 
     reps = members.select("set").distinct().join(classes.select(F.col("set").alias("_set"), "rep"), F.col("set") == F.col("_set")).select(
-        F.col("rep._id").alias("_i"), F.col("rep._h").alias("_g"))
+        *[F.col(f"rep.{c}").alias(f"_of{c}") for c in ROW])
     sets = cut(_sets(reps, docs, id_column, k))  # a row given twice gives its set twice, which does no harm
 
     stars = cut(members.groupBy("bucket").agg(F.min(F.struct("set", "n")).alias("centre")).withColumnRenamed("bucket", "_bucket"))

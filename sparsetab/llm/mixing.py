@@ -61,20 +61,23 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
         "turn", "ratio", "total", "level", "free")
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3, carry: tuple[str, ...] = (),
+        tie: str | None = None) -> DataFrame:
     """How often each document is taken.
 
     ``docs(row, source, size, quality)``: a key of the document, its source, size >= 0 in words and quality weight.
     Returns those columns and the ones to ``carry``, with ``source_size``, ``target`` and ``copies`` (0 to ``most``).
 
-    Null sources are one source.  A null quality, or one that is not positive, counts as 1.  Documents of size
+    A document without a ``row`` draws by ``tie``, a column (a hash of its text, say) that tells such documents apart; without
+    one they share a draw.  Null sources are one source.  A null quality, or one that is not positive, counts as 1.  Documents of size
     0 are in whole passes, and in a fractional pass where their place is.  Equal keys are ordered by ``row`` and
     size; which of several rows equal in both comes first makes no difference to the result as a whole.  An empty
     table gives no rows.  Cells are even where quality weights of a source lie within a factor of about ten.
     """
-    docs = docs.select("row", "source", "size", "quality", *carry)
+    drawn = F.col("row").cast("string") if tie is None else F.coalesce(F.col("row").cast("string"), F.concat(F.lit("\u0002"), F.col(tie).cast("string")))
+    docs = docs.withColumn("_drawn", drawn).select("row", "source", "size", "quality", *carry, "_drawn")
     weight = F.when(F.col("quality") > 0, F.col("quality")).otherwise(1.0)
-    keyed = docs.withColumn("_key", -F.log(uniform(seed, F.col("row"))) / weight)
+    keyed = docs.withColumn("_key", -F.log(uniform(seed, F.col("_drawn"))) / weight).drop("_drawn")
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"), F.avg(weight).alias("_mean"))
     goal = targets(sizes, weights, float(most)).withColumn(
         "_whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0)).withColumn(
@@ -99,4 +102,4 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = (1.0, 2
         starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
     middle = F.col("_start") + F.col("_within") + F.col("size") / 2
     copies = F.col("_whole") + F.when(F.col("_whole") < most, (middle <= F.col("_budget")).cast("int")).otherwise(0)
-    return ordered.select(*docs.columns, "source_size", "target", copies.cast("long").alias("copies"))
+    return ordered.select("row", "source", "size", "quality", *carry, "source_size", "target", copies.cast("long").alias("copies"))

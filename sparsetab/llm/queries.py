@@ -45,7 +45,7 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 @query("op3_mix_sources", r"""
 WITH d AS (SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size,
-    CAST('0x' || substr(md5('mix' || chr(1) || coalesce(CAST(doc_id AS VARCHAR), chr(2))), 1, 13) AS BIGINT) AS draw FROM documents),
+    CAST('0x' || substr(md5('mix' || chr(1) || coalesce(CAST(doc_id AS VARCHAR), chr(2) || md5(coalesce(text, '')))), 1, 13) AS BIGINT) AS draw FROM documents),
 q AS (SELECT doc_id AS labelled, CASE WHEN max(quality) >= 1 THEN 2.0 ELSE 0.5 END AS w FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 k AS (SELECT d.*, -ln((CAST(draw AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE) / CAST(coalesce(w, 1.0) AS DOUBLE) AS key FROM d LEFT JOIN q ON doc_id = labelled),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS ss, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w,
@@ -64,9 +64,10 @@ SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, target,
     CAST(size * (whole + CASE WHEN whole < 3 AND bef + CAST(size AS DOUBLE) / 2 <= budget THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
 """)
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words("text").alias("size"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", mixing.n_words("text").alias("size"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("tie"))
     docs = docs.join(quality_weights(table(spark, sf_dir, "labels")), F.col("doc_id") == F.col("_labelled"), "left")
-    mixed = mixing.mix(docs.select(F.col("doc_id").alias("row"), "source", "size", "quality"))
+    mixed = mixing.mix(docs.select(F.col("doc_id").alias("row"), "source", "size", "quality", "tie"), tie="tie")
     return mixed.select(F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

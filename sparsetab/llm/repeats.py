@@ -16,8 +16,8 @@ document with one anchor are a *stretch*, one row: about two in ``size * 3 / 5``
    prefix then being the whole window.  A core that one class has goes.
 
 Token sequences are compared by 64-bit hashes of tokens and of sequences, prefix and content together.  Rows are told
-apart by id and hash of the text, so an id may repeat; rows equal in both are copies of each other like any two
-documents.  Groups, stretches and lists are bounded by one document or by ``CLASSES``.
+apart by id and 96 bits of hashes of the text (``_h`` and ``_x``), so an id may repeat, or be null in a third of all
+rows; rows equal in id and text are copies of each other like any two documents.  Groups, stretches and lists are bounded by one document or by ``CLASSES``.
 """
 
 from __future__ import annotations
@@ -97,15 +97,22 @@ def stretches(codes: np.ndarray, bounds: np.ndarray, size: int):
     return [np.concatenate(c) for c in zip(*out)]
 
 
+ROW = ["_id", "_h", "_x"]  # what tells a row apart
+
+
+def _rows(docs: DataFrame, id_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).alias("_id"), F.hash("text").alias("_h"), F.xxhash64("text").alias("_x"), F.col("text").cast("binary").alias("text"))
+
+
 def identified(docs: DataFrame, id_column: str) -> DataFrame:
-    """Id, hash of the text, and the text compressed, as it is shuffled."""
-    rows = docs.select(F.col(id_column).alias("_id"), F.hash("text").alias("_h"), F.col("text").cast("binary").alias("text"))
+    """Id, hashes of the text, and the text compressed, as it is shuffled."""
+    rows = _rows(docs, id_column)
 
     def shrink(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = [None if t is None else squeeze.compress(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), pa.array(texts, pa.binary())], ["_id", "_h", "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ROW), pa.array(texts, pa.binary())], [*ROW, "text"])
 
     return rows.mapInArrow(shrink, rows.schema)
 
@@ -122,7 +129,7 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _schema(docs: DataFrame, *fields: tuple[str, str]) -> T.StructType:
-    out = T.StructType([docs.schema["_id"], T.StructField("_h", T.IntegerType())])
+    out = T.StructType([docs.schema["_id"], T.StructField("_h", T.IntegerType()), T.StructField("_x", T.LongType())])
     for name, kind in fields:
         out.add(name, T.DataType.fromDDL(kind))
     return out
@@ -141,10 +148,10 @@ def _found(rows: DataFrame, size: int, unit: str) -> DataFrame:
             doc = np.searchsorted(bounds, first, side="right") - 1
             begin, more = _periods(doc, first, key, content)
             span = ((first - bounds[doc]) << 32) | (count << 16) | (anchor - first)
-            own = batch.select(["_id", "_h"]).take(pa.array(doc[begin]))
+            own = batch.select(ROW).take(pa.array(doc[begin]))
             yield pa.RecordBatch.from_arrays(
-                [own.column(0), own.column(1), pa.array(key[begin].view(np.int64)), pa.array(content[begin].view(np.int64)), pa.array(span[begin]), pa.array(more)],
-                ["_id", "_h", "key", "content", "span", "more"])
+                [*own.columns, pa.array(key[begin].view(np.int64)), pa.array(content[begin].view(np.int64)), pa.array(span[begin]), pa.array(more)],
+                [*ROW, "key", "content", "span", "more"])
 
     return rows.mapInArrow(run, _schema(rows, ("key", "bigint"), ("content", "bigint"), ("span", "bigint"), ("more", "bigint")))
 
@@ -170,22 +177,22 @@ def _periods(doc: np.ndarray, first: np.ndarray, key: np.ndarray, content: np.nd
 def _contexts(picked: DataFrame, size: int, unit: str) -> DataFrame:
     """From texts and the stretches picked in them: the tokens of small groups' stretches, the cells of large ones'.
 
-    ``picked(_id, _h, text, spans array<struct<key, span, m, large>>)``.  A small one has ``context``; a cell has its
+    ``picked(_id, _h, _x, text, spans array<struct<key, span, m, large>>)``.  A small one has ``context``; a cell has its
     core's and content's hash and the hashes of its windows.
     """
     cells = max(1, isqrt(size - gram_size(size) + 1))
 
     def run(batches):
         for batch in unpacked(batches):
-            columns = [batch.column(c).to_pylist() for c in ("_id", "_h", "text", "spans")]
+            columns = [batch.column(c).to_pylist() for c in (*ROW, "text", "spans")]
             out = []
-            for doc, h, text, spans in zip(*columns):
+            for *doc, text, spans in zip(*columns):
                 codes, _, data, starts, ends = tokens([text], unit)
                 hashes = RangeHash(as_codes(codes)) if any(s["large"] for s in spans) else None
                 for s in spans:
                     first, count, far = s["span"] >> 32, (s["span"] >> 16) & 0xFFFF, s["span"] & 0xFFFF
                     if not s["large"]:
-                        out.append((doc, h, s["key"], s["m"], first, count, _text(data, starts, ends, first, first + count + size - 1, unit), None, None, None, None))
+                        out.append((*doc, s["key"], s["m"], first, count, _text(data, starts, ends, first, first + count + size - 1, unit), None, None, None, None))
                         continue
                     anchor = first + far
                     windows = np.arange(first, first + count)
@@ -194,7 +201,7 @@ def _contexts(picked: DataFrame, size: int, unit: str) -> DataFrame:
                         own = windows[cell == c]
                         core = hashes.of(np.array([anchor - c * cells]), np.array([anchor - (c + 1) * cells + 1 + size]))
                         whole = hashes.of(own[:1], own[-1:] + size)
-                        out.append((doc, h, s["key"], s["m"], int(own[0]), len(own), None, c, int(core.view(np.int64)[0]), int(whole.view(np.int64)[0]),
+                        out.append((*doc, s["key"], s["m"], int(own[0]), len(own), None, c, int(core.view(np.int64)[0]), int(whole.view(np.int64)[0]),
                                     hashes.of(own, own + size).view(np.int64).tolist()))
                 if len(out) >= 4096:
                     yield rows(out)
@@ -248,27 +255,27 @@ def _solved(small: DataFrame, size: int, unit: str, keep_first: bool, solve: Sol
         own: list = []
         held = 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("_id", "_h", "key", "m", "first", "n", "context"))):
-                if own and r[:6] == own[-1][:6]:  # the same stretch, from a row that is given twice
+            for r in zip(*(batch.column(c).to_pylist() for c in (*ROW, "key", "m", "first", "n", "context"))):
+                if own and r[:7] == own[-1][:7]:  # the same stretch, from a row that is given twice
                     continue
-                if own and held >= _TOKENS and r[2] != own[-1][2]:
+                if own and held >= _TOKENS and r[3] != own[-1][3]:
                     yield work(own)
                     own, held = [], 0
                 own.append(r)
-                held += len(r[6]) if unit == "bytes" else r[5] + size
+                held += len(r[7]) if unit == "bytes" else r[6] + size
         if own:
             yield work(own)
 
     def work(own):
-        codes, bounds, _, _, _ = tokens([r[6] for r in own], unit)
-        count = np.array([r[5] for r in own])
+        codes, bounds, _, _, _ = tokens([r[7] for r in own], unit)
+        count = np.array([r[6] for r in own])
         row = np.repeat(np.arange(len(own)), count)
         within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         starts = bounds[row] + within
-        # rows in order of id, hash of the text and place, for what comes first
+        # rows in order of id, hashes of the text and place, for what comes first
         order = np.empty(len(own), dtype=np.int64)
-        order[sorted(range(len(own)), key=lambda i: (own[i][0] is not None, own[i][0], own[i][1], own[i][4]))] = np.arange(len(own))
-        hit = solve(as_codes(codes), starts, order[row], within, np.array([r[3] for r in own])[row], size, keep_first)
+        order[sorted(range(len(own)), key=lambda i: (own[i][0] is not None, *own[i][:3], own[i][5]))] = np.arange(len(own))
+        hit = solve(as_codes(codes), starts, order[row], within, np.array([r[4] for r in own])[row], size, keep_first)
         begin = hit.copy()
         begin[1:] &= ~(hit[:-1] & (row[1:] == row[:-1]))
         first = np.flatnonzero(begin)
@@ -276,71 +283,75 @@ def _solved(small: DataFrame, size: int, unit: str, keep_first: bool, solve: Sol
         n = stop[np.searchsorted(stop, first, side="right")] - first
         picked = row[first]
         return pa.RecordBatch.from_arrays(
-            [pa.array([own[i][0] for i in picked], kind), pa.array([own[i][1] for i in picked], pa.int32()),
-             pa.array(np.array([r[4] for r in own], dtype=np.int64)[picked] + within[first]), pa.array(n.astype(np.int64))], ["_id", "_h", "first", "n"])
+            [*(pa.array([own[i][k] for i in picked], kind) for k, kind in enumerate(kinds)),
+             pa.array(np.array([r[5] for r in own], dtype=np.int64)[picked] + within[first]), pa.array(n.astype(np.int64))], [*ROW, "first", "n"])
 
-    kind = to_arrow_type(small.schema["_id"].dataType)
+    kinds = [to_arrow_type(small.schema[c].dataType) for c in ROW]
     return small.mapInArrow(run, _schema(small, ("first", "bigint"), ("n", "bigint")))
 
 
 def _large(cells: DataFrame, keep_first: bool) -> DataFrame:
     """Repeated windows of groups too large for a task, by longer prefixes."""
-    place = F.struct("_id", "_h", "first")
-    kinds = cut(cells.groupBy("key", "cell", "core", "content").agg(F.sum("m").alias("m"), F.min(F.struct("_id", "_h", "first", "n", "windows")).alias("rep")))
+    place = F.struct(*ROW, "first")
+    kinds = cut(cells.groupBy("key", "cell", "core", "content").agg(F.sum("m").alias("m"), F.min(F.struct(*ROW, "first", "n", "windows")).alias("rep")))
     settled = cells.join(kinds.where("m > 1").select(*(F.col(c).alias("_" + c) for c in ("key", "cell", "core", "content")), "rep"),
                          (F.col("key") == F.col("_key")) & (F.col("cell") == F.col("_cell")) & (F.col("core") == F.col("_core")) & (F.col("content") == F.col("_content")))
     if keep_first:
-        settled = settled.where(~place.eqNullSafe(F.struct("rep._id", "rep._h", "rep.first")))
+        settled = settled.where(~place.eqNullSafe(F.struct(*[f"rep.{c}" for c in ROW], "rep.first")))
     shared = cut(kinds.groupBy("key", "cell", "core").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     open_ = kinds.join(shared.select(F.col("key").alias("_key"), F.col("cell").alias("_cell"), F.col("core").alias("_core")),
                        (F.col("key") == F.col("_key")) & (F.col("cell") == F.col("_cell")) & (F.col("core") == F.col("_core")))
-    windows = cut(open_.select("key", "m", "rep._id", "rep._h", "rep.first", F.posexplode("rep.windows").alias("i", "window")).select(
-        "key", "window", "_id", "_h", (F.col("first") + F.col("i")).alias("first"), "m"))
+    windows = cut(open_.select("key", "m", *[f"rep.{c}" for c in ROW], "rep.first", F.posexplode("rep.windows").alias("i", "window")).select(
+        "key", "window", *ROW, (F.col("first") + F.col("i")).alias("first"), "m"))
     counts = cut(windows.groupBy("key", "window").agg(F.count("*").alias("c"), F.min(place).alias("least")).where("c > 1"))
     counted = windows.join(counts.select(F.col("key").alias("_key"), F.col("window").alias("_window"), "least"),
                            (F.col("key") == F.col("_key")) & (F.col("window") == F.col("_window")))
     if keep_first:
         counted = counted.where(~place.eqNullSafe(F.col("least")))
-    return settled.select("_id", "_h", "first", F.col("n").cast("bigint").alias("n")).unionByName(
-        counted.select("_id", "_h", "first", F.lit(1).cast("bigint").alias("n")))
+    return settled.select(*ROW, "first", F.col("n").cast("bigint").alias("n")).unionByName(
+        counted.select(*ROW, "first", F.lit(1).cast("bigint").alias("n")))
+
+
+def same_row():
+    """Join of rows with a table whose keys begin with ``_of``; only ids can be null."""
+    return F.col("_id").eqNullSafe(F.col("_of_id")) & (F.col("_h") == F.col("_of_h")) & (F.col("_x") == F.col("_of_x"))
 
 
 def repeated(docs: DataFrame, size: int, unit: str, keep_first: bool, solve: Solver, id_column: str = "doc_id",
              most_classes: int = CLASSES) -> DataFrame:
-    """Runs of windows that occur elsewhere: ``(_id, _h, runs array<struct<first, n, more>>)``, a row for each document with any.
+    """Runs of windows that occur elsewhere: ``(_id, _h, _x, runs array<struct<first, n, more>>)``, a row for each document with any.
 
-    With ``keep_first``, windows that occur *earlier*, in order of id, hash of the text and place, null ids first; rows
+    With ``keep_first``, windows that occur *earlier*, in order of id, hashes of the text and place, null ids first; rows
     equal in id and text then count as one document.
     """
-    rows = docs.select(F.col(id_column).alias("_id"), F.hash("text").alias("_h"), F.col("text").cast("binary").alias("text"))
-    found = cut(_found(rows, size, unit))
+    found = cut(_found(_rows(docs, id_column), size, unit))
     times = F.col("more").bitwiseAND(F.lit(0xFFFFFFFF)) + 1
     again = cut(found.groupBy("key").agg(F.sum(times).alias("c")).where("c > 1").select("key"))
     kept = cut(found.join(again, "key", "left_semi"))
-    place = F.struct("_id", "_h", "span")
+    place = F.struct(*ROW, "span")
     classes = cut(kept.groupBy("key", "content").agg(F.sum(times).alias("m"), F.min(place).alias("rep")))
     groups = cut(classes.groupBy("key").agg(F.count("*").alias("c"), F.count_if(F.col("m") == 1).alias("singles")).where(
         "c > 1" if keep_first else "c > 1 AND singles > 0").select(F.col("key").alias("_key"), (F.col("c") > most_classes).alias("large")))
     pool = classes.join(groups, F.col("key") == F.col("_key")).select(
-        F.col("rep._id").alias("_i"), F.col("rep._h").alias("_g"), F.struct("key", "rep.span", "m", "large").alias("s"))
-    by_doc = pool.groupBy("_i", "_g").agg(F.collect_list("s").alias("spans"))
-    texts = identified(docs, id_column).join(by_doc, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("_id", "_h", "text", "spans")
+        *[F.col(f"rep.{c}").alias(f"_of{c}") for c in ROW], F.struct("key", "rep.span", "m", "large").alias("s"))
+    by_doc = pool.groupBy(*[f"_of{c}" for c in ROW]).agg(F.collect_list("s").alias("spans"))
+    texts = identified(docs, id_column).join(by_doc, same_row()).select(*ROW, "text", "spans")
     contexts = cut(_contexts(texts, size, unit))
-    small = contexts.where("context IS NOT NULL").select("_id", "_h", "key", "m", "first", "n", "context")
-    solved = _solved(small.repartition("key").sortWithinPartitions("key", "_id", "_h", "first"), size, unit, keep_first, solve)
+    small = contexts.where("context IS NOT NULL").select(*ROW, "key", "m", "first", "n", "context")
+    solved = _solved(small.repartition("key").sortWithinPartitions("key", *ROW, "first"), size, unit, keep_first, solve)
     large = _large(contexts.where("context IS NULL").drop("context"), keep_first)
     settled = kept.join(classes.where("m > 1").select(F.col("key").alias("_key"), F.col("content").alias("_content"), "rep"),
                         (F.col("key") == F.col("_key")) & (F.col("content") == F.col("_content")))
-    runs = settled.select("_id", "_h", F.shiftright("span", 32).alias("first"), F.shiftright("span", 16).bitwiseAND(F.lit(0xFFFF)).cast("bigint").alias("n"),
+    runs = settled.select(*ROW, F.shiftright("span", 32).alias("first"), F.shiftright("span", 16).bitwiseAND(F.lit(0xFFFF)).cast("bigint").alias("n"),
                           "more", place.eqNullSafe(F.col("rep")).alias("is_first"))
     if keep_first:  # the first stretch of the class stays; those that follow it in its row go
         step = F.shiftright("more", 32)
         runs = runs.where(~F.col("is_first") | (F.col("more") > 0)).select(
-            "_id", "_h", F.when(F.col("is_first"), F.col("first") + step).otherwise(F.col("first")).alias("first"), "n",
+            *ROW, F.when(F.col("is_first"), F.col("first") + step).otherwise(F.col("first")).alias("first"), "n",
             F.when(F.col("is_first"), F.col("more") - 1).otherwise(F.col("more")).alias("more"))
     alone = F.lit(0).cast("bigint").alias("more")
-    runs = runs.select("_id", "_h", "first", "n", "more").unionByName(solved.select("*", alone)).unionByName(large.select("*", alone))
-    return runs.groupBy("_id", "_h").agg(F.collect_list(F.struct("first", "n", "more")).alias("runs"))
+    runs = runs.select(*ROW, "first", "n", "more").unionByName(solved.select("*", alone)).unionByName(large.select("*", alone))
+    return runs.groupBy(*ROW).agg(F.collect_list(F.struct("first", "n", "more")).alias("runs"))
 
 
 def covered(runs, count: int, size: int) -> np.ndarray:
@@ -356,11 +367,11 @@ def covered(runs, count: int, size: int) -> np.ndarray:
 def removed(docs: DataFrame, size: int, unit: str, keep_first: bool, solve: Solver, work: Callable, fields: tuple[tuple[str, str], ...], id_column: str) -> DataFrame:
     """Every document with what ``work(texts, runs)`` makes of it: a list of columns, for texts as bytes (or None) and their runs.
 
-    Beside the id stands ``text_hash``, Spark's ``hash`` of the text, which tells rows with one id apart.
+    Beside the id stand ``text_hash`` and ``text_key``, Spark's ``hash`` and ``xxhash64`` of the text, which tell rows with one id apart.
     """
-    runs = repeated(docs, size, unit, keep_first, solve, id_column).select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "runs")
-    rows = identified(docs, id_column).join(runs, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left").select("_id", "_h", "text", "runs")
-    schema = T.StructType([T.StructField(id_column, rows.schema["_id"].dataType), T.StructField("text_hash", T.IntegerType())])
+    runs = repeated(docs, size, unit, keep_first, solve, id_column).select(*[F.col(c).alias(f"_of{c}") for c in ROW], "runs")
+    rows = identified(docs, id_column).join(runs, same_row(), "left").select(*ROW, "text", "runs")
+    schema = T.StructType([T.StructField(id_column, rows.schema["_id"].dataType), T.StructField("text_hash", T.IntegerType()), T.StructField("text_key", T.LongType())])
     for name, kind in fields:
         schema.add(name, T.DataType.fromDDL(kind))
     arrow = to_arrow_schema(schema)
@@ -368,6 +379,6 @@ def removed(docs: DataFrame, size: int, unit: str, keep_first: bool, solve: Solv
     def run(batches):
         for batch in unpacked(batches):
             columns = work(batch.column("text").to_pylist(), batch.column("runs").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[2:]))], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ROW), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[3:]))], schema=arrow)
 
     return rows.mapInArrow(run, schema)

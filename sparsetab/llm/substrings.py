@@ -61,9 +61,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_first: bool = False, layou
     """Every document without the words that a repeated window covers.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D.  ``docs`` has ``id_column`` and ``text``; other columns
-    are not read.  Returns the id, ``text_hash`` (of the input), ``n_words``, ``n_removed`` and ``text``, the kept words joined by one space; with
+    are not read.  Returns the id, ``text_hash`` and ``text_key`` (of the input), ``n_words``, ``n_removed`` and ``text``, the kept words joined by one space; with
     ``layout``, the text as it was, each removed word taken out with the white space after it.  Windows are judged on the
-    input.  With ``keep_first``, the earliest occurrence of a window (by id, hash of the text, place) stays.
+    input.  With ``keep_first``, the earliest occurrence of a window (by id, hashes of the text, place) stays.
 
     A null text has no words and stays null under ``layout``, else becomes empty.  Texts with fewer words than a window
     lose nothing.  Rows are documents of their own even where ids repeat or are null; a row given twice is repeated

@@ -47,8 +47,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_col
     """Every document without the bytes that a repeated string of ``length`` bytes covers.
 
     Texts are UTF-8 bytes.  ``docs`` has ``id_column`` and ``text``; other columns are not read.  Returns the id,
-    ``text_hash`` (of the text), ``n_bytes``, ``n_removed``, ``spans`` (maximal removed runs: first byte and length) and ``kept`` (binary).  Strings
-    are judged on the input and do not cross documents.  With ``keep_first`` later copies go and the earliest (by id, hash
+    ``text_hash`` and ``text_key`` (of the text), ``n_bytes``, ``n_removed``, ``spans`` (maximal removed runs: first byte and length) and ``kept`` (binary).  Strings
+    are judged on the input and do not cross documents.  With ``keep_first`` later copies go and the earliest (by id, hashes
     of the text, place) stays; without it every copy goes.
 
     A null text is empty.  Texts shorter than ``length`` lose nothing.  Rows are documents of their own even where ids

@@ -130,10 +130,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tile: int = TILE) -
     dealt = members.join(tiles, F.col("label") == F.col("_label")).drop("_label").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")))
     packed = cut(dealt.repartition("label", "tile").sortWithinPartitions("label", "tile", "class").mapInArrow(
         _pack, "label long, tiles long, tile long, n int, classes binary, counts binary, x binary"))
-    left = packed.withColumn("_to", F.explode(F.sequence("tile", F.col("tiles") - 1))).select(
-        F.col("label").alias("_label"), "_to", F.col("tile").alias("_tile"), F.struct("n", "classes", "counts", "x").alias("a"))
-    pairs = left.join(packed, (F.col("_label") == F.col("label")) & (F.col("_to") == F.col("tile"))).select(
-        "label", (F.col("_tile") == F.col("tile")).alias("same"), "a", F.struct("n", "classes", "counts", "x").alias("b"))
+    # tile i meets the tiles up to half of all tiles further on, in a circle: every tile has as many partners
+    steps = F.sequence(F.lit(0).cast("long"), F.floor(F.col("tiles") / 2))
+    body = F.struct("n", "classes", "counts", "x")
+    further = F.transform(steps, lambda d: F.struct(F.col("tile").alias("i"), F.pmod(F.col("tile") + d, F.col("tiles")).alias("j"), d.alias("d")))
+    once = F.filter(further, lambda k: (2 * k["d"] != F.col("tiles")) | (k["d"] == 0) | (k["i"] < k["j"]))
+    back = F.transform(steps, lambda d: F.struct(F.pmod(F.col("tile") - d, F.col("tiles")).alias("i"), F.col("tile").alias("j")))
+    left = packed.select("label", F.explode(once).alias("_k"), body.alias("a")).select("label", F.col("_k.i").alias("i"), F.col("_k.j").alias("j"), "a")
+    right = packed.select("label", F.explode(F.array_distinct(back)).alias("_k"), body.alias("b")).select("label", F.col("_k.i").alias("i"), F.col("_k.j").alias("j"), "b")
+    pairs = left.join(right, ["label", "i", "j"]).select("label", (F.col("i") == F.col("j")).alias("same"), "a", "b")
 
     def run(batches):
         for batch in batches:

@@ -73,3 +73,12 @@ def test_sizes_and_empty(spark):
     texts = spark.createDataFrame([(1, None), (2, ""), (3, " \t\n"), (4, "a b\x0bc d"), (5, "x " * 5000)], "i int, text string")
     assert [r[0] for r in texts.orderBy("i").select(mixing.n_words("text")).collect()] == [0, 0, 0, 3, 5000]
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_documents_without_an_id_draw_by_their_text(spark):
+    """A budget between two whole passes takes some documents without an id and leaves others."""
+    rows = [(None, s, 10, None, f"{s}{i}") for s in "abc" for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", tie string")
+    got = mixing.mix(docs, tie="tie").collect()
+    assert len(got) == len(rows) and {r["copies"] for r in got if r["source"] == "a"} == {0, 1}
+    assert mixing.mix(docs, tie="tie").columns == ["row", "source", "size", "quality", "source_size", "target", "copies"]

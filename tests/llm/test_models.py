@@ -127,6 +127,28 @@ def test_sample_is_bounded_and_keeps_to_its_folds(spark, docs, labels):
     assert samples.labelled(docs, odd, "quality", 4, 2, 50).count() == 0
 
 
+def test_a_labelled_id_counts_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i:03}") for i in range(300)] + [(i, "x") for i in range(2, 9)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int")
+    rows = samples.labelled(docs, marks, "quality", 4, 9, 100)
+    assert rows.count() == 8 and rows.where("doc_id = 1").first()["text"] == "text 000"
+
+
+def test_long_words_are_pieces(spark):
+    text = "ab" * 100 + " " + "語" * 25 + " short"
+    drawn = sorted(r["word"] for r in language.samples(spark.createDataFrame([(text, "en")], "text string, lang string"), F.lit(True)).collect())
+    assert drawn == sorted(["ab" * 16] * 6 + ["ab" * 4, "語" * 10, "語" * 10, "語" * 5, "short"])
+    model = language.train([(w.encode(), 0) for w in drawn], ["en"], epochs=1)
+    assert model.languages == ["en"]
+
+
+def test_a_language_with_many_documents(spark):
+    """The least hashes are drawn, however many there are."""
+    docs = spark.range(3000).select(F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    least = sorted(r[0] for r in docs.orderBy(F.xxhash64("text")).limit(70).select("text").collect())
+    assert sorted(r["word"] for r in language.samples(docs, F.lit(True), 70, 500).collect()) == least
+
+
 def test_ftrl_learns_a_line():
     draw = np.random.default_rng(0)
     model = Ftrl(4, alpha=0.5, l1=0.0, l2=0.0)

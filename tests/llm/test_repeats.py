@@ -118,3 +118,18 @@ def test_sliding_least_and_words():
     data, starts, ends, bounds = words_of([t.encode() if t is not None else None for t in texts])
     got = [[data[a:b] for a, b in zip(starts[i:j], ends[i:j])] for i, j in zip(bounds[:-1], bounds[1:])]
     assert got == [WORD.findall((t or "").encode()) for t in texts]
+
+
+def test_rows_with_null_ids_and_equal_hashes(spark):
+    """Two texts whose 32-bit hashes are equal are told apart, whatever their ids."""
+    long = F.concat(F.lit(" ".join(f"w{i}" for i in range(60)) + " v"), F.col("id"))
+    short = F.concat(F.lit("short "), F.col("id"))
+    texts = spark.range(200_000)
+    pair = texts.select(long.alias("a"), F.hash(long).alias("h")).join(texts.select(short.alias("b"), F.hash(short).alias("h")), "h").orderBy("a", "b").first()
+    assert pair is not None
+    rows = [(None, pair["a"]), (None, pair["b"]), (None, "w0 " + pair["a"][3:] + " more"), (7, pair["b"])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r["n_words"], r["n_removed"], r["text"]) for r in substrings.dedup(docs).collect())
+    assert got == sorted([(61, 61, ""), (62, 61, "more"), (2, 0, pair["b"]), (2, 0, pair["b"])])
+    spans = {bytes(r["kept"]).decode(): r["n_removed"] for r in suffixes.dedup(docs, 200, keep_first=False).collect()}
+    assert spans.pop(pair["b"]) == 0 and len(spans) == 2 and all(spans.values())
