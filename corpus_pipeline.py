@@ -17,7 +17,7 @@ from __future__ import annotations
 import uuid
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparsetab.lineage import clear, cut, folder
 from sparsetab.llm import language, minhash, mixing, pieces, queries, substrings
@@ -48,6 +48,15 @@ def stage(function):
     return run_stage
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents with 96 bits of hashes of their text; with the id, these tell documents apart."""
+    return docs.withColumns({"_hash": F.hash("text"), "_key64": F.xxhash64("text")})
+
+
+def _same_document() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & (F.col("_key64") == F.col("_x"))
+
+
 @stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = queries.spoken(spark, docs)
@@ -66,9 +75,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of passages; ``n_chars`` follows the text."""
     left = substrings.dedup(docs, keep_first=True, layout=True).where(F.col("n_words") > F.col("n_removed")).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("text").alias("_text")).dropDuplicates(["_id", "_h"])
-    rows = docs.withColumn("_hash", F.hash("text")).drop("text")
-    joined = rows.join(left, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("text_key").alias("_x"), F.col("text").alias("_text")).dropDuplicates(["_id", "_h", "_x"])
+    joined = _keyed(docs).drop("text").join(left, _same_document())
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("bigint")}
     return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
@@ -77,10 +85,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; good ones (by ``labels``) come first more often."""
     weights = queries.quality_weights(queries.table(spark, sf_dir, "labels"))
-    sized = docs.select(F.col("doc_id").alias("row"), F.hash("text").alias("_h"), "source", mixing.n_words("text").alias("size"))
+    sized = docs.select(F.col("doc_id").alias("row"), F.hash("text").alias("_h"), F.xxhash64("text").alias("_x"), "source", mixing.n_words("text").alias("size"))
     sized = sized.join(weights, F.col("row") == F.col("_labelled"), "left")
-    taken = mixing.mix(sized, carry=("_h",)).where(F.col("copies") > 0).select(F.col("row").alias("_id"), "_h", "copies").dropDuplicates(["_id", "_h"])
-    rows = docs.withColumn("_hash", F.hash("text")).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
+    taken = mixing.mix(sized, carry=("_h", "_x"), tie="_x").where(F.col("copies") > 0).select(
+        F.col("row").alias("_id"), "_h", "_x", "copies").dropDuplicates(["_id", "_h", "_x"])
+    rows = _keyed(docs).join(taken, _same_document())
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
