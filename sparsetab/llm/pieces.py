@@ -35,6 +35,7 @@ _ROWS = 8192
 LONG = 512  # characters of a unit from which it has a heap of its own
 COPIES = 64  # copies of a row encoded in one go
 _NO_RANK = np.int32(np.iinfo(np.int32).max)
+_GONE = np.int32(-2)  # a symbol that has become part of the one before it
 _NORMAL, _USER, _UNUSED, _BYTE = "normal", "user", "unused", "byte"
 
 
@@ -205,54 +206,51 @@ def _work_off(vocabulary: Vocabulary, sym: np.ndarray, key: np.ndarray | None =
     """
     n, width = sym.shape
     sym = sym.copy()
-    at = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, width + 1)).copy()
-    live = np.full(n, width)
+    after = np.broadcast_to(np.arange(1, width + 1, dtype=np.int32), (n, width)).copy()  # symbols are known by the character they begin at
+    before = np.broadcast_to(np.arange(-1, width - 1, dtype=np.int32), (n, width)).copy()
 
-    def pairs(rows, places):
-        a, m, b = (at[rows, places + i].astype(np.uint64) for i in range(3))
-        return mix((a << np.uint64(42)) ^ (m << np.uint64(21)) ^ b)
+    def pairs(rows, a, m):
+        return mix((a.astype(np.uint64) << np.uint64(42)) ^ (m.astype(np.uint64) << np.uint64(21)) ^ after[rows, m].astype(np.uint64))
 
-    def look(rows, places):
-        """Rank and merged symbol of the pair at (row, place) and the next."""
-        slot = vocabulary.pairs(sym[rows, places], sym[rows, places + 1])
+    def look(rows, a, m):
+        """Rank and merged symbol of the symbols at ``a`` and ``m``, its next."""
+        slot = vocabulary.pairs(sym[rows, a], sym[rows, m])
         rank, merged = np.where(slot >= 0, vocabulary.ranks[slot], _NO_RANK), vocabulary.merged[slot]
         if rate > 0:
             some = np.flatnonzero(slot >= 0)
-            rank[some[_skipped(key[rows[some]], pairs(rows[some], places[some]), rate)]] = _NO_RANK
+            rank[some[_skipped(key[rows[some]], pairs(rows[some], a[some], m[some]), rate)]] = _NO_RANK
         return rank, merged
 
     rank = np.full((n, max(1, width)), _NO_RANK)
     into = np.zeros((n, max(1, width)), dtype=np.int32)
     if width > 1:
         rows, places = np.repeat(np.arange(n), width - 1), np.tile(np.arange(width - 1), n)
-        rank[rows, places], into[rows, places] = look(rows, places)
+        rank[rows, places], into[rows, places] = look(rows, places, places + 1)
     active = np.arange(n)
     while len(active) and width > 1:
-        best = rank[active].argmin(axis=1)
-        some = rank[active, best] < _NO_RANK
-        active, best = active[some], best[some]
-        if not len(active):
-            break
+        a = rank[active].argmin(axis=1)
+        some = rank[active, a] < _NO_RANK
+        active, a = active[some], a[some]
+        m = after[active, a]
         if met is not None:
-            met.append((active, pairs(active, best)))
-        sym[active, best] = into[active, best]
-        columns = np.arange(width)[None, :] > best[:, None]  # move what stands right of the pair one place left
-        for table, fill in ((sym, -1), (rank, _NO_RANK), (into, 0)):
-            own = table[active]
-            moved = np.concatenate([own[:, 1:], np.full((len(active), 1), fill, dtype=own.dtype)], axis=1)
-            table[active] = np.where(columns, moved, own)
-        own = at[active]
-        moved = np.concatenate([own[:, 1:], np.full((len(active), 1), -1, dtype=own.dtype)], axis=1)
-        at[active] = np.where(np.arange(width + 1)[None, :] > best[:, None], moved, own)
-        live[active] -= 1
-        for shift in (-1, 0):  # the pairs that the new symbol is part of
-            place = best + shift
-            ok = (place >= 0) & (place + 1 < live[active])
-            rows, places = active[ok], place[ok]
-            rank[rows, places], into[rows, places] = look(rows, places)
-            if shift == 0:
-                rank[active[~ok], best[~ok]] = _NO_RANK
-    return sym, at
+            met.append((active, pairs(active, a, m)))
+        b = after[active, m]
+        sym[active, a], sym[active, m] = into[active, a], _GONE
+        rank[active, a] = rank[active, m] = _NO_RANK
+        after[active, a] = b
+        ok = np.flatnonzero(b < width)
+        before[active[ok], b[ok]] = a[ok]
+        rank[active[ok], a[ok]], into[active[ok], a[ok]] = look(active[ok], a[ok], b[ok])
+        p = before[active, a]
+        ok = np.flatnonzero(p >= 0)
+        rank[active[ok], p[ok]], into[active[ok], p[ok]] = look(active[ok], p[ok], a[ok])
+    rows, places = np.nonzero(sym != _GONE)
+    left = np.bincount(rows, minlength=n)
+    to = np.arange(len(rows)) - np.repeat(np.cumsum(left) - left, left)
+    out, at = np.full((n, width), -1, dtype=np.int32), np.full((n, width + 1), -1, dtype=np.int32)
+    out[rows, to], at[rows, to] = sym[rows, places], places
+    at[np.arange(n), left] = width
+    return out, at
 
 
 def encode_texts(parts: list[bytes | None], vocabulary: Vocabulary, rate: float, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
