@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparsetab.functions.scalar import dot, log_sigmoid, sigmoid, sparse_dot
 from sparsetab.lineage import cut, cut_count
+from sparsetab.operators import iterate
 from sparsetab.operators.forest import size_band
 from sparsetab.operators.matrix import MAX_GRAM_COLUMNS, chosen_block, gram, row_blocks, solve_normal, vector_sums
 from sparsetab.operators.ranking import by_magnitude, top_k
@@ -152,7 +153,7 @@ def _start(jobs: DataFrame, graph: "Graph | None" = None) -> DataFrame:
         jobs = jobs.withColumn("in_band", F.lit(True))
     return jobs.withColumns({
         "idx": F.expr(NO_IDX), "w": F.expr(NO_W), "block": F.lit(FULL), "epochs": F.lit(0),
-        "rss": F.lit(None).cast("double"), "done": F.lit(False),
+        "rss": F.lit(None).cast("double"), "done": F.lit(False), "converged": F.lit(False),
     })
 
 
@@ -175,12 +176,16 @@ def _weight_at(column: str = "col_id") -> Column:
 
 
 def _checked(design, state: DataFrame, tol: float) -> DataFrame:
-    """Stop rules: weights diverge, or the residual is within ``tol``."""
+    """Stop rules: weights diverge, the residual is within ``tol``, or no weight moves by more than its share ``tol`` of the largest."""
     size = F.aggregate("w", F.lit(0.0), lambda a, v: a + v * v)
     judged = state.drop("rss").join(design.residual(state), JOB)
+    apart = F.aggregate(F.map_values(F.map_zip_with(
+        F.map_from_arrays("idx", "w"), F.map_from_arrays("old_idx", "old_w"), lambda i, a, b: F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))))),
+        F.lit(0.0), lambda a, v: F.greatest(a, v))
+    most = F.aggregate("w", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))
+    converged = (F.sqrt(size) < 1e3) & ((F.sqrt("rss") <= tol) | (apart <= tol * most))
     return judged.withColumns({
-        "epochs": F.col("epochs") + 1,
-        "done": (F.sqrt(size) >= 1e3) | (F.sqrt("rss") <= tol),
+        "epochs": F.col("epochs") + 1, "converged": converged, "done": (F.sqrt(size) >= 1e3) | converged,
     })
 
 
@@ -189,7 +194,7 @@ def _run(design, state: DataFrame, max_epochs: int, tol: float, epoch_step: Call
     finished = []
     live = cut(state)
     for epoch in range(max_epochs):
-        moved = epoch_step(live, epoch)
+        moved = epoch_step(live, epoch).join(live.select(*JOB, F.col("idx").alias("old_idx"), F.col("w").alias("old_w")), JOB)
         live, left = cut_count(_checked(design, moved, tol).select(*columns), "not done")
         finished.append(live.filter("done"))
         live = live.filter("not done")
@@ -234,12 +239,17 @@ class Graph:
     gamma: float = 0.1
     g: int = 1
     root: int | None = None
-    rounds: int = 16
+    rounds: int = 1000
+
+
+def _in_task(design, p: int | None, blocks: int | None, graph: Graph | None = None) -> bool:
+    """Whether the normal equations of every problem, and its graph, fit a task."""
+    return isinstance(design, GramDesign) and bool(p) and iterate.fits(p, blocks or 1) and (graph is None or not iterate.oversized_graph(graph.edges))
 
 
 # -- regression --------------------------------------------------------------------
 
-def iht(design, jobs: DataFrame, s: int, max_epochs: int, tol: float = 1e-6, stochastic: bool = False,
+def iht(design, jobs: DataFrame, s: int, max_epochs: int = 500, tol: float = 1e-6, stochastic: bool = False,
         seed: int = 0, graph: Graph | None = None) -> DataFrame:
     """L4-L7. Iterative hard thresholding, on all rows or on drawn row blocks.
 
@@ -247,10 +257,13 @@ def iht(design, jobs: DataFrame, s: int, max_epochs: int, tol: float = 1e-6, sto
     gradient factor 2.  With a graph, the gradient is first limited to a head
     support of ``p/2`` nodes and the step to a tail support of ``s`` nodes;
     otherwise the ``s`` largest weights stay.  Returns the state of every job:
-    ``idx, w, epochs, rss, done``, with a graph also ``in_band``: whether every
-    support had a size in its band.
+    ``idx, w, epochs, rss, done`` and ``converged`` (the residual is within ``tol``,
+    or weights stand still), with a graph also ``in_band``: whether every support
+    had a size in its band.  Designs that fit a task take all their steps there.
     """
     blocks, p = design.stats.agg(F.max("num_blocks"), F.max("p")).first() or (1, 0)
+    if _in_task(design, p, blocks, graph):
+        return iterate.run_jobs(design, jobs, iterate.hard_thresholding, max_epochs, tol, graph, s=s, stochastic=stochastic, seed=seed)
     scale = 2.0 if stochastic else 1.0
 
     def step(state: DataFrame, epoch: int, number: int) -> DataFrame:
@@ -294,20 +307,17 @@ def _all_columns(vector: DataFrame, p: int) -> DataFrame:
     return vector.select(*JOB, F.col("col_id").cast("int").alias("col_id"), "b").unionByName(every).groupBy(*JOB, "col_id").agg(F.sum("b").alias("b"))
 
 
-# Constants of the normalised step rule.
-_NIHT_C = 0.01
-_NIHT_KAPPA = 2.0 / (1.0 - _NIHT_C)
-_NIHT_TRIES = 40
-
-
-def niht(design, jobs: DataFrame, s: int, max_epochs: int, tol: float = 1e-6) -> DataFrame:
+def niht(design, jobs: DataFrame, s: int, max_epochs: int = 500, tol: float = 1e-6) -> DataFrame:
     """L8. Hard thresholding with a step size taken from the current support.
 
     The step is ``|g|^2 / |X g|^2`` on the support; if the support changes, it is
     shrunk until it is short enough for the move made.  All shrunken steps of an
     epoch are scored in one pass.
     """
-    shrink = _NIHT_KAPPA * (1.0 - _NIHT_C)
+    blocks, p = design.stats.agg(F.max("num_blocks"), F.max("p")).first() or (1, 0)
+    if _in_task(design, p, blocks):
+        return iterate.run_jobs(design, jobs, iterate.normalised, max_epochs, tol, s=s)
+    shrink = iterate.NIHT_KAPPA * (1.0 - iterate.NIHT_C)
     first = _start(jobs)
     top = top_k(design.gradient(first), JOB, by_magnitude("gradient", "col_id"), s)
     gamma = _arrays(top, JOB, "gradient").select(*JOB, F.col("idx").alias("gamma"))
@@ -343,12 +353,12 @@ def niht(design, jobs: DataFrame, s: int, max_epochs: int, tol: float = 1e-6) ->
             tried(full, [0]).withColumnsRenamed({"idx": "new_idx", "w": "new_w"})
             .join(state.select(*JOB, "gamma"), JOB).join(full.select(*JOB, "mu").distinct(), JOB)
             .withColumn("same", F.col("new_idx") == F.array_sort("gamma"))
-            .withColumn("ok", F.col("same") | ((F.col("energy") > 0) & (F.col("mu") * F.col("energy") <= (1 - _NIHT_C) * F.col("xx"))))
+            .withColumn("ok", F.col("same") | ((F.col("energy") > 0) & (F.col("mu") * F.col("energy") <= (1 - iterate.NIHT_C) * F.col("xx"))))
             .withColumn("stay", ~F.col("same") & (F.col("energy") <= 0))
         )
         again = first_try.filter("not ok and not stay").select(*JOB)
-        more = tried(full.join(again, JOB, "left_semi"), range(1, _NIHT_TRIES)).join(full.select(*JOB, "mu").distinct(), JOB)
-        good = (F.col("energy") <= 0) | (F.col("mu") * F.pow(F.lit(shrink), -F.col("k")) * F.col("energy") <= (1 - _NIHT_C) * F.col("xx"))
+        more = tried(full.join(again, JOB, "left_semi"), range(1, iterate.NIHT_TRIES)).join(full.select(*JOB, "mu").distinct(), JOB)
+        good = (F.col("energy") <= 0) | (F.col("mu") * F.pow(F.lit(shrink), -F.col("k")) * F.col("energy") <= (1 - iterate.NIHT_C) * F.col("xx"))
         best = more.filter(good).groupBy(*JOB).agg(F.min_by(F.struct("idx", "w"), "k").alias("_m"))
         chosen = (
             first_try.filter("ok and not stay").select(*JOB, F.col("new_idx").alias("_i"), F.col("new_w").alias("_w"), F.col("gamma").alias("_g"))
@@ -361,14 +371,17 @@ def niht(design, jobs: DataFrame, s: int, max_epochs: int, tol: float = 1e-6) ->
     return _run(design, state, max_epochs, tol, epoch_step).drop("gamma")
 
 
-def cosamp(design, jobs: DataFrame, s: int, max_epochs: int, tol: float = 1e-6, graph: Graph | None = None) -> DataFrame:
+def cosamp(design, jobs: DataFrame, s: int, max_epochs: int = 500, tol: float = 1e-6, graph: Graph | None = None) -> DataFrame:
     """L9, L10. Pursuit: least squares on the old support and 2s new columns, then s are kept.
 
     With a graph the new columns are a head support of ``2s`` nodes and the kept
     ones a tail support of ``s`` nodes; ``in_band`` tells whether every support had a
     size in its band.
     """
-    p = design.stats.agg(F.max("p")).first()[0] or 0
+    blocks, p = design.stats.agg(F.max("num_blocks"), F.max("p")).first() or (1, 0)
+    p = p or 0
+    if _in_task(design, p, blocks, graph):
+        return iterate.run_jobs(design, jobs, iterate.pursuit, max_epochs, tol, graph, s=s)
 
     def epoch_step(state: DataFrame, epoch: int) -> DataFrame:
         gradient = design.gradient(state)

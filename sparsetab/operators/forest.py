@@ -202,10 +202,7 @@ class _Problem:
         at = None if root is None else int(np.searchsorted(self.node, root))
         self.root = at if at is not None and at < len(self.node) and self.node[at] == root else None
         self.prizes = Prizes(prize.tolist(), self.i, self.j, self.cost.tolist(), self.root)
-        paid = self.cost[self.cost > 0]
-        self.limits = lambda g: search.Limits(
-            float(prize.sum()), float(paid.min()) if len(paid) else float("inf"), float(self.cost.min()) if len(self.cost) else float("inf"),
-            float(self.cost.max()) if len(self.cost) else 0.0, len(self.node), g == 1 or self.root is not None)
+        self.limits = lambda g: search.limits_of(prize, self.cost, g == 1 or self.root is not None)
 
     def chosen(self, picks: list[tuple[int, float]], g: int, met: bool, ended: bool) -> dict[str, list]:
         """Nodes and kept edges of the best trees at each picked lambda."""

@@ -20,6 +20,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+
 Points = dict[float, tuple[int, float, float]]
 Answer = tuple[list[float], list[tuple[int, float]], bool, bool]  # to solve, chosen, met, ended
 
@@ -43,6 +45,12 @@ class Limits:
         return 2.0 * self.total / self.positive if self.total > 0 and math.isfinite(self.positive) else 0.0
 
 
+def limits_of(prize: np.ndarray, cost: np.ndarray, exact: bool) -> Limits:
+    paid = cost[cost > 0]
+    return Limits(float(prize.sum()), float(paid.min()) if len(paid) else math.inf, float(cost.min()) if len(cost) else math.inf,
+                  float(cost.max()) if len(cost) else 0.0, len(prize), exact)
+
+
 def _start(limits: Limits) -> list[float]:
     return [0.0, limits.cap] if limits.cap > 0 else [0.0]
 

@@ -194,7 +194,7 @@ def _jobs(rows, **params):
 
 
 def _out(fitted):
-    flags = [c for c in ("in_band",) if c in fitted.columns]
+    flags = [c for c in ("in_band", "converged") if c in fitted.columns]
     return L.weights_of(fitted, [*L.JOB, *flags]).select("problem_id", "job_id", "col_id", F.round("w", 5).alias("w"), *flags)
 
 
@@ -209,44 +209,44 @@ def _column_grid(rows):
 @query("l4_iht", None)
 def l4(spark, sf):
     rows = label_problems(spark, sf)
-    return _out(L.iht(L.GramDesign.of(rows), _jobs(rows, lr=1e-3), 8, 5))
+    return _out(L.iht(L.GramDesign.of(rows), _jobs(rows, lr=1e-3), 8))
 
 
 @query("l5_stochastic_iht", None)
 def l5(spark, sf):
     rows = label_problems(spark, sf)
-    return _out(L.iht(L.GramDesign.of(rows, b=250), _jobs(rows, lr=1e-3), 8, 2, stochastic=True, seed=1))
+    return _out(L.iht(L.GramDesign.of(rows, b=250), _jobs(rows, lr=1e-3), 8, stochastic=True, seed=1))
 
 
 @query("l6_graph_iht", None)
 def l6(spark, sf):
     rows = matrix_rows(spark, sf)
-    return _out(L.iht(L.GramDesign.of(rows), _jobs(rows, lr=1e-3), 8, 1, graph=L.Graph(_column_grid(rows))))
+    return _out(L.iht(L.GramDesign.of(rows), _jobs(rows, lr=1e-3), 8, graph=L.Graph(_column_grid(rows))))
 
 
 @query("l7_graph_stochastic_iht", None)
 def l7(spark, sf):
     rows = matrix_rows(spark, sf)
     design = L.GramDesign.of(rows, b=2000)
-    return _out(L.iht(design, _jobs(rows, lr=1e-3), 8, 1, stochastic=True, seed=1, graph=L.Graph(_column_grid(rows))))
+    return _out(L.iht(design, _jobs(rows, lr=1e-3), 8, stochastic=True, seed=1, graph=L.Graph(_column_grid(rows))))
 
 
 @query("l8_normalised_iht", None)
 def l8(spark, sf):
     rows = label_problems(spark, sf)
-    return _out(L.niht(L.GramDesign.of(rows), _jobs(rows), 8, 2))
+    return _out(L.niht(L.GramDesign.of(rows), _jobs(rows), 8))
 
 
 @query("l9_cosamp", None)
 def l9(spark, sf):
     rows = label_problems(spark, sf)
-    return _out(L.cosamp(L.GramDesign.of(rows), _jobs(rows), 8, 3))
+    return _out(L.cosamp(L.GramDesign.of(rows), _jobs(rows), 8))
 
 
 @query("l10_graph_cosamp", None)
 def l10(spark, sf):
     rows = matrix_rows(spark, sf)
-    return _out(L.cosamp(L.GramDesign.of(rows), _jobs(rows), 8, 1, graph=L.Graph(_column_grid(rows))))
+    return _out(L.cosamp(L.GramDesign.of(rows), _jobs(rows), 8, graph=L.Graph(_column_grid(rows))))
 
 
 @query("l11_balanced_iht", None)
@@ -309,7 +309,7 @@ def x14(spark, sf):
     held = rows.filter(F.pmod(F.xxhash64("problem_id", "row_id"), F.lit(5)) == 0)
     train = rows.join(held.select("problem_id", "row_id"), ["problem_id", "row_id"], "left_anti")
     jobs = rows.select("problem_id").distinct().select("problem_id", F.posexplode(F.array(*[F.lit(v) for v in (5e-4, 1e-3, 2e-3)])).alias("job_id", "lr"))
-    fitted = L.iht(L.GramDesign.of(train), jobs, 8, 3)
+    fitted = L.iht(L.GramDesign.of(train), jobs, 8)
     from sparsetab.functions.scalar import sparse_dot
 
     pred = held.join(fitted, "problem_id").select("problem_id", "job_id", "lr", "y", sparse_dot(F.col("x"), F.col("idx"), F.col("w")).alias("pred"))
