@@ -175,15 +175,22 @@ def _weight_at(column: str = "col_id") -> Column:
     return F.coalesce(F.get("w", position - 1), F.lit(0.0))
 
 
+def _apart() -> Column:
+    """Largest difference of a weight from its old value."""
+    both = F.map_zip_with(F.map_from_arrays("idx", "w"), F.map_from_arrays("old_idx", "old_w"),
+                          lambda i, a, b: F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))))
+    return F.aggregate(F.map_values(both), F.lit(0.0), lambda a, v: F.greatest(a, v))
+
+
+def _most() -> Column:
+    return F.aggregate("w", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))
+
+
 def _checked(design, state: DataFrame, tol: float) -> DataFrame:
     """Stop rules: weights diverge, the residual is within ``tol``, or no weight moves by more than its share ``tol`` of the largest."""
     size = F.aggregate("w", F.lit(0.0), lambda a, v: a + v * v)
     judged = state.drop("rss").join(design.residual(state), JOB)
-    apart = F.aggregate(F.map_values(F.map_zip_with(
-        F.map_from_arrays("idx", "w"), F.map_from_arrays("old_idx", "old_w"), lambda i, a, b: F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))))),
-        F.lit(0.0), lambda a, v: F.greatest(a, v))
-    most = F.aggregate("w", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))
-    converged = (F.sqrt(size) < 1e3) & ((F.sqrt("rss") <= tol) | (apart <= tol * most))
+    converged = (F.sqrt(size) < 1e3) & ((F.sqrt("rss") <= tol) | (_apart() <= tol * _most()))
     return judged.withColumns({
         "epochs": F.col("epochs") + 1, "converged": converged, "done": (F.sqrt(size) >= 1e3) | converged,
     })
@@ -449,26 +456,26 @@ def loss_and_gradient(rows: DataFrame, weights: DataFrame, loss: str, curvature:
 
 # -- balanced classification ---------------------------------------------------------
 
-# Shrink factor and number of tries of the step search.
-_BETA = 0.8
-_STEP_TRIES = 20
-
-
 def _dense(p: int) -> Column:
     """Dense array from the sparse arrays of a state."""
     return F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.coalesce(F.get("w", F.array_position("idx", i).cast("int") - 1), F.lit(0.0)))
 
 
-def balanced_iht(rows: DataFrame, jobs: DataFrame, s: int, max_epochs: int, num_blocks: int = 1, seed: int = 0,
-                 graph: Graph | None = None, sum_intercept: bool = False) -> DataFrame:
+def balanced_iht(rows: DataFrame, jobs: DataFrame, s: int, max_epochs: int = 500, num_blocks: int = 1, seed: int = 0,
+                 graph: Graph | None = None, sum_intercept: bool = False, tol: float = 1e-6) -> DataFrame:
     """L11, L12. Sparse class-balanced logistic regression with a step search.
 
     ``jobs(problem_id, job_id, lam)``.  A step starts at 1 and is multiplied by
     0.8 until the loss falls enough, at most 20 times; all step sizes are scored
     in one pass over the block.  The intercept takes no part in the choice of
     the ``s`` columns.  ``sum_intercept`` leaves its gradient a sum over rows.
-    With a graph, ``in_band`` tells whether every support had a size in its band.
+    With a graph, ``in_band`` tells whether every support had a size in its band;
+    ``converged`` tells whether an epoch moved no weight by more than its share
+    ``tol`` of the largest.  Problems whose rows fit a task are fitted there.
     """
+    size_of = rows.groupBy(P).agg((F.count(F.lit(1)) * F.max(F.size("x"))).alias("_n"))
+    if size_of.filter(F.col("_n") > iterate.LIMIT).isEmpty() and (graph is None or not iterate.oversized_graph(graph.edges)):
+        return iterate.run_balanced(rows, jobs, s, max_epochs, tol, num_blocks, seed, sum_intercept, graph)
     total = rows.groupBy(P).agg(F.count(F.lit(1)).alias("_n"))
     size = F.floor(F.col("_n") / num_blocks)
     place = F.floor(F.col("row_id") / size)
@@ -476,8 +483,9 @@ def balanced_iht(rows: DataFrame, jobs: DataFrame, s: int, max_epochs: int, num_
     shares = cut(class_shares(rows))
     p = rows.select(F.max(F.size("x"))).first()[0]
     state = cut(_start(jobs, graph).drop("rss", "done").withColumn("c", F.lit(0.0)).join(shares, P))
-    names = state.columns
+    names, finished = state.columns, []
     for epoch in range(max_epochs):
+        began = state.select(*JOB, F.col("idx").alias("old_idx"), F.col("w").alias("old_w"), F.col("c").alias("old_c"))
         for number in range(num_blocks):
             drawn = chosen_block(seed, F.lit(epoch), F.lit(number), F.lit(num_blocks), *JOB).cast("int")
             state = state.withColumn("block", drawn if num_blocks > 1 else F.lit(0))
@@ -503,15 +511,15 @@ def balanced_iht(rows: DataFrame, jobs: DataFrame, s: int, max_epochs: int, num_
             start = F.col("_loss") / F.col("_n") + 0.5 * F.col("lam") * square("_w")
             ahead = placed.join(ready.select(*JOB, "block", "idx", "w", "c", "cp", "cn", "_g", "_gc"), [P, "block"]).select(
                 *JOB, "y", "cp", "cn", (sparse_dot(F.col("x"), F.col("idx"), F.col("w")) + F.col("c")).alias("m"), (dot(F.col("x"), F.col("_g")) + F.col("_gc")).alias("mg"))
-            tries = F.sequence(F.lit(0), F.lit(_STEP_TRIES - 1))
+            tries = F.sequence(F.lit(0), F.lit(iterate.STEP_TRIES - 1))
             stepped = ahead.withColumn("t", F.explode(tries))
-            step_at = F.pow(F.lit(_BETA), F.col("t"))
+            step_at = F.pow(F.lit(iterate.BETA), F.col("t"))
             cost = loss_terms("balanced", F.col("y"), F.col("m") - step_at * F.col("mg"), F.col("cp"), F.col("cn"))[0]
             losses = stepped.groupBy(*JOB, "t").agg(F.sum(cost).alias("_left"))
             moved_w = F.zip_with("_w", "_g", lambda a, b: a - step_at * b)
             judged = losses.join(ready, JOB).withColumn(
                 "_good", F.col("_left") / F.col("_n") + 0.5 * F.col("lam") * square(moved_w) <= start - step_at / 2 * reg)
-            best = judged.groupBy(*JOB).agg(F.coalesce(F.min(F.when(F.col("_good"), F.col("t"))), F.lit(_STEP_TRIES)).alias("t"))
+            best = judged.groupBy(*JOB).agg(F.coalesce(F.min(F.when(F.col("_good"), F.col("t"))), F.lit(iterate.STEP_TRIES)).alias("t"))
             moved = ready.join(best, JOB)
             target = moved.select(*JOB, F.posexplode(F.zip_with("_w", "_g", lambda a, b: a - step_at * b)).alias("col_id", "b"))
             if graph is None:
@@ -520,7 +528,16 @@ def balanced_iht(rows: DataFrame, jobs: DataFrame, s: int, max_epochs: int, num_
                 kept, tail_met = _graph_band(cut(target), "b", graph.edges, s, int(s * (1 + graph.gamma)), graph.g, graph.root, graph.rounds)
             replaced = _replace(moved.withColumn("c", F.col("c") - step_at * F.col("_gc")).select(*names), _arrays(kept, JOB, "b"))
             state = cut((replaced if graph is None else _held(replaced, head_met, tail_met)).select(*names))
-    return state.withColumn("epochs", F.lit(max_epochs)).drop("block", "cp", "cn")
+        slid = F.abs(F.col("c") - F.col("old_c")) <= tol * F.greatest(F.lit(1.0), F.abs("c"))
+        state, left = cut_count(state.join(began, JOB).withColumns(
+            {"epochs": F.lit(epoch + 1), "converged": slid & (_apart() <= tol * _most())}).select(*names), "not converged")
+        finished.append(state.filter("converged"))
+        state = state.filter("not converged")
+        if not left:
+            break
+    for part in finished:
+        state = state.unionByName(part)
+    return state.drop("block", "cp", "cn")
 
 
 # -- group lasso ------------------------------------------------------------------------

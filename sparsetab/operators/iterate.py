@@ -231,6 +231,86 @@ def run_jobs(design, jobs: DataFrame, method: Callable[..., Run], max_epochs: in
     return out.select("job.*", *last)
 
 
+# Shrink factor and number of tries of the step search.
+BETA = 0.8
+STEP_TRIES = 20
+
+
+def balanced_steps(x: np.ndarray, y: np.ndarray, block: np.ndarray, job: dict, s: int, max_epochs: int, tol: float, num_blocks: int, seed: int,
+                   sum_intercept: bool, graph: Lattice | None = None, gamma: float = 0.0, rounds: int = 0):
+    """Weights, intercept, epochs, whether they stand still and whether supports met their bands: see ``fit.balanced_iht``."""
+    share = np.where(y > 0, (y < 0).mean(), (y > 0).mean())
+    w, c, lam, in_band = np.zeros(x.shape[1]), 0.0, job["lam"], True
+    for epoch in range(max_epochs):
+        old, before = w, c
+        for number in range(num_blocks):
+            at = block == (drawn(seed, job[P], job["job_id"], epoch, number, num_blocks) if num_blocks > 1 else 0)
+            if not at.any():
+                continue
+            rows, sign, cost, n = x[at], y[at], share[at], int(at.sum())
+            z = sign * (rows @ w + c)
+            slope = -cost * sign * np.exp(-np.logaddexp(0, z))
+            g, gc = rows.T @ slope / n + lam * w, slope.sum() / (1.0 if sum_intercept else n)
+            if graph is not None:
+                head = x.shape[1] // 2
+                g, met = graph.limited(g, head, int(head * (1 + gamma)), rounds)
+                in_band = in_band and met
+            start = (cost * np.logaddexp(0, -z)).mean() + lam / 2 * w @ w
+            slide = sign * (rows @ g + gc)
+            for t in range(STEP_TRIES + 1):
+                step = BETA ** t
+                ahead = w - step * g
+                if t == STEP_TRIES or (cost * np.logaddexp(0, -(z - step * slide))).mean() + lam / 2 * ahead @ ahead <= start - step / 2 * (g @ g + gc * gc):
+                    break
+            if graph is None:
+                w = largest(ahead, s)
+            else:
+                w, met = graph.limited(ahead, s, int(s * (1 + gamma)), rounds)
+                in_band = in_band and met
+            c -= step * gc
+        if np.abs(w - old).max(initial=0.0) <= tol * np.abs(w).max(initial=0.0) and abs(c - before) <= tol * max(1.0, abs(c)):
+            return w, c, epoch + 1, True, in_band
+    return w, c, max_epochs, False, in_band
+
+
+def _pack_rows(table: pa.Table) -> dict[str, list]:
+    order = np.argsort(column(table, "row_id"), kind="stable")
+    x = table.column("x").combine_chunks()
+    return {"p": pa.array([len(x[0])], pa.int32()), "x": pa.array([x.flatten().to_numpy().reshape(len(x), -1)[order].tobytes()], pa.binary()),
+            "y": pa.array([column(table, "y")[order].tobytes()], pa.binary()), "row": pa.array([column(table, "row_id")[order].astype(np.int64).tobytes()], pa.binary())}
+
+
+def run_balanced(rows: DataFrame, jobs: DataFrame, s: int, max_epochs: int, tol: float, num_blocks: int, seed: int, sum_intercept: bool, graph=None) -> DataFrame:
+    """``fit.balanced_iht`` for problems whose rows fit a task, all steps of a job in one."""
+    work = jobs.select(P, F.struct(*jobs.columns).alias("job")).join(
+        by_problem(rows.select(P, "row_id", "x", F.col("y").cast("double").alias("y")), P, _pack_rows, "p int, x binary, y binary, `row` binary"), P)
+    shape = None if graph is None else (graph.g, graph.root, graph.gamma, graph.rounds)
+    if graph is not None:
+        work = work.join(by_problem(graph.edges.select(P, "src", "dst", "cost"), P, _pack_edges, "src binary, dst binary, cost binary"), P, "left")
+    kinds = [pa.list_(pa.int32()), pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.bool_(), pa.bool_()]
+    state = "idx array<int>, w array<double>, c double, epochs int, converged boolean, in_band boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part = batch.slice(k, 1)
+                r = part.to_pylist()[0]
+                x, y, row = np.frombuffer(r["x"]).reshape(-1, r["p"]), np.frombuffer(r["y"]), np.frombuffer(r["row"], dtype=np.int64)
+                size = len(y) // num_blocks
+                block = np.where(row < size * num_blocks, row // max(1, size), -1)
+                lattice = {}
+                if shape is not None:
+                    ends = [np.frombuffer(r[e] or b"", dtype=np.int64) for e in ("src", "dst")]
+                    lattice = {"graph": Lattice(r["p"], *ends, np.frombuffer(r["cost"] or b""), *shape[:2]), "gamma": shape[2], "rounds": shape[3]}
+                w, c, epochs, converged, met = balanced_steps(x, y, block, r["job"], s, max_epochs, tol, num_blocks, seed, sum_intercept, **lattice)
+                at = np.flatnonzero(w)
+                values = [at.astype(np.int32).tolist(), w[at].tolist(), c, epochs, converged, met]
+                yield pa.RecordBatch.from_arrays([part.column("job"), *(pa.array([v], t) for v, t in zip(values, kinds))], ["job", *(f.split()[0] for f in state.split(", "))])
+
+    out = work.mapInArrow(run, f"job {jobs.schema.simpleString()}, {state}")
+    return out.select("job.*", "idx", "w", "c", "epochs", "converged", *(["in_band"] if graph is not None else []))
+
+
 def oversized_graph(edges: DataFrame) -> bool:
     """Whether some problem has more edges than a task takes."""
     return not edges.groupBy(P).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > trees.LIMIT).isEmpty()

@@ -252,13 +252,13 @@ def l10(spark, sf):
 @query("l11_balanced_iht", None)
 def l11(spark, sf):
     rows = label_problems(spark, sf)
-    return _out(L.balanced_iht(rows, _jobs(rows, lam=1e-3), 8, 2, num_blocks=2, seed=1))
+    return _out(L.balanced_iht(rows, _jobs(rows, lam=1e-3), 8, num_blocks=2, seed=1))
 
 
 @query("l12_graph_balanced_iht", None)
 def l12(spark, sf):
     rows = matrix_rows(spark, sf)
-    return _out(L.balanced_iht(rows, _jobs(rows, lam=1e-3), 8, 1, graph=L.Graph(_column_grid(rows))))
+    return _out(L.balanced_iht(rows, _jobs(rows, lam=1e-3), 8, graph=L.Graph(_column_grid(rows))))
 
 
 def _lam_jobs(rows, grid):

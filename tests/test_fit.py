@@ -151,6 +151,28 @@ def test_balanced_iht(class_rows):
     assert got.c == pytest.approx(c, abs=1e-9)
 
 
+@pytest.mark.parametrize("fit", ["iht", "stochastic", "niht", "cosamp", "balanced"])
+def test_steps_in_a_task_and_by_jobs_agree(rows, class_rows, monkeypatch, fit):
+    """Weights, epochs and the flag are those of the same fit taken step by step as jobs."""
+    def run():
+        if fit == "balanced":
+            return L.balanced_iht(class_rows, jobs(class_rows, lam=1e-2), S, 3, num_blocks=2, seed=4, tol=0.05)
+        if fit == "niht":
+            return L.niht(L.GramDesign.of(rows), jobs(rows), S, 4, tol=1e-3)
+        if fit == "cosamp":
+            return L.cosamp(L.GramDesign.of(rows), jobs(rows), S, 3)
+        if fit == "stochastic":
+            return L.iht(L.GramDesign.of(rows, b=20), jobs(rows, lr=0.3), S, 3, stochastic=True, seed=2)
+        return L.iht(L.GramDesign.of(rows), jobs(rows, lr=0.5), S, 6, tol=0.05)
+
+    found = []
+    for limit in (1 << 22, 1):
+        monkeypatch.setattr(L.iterate, "LIMIT", limit)
+        found.append(sorted(((r.problem_id, r.epochs, r.converged, r.idx, r.w) for r in run().collect()), key=lambda r: r[0]))
+    for one, other in zip(*found):
+        assert one[:4] == other[:4] and one[4] == pytest.approx(other[4], abs=1e-8)
+
+
 def overlap(spark):
     return spark.createDataFrame([(i % 3, i) for i in range(P)] + [(3 + i % 4, i) for i in range(P)], "group_id int, col_id int")
 
