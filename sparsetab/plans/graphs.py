@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparsetab.operators import fit as L, forest as FO, graph as G, relational as R
+from sparsetab.functions.scalar import hashed
+from sparsetab.operators import crossval as CV, fit as L, forest as FO, graph as G, relational as R
 from sparsetab.operators.evaluate import validation_error
 from sparsetab.operators.experiments import best_parameter
 from sparsetab.plans.inputs import CELLS, COMPONENTS, EDGES, cells, graph_edges, graph_nodes, label_problems, matrix_rows, query, r6, table
@@ -302,6 +303,35 @@ def l16(spark, sf):
     return L.refit(design, chosen, _groups(spark, sf)).select("problem_id", "col_id", F.round("w", 5).alias("w"))
 
 
+@query("x2_cross_validated_fit", None)
+def x2_fit(spark, sf):
+    """Each label against all others: sparsity tuned on 4 inner folds, judged on 5 outer ones, from rows to the report."""
+    rows = label_problems(spark, sf)
+    fold = lambda seed, k: hashed(seed, "row_id") % k
+    rows = rows.withColumns({"fold": fold(5, 5).cast("int"), "subfold": fold(6, 4).cast("int")})
+    sizes = [4, 8, 16, 32]
+    grid = spark.createDataFrame(list(enumerate(sizes)), "job_id int, s int")
+    report = CV.nested_cv_fit(rows, grid, sizes, 5, 4)
+    return report.select("problem_id", "fold", "s", "n", "n_weights", "converged", *[r6(F.col(c), c) for c in ("sub_bacc", "auc", "acc", "bacc")])
+
+
+def _sweep(spark, sf):
+    """Signals of 5 columns, seen through rows of the embeddings drawn for each trial, one for each nation."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"))
+    trials = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("trial"))
+    return CV.recovery_sweep(rows, trials, [10, 20, 30, 45, 60, 90], 5, ["niht", "cosamp"], tol=1e-3, seed=9)
+
+
+@query("x4_recovery_sweep", None)
+def x4_sweep(spark, sf):
+    return _sweep(spark, sf)[1].select("method", "n", r6(F.col("prob"), "prob"), "kept")
+
+
+@query("x6_sweep_least_size", None)
+def x6_sweep(spark, sf):
+    return _sweep(spark, sf)[2]
+
+
 @query("x14_many_problems", None)
 def x14(spark, sf):
     """Ten problems at three learning rates in one job, the rate chosen by validation error."""
