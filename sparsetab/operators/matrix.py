@@ -246,13 +246,17 @@ def _add_up(partial: DataFrame, keys: list[str], schema: pa.Schema, ddl: str) ->
 def gram(rows: DataFrame, keys: Sequence[str], x: str = "x", columns: int | None = None) -> DataFrame:
     """M3. ``sum of x x'`` per key, one row ``(keys, i, sums)`` for each matrix row.
 
-    The result has as many entries as the square of the column count, so the
-    count is checked against ``MAX_GRAM_COLUMNS``; wider matrices have to be
-    fitted without a Gram matrix (see ``fit.RowDesign``).
+    A task holds the whole matrix of a key while it sums, so matrices of more
+    than ``MAX_GRAM_COLUMNS`` columns are summed by tiles (``tall.tiled_gram``);
+    a caller who names ``columns`` asks for the plain form.
     """
     keys = list(keys)
     if columns is None:
         columns = rows.select(F.max(F.size(x))).first()[0] or 0
+        if columns > MAX_GRAM_COLUMNS:
+            from sparsetab.operators.tall import tiled_gram
+
+            return tiled_gram(rows, keys, x)
     if columns > MAX_GRAM_COLUMNS:
         raise ValueError(f"{columns} columns are too many for a Gram matrix; fit without one")
     schema, ddl = _arrow_schema(rows, keys, ("i", pa.int32()), ("sums", pa.list_(pa.float64())))

@@ -97,6 +97,42 @@ def m10(spark, sf):
     return M.solve_normal(design.normal_on(picked), ["problem_id", "job_id"]).select("problem_id", F.col("idx").alias("col_id"), r6(F.col("w"), "w"))
 
 
+_TOP = f"""c AS (SELECT l.problem_id, col_id, sum(value * CASE WHEN label = l.problem_id THEN 1.0 ELSE -1.0 END) AS t FROM cells JOIN embeddings ON vec_id = row_id,
+(SELECT DISTINCT CAST(label AS BIGINT) AS problem_id FROM embeddings) l GROUP BY 1, 2), top AS (SELECT problem_id, col_id FROM c QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY abs(t) DESC, col_id) <= 10)"""
+
+
+@query("m10_least_squares_qr", f"""WITH {CELLS}, {_TOP} SELECT problem_id, col_id, 0.0::DOUBLE AS slope, 10 AS rank FROM top""")
+def m10_qr(spark, sf):
+    """Weights on the ten columns nearest the response, proved by the slope of the loss there: 0 in every column."""
+    from sparsetab.operators import tall
+
+    rows = label_problems(spark, sf)
+    sums = M.vector_sums(rows, ["problem_id"], "x", F.col("y")).select("problem_id", F.posexplode("sums").alias("col_id", "t"))
+    top = W.top_k(sums, ["problem_id"], W.by_magnitude("t", "col_id"), 10).groupBy("problem_id").agg(F.array_sort(F.collect_set("col_id")).alias("cols"))
+    limited = rows.join(top, "problem_id").select("problem_id", "cols", F.transform("cols", lambda c: F.get(F.col("x"), c)).alias("x"), "y")
+    solved = tall.least_squares(limited, ["problem_id"])
+    gap = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) - F.col("y")
+    slope = M.vector_sums(limited.join(solved, "problem_id").select("problem_id", "x", gap.alias("gap")), ["problem_id"], "x", F.col("gap"))
+    return slope.join(top, "problem_id").join(solved, "problem_id").select(
+        "problem_id", F.explode(F.arrays_zip("cols", "sums")).alias("e"), "rank").select(
+        "problem_id", F.col("e.cols").alias("col_id"), (F.round("e.sums", 6) + 0.0).alias("slope"), "rank")
+
+
+@query("m12_trace_norms_qr", None)
+def m12_qr(spark, sf):
+    from sparsetab.operators import tall
+
+    return tall.trace_norms(matrix_rows(spark, sf), _groups(spark, sf)).select("group_id", r6(F.col("norm"), "norm"), r6(F.col("weight"), "weight"))
+
+
+@query("m3_tiled_gram", f"WITH {CELLS} SELECT a.col_id AS i, b.col_id AS j, round(sum(a.value * b.value), 6) AS value FROM cells a JOIN cells b USING (row_id) GROUP BY 1, 2")
+def m3_tiled(spark, sf):
+    """The Gram matrix by tiles of 24 columns."""
+    from sparsetab.operators import tall
+
+    return tall.tiled_gram(matrix_rows(spark, sf), ["problem_id"], tile=24).select("i", F.posexplode("sums").alias("j", "value")).select("i", "j", r6(F.col("value"), "value"))
+
+
 @query("m11_restrict", f"WITH {CELLS} SELECT row_id, col_id, round(value, 6) AS value FROM cells WHERE row_id IN (SELECT row_id FROM resp WHERE y > 0) AND col_id IN (SELECT col_id FROM cells GROUP BY col_id HAVING avg(value) > 0)")
 def m11(spark, sf):
     x = cells(spark, sf)
