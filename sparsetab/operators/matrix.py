@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparsetab.functions.scalar import hashed
@@ -145,6 +146,16 @@ def _by_key(batch: pa.RecordBatch, keys: list[str]):
         yield (key if isinstance(key, tuple) else (key,)), index
 
 
+def _parts(batch: pa.RecordBatch, keys: list[str]):
+    """Each key of a batch with its rows as a matrix and their numbers; keys may differ in width."""
+    arrays = batch.column("x")
+    width = pc.list_value_length(arrays)
+    even = pc.min(width).as_py() == pc.max(width).as_py()
+    x = _matrix(arrays) if even else None
+    for key, index in _by_key(batch, keys):
+        yield key, x[index] if even else _matrix(arrays.take(pa.array(index))), index
+
+
 def _emit(schema: pa.Schema, held: dict) -> pa.RecordBatch:
     keys = list(held)
     width = len(schema) - 1
@@ -168,10 +179,9 @@ def _vector_sums(schema: pa.Schema, weighted: bool, in_order: bool):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = _matrix(batch.column("x"))
             v = batch.column("v").to_numpy(zero_copy_only=False) if weighted else None
-            for key, index in _by_key(batch, keys):
-                part = v[index] @ x[index] if weighted else x[index].sum(axis=0)
+            for key, x, index in _parts(batch, keys):
+                part = v[index] @ x if weighted else x.sum(axis=0)
                 if key in held:
                     held[key] = held[key] + part
                 else:
@@ -181,7 +191,7 @@ def _vector_sums(schema: pa.Schema, weighted: bool, in_order: bool):
                 final = {k: s for k, s in held.items() if k != open_key}
                 held = {open_key: held[open_key]}
                 yield _emit(schema, final)
-            elif not in_order and len(held) > 1 and len(held) * x.shape[1] > _BUFFER_VALUES:
+            elif not in_order and len(held) > 1 and sum(len(s) for s in held.values()) > _BUFFER_VALUES:
                 yield _emit(schema, held)
                 held = {}
         if held:
@@ -203,11 +213,10 @@ def _outer_sums(schema: pa.Schema):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = _matrix(batch.column("x"))
-            for key, index in _by_key(batch, keys):
-                part = x[index].T @ x[index]
+            for key, x, _ in _parts(batch, keys):
+                part = x.T @ x
                 held[key] = held[key] + part if key in held else part
-            if len(held) > 1 and len(held) * x.shape[1] ** 2 > _BUFFER_VALUES:
+            if len(held) > 1 and sum(m.size for m in held.values()) > _BUFFER_VALUES:
                 yield from _emit_rows(schema, held)
                 held = {}
         yield from _emit_rows(schema, held)

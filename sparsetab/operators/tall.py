@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparsetab.operators.matrix import _arrow_schema, _by_key, _last_key, _matrix
+from sparsetab.operators.matrix import _arrow_schema, _by_key, _last_key, _parts
 from sparsetab.operators.relational import attach_row
 
 TILE = 1024  # columns of a tile
@@ -33,8 +33,7 @@ def _products(schema: pa.Schema, tile: int, held: int):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            for key, index in _by_key(batch, keys):
-                x = _matrix(batch.column("x").take(pa.array(index)))
+            for key, x, _ in _parts(batch, keys):
                 kept.setdefault(key, []).append(x)
                 numbers += x.size
             if numbers >= held:

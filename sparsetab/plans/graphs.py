@@ -295,6 +295,30 @@ def l15(spark, sf):
     return path.select("problem_id", "lam", "col_id", F.round("w", 4).alias("w"))
 
 
+def _with_kkt(spark, sf, lams):
+    """Wide group lasso of the label problems on overlapping groups."""
+    from sparsetab.operators import active
+
+    rows = label_problems(spark, sf)
+    return active.wide_group_lasso(rows, _lam_jobs(rows, lams), _groups(spark, sf))
+
+
+@query("l13_wide_group_lasso", "SELECT DISTINCT CAST(label AS BIGINT) AS problem_id, unnest([0.01, 0.005])::DOUBLE AS lam, true AS optimal FROM embeddings")
+def l13_wide(spark, sf):
+    """Fitted without a Gram matrix of all columns; no group's gradient is beyond its penalty by a part in a million."""
+    fitted = _with_kkt(spark, sf, [0.01, 0.005])
+    return fitted.select("problem_id", "lam", (F.col("converged") & (F.col("excess") <= 1e-6)).alias("optimal"))
+
+
+@query("l15_lasso_breakpoints", None)
+def l15_breakpoints(spark, sf):
+    """Every value of lambda at which a column enters or leaves the lasso of a label, down to 0.002."""
+    from sparsetab.operators import active
+
+    path = active.lasso_breakpoints(L.GramDesign.of(label_problems(spark, sf), centre=True), 0.002)
+    return path.select("problem_id", "step", r6(F.col("lam"), "lam"), "idx")
+
+
 @query("l16_refit", None)
 def l16(spark, sf):
     rows = matrix_rows(spark, sf)
