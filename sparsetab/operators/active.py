@@ -12,13 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparsetab.functions.scalar import sparse_dot
 from sparsetab.lineage import cut, cut_count
 from sparsetab.operators.iterate import P, _pack
 from sparsetab.operators.matrix import gram, vector_sums
 from sparsetab.operators.ranking import top_k
+from sparsetab.operators.relational import attach_row
 from sparsetab.operators.trees import by_problem
 
 JOB = [P, "job_id"]
@@ -143,6 +145,41 @@ def _solved(rows: DataFrame, means: DataFrame, jobs: DataFrame, members: DataFra
     return work.mapInArrow(run, f"{P} {kind}, job_id {job_kind}, lam double, n double, entries {group.simpleString()}, c double")
 
 
+def gram_group_lasso(design, jobs: DataFrame, groups: DataFrame, steps: int, tol: float) -> DataFrame:
+    """The group lasso of ``fit.group_lasso`` for Gram matrices that fit a task: ``entries, change, converged`` of every job.
+
+    ``groups(group_id, col_id, weight)``; every group is active from the start.
+    """
+    packed = by_problem(design.table.filter("block = -1").select(P, "block", "i", "g", "xty"), P, _pack, "p int, g binary, xty binary")
+    lists = groups.agg(F.array_sort(F.collect_list(F.struct("group_id", F.col("col_id").cast("int").alias("col_id"), "weight"))).alias("members"))
+    work = attach_row(jobs.select(*JOB, F.col("lam").cast("double").alias("lam")).join(packed, P).join(design.stats.select(P, "n"), P), lists)
+    kind, job_kind = (work.schema[c].dataType.simpleString() for c in JOB)
+    group = groups.schema["group_id"].dataType.simpleString()
+    shape = f"array<struct<group_id:{group},col_id:int,w:double,z:double>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                r = one.to_pylist()[0]
+                members = [m for m in r["members"] if 0 <= m["col_id"] < r["p"]]
+                at = np.array([m["col_id"] for m in members], dtype=np.int64)
+                g = np.frombuffer(r["g"]).reshape(r["p"], r["p"])[np.ix_(at, at)]
+                heads = [i for i in range(len(members)) if i == 0 or members[i]["group_id"] != members[i - 1]["group_id"]]
+                blocks = [np.arange(a, b) for a, b in zip(heads, [*heads[1:], len(members)])]
+                penalty = np.array([r["lam"] * members[b[0]]["weight"] for b in blocks])
+                w = block_steps(g, np.frombuffer(r["xty"])[at], r["n"], blocks, penalty, np.zeros(len(at)), steps, tol)
+                again = block_steps(g, np.frombuffer(r["xty"])[at], r["n"], blocks, penalty, w, 1, 0.0)
+                change = float(np.abs(again - w).max(initial=0.0))
+                found = [{"group_id": m["group_id"], "col_id": m["col_id"], "w": float(v), "z": float(v)} for m, v in zip(members, w) if v != 0]
+                yield pa.RecordBatch.from_arrays(
+                    [one.column(P), one.column("job_id"), one.column("lam"), pa.array([found], entry), pa.array([change]), pa.array([change <= 10 * tol * max(1.0, np.abs(w).max(initial=0.0))])],
+                    [*JOB, "lam", "entries", "change", "converged"])
+
+    entry = to_arrow_type(T.DataType.fromDDL(shape))
+    return work.mapInArrow(run, f"{P} {kind}, job_id {job_kind}, lam double, entries {shape}, change double, converged boolean")
+
+
 # -- exact path ----------------------------------------------------------------------
 
 def breakpoints(g: np.ndarray, xty: np.ndarray, n: float, least: float) -> list[tuple[float, np.ndarray]]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparsetab.functions.scalar import dot, log_sigmoid, sigmoid, sparse_dot
 from sparsetab.lineage import cut, cut_count
-from sparsetab.operators import iterate
+from sparsetab.operators import active, iterate
 from sparsetab.operators.forest import size_band
 from sparsetab.operators.matrix import MAX_GRAM_COLUMNS, chosen_block, gram, row_blocks, solve_normal, vector_sums
 from sparsetab.operators.ranking import by_magnitude, top_k
@@ -575,10 +575,15 @@ def group_lasso(design: GramDesign, jobs: DataFrame, groups: DataFrame, max_iter
     side by side.  ``groups(group_id, col_id[, weight])``; singleton groups give
     the lasso.  Accelerated proximal gradient steps run on the Gram matrix,
     ``chain`` of them in one job.  Returns ``entries`` (latent weights ``w`` and
-    the point ``z`` the next step starts from) and ``change``.
+    the point ``z`` the next step starts from), ``change``, and ``converged``: the
+    last step moved no weight by more than ``tol``.  Gram matrices that fit a task
+    are solved there by block coordinate steps, up to 50 sweeps for each of
+    ``max_iter``.
     """
     if "weight" not in groups.columns:
         groups = groups.withColumn("weight", F.lit(1.0))
+    if _in_task(design, design.stats.agg(F.max("p")).first()[0], 1):
+        return active.gram_group_lasso(design, jobs, groups, 50 * max_iter, tol)
     owners = groups.groupBy(F.col("col_id").cast("int").alias("i")).agg(F.collect_list(F.struct("group_id", "weight")).alias("owners"))
     steps = cut(_step_size(_gram_bound(design), groups, 2.0))
     table = cut(design.table.filter(F.col("block") == FULL).drop("block").join(owners, "i").join(steps, P))
@@ -593,7 +598,7 @@ def group_lasso(design: GramDesign, jobs: DataFrame, groups: DataFrame, max_iter
         state, left = cut_count(state, f"change > {tol}")
         if not left:
             break
-    return state
+    return state.withColumn("converged", F.coalesce(F.col("change") <= tol, F.lit(False)))
 
 
 def _proximal(table: DataFrame, jobs: DataFrame, state: DataFrame, none: Column, momentum: float) -> DataFrame:
@@ -700,19 +705,19 @@ def active_set_lasso(design: GramDesign, jobs: DataFrame, groups: DataFrame, max
     """
     kind = groups.schema["group_id"].dataType.simpleString()
     fitted = cut(jobs.select(*JOB, "lam").withColumn("entries", F.expr(f"cast(array() as array<struct<group_id:{kind},col_id:int,w:double,z:double>>)")))
-    active = None
+    chosen = None
     for _ in range(max_rounds):
         norms = cut(squared_gradient(design, fitted).join(groups, "col_id").groupBy(*JOB, "lam", "group_id").agg(F.sqrt(F.sum(F.col("gradient") * F.col("gradient"))).alias("norm")))
-        if active is None:
+        if chosen is None:
             fresh, more = cut_count(top_k(norms, JOB, [F.col("norm").desc(), F.col("group_id")], 1).select("group_id").distinct(), "true")
-            active = fresh
+            chosen = fresh
         else:
-            shared = norms.select(*JOB, "group_id").join(active, "group_id", "left_semi")
+            shared = norms.select(*JOB, "group_id").join(chosen, "group_id", "left_semi")
             fresh, more = cut_count(screen_groups(norms, shared).select("group_id").distinct(), "true")
-            active = cut(active.unionByName(fresh).distinct())
+            chosen = cut(chosen.unionByName(fresh).distinct())
         if not more:
             break
-        fitted = group_lasso(design, jobs, groups.join(active, "group_id", "left_semi"), max_iter, tol)
+        fitted = group_lasso(design, jobs, groups.join(chosen, "group_id", "left_semi"), max_iter, tol)
     return fitted
 
 

@@ -267,11 +267,16 @@ def _lam_jobs(rows, grid):
     return jobs.select("problem_id", F.posexplode(F.array(*[F.lit(v) for v in grid])).alias("job_id", "lam"))
 
 
+def _latent(fitted):
+    return fitted.select("problem_id", "lam", "converged", F.inline("entries")).filter("w <> 0").select(
+        "problem_id", "lam", "group_id", "col_id", F.round("w", 4).alias("w"), "converged")
+
+
 @query("l13_group_lasso", None)
 def l13(spark, sf):
     rows = matrix_rows(spark, sf)
-    fitted = L.group_lasso(L.GramDesign.of(rows, centre=True), _lam_jobs(rows, [0.2, 0.1, 0.05]), _groups(spark, sf), max_iter=30)
-    return L.group_weights(fitted).select("problem_id", "lam", "group_id", "col_id", F.round("w", 4).alias("w"))
+    fitted = L.group_lasso(L.GramDesign.of(rows, centre=True), _lam_jobs(rows, [0.2, 0.1, 0.05]), _groups(spark, sf))
+    return _latent(fitted)
 
 
 @query("l13_balanced_group_lasso", None)
@@ -284,14 +289,14 @@ def l13_balanced(spark, sf):
 @query("l14_active_set", None)
 def l14(spark, sf):
     rows = matrix_rows(spark, sf)
-    fitted = L.active_set_lasso(L.GramDesign.of(rows, centre=True), _lam_jobs(rows, [0.03]), _groups(spark, sf), max_rounds=3, max_iter=20)
-    return L.group_weights(fitted).select("problem_id", "lam", "group_id", "col_id", F.round("w", 4).alias("w"))
+    fitted = L.active_set_lasso(L.GramDesign.of(rows, centre=True), _lam_jobs(rows, [0.03]), _groups(spark, sf))
+    return _latent(fitted)
 
 
 @query("l15_lasso_path", None)
 def l15(spark, sf):
     rows = matrix_rows(spark, sf)
-    path = L.lasso_path(rows, _lam_jobs(rows, [2.0 ** -k for k in range(3, 8)]), max_iter=30)
+    path = L.lasso_path(rows, _lam_jobs(rows, [2.0 ** -k for k in range(3, 8)]))
     return path.select("problem_id", "lam", "col_id", F.round("w", 4).alias("w"))
 
 
