@@ -232,6 +232,39 @@ def l7(spark, sf):
     return _out(L.iht(design, _jobs(rows, lr=1e-3), 8, stochastic=True, seed=1, graph=L.Graph(_column_grid(rows))))
 
 
+def _pair_rows(spark, sf, b):
+    """400 columns on a 20 x 20 lattice: products of one of the first 20 coordinates with one of the next 20.
+
+    The response is the sum of a block of 4 x 5 nodes; columns are scaled so that those of ``b`` rows have length 1.
+    """
+    x = F.col("embedding").cast("array<double>")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda k: F.get(x, F.floor(k / 20).cast("int")) * F.get(x, 20 + k % 20) * (64.0 / b ** 0.5))
+    rows = table(spark, sf, "embeddings").select(F.lit(0).cast("long").alias("problem_id"), F.col("vec_id").alias("row_id"), pairs.alias("x"))
+    block = [20 * r + c for r in range(5, 9) for c in range(7, 12)]
+    return rows.withColumn("y", sum((F.get("x", F.lit(k)) for k in block), F.lit(0.0)))
+
+
+def _pair_fit(spark, sf, graph):
+    rows = _pair_rows(spark, sf, 250)
+    lattice = G.full_lattice(spark.range(400).select(F.floor(F.col("id") / 20).alias("r"), (F.col("id") % 20).alias("c")), 20, F.lit(20))
+    edges = lattice.select(F.lit(0).cast("long").alias("problem_id"), "src", "dst", "cost")
+    fitted = L.iht(L.GramDesign.of(rows, b=250), _jobs(rows, lr=0.1), 20, stochastic=True, seed=1, graph=L.Graph(edges) if graph else None)
+    flags = ["epochs", "converged"] + (["in_band"] if graph else [])
+    return L.weights_of(fitted, [*L.JOB, *flags]).select("problem_id", "col_id", F.round("w", 4).alias("w"), *flags)
+
+
+@query("l5_pair_columns", "SELECT 0::BIGINT AS problem_id, (20 * r + c)::INTEGER AS col_id, 1.0::DOUBLE AS w FROM range(5, 9) a(r), range(7, 12) b(c), (SELECT count(*) AS n FROM embeddings) WHERE n > 0")
+def l5_pairs(spark, sf):
+    """The 20 columns a response was made of are found again among 400, with their weights."""
+    return _pair_fit(spark, sf, False).select("problem_id", "col_id", F.round("w", 3).alias("w"))
+
+
+@query("l7_pair_lattice", "SELECT 0::BIGINT AS problem_id, (20 * r + c)::INTEGER AS col_id, 1.0::DOUBLE AS w FROM range(5, 9) a(r), range(7, 12) b(c), (SELECT count(*) AS n FROM embeddings) WHERE n > 0")
+def l7_pairs(spark, sf):
+    """The same with connected supports on the lattice."""
+    return _pair_fit(spark, sf, True).select("problem_id", "col_id", F.round("w", 3).alias("w"))
+
+
 @query("l8_normalised_iht", None)
 def l8(spark, sf):
     rows = label_problems(spark, sf)
