@@ -162,13 +162,14 @@ def _least(rows: DataFrame, draw: Column, order: list[str], most: int) -> DataFr
     """The ``most`` rows of each language that are least in ``order``, whose first column is the hash ``draw``.
 
     Rows are counted by the first bits of the hash, and only those up to the bits where ``most`` is reached are ranked:
-    one task ranks little more than ``most`` rows, however many a language has.
+    one task ranks little more than ``most`` rows, however many a language has.  What is broadcast is a row a language, as
+    many as the model has outputs.
     """
     bits = F.shiftright(draw, 48)
     by_bits = Window.partitionBy("lang").orderBy("_bits")
     counts = rows.groupBy("lang", bits.alias("_bits")).agg(F.count("*").alias("_c")).withColumn("_sum", F.sum("_c").over(by_bits) - F.col("_c"))
     last = counts.where(F.col("_sum") < most).groupBy(F.col("lang").alias("_lang")).agg(F.max("_bits").alias("_last"))
-    near = rows.join(last, F.col("lang") == F.col("_lang")).where(bits <= F.col("_last")).drop("_lang", "_last")
+    near = rows.join(F.broadcast(last), F.col("lang") == F.col("_lang")).where(bits <= F.col("_last")).drop("_lang", "_last")
     return near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
