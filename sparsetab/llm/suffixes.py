@@ -1,9 +1,10 @@
 """Suffix-array dedup: bytes covered by a string that occurs elsewhere are removed.
 
 Longest-previous-factor arrays.  Suffixes that can share ``length`` bytes are brought together (``repeats``) and put in
-suffix order, equal ones in order of their place in the corpus.  In that order the nearest suffix with a smaller
-place, before or after, holds the longest earlier match.  Matches are asked for up to ``length``: a suffix has one if
-its previous smaller place shares ``length`` bytes with it.  The mirror image gives later matches.
+suffix order, by prefix doubling up to ``length`` bytes, ties in order of their place in the corpus.  The longest match
+of a suffix at an earlier place is with the nearest suffix of a smaller place before it in that order, or after it:
+the longer of the two common prefixes is its entry.  Places in reverse give the longest match at a later place.  A
+suffix whose entry reaches ``length`` begins a repeated string.
 """
 
 from __future__ import annotations
@@ -12,30 +13,63 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from sparsetab.llm.repeats import covered, names, removed, repeated
+from sparsetab.llm.tokens import RangeHash
 
 LENGTH = 400
-_FIRST = 32  # bytes that suffixes are ordered by first
 
 
-def factors(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the suffix with the nearest earlier and the nearest later place among those of equal rank, or -1.
+def nearest_smaller(v: np.ndarray) -> np.ndarray:
+    """For each entry the nearest one before it with a smaller value, -1 where there is none.
 
-    Suffixes of one rank lie together and in order of place, so the previous smaller place in suffix order is the one
-    before; a smaller place after it has another rank, that is a shorter match.
+    Every entry points to the one before it, and on past entries that are larger: what an entry has jumped over is larger
+    than itself, so it can be jumped over by whoever is smaller still.
     """
+    at = np.arange(-1, len(v) - 1)
+    open_ = np.arange(len(v))
+    while len(open_):
+        open_ = open_[at[open_] >= 0]
+        open_ = open_[v[at[open_]] > v[open_]]
+        at[open_] = at[at[open_]]
+    return at
+
+
+def common_prefix(hashes: RangeHash, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Number of codes, up to ``most``, that agree from places ``a`` and ``b`` on."""
+    low, high = np.zeros(len(a), dtype=np.int64), np.full(len(a), most, dtype=np.int64)
+    whole = hashes.of(a, a + most) == hashes.of(b, b + most)
+    low[whole] = most
+    while (open_ := np.flatnonzero(low < high)).size:
+        middle = (low[open_] + high[open_] + 1) // 2
+        equal = hashes.of(a[open_], a[open_] + middle) == hashes.of(b[open_], b[open_] + middle)
+        low[open_] = np.where(equal, middle, low[open_])
+        high[open_] = np.where(equal, high[open_], middle - 1)
+    return low
+
+
+def factors(codes: np.ndarray, starts: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest match, up to ``size`` codes, of the suffix at each start with one of an earlier, and of a later, ``place``."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    rank, hashes = names(codes, starts, size, 1), RangeHash(codes)
     order = np.lexsort((place, rank))
-    earlier, later = np.full(len(rank), -1), np.full(len(rank), -1)
-    same = rank[order[1:]] == rank[order[:-1]]
-    earlier[order[1:][same]] = order[:-1][same]
-    later[order[:-1][same]] = order[1:][same]
-    return earlier, later
+    found = []
+    for value in (place[order], -place[order]):
+        longest = np.zeros(len(order), dtype=np.int64)
+        before = nearest_smaller(value)
+        after = len(order) - 1 - nearest_smaller(value[::-1])[::-1]
+        for other, ok in ((before, before >= 0), (after, after < len(order))):
+            i = np.flatnonzero(ok)
+            longest[i] = np.maximum(longest[i], common_prefix(hashes, starts[order[i]], starts[order[other[i]]], size))
+        out = np.empty(len(order), dtype=np.int64)
+        out[order] = longest
+        found.append(out)
+    return found[0], found[1]
 
 
 def matched(codes, starts, row, within, members, size, keep_first):
-    """Which suffixes have an earlier match, or with ``keep_first`` off an earlier or a later one."""
-    rank = names(codes, starts, size, min(_FIRST, size))
-    earlier, later = factors(rank, row * (int(within.max(initial=0)) + 1) + within)
-    return earlier >= 0 if keep_first else ((earlier >= 0) | (later >= 0)) & (members == 1)
+    """Which suffixes have an earlier match of ``size`` codes, or with ``keep_first`` off an earlier or a later one."""
+    earlier, later = factors(codes, starts, row * (int(within.max(initial=0)) + 1) + within, size)
+    return earlier >= size if keep_first else (np.maximum(earlier, later) >= size) & (members == 1)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_column: str = "doc_id") -> DataFrame:

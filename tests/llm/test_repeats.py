@@ -105,9 +105,24 @@ def test_deep_nodes_and_names():
 
 
 def test_factors():
-    rank, place = np.array([2, 1, 2, 2, 0, 1]), np.array([5, 3, 1, 9, 0, 4])
-    earlier, later = suffixes.factors(rank, place)
-    assert earlier.tolist() == [2, -1, -1, 0, -1, 1] and later.tolist() == [3, 5, 0, -1, -1, -1]
+    """Longest previous and next factors against a loop over all pairs, places in any order."""
+    draw = np.random.default_rng(6)
+    for letters, size, n in ((2, 7, 120), (4, 12, 200), (1, 9, 60), (30, 5, 150)):
+        codes = draw.integers(1, letters + 1, n).astype(np.uint64)
+        starts = np.flatnonzero(draw.random(n - size + 1) < 0.7)
+        place = draw.permutation(len(starts) * 3)[:len(starts)]
+        earlier, later = suffixes.factors(codes, starts, place, size)
+        for i, a in enumerate(starts):
+            shared = [next((k for k in range(size) if codes[a + k] != codes[b + k]), size) for b in starts]
+            assert earlier[i] == max((s for j, s in enumerate(shared) if place[j] < place[i]), default=0)
+            assert later[i] == max((s for j, s in enumerate(shared) if place[j] > place[i]), default=0)
+
+
+def test_nearest_smaller():
+    draw = np.random.default_rng(7)
+    for v in (draw.permutation(300), np.arange(50), np.arange(50)[::-1], np.zeros(0, dtype=np.int64)):
+        want = [next((j for j in range(i - 1, -1, -1) if v[j] < v[i]), -1) for i in range(len(v))]
+        assert suffixes.nearest_smaller(v).tolist() == want
 
 
 def test_sliding_least_and_words():
