@@ -434,11 +434,14 @@ def x9(spark, sf):
     return X.win_counts(X.best_method(cell, ["user_id", "n"], "method", "e", ["method"]), "method")
 
 
+_METHODS = ["click", "error", "purchase", "signup", "view"]  # columns of the matrix
+
+
 @query("x10_results_matrix", f"""WITH {TRIALS}, m AS (SELECT method, n, avg(err) AS mean, stddev_pop(err) AS sd FROM trials GROUP BY GROUPING SETS ((method, n), (method)))
-SELECT n, """ + ", ".join(f"round(max(mean) FILTER (method = '{m}'), 6) AS {m}_mean, round(max(sd) FILTER (method = '{m}'), 6) AS {m}_sd" for m in ("click", "error", "purchase", "signup", "view")) + " FROM m GROUP BY n")
+SELECT n, """ + ", ".join(f"round(max(mean) FILTER (method = '{m}'), 6) AS {m}_mean, round(max(sd) FILTER (method = '{m}'), 6) AS {m}_sd" for m in _METHODS) + " FROM m GROUP BY n")
 def x10(spark, sf):
     t = X.mean_sd_table(trials(spark, sf), "method", "n", "err")
-    return t.groupBy("n").pivot("method").agg(r6(F.max("mean"), "mean"), r6(F.max("sd"), "sd"))
+    return t.groupBy("n").pivot("method", _METHODS).agg(r6(F.max("mean"), "mean"), r6(F.max("sd"), "sd"))
 
 
 @query("x11_related_genes", "SELECT DISTINCT l_returnflag AS method, p_partkey AS entrez, p_name AS gene FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_discount > 0 AND p_size > 40")
