@@ -225,13 +225,14 @@ def _text(data: bytes, starts: np.ndarray, ends: np.ndarray, first: int, last: i
     return b" ".join([data[a:b] for a, b in zip(starts[first:last].tolist(), ends[first:last].tolist())])
 
 
-def names(codes: np.ndarray, starts: np.ndarray, size: int, depth: int) -> np.ndarray:
+def names(codes: np.ndarray, starts: np.ndarray, size: int, depth: int, name: np.ndarray | None = None) -> np.ndarray:
     """A number for each start, equal where the next ``size`` codes are equal; in order of a fixed order of suffixes.
 
     Names at twice the depth are those of pairs of names, as in the naming of Karp, Miller and Rosenberg; the first
-    names are those of runs of ``depth`` codes.  A start too near the end of ``codes`` must not be asked for.
+    names are those of runs of ``depth`` codes, which may be given as ``name``.  A start too near the end of ``codes`` must not be asked for.
     """
-    name = np.unique(RangeHash(codes).grams(depth), return_inverse=True)[1].astype(np.uint64)
+    if name is None:
+        name = np.unique(RangeHash(codes).grams(depth), return_inverse=True)[1].astype(np.uint64)
     while depth < size:
         step = min(depth, size - depth)
         if depth + step == size:

@@ -18,19 +18,22 @@ from sparsetab.llm.tokens import RangeHash
 LENGTH = 400
 
 
-def nearest_smaller(v: np.ndarray) -> np.ndarray:
-    """For each entry the nearest one before it with a smaller value, -1 where there is none.
+def nearest_smaller(v: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the nearest one before it with a smaller value (-1 where there is none), and their common prefix.
 
-    Every entry points to the one before it, and on past entries that are larger: what an entry has jumped over is larger
-    than itself, so it can be jumped over by whoever is smaller still.
+    ``prefix`` holds that of each entry and the one before it.  Every entry points to the one before it, and on past
+    entries that are larger: what an entry has jumped over is larger than itself, so it can be jumped over by whoever is
+    smaller still.  The common prefix with the entry pointed to is the least on the way.
     """
-    at = np.arange(-1, len(v) - 1)
+    at, least = np.arange(-1, len(v) - 1), prefix.copy()
     open_ = np.arange(len(v))
     while len(open_):
         open_ = open_[at[open_] >= 0]
         open_ = open_[v[at[open_]] > v[open_]]
-        at[open_] = at[at[open_]]
-    return at
+        over = at[open_]
+        least[open_] = np.minimum(least[open_], least[over])
+        at[open_] = at[over]
+    return at, least
 
 
 def common_prefix(hashes: RangeHash, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -46,22 +49,33 @@ def common_prefix(hashes: RangeHash, a: np.ndarray, b: np.ndarray, most: int) ->
     return low
 
 
+def _suffix_order(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Rank of the suffix at each start by its first ``size`` codes, in a fixed order of codes."""
+    kinds, at = np.unique(codes, return_inverse=True)
+    if len(kinds) > 256 or size < 8:
+        return names(codes, starts, size, 1)
+    run = np.zeros(len(codes) - 7, dtype=np.uint64)
+    for k in range(8):  # eight bytes are one number, in order
+        run = (run << np.uint64(8)) | at[k:len(codes) - 7 + k].astype(np.uint64)
+    return names(codes, starts, size, 8, np.unique(run, return_inverse=True)[1].astype(np.uint64))
+
+
 def factors(codes: np.ndarray, starts: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Longest match, up to ``size`` codes, of the suffix at each start with one of an earlier, and of a later, ``place``."""
     if not len(starts):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    rank, hashes = names(codes, starts, size, 1), RangeHash(codes)
+    rank, hashes = _suffix_order(codes, starts, size), RangeHash(codes)
     order = np.lexsort((place, rank))
+    prefix = np.zeros(len(order), dtype=np.int64)
+    prefix[1:] = size
+    apart = 1 + np.flatnonzero(rank[order[1:]] != rank[order[:-1]])
+    prefix[apart] = common_prefix(hashes, starts[order[apart - 1]], starts[order[apart]], size)
+    back = np.concatenate([prefix[:1], prefix[:0:-1]])  # the same from the end
     found = []
     for value in (place[order], -place[order]):
-        longest = np.zeros(len(order), dtype=np.int64)
-        before = nearest_smaller(value)
-        after = len(order) - 1 - nearest_smaller(value[::-1])[::-1]
-        for other, ok in ((before, before >= 0), (after, after < len(order))):
-            i = np.flatnonzero(ok)
-            longest[i] = np.maximum(longest[i], common_prefix(hashes, starts[order[i]], starts[order[other[i]]], size))
+        (before, first), (after, second) = nearest_smaller(value, prefix), nearest_smaller(value[::-1], back)
         out = np.empty(len(order), dtype=np.int64)
-        out[order] = longest
+        out[order] = np.maximum(np.where(before >= 0, first, 0), np.where(after >= 0, second, 0)[::-1])
         found.append(out)
     return found[0], found[1]
 

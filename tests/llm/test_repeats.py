@@ -121,8 +121,10 @@ def test_factors():
 def test_nearest_smaller():
     draw = np.random.default_rng(7)
     for v in (draw.permutation(300), np.arange(50), np.arange(50)[::-1], np.zeros(0, dtype=np.int64)):
+        prefix = draw.integers(0, 9, len(v))
         want = [next((j for j in range(i - 1, -1, -1) if v[j] < v[i]), -1) for i in range(len(v))]
-        assert suffixes.nearest_smaller(v).tolist() == want
+        at, least = suffixes.nearest_smaller(v, prefix)
+        assert at.tolist() == want and all(least[i] == prefix[at[i] + 1:i + 1].min() for i in range(len(v)) if at[i] >= 0)
 
 
 def test_sliding_least_and_words():
