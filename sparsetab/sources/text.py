@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparsetab.functions.scalar import fixed
 from sparsetab.operators.relational import attach_row
 
 QUOTE = "|"
@@ -66,11 +67,11 @@ def tagged_lines(rows: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFra
     """S5. The lines ``read_tagged`` reads, numbers with 8 decimals."""
     sizes = attach_row(rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p")), edges.agg(F.count(F.lit(1)).alias("m")))
     head = sizes.select(F.format_string("P %d %d %d", "n", "p", "m").alias("value"))
-    xs = F.array_join(F.transform("x", lambda v: F.format_string("%.8f", v)), " ")
+    xs = F.array_join(F.transform("x", lambda v: fixed(v)), " ")
     return (
         head.unionByName(rows.select(F.concat(F.lit("x_tr "), xs, F.lit(" "), F.col("y").cast("string")).alias("value")))
-        .unionByName(edges.select(F.format_string("E %d %d %.8f", "src", "dst", "cost").alias("value")))
-        .unionByName(nodes.select(F.format_string("N %d %.8f", "node", "value").alias("value")))
+        .unionByName(edges.select(F.concat(F.format_string("E %d %d ", "src", "dst"), fixed(F.col("cost"))).alias("value")))
+        .unionByName(nodes.select(F.concat(F.format_string("N %d ", "node"), fixed(F.col("value"))).alias("value")))
     )
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparsetab.functions import scalar as S
-from sparsetab.operators import evaluate as E, ranking as W
+from sparsetab.operators import evaluate as E, ranking as W, relational as R
 from sparsetab.sources import tables as ST, text as SX
 
 
@@ -101,3 +101,13 @@ def test_results_are_pruned_by_partition(spark, tmp_path):
 def test_log_sigmoid_matches_log(spark):
     for v in (-3.0, 0.5):
         assert spark.range(1).select(S.log_sigmoid(F.lit(v))).first()[0] == pytest.approx(math.log(1 / (1 + math.exp(-v))))
+
+
+def test_numbers_in_text_are_rounded_as_c_does(spark):
+    values = [0.001953125, -0.001953125, 0.005859375, -0.0, -1e-12, 0.123456785, 0.999999999, 123456789.1, 2.5, 1e17]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", S.fixed(F.col("v")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == ["%.8f" % v for v in values]
+    rows = spark.createDataFrame([([0.001953125], 1.0)], "x array<double>, y double")
+    edges = spark.createDataFrame([(1, 2, 0.001953125)], "src long, dst long, cost double")
+    nodes = spark.createDataFrame([(1, 0.001953125)], "node long, value double")
+    assert {r.value for r in SX.tagged_lines(rows, edges, nodes).collect()} == {"P 1 1 1", "x_tr 0.00195312 1.0", "E 1 2 0.00195312", "N 1 0.00195312"}
