@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -30,8 +31,18 @@ def large_columns(cells: DataFrame, threshold: float = 0.2) -> DataFrame:
 
 
 def rows_below_mean(df: DataFrame, key: str, value: str, limit: float = 1e-3) -> DataFrame:
-    """P6. Keys whose mean ``value`` is below ``limit``."""
-    return df.groupBy(key).agg(F.avg(value).alias("mean")).filter(F.col("mean") < limit)
+    """P6. Keys whose mean ``value`` is below ``limit``.
+
+    Values are added up as decimal numbers where they have at most 12 decimals, so neither the mean nor the comparison
+    depends on the order of rows; keys with other values get the mean of floating-point numbers.
+    """
+    exact = F.expr(f"try_cast({value} as decimal(28, 12))")
+    plain = F.every(F.col(value).isNull() | F.equal_null(exact.cast("double"), F.col(value)))
+    sums = df.groupBy(key).agg(F.sum(exact).alias("_sum"), F.avg(value).alias("mean"), F.count(value).alias("_n"), plain.alias("_plain"))
+    told = F.col("_plain") & F.col("_sum").isNotNull()
+    below = F.when(told, F.col("_sum") < F.lit(Decimal(repr(limit))) * F.col("_n")).otherwise(F.col("mean") < limit)
+    mean = F.when(told, F.col("_sum").cast("double") / F.col("_n")).otherwise(F.col("mean"))
+    return sums.filter(below).select(key, mean.alias("mean"))
 
 
 def edges_within(edges: DataFrame, nodes: DataFrame, on: Sequence[str] = ()) -> DataFrame:

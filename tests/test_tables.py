@@ -111,3 +111,9 @@ def test_numbers_in_text_are_rounded_as_c_does(spark):
     edges = spark.createDataFrame([(1, 2, 0.001953125)], "src long, dst long, cost double")
     nodes = spark.createDataFrame([(1, 0.001953125)], "node long, value double")
     assert {r.value for r in SX.tagged_lines(rows, edges, nodes).collect()} == {"P 1 1 1", "x_tr 0.00195312 1.0", "E 1 2 0.00195312", "N 1 0.00195312"}
+
+
+def test_mean_at_the_limit_is_not_below_it(spark):
+    data = [(1, v) for v in (0.04, 0.04, 0.04, 0.05, 0.05, 0.05)] + [(2, 0.02), (2, 0.03)] + [(3, 1e30)] + [(4, None), (5, 0.01), (5, None)]
+    below = R.rows_below_mean(spark.createDataFrame(data, "k int, v double").coalesce(1), "k", "v", 0.045).collect()
+    assert {r.k: r["mean"] for r in below} == {2: 0.025, 5: 0.01}
