@@ -254,3 +254,26 @@ def test_registered_searches_are_not_cut(monkeypatch):
         monkeypatch.setattr(FO, name, lambda *args, _name=name, **more: given.update({_name: more}))
     graphs.g14(None, None), graphs.g15(None, None), graphs.g16(None, None)
     assert set(given) == {"size_band", "cost_head", "cost_tail"} and not any("max_rounds" in more for more in given.values())
+
+
+def test_ranges_of_a_large_graph_are_merged_in_tasks(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(p, a, a + 1, 1.0) for p in range(3) for a in (0, 148)]
+    for p, local in enumerate((1.0, 0.9, 0.1)):  # share of edges inside a block of 30 nodes
+        for _ in range(300):
+            a = rng.randrange(150)
+            rows.append((p, a, a // 30 * 30 + rng.randrange(30) if rng.random() < local else rng.randrange(150), float(rng.randrange(4))))
+    edges = spark.createDataFrame(rows, "problem_id long, src long, dst long, cost double")
+    labels, forest = ({tuple(r) for r in f(edges).collect()} for f in (G.components, FO.spanning_forest))
+    monkeypatch.setattr(G.trees, "LIMIT", 130)
+    assert {tuple(r) for r in G.components(edges).collect()} == labels
+    assert {tuple(r) for r in FO.spanning_forest(edges).collect()} == forest
+
+    def unused(*args, **kwargs):
+        raise AssertionError("blocks that lie in one range need no rounds")
+
+    for module in (G, FO):
+        monkeypatch.setattr(module, "pointer_roots", unused)
+    apart = edges.filter("problem_id = 0")
+    assert {tuple(r) for r in G.components(apart).collect()} == {r for r in labels if r[0] == 0}
+    assert {tuple(r) for r in FO.spanning_forest(apart).collect()} == {r for r in forest if r[0] == 0}
