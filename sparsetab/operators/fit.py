@@ -266,11 +266,14 @@ def iht(design, jobs: DataFrame, s: int, max_epochs: int = 500, tol: float = 1e-
     otherwise the ``s`` largest weights stay.  Returns the state of every job:
     ``idx, w, epochs, rss, done`` and ``converged`` (the residual is within ``tol``,
     or weights stand still), with a graph also ``in_band``: whether every support
-    had a size in its band.  Designs that fit a task take all their steps there.
+    had a size in its band.  Designs that fit a task take all their steps there;
+    drawn blocks of which one fits pass through it.
     """
     blocks, p = design.stats.agg(F.max("num_blocks"), F.max("p")).first() or (1, 0)
     if _in_task(design, p, blocks, graph):
         return iterate.run_jobs(design, jobs, iterate.hard_thresholding, max_epochs, tol, graph, s=s, stochastic=stochastic, seed=seed)
+    if stochastic and _in_task(design, p, 1, graph):
+        return iterate.run_drawn(design, jobs, s, max_epochs, tol, seed, graph)
     scale = 2.0 if stochastic else 1.0
 
     def step(state: DataFrame, epoch: int, number: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The rows are read once, by all tasks; what is left of a problem is its Gram matrices, ``X'y`` and ``y'y``.  Where these
 fit a task (``LIMIT`` numbers), every job of every problem is one row of work that holds them, and all its steps are
-taken there; wider designs take their steps as Spark jobs (``fit``).  Both give the same weights.
+taken there.  Drawn blocks that do not fit together pass through such a task one after another, in the order they are
+drawn.  Wider designs take their steps as Spark jobs (``fit``).  All give the same weights.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from sparsetab.lineage import cut, cut_count
 from sparsetab.operators import search, trees
+from sparsetab.operators.matrix import chosen_block
 from sparsetab.operators.trees import Prizes, by_problem, column, least_forest
 
 P = "problem_id"
@@ -117,37 +120,43 @@ class Run:
     def through(self, step: Callable[[np.ndarray, int], np.ndarray]) -> "Run":
         for epoch in range(self.max_epochs):
             old, self.w = self.w, step(self.w, epoch)
-            self.epochs += 1
-            self.rss = self.normal.rss(self.w)
-            if np.linalg.norm(self.w) >= 1e3:
-                self.done = True
-                break
-            still = np.abs(self.w - old).max(initial=0.0) <= self.tol * np.abs(self.w).max(initial=0.0)
-            if np.sqrt(self.rss) <= self.tol or still:
-                self.done = self.converged = True
+            if self.ended(old):
                 break
         return self
 
+    def ended(self, old: np.ndarray) -> bool:
+        """Whether a stop rule holds after an epoch that began with the weights ``old``."""
+        self.epochs += 1
+        self.rss = self.normal.rss(self.w)
+        if np.linalg.norm(self.w) >= 1e3:
+            self.done = True
+        else:
+            still = np.abs(self.w - old).max(initial=0.0) <= self.tol * np.abs(self.w).max(initial=0.0)
+            self.done = self.converged = bool(np.sqrt(self.rss) <= self.tol or still)
+        return self.done
 
-def hard_thresholding(normal: Normal, run: Run, job: dict, s: int, stochastic: bool, seed: int, graph: Lattice | None = None,
-                      gamma: float = 0.0, rounds: int = 0) -> Run:
-    blocks = len(normal.g) - 1
-    head = normal.p // 2
 
-    def once(w: np.ndarray, block: int, factor: float) -> np.ndarray:
-        gradient = normal.gradient(w, block)
-        if graph is None:
-            return largest(w - factor * job["lr"] * gradient, s)
-        gradient, one = graph.limited(gradient, head, int(head * (1 + gamma)), rounds)
-        kept, two = graph.limited(w - factor * job["lr"] * gradient, s, int(s * (1 + gamma)), rounds)
-        run.in_band = run.in_band and one and two
-        return kept
+def _thresholded(run: Run, w: np.ndarray, gradient: np.ndarray, rate: float, s: int, graph: Lattice | None = None,
+                 gamma: float = 0.0, rounds: int = 0) -> np.ndarray:
+    """Weights after a step along ``gradient``."""
+    if graph is None:
+        return largest(w - rate * gradient, s)
+    head = len(w) // 2
+    gradient, one = graph.limited(gradient, head, int(head * (1 + gamma)), rounds)
+    kept, two = graph.limited(w - rate * gradient, s, int(s * (1 + gamma)), rounds)
+    run.in_band = run.in_band and one and two
+    return kept
+
+
+def hard_thresholding(normal: Normal, run: Run, job: dict, s: int, stochastic: bool, seed: int, **graph) -> Run:
+    blocks = len(normal.g) - 1
 
     def step(w: np.ndarray, epoch: int) -> np.ndarray:
         if not stochastic:
-            return once(w, FULL, 1.0)
+            return _thresholded(run, w, normal.gradient(w), job["lr"], s, **graph)
         for number in range(blocks):
-            w = once(w, drawn(seed, job[P], job["job_id"], epoch, number, blocks), 2.0)
+            block = drawn(seed, job[P], job["job_id"], epoch, number, blocks)
+            w = _thresholded(run, w, normal.gradient(w, block), 2.0 * job["lr"], s, **graph)
         return w
 
     return run.through(step)
@@ -198,18 +207,39 @@ def pursuit(normal: Normal, run: Run, job: dict, s: int, graph: Lattice | None =
     return run.through(step)
 
 
+_STATE = "idx array<int>, w array<double>, block int, epochs int, rss double, done boolean, converged boolean, in_band boolean"
+_STATE_KINDS = [pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_()]
+
+
+def _shape(graph) -> tuple | None:
+    return None if graph is None else (graph.g, graph.root, graph.gamma, graph.rounds)
+
+
+def _lattice(shape: tuple | None, row: dict) -> dict:
+    """The graph of a row, as the steps take it."""
+    if shape is None:
+        return {}
+    ends = [np.frombuffer(row[c] or b"", dtype=np.int64) for c in ("src", "dst")]
+    return {"graph": Lattice(row["p"], *ends, np.frombuffer(row["cost"] or b""), *shape[:2]), "gamma": shape[2], "rounds": shape[3]}
+
+
+def _result(job: pa.Array, done: Run) -> pa.RecordBatch:
+    at = np.flatnonzero(done.w)
+    values = [at.astype(np.int32).tolist(), done.w[at].tolist(), FULL, done.epochs, done.rss, done.done, done.converged, done.in_band]
+    names = ["job", *(f.split()[0] for f in _STATE.split(", "))]
+    return pa.RecordBatch.from_arrays([job, *(pa.array([v], t) for v, t in zip(values, _STATE_KINDS))], names)
+
+
 def run_jobs(design, jobs: DataFrame, method: Callable[..., Run], max_epochs: int, tol: float, graph=None, **more) -> DataFrame:
     """State of every job: its columns, ``idx, w, block, epochs, rss, done, converged``, with a graph also ``in_band``."""
     packed = by_problem(design.table.select(P, "block", "i", "g", "xty"), P, _pack, "p int, g binary, xty binary")
     names = jobs.columns
     work = jobs.select(P, F.struct(*names).alias("job")).join(packed, P).join(design.stats.select(P, "yy"), P)
-    shape = None if graph is None else (graph.g, graph.root, graph.gamma, graph.rounds)
+    shape = _shape(graph)
     if graph is not None:
         edges = by_problem(graph.edges.select(P, "src", "dst", "cost"), P, _pack_edges, "src binary, dst binary, cost binary")
         work = work.join(edges, P, "left")
-    state = "idx array<int>, w array<double>, block int, epochs int, rss double, done boolean, converged boolean, in_band boolean"
     job_type = jobs.schema.simpleString()
-    kinds = [pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,18 +247,128 @@ def run_jobs(design, jobs: DataFrame, method: Callable[..., Run], max_epochs: in
                 row = batch.slice(k, 1)
                 r = row.to_pylist()[0]
                 normal = Normal(r["p"], r["g"], r["xty"], r["yy"])
-                lattice = {}
-                if shape is not None:
-                    ends = [np.frombuffer(r[c] or b"", dtype=np.int64) for c in ("src", "dst")]
-                    lattice = {"graph": Lattice(r["p"], *ends, np.frombuffer(r["cost"] or b""), *shape[:2]), "gamma": shape[2], "rounds": shape[3]}
-                done = method(normal, Run(normal, max_epochs, tol), r["job"], **more, **lattice)
-                at = np.flatnonzero(done.w)
-                values = [at.astype(np.int32).tolist(), done.w[at].tolist(), FULL, done.epochs, done.rss, done.done, done.converged, done.in_band]
-                yield pa.RecordBatch.from_arrays([row.column("job"), *(pa.array([v], t) for v, t in zip(values, kinds))], ["job", *(f.split()[0] for f in state.split(", "))])
-
-    out = work.mapInArrow(run, f"job {job_type}, {state}")
-    last = ["idx", "w", "block", "epochs", "rss", "done", "converged"] + (["in_band"] if graph is not None else [])
-    return out.select("job.*", *last)
+                yield _result(row.column("job"), method(normal, Run(normal, max_epochs, tol), r["job"], **more, **_lattice(shape, r)))
+
+    out = work.mapInArrow(run, f"job {job_type}, {_STATE}")
+    return out.select("job.*", *_last(graph))
+
+
+def _last(graph) -> list[str]:
+    return ["idx", "w", "block", "epochs", "rss", "done", "converged"] + (["in_band"] if graph is not None else [])
+
+
+STEPS = 256  # steps of a job that one round of drawn blocks covers, an epoch at least
+
+
+def _in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where the epoch or the number of the drawn block changes."""
+    for batch in batches:
+        if batch.num_rows:
+            epoch, number = (batch.column(c).to_numpy() for c in ("epoch", "number"))
+            starts = np.flatnonzero((np.diff(epoch, prepend=epoch[0] - 1) != 0) | (np.diff(number, prepend=number[0]) != 0))
+            for one, two in zip(starts, [*starts[1:], batch.num_rows]):
+                yield batch.slice(one, two - one)
+
+
+class _Streamed:
+    """A job whose blocks arrive one after another: what has come of the block that is open, and the run."""
+
+    def __init__(self, row: pa.RecordBatch, max_epochs: int, tol: float, s: int, shape: tuple | None):
+        self.head = row.column("head")
+        self.told = self.head[0].as_py()
+        self.max_epochs, self.tol, self.s = max_epochs, tol, s
+        self.graph, self.run, self.parts, self.at = _lattice(shape, self.told), None, [], (FULL, 0)
+
+    def take(self, part: pa.RecordBatch) -> None:
+        at = (part.column("epoch")[0].as_py(), part.column("number")[0].as_py())
+        if at != self.at:
+            self.close(at[0])
+            self.at = at
+        # a job that has ended reads on without a step
+        if self.run is None or not self.run.done:
+            g = part.column("g")
+            self.parts.append((g.flatten().to_numpy().reshape(len(g), -1), part.column("xty").to_numpy()))
+
+    def close(self, epoch: int | None) -> None:
+        """Takes the step of the open block, and judges its epoch if the next block is of another one."""
+        if not self.parts:
+            return
+        g, xty = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
+        if self.run is None:
+            told = self.told
+            self.run = Run(Normal(told["p"], g.tobytes(), xty.tobytes(), told["yy"]), self.max_epochs, self.tol)
+            self.run.w[told["idx"]] = told["w"]
+            self.run.epochs, self.run.in_band, self.run.rss = told["epochs"], told["in_band"], told["rss"]
+            self.old = self.run.w
+            return
+        run = self.run
+        run.w = _thresholded(run, run.w, g @ run.w - xty, 2.0 * self.told["job"]["lr"], self.s, **self.graph)
+        if epoch != self.at[0]:
+            run.ended(self.old)
+            self.old = run.w
+
+    def result(self) -> pa.RecordBatch:
+        self.close(None)
+        return _result(self.head.field("job"), self.run)
+
+
+def run_drawn(design, jobs: DataFrame, s: int, max_epochs: int, tol: float, seed: int, graph=None) -> DataFrame:
+    """Hard thresholding on drawn blocks whose Gram matrices do not fit a task together; the state is that of ``run_jobs``.
+
+    Which blocks an epoch draws is known before it begins.  A round of Spark deals every job the blocks of its next
+    epochs in the order of the steps, and the job's task holds the matrix of one block at a time.
+    """
+    shape = _shape(graph)
+    table, stats = design.table, design.stats.select(P, "yy", "p", "num_blocks")
+    if graph is not None:
+        edges = by_problem(graph.edges.select(P, "src", "dst", "cost"), P, _pack_edges, "src binary, dst binary, cost binary")
+        stats = stats.join(edges, P, "left")
+    stats = cut(stats)
+    more = ["src", "dst", "cost"] if graph is not None else []
+    blocks = stats.agg(F.max("num_blocks")).first()[0] or 1
+    each = max(1, STEPS // blocks)
+    live = cut(jobs.select(*JOB, F.struct(*jobs.columns).alias("job"), F.expr("cast(array() as array<int>)").alias("idx"), F.expr("cast(array() as array<double>)").alias("w"),
+                           F.lit(FULL).alias("block"), F.lit(0).alias("epochs"), F.lit(None).cast("double").alias("rss"),
+                           F.lit(False).alias("done"), F.lit(False).alias("converged"), F.lit(True).alias("in_band")))
+    names, done = live.columns, []
+    at = lambda epoch, number: [F.lit(v).cast("int").alias(c) for v, c in ((epoch, "epoch"), (number, "number"))]
+    none = F.lit(None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job = None
+        for part in _in_runs(batches):
+            if part.column("epoch")[0].as_py() == FULL - 1:
+                for k in range(part.num_rows):
+                    if job is not None:
+                        yield job.result()
+                    job = _Streamed(part.slice(k, 1), max_epochs, tol, s, shape)
+            else:
+                job.take(part)
+        if job is not None:
+            yield job.result()
+
+    job_type = jobs.schema.simpleString()
+    for first in range(0, max_epochs, each):
+        last = min(first + each, max_epochs)
+        known = live.join(stats, P)
+        head = F.struct("job", "idx", "w", "epochs", "rss", "in_band", "yy", "p", *more)
+        heads = known.select(*JOB, *at(FULL - 1, 0), F.lit(-1).alias("i"), none.cast("array<double>").alias("g"), none.cast("double").alias("xty"), head.alias("head"))
+        steps = known.select(*JOB, "num_blocks", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("epoch")).withColumn(
+            "number", F.explode(F.sequence(F.lit(0), F.col("num_blocks") - 1)))
+        steps = steps.withColumn("block", chosen_block(seed, F.col("epoch"), F.col("number"), F.col("num_blocks"), *JOB).cast("int")).drop("num_blocks")
+        whole = live.select(*JOB, *at(FULL, 0), F.lit(FULL).alias("block"))
+        dealt = steps.unionByName(whole).join(table, [P, "block"]).select(*JOB, "epoch", "number", "i", "g", "xty", none.cast(heads.schema["head"].dataType).alias("head"))
+        rows = heads.unionByName(dealt).repartition(*JOB).sortWithinPartitions(*JOB, "epoch", "number", "i")
+        ran = rows.select("epoch", "number", "g", "xty", "head").mapInArrow(run, f"job {job_type}, {_STATE}")
+        live, left = cut_count(ran.select(*[F.col(f"job.{c}").alias(c) for c in JOB], *names[2:]), "not done")
+        done.append(live.filter("done"))
+        live = live.filter("not done")
+        if not left:
+            break
+    for part in done:
+        live = live.unionByName(part)
+    return live.select("job.*", *_last(graph))
 
 
 # Shrink factor and number of tries of the step search.

@@ -286,3 +286,22 @@ def test_graph_fits_tell_whether_bands_were_met(spark):
     got = L.cosamp(L.GramDesign.of(rows), jobs(rows), 3, 1, graph=L.Graph(free)).collect()
     assert [r.in_band for r in got] == [False]
     assert "in_band" not in L.cosamp(L.GramDesign.of(rows), jobs(rows), 3, 1).columns
+
+
+@pytest.mark.parametrize("graph", [False, True])
+@pytest.mark.parametrize("steps", [2, 8])
+def test_drawn_blocks_pass_through_a_task(spark, rows, monkeypatch, graph, steps):
+    """Blocks that fit a task one by one, but not together, give the weights of those that fit together."""
+    edges = spark.createDataFrame([(k, i, i + 1, 1.0) for k in DATA for i in range(P - 1)], "problem_id long, src long, dst long, cost double")
+    monkeypatch.setattr(L.iterate, "STEPS", steps)
+    found = []
+    for limit in (1 << 22, 2 * P * P):
+        monkeypatch.setattr(L.iterate, "LIMIT", limit)
+        taken = []
+        monkeypatch.setattr(L, "_run", lambda *a: taken.append(a))
+        got = L.iht(L.GramDesign.of(rows, b=15), jobs(rows, lr=0.3), S, 5, tol=0.05, stochastic=True, seed=2, graph=L.Graph(edges) if graph else None)
+        flags = ["in_band"] if graph else []
+        found.append(sorted((tuple(r[c] for c in ("problem_id", "epochs", "done", "converged", "idx", *flags)), r.w, r.rss) for r in got.collect()))
+        assert not taken  # no step is a job of its own
+    for one, other in zip(*found, strict=True):
+        assert one[0] == other[0] and one[1] == pytest.approx(other[1], abs=1e-9) and one[2] == pytest.approx(other[2], abs=1e-9)
