@@ -477,7 +477,7 @@ def balanced_iht(rows: DataFrame, jobs: DataFrame, s: int, max_epochs: int = 500
     ``tol`` of the largest.  Problems whose rows fit a task are fitted there.
     """
     size_of = rows.groupBy(P).agg((F.count(F.lit(1)) * F.max(F.size("x"))).alias("_n"))
-    if size_of.filter(F.col("_n") > iterate.LIMIT).isEmpty() and (graph is None or not iterate.oversized_graph(graph.edges)):
+    if size_of.filter(F.col("_n") > iterate.ROWS * iterate.LIMIT).isEmpty() and (graph is None or not iterate.oversized_graph(graph.edges)):
         return iterate.run_balanced(rows, jobs, s, max_epochs, tol, num_blocks, seed, sum_intercept, graph)
     total = rows.groupBy(P).agg(F.count(F.lit(1)).alias("_n"))
     size = F.floor(F.col("_n") / num_blocks)

@@ -24,6 +24,7 @@ P = "problem_id"
 JOB = [P, "job_id"]
 FULL = -1
 LIMIT = 1 << 22  # numbers in all Gram matrices of a problem that a task takes
+ROWS = 1 << 4  # times LIMIT: numbers in the rows of a problem that a task holds, once
 
 # Constants of the normalised step rule.
 NIHT_C = 0.01
@@ -376,18 +377,23 @@ BETA = 0.8
 STEP_TRIES = 20
 
 
-def balanced_steps(x: np.ndarray, y: np.ndarray, block: np.ndarray, job: dict, s: int, max_epochs: int, tol: float, num_blocks: int, seed: int,
+def balanced_steps(x: np.ndarray, y: np.ndarray, starts: np.ndarray, job: dict, s: int, max_epochs: int, tol: float, num_blocks: int, seed: int,
                    sum_intercept: bool, graph: Lattice | None = None, gamma: float = 0.0, rounds: int = 0):
-    """Weights, intercept, epochs, whether they stand still and whether supports met their bands: see ``fit.balanced_iht``."""
+    """Weights, intercept, epochs, whether they stand still and whether supports met their bands: see ``fit.balanced_iht``.
+
+    Block ``k`` is the rows from ``starts[k]`` up to ``starts[k + 1]``.
+    """
     share = np.where(y > 0, (y < 0).mean(), (y > 0).mean())
     w, c, lam, in_band = np.zeros(x.shape[1]), 0.0, job["lam"], True
     for epoch in range(max_epochs):
         old, before = w, c
         for number in range(num_blocks):
-            at = block == (drawn(seed, job[P], job["job_id"], epoch, number, num_blocks) if num_blocks > 1 else 0)
-            if not at.any():
+            block = drawn(seed, job[P], job["job_id"], epoch, number, num_blocks) if num_blocks > 1 else 0
+            at = slice(starts[block], starts[block + 1])
+            rows, sign, cost = x[at], y[at], share[at]
+            n = len(rows)
+            if not n:
                 continue
-            rows, sign, cost, n = x[at], y[at], share[at], int(at.sum())
             z = sign * (rows @ w + c)
             slope = -cost * sign * np.exp(-np.logaddexp(0, z))
             g, gc = rows.T @ slope / n + lam * w, slope.sum() / (1.0 if sum_intercept else n)
@@ -413,41 +419,68 @@ def balanced_steps(x: np.ndarray, y: np.ndarray, block: np.ndarray, job: dict, s
     return w, c, max_epochs, False, in_band
 
 
-def _pack_rows(table: pa.Table) -> dict[str, list]:
-    order = np.argsort(column(table, "row_id"), kind="stable")
-    x = table.column("x").combine_chunks()
-    return {"p": pa.array([len(x[0])], pa.int32()), "x": pa.array([x.flatten().to_numpy().reshape(len(x), -1)[order].tobytes()], pa.binary()),
-            "y": pa.array([column(table, "y")[order].tobytes()], pa.binary()), "row": pa.array([column(table, "row_id")[order].astype(np.int64).tobytes()], pa.binary())}
+class _Rows:
+    """A job whose rows arrive one after another, held once."""
+
+    def __init__(self, row: pa.RecordBatch):
+        self.head = row.column("head")
+        self.told = self.head[0].as_py()
+        self.x, self.y = np.empty((self.told["n"], self.told["p"])), np.empty(self.told["n"])
+        self.row, self.filled = np.empty(self.told["n"], dtype=np.int64), 0
+
+    def take(self, part: pa.RecordBatch) -> None:
+        at = slice(self.filled, self.filled + part.num_rows)
+        self.x[at] = part.column("x").flatten().to_numpy().reshape(part.num_rows, -1)
+        self.y[at], self.row[at], self.filled = part.column("y").to_numpy(), part.column("row_id").to_numpy(), at.stop
+
+    def result(self, s: int, max_epochs: int, tol: float, num_blocks: int, seed: int, sum_intercept: bool, shape: tuple | None) -> pa.RecordBatch:
+        size = len(self.y) // num_blocks
+        starts = np.searchsorted(self.row, np.arange(num_blocks + 1) * size)
+        w, c, epochs, converged, met = balanced_steps(
+            self.x, self.y, starts, self.told["job"], s, max_epochs, tol, num_blocks, seed, sum_intercept, **_lattice(shape, self.told))
+        at = np.flatnonzero(w)
+        values = [at.astype(np.int32).tolist(), w[at].tolist(), c, epochs, converged, met]
+        kinds = [pa.list_(pa.int32()), pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.bool_(), pa.bool_()]
+        return pa.RecordBatch.from_arrays(
+            [self.head.field("job"), *(pa.array([v], t) for v, t in zip(values, kinds))], ["job", "idx", "w", "c", "epochs", "converged", "in_band"])
 
 
 def run_balanced(rows: DataFrame, jobs: DataFrame, s: int, max_epochs: int, tol: float, num_blocks: int, seed: int, sum_intercept: bool, graph=None) -> DataFrame:
-    """``fit.balanced_iht`` for problems whose rows fit a task, all steps of a job in one."""
-    work = jobs.select(P, F.struct(*jobs.columns).alias("job")).join(
-        by_problem(rows.select(P, "row_id", "x", F.col("y").cast("double").alias("y")), P, _pack_rows, "p int, x binary, y binary, `row` binary"), P)
-    shape = None if graph is None else (graph.g, graph.root, graph.gamma, graph.rounds)
+    """``fit.balanced_iht`` for problems whose rows fit a task, all steps of a job in one.
+
+    The rows of a job reach its task in their order and are held there once, as numbers.
+    """
+    shape = _shape(graph)
+    told = rows.groupBy(P).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p"))
     if graph is not None:
-        work = work.join(by_problem(graph.edges.select(P, "src", "dst", "cost"), P, _pack_edges, "src binary, dst binary, cost binary"), P, "left")
-    kinds = [pa.list_(pa.int32()), pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.bool_(), pa.bool_()]
-    state = "idx array<int>, w array<double>, c double, epochs int, converged boolean, in_band boolean"
+        told = told.join(by_problem(graph.edges.select(P, "src", "dst", "cost"), P, _pack_edges, "src binary, dst binary, cost binary"), P, "left")
+    more = ["src", "dst", "cost"] if graph is not None else []
+    known = cut(jobs.select(*JOB, F.struct(*jobs.columns).alias("job")).join(told, P))
+    none = F.lit(None)
+    heads = known.select(*JOB, none.cast("long").alias("row_id"), none.cast("array<double>").alias("x"), none.cast("double").alias("y"), F.struct("job", "n", "p", *more).alias("head"))
+    dealt = rows.select(P, F.col("row_id").cast("long").alias("row_id"), "x", F.col("y").cast("double").alias("y")).join(known.select(*JOB), P).select(
+        *JOB, "row_id", "x", "y", none.cast(heads.schema["head"].dataType).alias("head"))
+    # ranges deal jobs more evenly than a hash of a few keys does
+    every = max(1, known.count())
+    ordered = heads.unionByName(dealt).repartitionByRange(every, *JOB).sortWithinPartitions(*JOB, F.col("head").isNull(), "row_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job = None
         for batch in batches:
-            for k in range(batch.num_rows):
-                part = batch.slice(k, 1)
-                r = part.to_pylist()[0]
-                x, y, row = np.frombuffer(r["x"]).reshape(-1, r["p"]), np.frombuffer(r["y"]), np.frombuffer(r["row"], dtype=np.int64)
-                size = len(y) // num_blocks
-                block = np.where(row < size * num_blocks, row // max(1, size), -1)
-                lattice = {}
-                if shape is not None:
-                    ends = [np.frombuffer(r[e] or b"", dtype=np.int64) for e in ("src", "dst")]
-                    lattice = {"graph": Lattice(r["p"], *ends, np.frombuffer(r["cost"] or b""), *shape[:2]), "gamma": shape[2], "rounds": shape[3]}
-                w, c, epochs, converged, met = balanced_steps(x, y, block, r["job"], s, max_epochs, tol, num_blocks, seed, sum_intercept, **lattice)
-                at = np.flatnonzero(w)
-                values = [at.astype(np.int32).tolist(), w[at].tolist(), c, epochs, converged, met]
-                yield pa.RecordBatch.from_arrays([part.column("job"), *(pa.array([v], t) for v, t in zip(values, kinds))], ["job", *(f.split()[0] for f in state.split(", "))])
-
-    out = work.mapInArrow(run, f"job {jobs.schema.simpleString()}, {state}")
+            tops = np.flatnonzero(batch.column("head").is_valid().to_numpy(zero_copy_only=False))
+            if batch.num_rows and (not len(tops) or tops[0] > 0):
+                job.take(batch.slice(0, tops[0] if len(tops) else batch.num_rows))
+            for one, two in zip(tops, [*tops[1:], batch.num_rows]):
+                if job is not None:
+                    yield job.result(s, max_epochs, tol, num_blocks, seed, sum_intercept, shape)
+                job = _Rows(batch.slice(one, 1))
+                if two > one + 1:
+                    job.take(batch.slice(one + 1, two - one - 1))
+        if job is not None:
+            yield job.result(s, max_epochs, tol, num_blocks, seed, sum_intercept, shape)
+
+    out = ordered.select("row_id", "x", "y", "head").mapInArrow(
+        run, f"job {jobs.schema.simpleString()}, idx array<int>, w array<double>, c double, epochs int, converged boolean, in_band boolean")
     return out.select("job.*", "idx", "w", "c", "epochs", "converged", *(["in_band"] if graph is not None else []))
 
 

@@ -305,3 +305,16 @@ def test_drawn_blocks_pass_through_a_task(spark, rows, monkeypatch, graph, steps
         assert not taken  # no step is a job of its own
     for one, other in zip(*found, strict=True):
         assert one[0] == other[0] and one[1] == pytest.approx(other[1], abs=1e-9) and one[2] == pytest.approx(other[2], abs=1e-9)
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_balanced_rows_beyond_a_gram_matrix_stay_in_a_task(class_rows, monkeypatch, blocks):
+    """Rows of several times ``LIMIT`` numbers are fitted in a task, job by job, with the weights of smaller ones."""
+    both = class_rows.select("problem_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("job_id")).distinct().withColumn("lam", 0.01 * (F.col("job_id") + 1))
+    found = []
+    for limit in (1 << 22, N * P // 4):
+        monkeypatch.setattr(L.iterate, "LIMIT", limit)
+        monkeypatch.setattr(L, "_replace", lambda *a: pytest.fail("a step as a job"))
+        got = L.balanced_iht(class_rows, both, S, 6, num_blocks=blocks, seed=4)
+        found.append(sorted((r.job_id, r.epochs, r.converged, r.idx, r.w, r.c) for r in got.collect()))
+    assert len(found[0]) == 2 and found[0] == found[1]
