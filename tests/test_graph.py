@@ -277,3 +277,42 @@ def test_ranges_of_a_large_graph_are_merged_in_tasks(spark, monkeypatch):
     apart = edges.filter("problem_id = 0")
     assert {tuple(r) for r in G.components(apart).collect()} == {r for r in labels if r[0] == 0}
     assert {tuple(r) for r in FO.spanning_forest(apart).collect()} == {r for r in forest if r[0] == 0}
+
+
+def sample_graph(spark):
+    """Shapes that need care: cycles, ties, a long path, loops, ends without a prize, nodes without an edge."""
+    rng = random.Random(8)
+    edges = [(0, rng.randrange(60), rng.randrange(60), float(rng.randrange(1, 5))) for _ in range(70)]
+    edges += [(1, i, i + 1, 1.0 + i % 3) for i in range(80)] + [(2, 5, 5, 1.0), (2, 6, 7, 2.0), (2, 7, 900, 1.0), (3, 4, 4, 1.0)]
+    nodes = [(p, v, float(rng.randrange(0, 9))) for p, n in ((0, 70), (1, 81), (2, 12)) for v in range(n)] + [(3, 4, 1.0), (4, 1, 2.0)]
+    return spark.createDataFrame(edges, E_SCHEMA), spark.createDataFrame(nodes, N_SCHEMA)
+
+
+def told(df, *names):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in (r[n] for n in names)) for r in df.collect())
+
+
+@pytest.mark.parametrize("limit", [1 << 21, 100])
+def test_payoffs_come_from_one_table_of_a_graph(spark, monkeypatch, limit):
+    edges, nodes = sample_graph(spark)
+    lams = nodes.select("problem_id").distinct().withColumn("lam", F.explode(F.array(F.lit(0.5), F.lit(2.0))))
+    names = ["problem_id", "lam", "node", "payoff", "size"]
+    expected = told(FO.tree_messages(FO.spanning_forest(edges), nodes, lams)[1], *names)
+    monkeypatch.setattr(G.trees, "LIMIT", limit)
+    if limit > 100:
+        monkeypatch.setattr(FO, "tree_messages", lambda *a: pytest.fail("messages of a problem that fits a task"))
+    assert told(FO.tree_payoffs(edges, nodes, lams), *names) == expected
+
+
+@pytest.mark.parametrize("limit", [1 << 21, 100])
+def test_totals_and_trims_come_from_one_table_of_a_graph(spark, monkeypatch, limit):
+    edges, nodes = sample_graph(spark)
+    labels, forest = G.components(edges), FO.spanning_forest(edges)
+    names = ["problem_id", "comp", "prize", "size", "cost", "ratio"]
+    totals = told(FO.forest_totals(nodes, forest, labels), *names)
+    trims = [told(FO.budget_trim(labels.join(nodes, ["problem_id", "node"]), forest, b), "problem_id", "node") for b in (0.0, 9.0, 1e6)]
+    monkeypatch.setattr(G.trees, "LIMIT", limit)
+    if limit > 100:
+        monkeypatch.setattr(FO, "spanning_forest", lambda *a: pytest.fail("a forest apart from its totals"))
+    assert told(FO.graph_totals(edges, nodes), *names) == totals
+    assert [told(FO.graph_trim(edges, nodes, b), "problem_id", "node") for b in (0.0, 9.0, 1e6)] == trims
