@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparsetab.functions.scalar import hashed_unit
 from sparsetab.lineage import cut, cut_count
 from sparsetab.operators import trees
-from sparsetab.operators.ranking import ranked
-from sparsetab.operators.relational import edges_within, symmetric
+from sparsetab.operators.relational import edges_within
 from sparsetab.operators.trees import by_problem, column, least_labels
 
 KEY = "problem_id"
@@ -207,43 +207,53 @@ def graph_summary(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return ends.join(sides, KEY)
 
 
+def graph_totals(edges: DataFrame) -> DataFrame:
+    """A10. ``graph_summary`` of a graph and its components; a problem that fits a task is summed up there."""
+    table, left = cut_count(edges.select(KEY, "src", "dst"), "true")
+    large = _oversized(table, left)
+
+    def run(rows):
+        a, b = column(rows, "src"), column(rows, "dst")
+        node, root = least_labels(a, b)
+        told = {"components": (node == root).sum(), "nodes": len(node), "min_node": node[0], "max_node": node[-1], "edges": len(a)}
+        return {name: np.array([v], dtype=np.int64) for name, v in told.items()}
+
+    fits = table if large is None else table.join(large, KEY, "left_anti")
+    totals = by_problem(fits, KEY, run, "components long, nodes long, min_node long, max_node long, edges long")
+    if large is None:
+        return totals
+    rest = cut(table.join(large, KEY, "left_semi"))
+    return totals.unionByName(graph_summary(rest, components(rest)))
+
+
 def random_walks(edges: DataFrame, starts: DataFrame, s: int, seed: int = 0, restart: float = 0.0, max_steps: int | None = None) -> DataFrame:
     """G8. Connected random subgraphs: one walk per row of ``starts(problem_id, walk_id, node)``.
 
     Each walk steps to a neighbour drawn by hash until it has seen ``s`` nodes.
-    The drawn neighbour is fetched by its number, so a step costs one joined row
-    per walk even at a hub.  A walk whose component is smaller than ``s`` is
+    A step reads the edges and keeps the neighbours of the nodes that walks are at;
+    no edge is shuffled for it where walks are few.  A walk whose component is smaller than ``s`` is
     found before the first step and reported with ``complete = false`` and the
     whole component as its nodes.  Returns one row per walk with the arrays
     ``nodes`` (at most ``s``) and ``walked`` (distinct edges).
     """
-    both = symmetric(edges, [KEY])
-    numbered = cut(
-        ranked(both, [KEY, "src"], [F.col("dst")], "nbr", start=0).select(KEY, F.col("src").alias("node"), "nbr", F.col("dst").alias("to"))
-    )
-    degree = cut(numbered.groupBy(KEY, "node").agg(F.count(F.lit(1)).alias("degree")))
-    labels = components(edges, endpoints(edges).unionByName(starts.select(KEY, "node")))
-    reach = labels.join(component_sizes(labels), [KEY, "comp"]).select(KEY, "node", F.col("size").alias("reach"))
-    first = starts.join(reach, [KEY, "node"]).select(
+    start = starts.join(_reached(edges, starts.select(KEY, "walk_id", "node"), s), [KEY, "walk_id"])
+    first = start.select(
         KEY, "walk_id", F.col("node").alias("start"), "node", F.array("node").alias("visited"),
         F.array().cast("array<struct<src:bigint,dst:bigint>>").alias("walked"), F.lit(0).alias("step"),
-        (F.col("reach") >= s).alias("complete"), F.lit(s <= 1).alias("done"),
-    )
-    small = first.filter(~F.col("complete")).select(KEY, "walk_id", "node").join(labels, [KEY, "node"])
-    whole = small.select(KEY, "walk_id", "comp").join(labels, [KEY, "comp"]).groupBy(KEY, "walk_id").agg(
-        F.collect_list("node").alias("nodes")
+        (F.size("reach") >= s).alias("complete"), F.lit(s <= 1).alias("done"), "reach",
     )
+    first = cut(first)
+    whole = first.filter(~F.col("complete")).select(KEY, "walk_id", F.col("reach").alias("nodes"))
+    first = first.drop("reach")
     finished = [first.filter(F.col("complete") & F.col("done"))]
-    state = cut(first.filter(F.col("complete") & ~F.col("done")))
-    rounds = 0
-    while not state.isEmpty():
-        for _ in range(4):
-            state = _walk_step(state, numbered, degree, s, seed, restart)
-        state = cut(state)
+    state, rounds = first.filter(F.col("complete") & ~F.col("done")), 0
+    left = not state.isEmpty()
+    while left:
+        state, left = cut_count(_walk_step(state, edges, s, seed, restart), "not done")
         finished.append(state.filter("done"))
         state = state.filter("not done")
-        rounds += 4
-        if max_steps is not None and rounds >= max_steps and not state.isEmpty():
+        rounds += 1
+        if max_steps is not None and rounds >= max_steps and left:
             raise RuntimeError(f"walks did not see {s} nodes within {max_steps} steps")
     seen = finished[0]
     for part in finished[1:]:
@@ -254,20 +264,41 @@ def random_walks(edges: DataFrame, starts: DataFrame, s: int, seed: int = 0, res
     )
 
 
-def _walk_step(state: DataFrame, numbered: DataFrame, degree: DataFrame, s: int, seed: int, restart: float) -> DataFrame:
-    draw = F.pmod(F.xxhash64(F.lit(seed), KEY, "walk_id", "step"), F.col("degree"))
+def _neighbours(edges: DataFrame, at: DataFrame) -> DataFrame:
+    """Sorted neighbours of the nodes ``at(problem_id, walk_id, node)`` of each walk; Spark sends few walks to the edges, not edges to the walks."""
+    ends = edges.select(KEY, F.inline(F.array(
+        F.struct(F.col("src").alias("node"), F.col("dst").alias("to")), F.struct(F.col("dst").alias("node"), F.col("src").alias("to")))))
+    return ends.join(at, [KEY, "node"]).groupBy(KEY, "walk_id").agg(F.array_sort(F.collect_set("to")).alias("near"))
+
+
+def _reached(edges: DataFrame, starts: DataFrame, s: int) -> DataFrame:
+    """Nodes ``reach`` of the component of every start: all of them, or ``s`` and more of a component that has as many."""
+    state = starts.select(KEY, "walk_id", F.array("node").alias("reach"), F.lit(s <= 1).alias("closed"))
+    for _ in range(max(0, s - 1)):
+        near = _neighbours(edges, state.filter("not closed").select(KEY, "walk_id", F.explode("reach").alias("node")))
+        grown = F.array_union("reach", F.coalesce(F.slice("near", 1, 2 * s), F.array().cast(state.schema["reach"].dataType)))
+        state, left = cut_count(
+            state.join(near, [KEY, "walk_id"], "left").withColumn("_grown", F.when(F.col("closed"), F.col("reach")).otherwise(grown)).select(
+                KEY, "walk_id", F.col("_grown").alias("reach"),
+                (F.col("closed") | (F.size("_grown") >= s) | (F.size("_grown") == F.size("reach"))).alias("closed")),
+            "not closed")
+        if not left:
+            break
+    return state.drop("closed")
+
+
+def _walk_step(state: DataFrame, edges: DataFrame, s: int, seed: int, restart: float) -> DataFrame:
+    """One step of walks that are not done."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), KEY, "walk_id", "step"), F.size("near"))
     coin = F.pmod(F.xxhash64(F.lit(seed + 1), KEY, "walk_id", "step"), F.lit(1 << 30)) / float(1 << 30)
-    moved = state.join(degree, [KEY, "node"]).withColumn("nbr", draw.cast("long")).join(numbered, [KEY, "node", "nbr"])
+    near = _neighbours(edges, state.select(KEY, "walk_id", "node"))
+    moved = state.join(near, [KEY, "walk_id"]).withColumn("to", F.get("near", draw.cast("int")))
     visited = F.array_union("visited", F.array("to"))
     edge = F.struct(F.least("node", "to").alias("src"), F.greatest("node", "to").alias("dst"))
-    go = ~F.col("done")
     return moved.select(
-        KEY, "walk_id", "start",
-        F.when(F.col("done"), F.col("node")).when(coin < restart, F.col("start")).otherwise(F.col("to")).alias("node"),
-        F.when(go, visited).otherwise(F.col("visited")).alias("visited"),
-        F.when(go, F.array_union("walked", F.array(edge))).otherwise(F.col("walked")).alias("walked"),
-        (F.col("step") + 1).alias("step"), "complete",
-        (F.col("done") | (F.size(visited) >= s)).alias("done"),
+        KEY, "walk_id", "start", F.when(coin < restart, F.col("start")).otherwise(F.col("to")).alias("node"),
+        visited.alias("visited"), F.array_union("walked", F.array(edge)).alias("walked"),
+        (F.col("step") + 1).alias("step"), "complete", (F.size(visited) >= s).alias("done"),
     )
 
 

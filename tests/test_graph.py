@@ -316,3 +316,34 @@ def test_totals_and_trims_come_from_one_table_of_a_graph(spark, monkeypatch, lim
         monkeypatch.setattr(FO, "spanning_forest", lambda *a: pytest.fail("a forest apart from its totals"))
     assert told(FO.graph_totals(edges, nodes), *names) == totals
     assert [told(FO.graph_trim(edges, nodes, b), "problem_id", "node") for b in (0.0, 9.0, 1e6)] == trims
+
+
+def test_walks_and_summaries_read_edges_where_they_lie(spark, monkeypatch):
+    """Few walks need no components, numbers of neighbours or shuffled edges; a summary needs no table of labels."""
+    edges, _ = sample_graph(spark)
+    around, expected = {}, {}
+    for p, a, b, _ in edges.collect():
+        around.setdefault((p, a), set()).add(b)
+        around.setdefault((p, b), set()).add(a)
+    starts = spark.createDataFrame([(p, w, v) for w, (p, v) in enumerate(sorted(around)) if v % 4 == 0] + [(7, 0, 1)], "problem_id long, walk_id long, node long")
+    for p, w, v in starts.collect():
+        seen = [v]
+        for u in seen:
+            seen += sorted(around.get((p, u), set()) - set(seen))
+        expected[p, w] = set(seen)
+    labels = G.graph_summary(edges, G.components(edges)).collect()
+    monkeypatch.setattr(G, "components", lambda *a: pytest.fail("components of the whole graph"))
+    for r in G.random_walks(edges, starts, 4, seed=2).collect():
+        whole = expected.pop((r.problem_id, r.walk_id))
+        assert r.complete == (len(whole) >= 4) and len(r.nodes) == min(4, len(whole)) and set(r.nodes) <= whole
+        assert all(e.dst in around[r.problem_id, e.src] for e in r.walked)
+    assert not expected
+    assert {tuple(r) for r in G.graph_totals(edges).collect()} == {tuple(r) for r in labels}
+
+
+def test_nodes_chosen_in_all_problems(spark):
+    edges, _ = sample_graph(spark)
+    some = spark.range(0, 60, 2).selectExpr("id as node")
+    each = edges.select("problem_id").distinct().crossJoin(some)
+    one, two = ({tuple(r) for r in FO.unpruned(edges, chosen).collect()} for chosen in (some, each))
+    assert one == two and one
