@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparsetab.functions.scalar import NO_ENTREZ_FOUND, NO_GENE_FOUND
 
+#: Rows that a task sorts or holds in a hash table at once, on average.
+TASK_ROWS = 1 << 19
+
 
 def drop_self_loops(edges: DataFrame) -> DataFrame:
     """P3."""
@@ -184,3 +187,14 @@ def merge_name_lists(first: DataFrame, second: DataFrame) -> DataFrame:
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """``df`` with the columns of a table of one row, such as a total, as scalar subqueries."""
     return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of about ``rows`` rows, dealt by ``keys`` to tasks of ``TASK_ROWS`` rows.
+
+    The planner's shuffles have a fixed number of parts and are joined to parts of a size in bytes, compressed, so what a
+    task holds grows with the table.  Here the number of tasks does.  Tables that fit a task are left to the planner.
+    """
+    if rows <= TASK_ROWS:
+        return df.repartition(*keys)
+    return df.repartition(max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), *keys)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparsetab.lineage import shared_dir
-from sparsetab.operators.relational import attach_row
+from sparsetab.operators.relational import attach_row, dealt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,14 +99,17 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     order has at most a handful of lines, so the pairs of an order are few.
     """
     line, order = (table(spark, sf_dir, t) for t in ("lineitem", "orders"))
+    lines, orders = line.count(), order.count()  # from the footers of the files
     month = (12 * F.year(F.to_date("o_orderdate")) + F.month(F.to_date("o_orderdate"))).cast("long").alias("problem_id")
+    line = dealt(line.select("l_orderkey", "l_partkey", "l_quantity"), lines, "l_orderkey")
     here, there = (line.select(*[F.col(f"l_{c}").alias(f"{side}_{c}") for c in ("orderkey", "partkey", "quantity")]) for side in "ab")
     # both sides of the pairs read one shuffle of the lines
-    pairs = here.join(order.select("o_orderkey", month), F.col("a_orderkey") == F.col("o_orderkey")).join(
+    pairs = here.join(dealt(order.select("o_orderkey", month), lines, "o_orderkey"), F.col("a_orderkey") == F.col("o_orderkey")).join(
         there, (F.col("a_orderkey") == F.col("b_orderkey")) & (F.col("a_partkey") < F.col("b_partkey")))
     # pairs seldom repeat, so they are told apart once, after the shuffle; the least of structs comes by a sort, which holds less than two hash tables
     found = pairs.select("problem_id", (F.col("a_partkey") * 2).alias("src"), (F.col("b_partkey") * 2).alias("dst"), F.struct(F.least("a_quantity", "b_quantity").alias("cost")).alias("_m"))
-    least = found.repartition("problem_id", "src", "dst").groupBy("problem_id", "src", "dst").agg(F.min("_m").alias("_m"))
+    many = lines * lines // max(orders, 1)  # a line is paired with the others of its order
+    least = dealt(found, many, "problem_id", "src", "dst").groupBy("problem_id", "src", "dst").agg(F.min("_m").alias("_m"))
     return least.select("problem_id", "src", "dst", "_m.cost")
 
 

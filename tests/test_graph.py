@@ -2,11 +2,14 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparsetab.operators import forest as FO, graph as G
+from conftest import SF
+from sparsetab.operators import forest as FO, graph as G, relational as R
+from sparsetab.plans.inputs import graph_edges
 
 E_SCHEMA = "problem_id long, src long, dst long, cost double"
 N_SCHEMA = "problem_id long, node long, prize double"
@@ -347,3 +350,11 @@ def test_nodes_chosen_in_all_problems(spark):
     each = edges.select("problem_id").distinct().crossJoin(some)
     one, two = ({tuple(r) for r in FO.unpruned(edges, chosen).collect()} for chosen in (some, each))
     assert one == two and one
+
+
+def test_edges_are_dealt_by_their_number(spark, monkeypatch):
+    want = sorted(graph_edges(spark, SF).collect())
+    monkeypatch.setattr(R, "TASK_ROWS", 500)
+    got = graph_edges(spark, SF).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r[:-1] for r in got) == want
+    assert max(Counter(r.task for r in got).values()) < 1000

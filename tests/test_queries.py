@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from conftest import SF
+from sparsetab.operators import relational
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 spec = importlib.util.spec_from_file_location("entry", Path(__file__).resolve().parents[1] / "__spark_entry__.py")
@@ -43,6 +44,12 @@ def test_matches_sql(spark, duck, name):
     assert have == want
 
 
+@pytest.mark.parametrize("name", ["g3_random_costs", "j2_edges_within", "s4_read_tagged_lines"])
+def test_matches_sql_in_many_tasks(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(relational, "TASK_ROWS", 500)
+    test_matches_sql(spark, duck, name)
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
