@@ -83,15 +83,6 @@ resp AS (SELECT vec_id AS row_id, CASE WHEN label < 5 THEN 1.0::DOUBLE ELSE -1.0
 
 # -- graph -----------------------------------------------------------------------
 
-def _bought(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with the month of their order; parts are nodes with even ids."""
-    line, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    day = F.to_date("o_orderdate")
-    return line.join(order.select("o_orderkey", day.alias("_day")), F.col("l_orderkey") == F.col("o_orderkey")).select(
-        (12 * F.year("_day") + F.month("_day")).cast("long").alias("problem_id"), "l_orderkey", (F.col("l_partkey") * 2).alias("node"),
-        "l_quantity", "l_extendedprice")
-
-
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts bought in one order, a problem for each month; an order of many parts is a clique, so there are cycles.
 
@@ -115,7 +106,13 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prize of a node: value of its lines in that month, in units of 1000; parts bought alone are nodes without an edge."""
-    return _bought(spark, sf_dir).groupBy("problem_id", "node").agg((F.sum("l_extendedprice") / 1000).alias("prize"))
+    line, order = (table(spark, sf_dir, t) for t in ("lineitem", "orders"))
+    lines, day = line.count(), F.to_date("o_orderdate")
+    line = dealt(line.select("l_orderkey", "l_partkey", "l_extendedprice"), lines, "l_orderkey")
+    order = dealt(order.select("o_orderkey", (12 * F.year(day) + F.month(day)).cast("long").alias("problem_id")), lines, "o_orderkey")
+    bought = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select("problem_id", (F.col("l_partkey") * 2).alias("node"), "l_extendedprice")
+    sums = dealt(bought, lines, "problem_id", "node").groupBy("problem_id", "node")
+    return sums.agg((F.sum("l_extendedprice") / 1000).alias("prize"))
 
 
 EDGES = """bought AS (SELECT CAST(12 * year(CAST(o_orderdate AS DATE)) + month(CAST(o_orderdate AS DATE)) AS BIGINT) AS problem_id, l_orderkey, 2 * l_partkey AS node,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from sparsetab.operators import forest as FO, graph as G, relational as R
-from sparsetab.plans.inputs import graph_edges
+from sparsetab.plans.inputs import graph_edges, graph_nodes
 
 E_SCHEMA = "problem_id long, src long, dst long, cost double"
 N_SCHEMA = "problem_id long, node long, prize double"
@@ -358,3 +358,11 @@ def test_edges_are_dealt_by_their_number(spark, monkeypatch):
     got = graph_edges(spark, SF).withColumn("task", F.spark_partition_id()).collect()
     assert sorted(r[:-1] for r in got) == want
     assert max(Counter(r.task for r in got).values()) < 1000
+
+
+def test_nodes_are_dealt_by_the_number_of_lines(spark, monkeypatch):
+    want = sorted((r.problem_id, r.node, round(r.prize, 6)) for r in graph_nodes(spark, SF).collect())
+    monkeypatch.setattr(R, "TASK_ROWS", 500)
+    got = graph_nodes(spark, SF).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.problem_id, r.node, round(r.prize, 6)) for r in got) == want
+    assert max(Counter(r.task for r in got).values()) < 1000
