@@ -166,13 +166,13 @@ def union_supports(*supports: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, supports).distinct()
 
 
-def same_support(a: DataFrame, b: DataFrame, keys: Sequence[str], index: str) -> DataFrame:
-    """U3. Per key, whether two supports hold the same entries."""
-    both = (
-        a.select(*keys, index).distinct().withColumn("_s", F.lit(1))
-        .unionByName(b.select(*keys, index).distinct().withColumn("_s", F.lit(2)))
-        .groupBy(*keys, index).agg(F.sum("_s").alias("_s"))
-    )
+def same_support(a: DataFrame, b: DataFrame, keys: Sequence[str], index: str, rows: int = 0) -> DataFrame:
+    """U3. Per key, whether two supports hold the same entries.
+
+    Entries may repeat; ``rows`` is about how many there are, repeats included, 0 if that is not known.
+    """
+    marked = a.select(*keys, index, F.lit(1).alias("_s")).unionByName(b.select(*keys, index, F.lit(2).alias("_s")))
+    both = (dealt(marked, rows, *keys, index) if rows else marked).groupBy(*keys, index).agg(F.bit_or("_s").alias("_s"))
     return both.groupBy(*keys).agg(F.every(F.col("_s") == 3).alias("equal"))
 
 

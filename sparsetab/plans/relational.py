@@ -377,26 +377,26 @@ def t7(spark, sf):
 
 # -- sets --------------------------------------------------------------------------------------
 
-def _support(spark, sf, flag, name="col_id"):
-    return table(spark, sf, "lineitem").filter(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias(name)).distinct()
+def _entries(spark, sf, flag):
+    """Entries of a support, repeats included."""
+    return table(spark, sf, "lineitem").filter(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("col_id"))
 
 
 @query("u1_union", "SELECT DISTINCT l_suppkey AS k, l_partkey AS col_id FROM lineitem WHERE l_returnflag IN ('R', 'A')")
 def u1(spark, sf):
-    return R.union_supports(_support(spark, sf, "R"), _support(spark, sf, "A"))
+    return R.union_supports(_entries(spark, sf, "R").distinct(), _entries(spark, sf, "A").distinct())
 
 
 @query("u2_intersection", "SELECT l_suppkey AS k, l_partkey AS col_id FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'")
 def u2(spark, sf):
-    return _support(spark, sf, "R").intersect(_support(spark, sf, "A"))
+    return _entries(spark, sf, "R").distinct().intersect(_entries(spark, sf, "A").distinct())
 
 
 @query("u3_same_support", """WITH a AS (SELECT DISTINCT l_partkey AS k, l_suppkey AS i FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_partkey AS k, l_suppkey AS i FROM lineitem WHERE l_returnflag = 'A')
 SELECT coalesce(a.k, b.k) AS k, bool_and(a.k IS NOT NULL AND b.k IS NOT NULL) AS equal FROM a FULL JOIN b ON a.k = b.k AND a.i = b.i GROUP BY 1""")
 def u3(spark, sf):
-    one = _support(spark, sf, "R").select(F.col("col_id").alias("k"), F.col("k").alias("i"))
-    two = _support(spark, sf, "A").select(F.col("col_id").alias("k"), F.col("k").alias("i"))
-    return R.same_support(one, two, ["k"], "i")
+    one, two = (_entries(spark, sf, flag).select(F.col("col_id").alias("k"), F.col("k").alias("i")) for flag in "RA")
+    return R.same_support(one, two, ["k"], "i", rows=table(spark, sf, "lineitem").count())
 
 
 @query("u4_merge_names", """SELECT p_partkey AS entrez, unnest(string_split(p_name, ' ')) AS name, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos, 0 AS source FROM part WHERE p_type = 'PROMO'

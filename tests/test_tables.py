@@ -117,3 +117,13 @@ def test_mean_at_the_limit_is_not_below_it(spark):
     data = [(1, v) for v in (0.04, 0.04, 0.04, 0.05, 0.05, 0.05)] + [(2, 0.02), (2, 0.03)] + [(3, 1e30)] + [(4, None), (5, 0.01), (5, None)]
     below = R.rows_below_mean(spark.createDataFrame(data, "k int, v double").coalesce(1), "k", "v", 0.045).collect()
     assert {r.k: r["mean"] for r in below} == {2: 0.025, 5: 0.01}
+
+
+@pytest.mark.parametrize("rows", [0, 6, 6000])
+def test_same_support_holds_entries_once(spark, monkeypatch, rows):
+    monkeypatch.setattr(R, "TASK_ROWS", 1000)
+    one = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1), (3, 5), (3, 5), (None, 1), (5, None)], "k long, i long")
+    two = spark.createDataFrame([(1, 2), (1, 1), (2, 2), (2, 1), (4, 5), (4, 5), (None, 1), (5, None)], "k long, i long")
+    got = R.same_support(one, two, ["k"], "i", rows)
+    assert got._jdf.queryExecution().executedPlan().toString().count("HashAggregate(") == 4  # entries, then keys
+    assert {r.k: r.equal for r in got.collect()} == {1: True, 2: False, 3: False, 4: False, None: True, 5: True}
