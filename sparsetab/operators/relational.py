@@ -161,9 +161,10 @@ def class_weights(rows: DataFrame, keys: Sequence[str], y: str = "y") -> DataFra
     )
 
 
-def union_supports(*supports: DataFrame) -> DataFrame:
-    """U1."""
-    return reduce(DataFrame.unionByName, supports).distinct()
+def union_supports(*supports: DataFrame, rows: int = 0) -> DataFrame:
+    """U1. ``rows`` is about how many entries the supports have together, repeats included; 0 if that is not known."""
+    both = reduce(DataFrame.unionByName, supports)
+    return (dealt(both, rows, *both.columns) if rows else both).distinct()
 
 
 def same_support(a: DataFrame, b: DataFrame, keys: Sequence[str], index: str, rows: int = 0) -> DataFrame:

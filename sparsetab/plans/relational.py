@@ -384,7 +384,7 @@ def _entries(spark, sf, flag):
 
 @query("u1_union", "SELECT DISTINCT l_suppkey AS k, l_partkey AS col_id FROM lineitem WHERE l_returnflag IN ('R', 'A')")
 def u1(spark, sf):
-    return R.union_supports(_entries(spark, sf, "R").distinct(), _entries(spark, sf, "A").distinct())
+    return R.union_supports(_entries(spark, sf, "R"), _entries(spark, sf, "A"), rows=table(spark, sf, "lineitem").count())
 
 
 @query("u2_intersection", "SELECT l_suppkey AS k, l_partkey AS col_id FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'")

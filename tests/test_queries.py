@@ -44,7 +44,7 @@ def test_matches_sql(spark, duck, name):
     assert have == want
 
 
-@pytest.mark.parametrize("name", ["g2_add_root", "g3_random_costs", "j2_edges_within", "s4_read_tagged_lines", "u3_same_support"])
+@pytest.mark.parametrize("name", ["g2_add_root", "g3_random_costs", "j2_edges_within", "s4_read_tagged_lines", "u1_union", "u3_same_support"])
 def test_matches_sql_in_many_tasks(spark, duck, monkeypatch, name):
     monkeypatch.setattr(relational, "TASK_ROWS", 500)
     test_matches_sql(spark, duck, name)

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,14 @@ def test_mean_at_the_limit_is_not_below_it(spark):
     assert {r.k: r["mean"] for r in below} == {2: 0.025, 5: 0.01}
 
 
+def test_supports_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_ROWS", 100)
+    one, two = (spark.range(n).select(F.col("id") % 1000, F.col("id") % 7).toDF("k", "i") for n in (7000, 9000))
+    got = R.union_supports(one, two, rows=16000).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r[:-1] for r in got) == sorted((k, i) for k in range(1000) for i in range(7))
+    assert max(Counter(r.task for r in got).values()) < 200
+
+
 @pytest.mark.parametrize("rows", [0, 6, 6000])
 def test_same_support_holds_entries_once(spark, monkeypatch, rows):
     monkeypatch.setattr(R, "TASK_ROWS", 1000)
