@@ -164,7 +164,7 @@ def class_weights(rows: DataFrame, keys: Sequence[str], y: str = "y") -> DataFra
 def union_supports(*supports: DataFrame, rows: int = 0) -> DataFrame:
     """U1. ``rows`` is about how many entries the supports have together, repeats included; 0 if that is not known."""
     both = reduce(DataFrame.unionByName, supports)
-    return (dealt(both, rows, *both.columns) if rows else both).distinct()
+    return dealt(both, rows, *both.columns).distinct()
 
 
 def same_support(a: DataFrame, b: DataFrame, keys: Sequence[str], index: str, rows: int = 0) -> DataFrame:
@@ -173,7 +173,7 @@ def same_support(a: DataFrame, b: DataFrame, keys: Sequence[str], index: str, ro
     Entries may repeat; ``rows`` is about how many there are, repeats included, 0 if that is not known.
     """
     marked = a.select(*keys, index, F.lit(1).alias("_s")).unionByName(b.select(*keys, index, F.lit(2).alias("_s")))
-    both = (dealt(marked, rows, *keys, index) if rows else marked).groupBy(*keys, index).agg(F.bit_or("_s").alias("_s"))
+    both = dealt(marked, rows, *keys, index).groupBy(*keys, index).agg(F.bit_or("_s").alias("_s"))
     return both.groupBy(*keys).agg(F.every(F.col("_s") == 3).alias("equal"))
 
 
@@ -197,5 +197,5 @@ def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     task holds grows with the table.  Here the number of tasks does.  Tables that fit a task are left to the planner.
     """
     if rows <= TASK_ROWS:
-        return df.repartition(*keys)
+        return df
     return df.repartition(max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), *keys)

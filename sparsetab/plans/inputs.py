@@ -100,7 +100,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     # pairs seldom repeat, so they are told apart once, after the shuffle; the least of structs comes by a sort, which holds less than two hash tables
     found = pairs.select("problem_id", (F.col("a_partkey") * 2).alias("src"), (F.col("b_partkey") * 2).alias("dst"), F.struct(F.least("a_quantity", "b_quantity").alias("cost")).alias("_m"))
     many = lines * lines // max(orders, 1)  # a line is paired with the others of its order
-    least = dealt(found, many, "problem_id", "src", "dst").groupBy("problem_id", "src", "dst").agg(F.min("_m").alias("_m"))
+    least = dealt(found.repartition("problem_id", "src", "dst"), many, "problem_id", "src", "dst").groupBy("problem_id", "src", "dst").agg(F.min("_m").alias("_m"))
     return least.select("problem_id", "src", "dst", "_m.cost")
 
 
