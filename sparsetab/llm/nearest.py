@@ -8,8 +8,8 @@ remaining lengths reaches the floor.  Leading directions come from the singular
 sample; any rotation gives right results, this one concentrates the length.  Survivors are scored exactly in
 integers.
 
-Queries are packed by the length they ask for, so a block of queries skips blocks as a whole, and are sent to groups
-of candidate blocks; a pair of blocks returns at most k rows a query.
+Queries are packed by the length they ask for, so a block of queries skips blocks as a whole, and are shuffled to groups
+of candidate blocks, in as few bytes a component as hold it; a pair of blocks returns at most k rows a query.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ SAMPLE = 2048  # vectors that the rotation is fitted on
 GROUP = 2  # candidate blocks of a group
 LEADING = 16  # directions of a partial sum
 _EXACT = float(1 << 53)
-_PACKED = "longest double, least double, n int, ids binary, x binary, floors binary"
+_PACKED = "longest double, least double, n int, item int, ids binary, x binary, floors binary"
 
 
 def whole_numbers(x: str, scale: float) -> Column:
@@ -67,17 +67,25 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -score[some]))[:k]]
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in as few bytes as hold them all."""
+    low, high = x.min(initial=0), x.max(initial=0)
+    return x.astype(next(f"i{b}" for b in (1, 2, 4, 8) if np.iinfo(f"i{b}").min <= low and high <= np.iinfo(f"i{b}").max))
+
+
 def _packer(size: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row():
             x = _matrix([r[1] for r in own], max(len(r[1]) for r in own))
+            packed = _narrow(x)
             floors = np.array([r[2] for r in own], dtype=np.float64)
             lengths = _lengths(x)
             least = np.where(floors == -np.inf, 0.0, floors / np.maximum(lengths, 1e-300))
             return pa.RecordBatch.from_arrays(
                 [pa.array([float(lengths.max())]), pa.array([float(min(least.min(), 1e300))]), pa.array([len(own)], pa.int32()),
-                 pa.array([np.array([r[0] for r in own], dtype=np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()),
-                 pa.array([floors.tobytes()], pa.binary())], ["longest", "least", "n", "ids", "x", "floors"])
+                 pa.array([packed.itemsize], pa.int32()), pa.array([np.array([r[0] for r in own], dtype=np.int64).tobytes()], pa.binary()),
+                 pa.array([packed.tobytes()], pa.binary()), pa.array([floors.tobytes()], pa.binary())],
+                ["longest", "least", "n", "item", "ids", "x", "floors"])
 
         own: list = []
         for batch in batches:
@@ -92,6 +100,13 @@ def _packer(size: int):
     return pack
 
 
+def _unpacked(block, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a packed block, filled up with zeros to ``width``."""
+    x = np.frombuffer(block["x"], dtype=f"i{block['item']}").astype(np.int64)
+    x = x.reshape(block["n"], x.size // block["n"])
+    return np.frombuffer(block["ids"], dtype=np.int64), np.pad(x, ((0, 0), (0, width - x.shape[1])))
+
+
 def block_pairs(q: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, x: np.ndarray, ids: np.ndarray, rotation: np.ndarray, k: int):
     """For each query that has any: its number, and places and scores of its best rows of a block in order of length."""
     size, long = _lengths(q), _lengths(x)
@@ -117,10 +132,8 @@ def block_pairs(q: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, x: np.
 def _bounded(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of a limited table, which reach the driver as packed blocks."""
     packed = rows.select("id", "x", F.lit(float("-inf")).alias("floor")).mapInArrow(_packer(SEED), _PACKED).collect()
-    ids = [np.frombuffer(r["ids"], dtype=np.int64) for r in packed]
-    x = [np.frombuffer(r["x"], dtype=np.int64).reshape(r["n"], -1) for r in packed]
-    return (np.concatenate([np.zeros(0, dtype=np.int64), *ids]),
-            np.concatenate([np.zeros((0, width), dtype=np.int64), *(np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in x)]))
+    ids, x = zip((np.zeros(0, dtype=np.int64), np.zeros((0, width), dtype=np.int64)), *(_unpacked(r, width) for r in packed))
+    return np.concatenate(ids), np.concatenate(x)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -159,18 +172,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         F.col("_square").desc(), F.xxhash64("id")).sortWithinPartitions(F.col("_square").desc(), "id")
     blocks = cut(by_length.mapInArrow(_packer(BLOCK), _PACKED))
     groups = max(1, -(-blocks.count() // GROUP))
-    right = blocks.withColumn("_group", F.pmod(F.xxhash64("ids"), F.lit(groups))).select("_group", F.struct("longest", "n", "ids", "x").alias("b"))
+    right = blocks.withColumn("_group", F.pmod(F.xxhash64("ids"), F.lit(groups))).select("_group", F.struct("longest", "n", "item", "ids", "x").alias("b"))
     left = queries.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).select(
-        "_to", F.struct("least", "n", "ids", "x", "floors").alias("a"))
-    pairs = left.join(right, (F.col("_to") == F.col("_group")) & (F.col("a.least") <= F.col("b.longest") * (1 + 1e-9))).select("a", "b")
+        "_to", F.struct("least", "n", "item", "ids", "x", "floors").alias("a"))
+    # the planner does not see that every block of queries goes to every group, and would broadcast them all
+    pairs = left.join(right.hint("merge"), (F.col("_to") == F.col("_group")) & (F.col("a.least") <= F.col("b.longest") * (1 + 1e-9))).select("a", "b")
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                a, b = r["a"], r["b"]
-                x, y = (np.frombuffer(v["x"], dtype=np.int64).reshape(v["n"], -1) for v in (a, b))
-                x, y = (np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in (x, y))
-                query_ids, ids = (np.frombuffer(v["ids"], dtype=np.int64) for v in (a, b))
+            for n in range(batch.num_rows):
+                a, b = (batch.column(c)[n].as_py() for c in ("a", "b"))
+                (query_ids, x), (ids, y) = _unpacked(a, width), _unpacked(b, width)
                 found = [(np.full(len(at), query_ids[i]), ids[at], score) for i, at, score in
                          block_pairs(x, query_ids, np.frombuffer(a["floors"]), y, ids, rotation, k)]
                 if found:

@@ -1,6 +1,7 @@
 """Embedding near-dedup and exact top-k search against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparsetab.llm import nearest, vectors
@@ -85,6 +86,22 @@ def test_top_k(spark, monkeypatch):
     assert nearest.top_k(table.limit(0), F.col("id") % 10 == 0).count() == 0
 
 
+def test_blocks_of_queries_are_shuffled_narrow(spark):
+    """Every block of queries goes to every group of candidates, which no broadcast holds; components take no more bytes than they need."""
+    table = spark.createDataFrame([(i, [i % 7 - 3, i % 5, -64]) for i in range(900)] + [(900 + i, []) for i in range(5)], "id long, x array<long>")
+    got = nearest.top_k(table, F.col("id") % 20 == 0, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    for most, item in ((127, 1), (128, 2), (1 << 15, 4), (1 << 31, 8)):
+        batch = pa.RecordBatch.from_pydict({"id": [4, 5], "x": [[most, 0, -1], [2]], "floor": [-np.inf, 1.0]})
+        row = next(nearest._packer(8)([batch])).to_pylist()[0]
+        assert row["item"] == item and len(row["x"]) == 6 * item
+        ids, x = nearest._unpacked(row, 4)
+        assert ids.tolist() == [4, 5] and x.dtype == np.int64 and x.tolist() == [[most, 0, -1, 0], [2, 0, 0, 0]]
+    empty = nearest.top_k(table.where("id >= 900"), F.col("id") == 900, 2)
+    assert [tuple(r) for r in empty.orderBy("rank").collect()] == [(900, 1, 901, 0), (900, 2, 902, 0)]
+
+
 def test_whole_numbers(spark):
     rows = spark.createDataFrame([(1, [0.5, -0.01]), (2, None), (3, [None]), (4, [float("nan")]), (5, [])], "i int, x array<float>")
     assert [r[0] for r in rows.orderBy("i").select(nearest.whole_numbers("x", 64.0)).collect()] == [[32, -1], None, None, None, []]
