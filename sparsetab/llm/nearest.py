@@ -175,7 +175,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     right = blocks.withColumn("_group", F.pmod(F.xxhash64("ids"), F.lit(groups))).select("_group", F.struct("longest", "n", "item", "ids", "x").alias("b"))
     left = queries.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).select(
         "_to", F.struct("least", "n", "item", "ids", "x", "floors").alias("a"))
-    # the planner does not see that every block of queries goes to every group, and would broadcast them all
+    # the planner does not see that every block of queries goes to every group, nor how much work a pair is: it would
+    # broadcast all the blocks of queries, or join groups to few tasks by their bytes
+    left, right = left.repartition(groups, "_to"), right.repartition(groups, "_group")
     pairs = left.join(right.hint("merge"), (F.col("_to") == F.col("_group")) & (F.col("a.least") <= F.col("b.longest") * (1 + 1e-9))).select("a", "b")
 
     def run(batches):
