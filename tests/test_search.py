@@ -2,10 +2,14 @@
 
 import itertools
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sparsetab import lineage
 from sparsetab.operators import contraction as C, forest as FO, graph as G, search, trees
 
 E_SCHEMA = "problem_id long, src long, dst long, cost double"
@@ -183,3 +187,76 @@ def test_large_problems_by_rounds(spark, monkeypatch):
             FO.prize_collecting(edges, nodes, g=2, lam=1.6)[0].select("problem_id", "node", "comp"))])
     for name, one, other in zip("components forest band tail head rooted two".split(), *runs):
         assert one == other, name
+
+
+def test_searches_take_more_rows_than_other_work(spark, monkeypatch):
+    """Problems beyond ``LIMIT`` are searched in a task up to ``SEARCHED``, and beyond that by rounds, with one result."""
+    rng = random.Random(12)
+    cases = {}
+    for k in range(2):
+        n = 40
+        es = {(rng.randrange(v), v) for v in range(1, n)} | {tuple(sorted(rng.sample(range(n), 2))) for _ in range(25)}
+        cases[k] = (n, [rng.choice([0.1, 1.5, 3.0]) * rng.uniform(0.9, 1.1) for _ in range(n)], [(u, v, rng.uniform(0.5, 2.0)) for u, v in sorted(es)])
+    edges, nodes = frames(spark, cases)
+    plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    rounds = FO._searched_by_rounds
+    monkeypatch.setattr(trees, "LIMIT", 60)
+    runs = []
+    for searched in (1 << 20, 60):
+        monkeypatch.setattr(trees, "SEARCHED", searched)
+        monkeypatch.setattr(FO, "_searched_by_rounds", rounds if searched == 60 else lambda *a: pytest.fail("rounds for a problem that fits a task"))
+        runs.append([plain(x) for x in (
+            FO.size_band(edges, nodes, 8, 10).select("problem_id", "node", "in_band", "converged"),
+            FO.cost_head(edges, nodes, 4.0).select("problem_id", "node", "converged"),
+            FO.cost_tail(edges, nodes, 4.0, 2.6).select("problem_id", "node", "in_band", "converged"),
+            FO.prize_collecting(edges, nodes, root=7, lam=1.1)[0].select("problem_id", "node"))])
+    assert runs[0] == runs[1]
+
+
+@pytest.mark.parametrize("above", [lambda v: v - 1, lambda v: 0, lambda v: int(v * 0.618) % v])
+@pytest.mark.parametrize("root", [None, 17])
+def test_forests_in_arrays(monkeypatch, above, root):
+    """Deep and wide trees in arrays give what they give as lists."""
+    rng = random.Random(6)
+    n = 500
+    links = [(above(v), v) for v in range(1, n) if rng.random() < 0.98]
+    rng.shuffle(links)
+    a, b, cost = [u for u, _ in links], [v for _, v in links], [rng.choice([0.5, 1.0, 3.0]) for _ in links]
+    prize = [rng.choice([0.0, 0.0, 0.5, 1.1, 2.0, 5.0]) for _ in range(n)]
+    lists = trees.Prizes(prize, a, b, cost, root)
+    monkeypatch.setattr(trees, "WIDE", 100)
+    arrays = trees.Prizes(prize, a, b, cost, root)
+    assert lists.wide is None and arrays.wide is not None and (lists.steps is None) == (arrays.steps is None)
+    for lam in (0.0, 0.1, 0.5, 1.0, 1.5, 4.0, 100.0):
+        assert arrays.score(lam) == lists.score(lam)
+        for g in (1, 3):
+            for one, other in zip(arrays.best(lam, g), lists.best(lam, g), strict=True):
+                assert one[:3] == other[:3] and sorted(one[3]) == sorted(other[3])
+                assert sorted(arrays.edges(one[3])) == sorted(lists.edges(other[3]))
+
+
+def test_a_search_holds_few_bytes_a_row():
+    draw = np.random.default_rng(2)
+    n, m = 20_000, 40_000
+    src, dst = draw.integers(0, n, m), draw.integers(0, n, m)
+    table = pa.table({"src": np.concatenate([np.arange(n), src]), "dst": pa.array(np.concatenate([np.arange(n), dst]), mask=np.arange(n + m) < n),
+                      "value": draw.integers(1, 50, n + m) / 2.0})
+    tracemalloc.start()
+    problem = FO._Problem(table, None)
+    size, _, _ = problem.prizes.score(0.5)
+    assert problem.chosen([(0, 0.5)], 1, True, True)["node"].null_count == size - 1
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > n / 2 and most < 120 * (n + m), most / (n + m)
+
+
+def test_a_table_is_written_once(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    table = lineage.cut(spark.range(1000).repartition(7, "id"))
+    assert lineage.cut(table) is table and table.count() == 1000 and spark.conf.get(key) == before
+    with lineage.folder("apart") as name:
+        again = lineage.cut(table)
+        assert again is not table and lineage.cut(again) is again
+    lineage.clear(spark, name)
+    assert table.count() == 1000 and lineage.cut(table) is table
